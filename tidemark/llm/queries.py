@@ -5,11 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm import language, quality, toxicity
+from tidemark.llm.common import id_crc, table
 from tidemark.llm.jaccard_join import jaccard_components
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs.where(id_crc("doc_id") % 4 != 2)))
+    return found.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(toxicity.training(docs, table(spark, sf_dir, "labels"), "toxic")))
+    return found.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(toxicity.training(docs, table(spark, sf_dir, "labels"), "quality")))
+    return found.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=80, k=5)
 
@@ -19,7 +39,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' '))) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words
 ), tokens AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
 ), links AS (
@@ -31,5 +51,10 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON s.doc_id = r.a GROUP BY s.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_jaccard_join": op5_jaccard_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_mixture": op3_language_mixture,
+    "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_quality_nbsvm": op6_quality_nbsvm,
+}
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL}
