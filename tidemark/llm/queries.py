@@ -7,9 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, toxicity
+from tidemark.llm import language, motion_jpeg, quality, toxicity
 from tidemark.llm.common import id_crc, table
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.mixing import mix
+from tidemark.llm.token_files import token_output
+from tidemark.llm.url_filter import verdicts
+from tidemark.llm.warc import round_trip
+
+
+def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion_jpeg.digests(motion_jpeg.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +47,74 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=80, k=5)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of 4 for src0 and 2 for src1; others get about 1, by the square root of their sizes."""
+    return mix(table(spark, sf_dir, "documents"), weights={"src0": 4.0, "src1": 2.0}, block_docs=16)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A list's dated entries: (key, verdict or None for a removal, first day).
+URL_LIST = [
+    ("casino-win.example.com", "block", "2024-01-10"),
+    ("casino-win.example.com", None, "2024-05-01"),
+    ("casino-win.example.com", "block", "2024-08-15"),
+    ("free-bets.example.com", "block", "2024-03-01"),
+    ("free-bets.example.com", "allow", "2024-11-01"),
+    ("example.net", "review", "2024-02-01"),
+    ("example.net", None, "2024-06-30"),
+    ("example.org", "review", "2024-07-01"),
+    ("example.com", "allow", "2023-12-01"),
+    ("example.com", "review", "2024-09-01"),
+    ("m.casino-win.example.com/en/", "block", "2024-05-15"),
+    ("m.casino-win.example.com/en/", None, "2024-07-15"),
+    ("m.free-bets.example.com", "block", "2024-10-01"),
+]
+
+
+def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's day of capture is derived from its page_id, as the table has none."""
+    entries = spark.createDataFrame(URL_LIST, "key string, verdict string, dated string").withColumn("dated", F.to_date("dated"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+    found = verdicts(captures, entries)
+    return found.select("page_id", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), F.coalesce("verdict", F.lit("unlisted")).alias("verdict"), "matched_key")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keep FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keep <> page_id THEN keep END AS refers_to FROM q
+"""
+
+OP10_SQL = r"""
+WITH entries(key, verdict, dated) AS (VALUES {values}),
+spans AS (SELECT key, verdict, CAST(dated AS DATE) AS f, lead(CAST(dated AS DATE)) OVER (PARTITION BY key ORDER BY dated) AS t FROM entries),
+captures AS (
+  SELECT page_id, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS d, regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#:]*)', 1) AS host,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages
+), hits AS (
+  SELECT c.page_id, s.key, s.verdict, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.key) DESC, s.key DESC) AS r
+  FROM captures c JOIN spans s ON s.verdict IS NOT NULL AND c.d >= s.f AND (s.t IS NULL OR c.d < s.t) AND c.host <> ''
+    AND (c.host = s.key OR ends_with(c.host, '.' || s.key) OR (ends_with(s.key, '/') AND starts_with(c.host || c.path, s.key)))
+)
+SELECT c.page_id, strftime(c.d, '%Y-%m-%d') AS fetched, coalesce(h.verdict, 'unlisted') AS verdict, h.key AS matched_key
+FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.r = 1
+""".replace("{values}", ", ".join(f"('{k}', {repr(v) if v else 'NULL'}, '{d}')" for k, v, d in URL_LIST))
+
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -52,9 +133,15 @@ SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(r.b) AS
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_motion_jpeg": op1_motion_jpeg,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_mixture": op3_language_mixture,
     "op4_toxicity_kneser_ney": op4_toxicity_kneser_ney,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_nbsvm": op6_quality_nbsvm,
+    "op7_token_files": op7_token_files,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_warc": op9_warc,
+    "op10_temporal_url_filter": op10_temporal_url_filter,
 }
-ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op9_warc": OP9_SQL, "op10_temporal_url_filter": OP10_SQL}

@@ -18,6 +18,7 @@ _SEPARATOR[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _VALUE = mixed(_LOWER + np.uint64(0x51ED270B))
+_PLAIN = np.array([c if c > 127 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -30,6 +31,14 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def plain(data: np.ndarray) -> np.ndarray:
+    """The bytes with accented Latin-1 capitals lower-cased and ASCII marks as spaces, for comparing words loosely."""
+    out = _PLAIN[data]
+    if len(data) > 1:
+        out[1:] |= ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)).astype(np.uint8) << 5
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word in order: its text's number, first byte and end."""
     n = len(data)
