@@ -13,8 +13,11 @@ that a finished task reports are read, so that a task that runs again does no ha
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -29,8 +32,12 @@ BLOCK, PERCENTILE = 128, 90
 #: Ids in one file at most, but for its last document's.
 FILE_IDS = 1 << 21
 _MAGIC, _NULL = b"PFOR0001", -(1 << 63)
+#: Blocks that are packed together, so that they stay in the processor's cache.
+_AT_ONCE = 2048
 #: Chunks of text whose ids a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
+#: Letters, then ASCII marks, a line end and letters, marks; all but the first may be missing. Each is a piece of its own (an apostrophe may not be).
+_WITH_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?)?")
 
 
 def widths(x: np.ndarray) -> np.ndarray:
@@ -41,6 +48,10 @@ def widths(x: np.ndarray) -> np.ndarray:
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(start of each block, blocks)."""
     n = -(-len(ids) // BLOCK)
+    if n > _AT_ONCE:
+        parts = [pack(ids[i : i + _AT_ONCE * BLOCK]) for i in range(0, len(ids), _AT_ONCE * BLOCK)]
+        before = np.cumsum([0, *(len(b) for _, b in parts)])
+        return np.concatenate([s + np.uint32(k) for (s, _), k in zip(parts, before)]), b"".join(b for _, b in parts)
     if not n:
         return np.zeros(0, np.uint32), b""
     full = np.append(ids, np.full(n * BLOCK - len(ids), ids[(n - 1) * BLOCK :].min(), ids.dtype)).astype(np.uint32).reshape(n, BLOCK)
@@ -61,8 +72,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         if w:
-            bits = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(rows), -1)
-            put(start[rows] + 7, np.packbits(bits, axis=1, bitorder="little"))
+            value, words = np.ascontiguousarray(rest[rows].T) & np.uint32((1 << w) - 1), np.zeros((w * BLOCK // 32 + 1, len(rows)), np.uint32)
+            for i in range(BLOCK):
+                word, bit = divmod(i * w, 32)
+                words[word] |= value[i] << np.uint32(bit)
+                if bit + w > 32:
+                    words[word + 1] |= value[i] >> np.uint32(32 - bit)
+            put(start[rows] + 7, np.ascontiguousarray(words[:-1].T).astype("<u4").view(np.uint8))
     block, place = np.nonzero(odd)
     if len(block):
         nth = np.arange(len(block)) - np.repeat(np.cumsum(odd_n) - odd_n, odd_n)
@@ -85,10 +101,15 @@ def unpack(starts: np.ndarray, blocks: bytes | np.ndarray, n: int) -> np.ndarray
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         if w:
-            bits = np.unpackbits(get(start[rows] + 7, w * BLOCK // 8), axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            value = np.zeros((len(rows), BLOCK), np.uint32)
-            for i in range(w):
-                value |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
+            words = get(start[rows] + 7, w * BLOCK // 8).view("<u4").T
+            words = np.vstack([words, np.zeros((1, len(rows)), np.uint32)])
+            value, mask = np.empty((BLOCK, len(rows)), np.uint32), np.uint32((1 << w) - 1)
+            for i in range(BLOCK):
+                word, bit = divmod(i * w, 32)
+                value[i] = words[word] >> np.uint32(bit)
+                if bit + w > 32:
+                    value[i] |= words[word + 1] << np.uint32(32 - bit)
+            value = (value & mask).T
             out[rows] = value
     block = np.repeat(np.arange(len(start)), odd_n)
     if len(block):
@@ -119,35 +140,77 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class Tokens(dict):
-    """Ids of texts. A text is cut before each single space between other characters, where the byte-level splitting rule cuts too; a chunk's ids are remembered."""
+    """Ids of texts by a byte-level tokenizer that splits by its usual rule.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    A text is cut before each single space between other characters, where that rule cuts too; a chunk's ids are remembered, and forgotten when it isn't asked
+    for in a while. A chunk of letters, or its part before marks or a line end, is one piece of the rule: the tokenizer's model gets it as it is. Other
+    tokenizers, and texts with more white space beside a space or with special tokens, are encoded whole.
+    """
 
-    def of(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.simple = t.normalizer is None and str(t.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(t.pre_tokenizer)
+        self.piece, self.older, self.bare = t.model.tokenize, {}, {}
+        self.shown = [""] * 256  # how the byte-level rule writes each byte
+        rule = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        for c in map(chr, [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x400)]):
+            for b, x in zip(c.encode(), rule.pre_tokenize_str(c)[0][0]):
+                self.shown[b] = x
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def letters(self, text: str, before: str = "") -> bytes:
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.piece(before + shown)]).tobytes()
+
+    def part(self, text: str) -> bytes:
+        """The ids of letters, or of marks, without a space before."""
+        found = self.bare.get(text)
+        if found is None:
+            if len(self.bare) >= _REMEMBERED // 8:
+                self.bare.clear()
+            found = self.bare[text] = self.letters(text) if text.isalpha() else self.whole(text)
+        return found
 
     def __missing__(self, chunk: str) -> bytes:
         """The ids of a space and the chunk, for a chunk that neither is empty nor has white space at an end nor a special token in it."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace() or any(s in chunk for s in self.special):
-            raise KeyError(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            if chunk.isalpha():
+                found = self.letters(chunk, self.shown[32])
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace() or any(s in chunk for s in self.special):
+                raise KeyError(chunk)
+            elif (m := _WITH_MARKS.fullmatch(chunk)) and m[1].isalpha() and m[1] != chunk and (m[4] or "a").isalpha():
+                word, marks, line, after, last = m.groups()
+                found = self[word] + (self.part(marks) if marks else b"") + (self.part(line) + self.part(after) if line else b"") + (self.part(last) if last else b"")
+            else:
+                found = self.whole(" " + chunk)
         if len(self) >= _REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        found = self[chunk] = self.of(" " + chunk).tobytes()
+        self[chunk] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         first, *rest = text.split(" ")
-        try:
-            if not first or not rest or first[-1].isspace() or any(s in first for s in self.special):
-                return self.of(text)
-            ids = b"".join(map(self.__getitem__, rest))
-        except KeyError:
-            return self.of(text)
-        return np.append(self.of(first), np.frombuffer(ids, np.uint32))
+        if self.simple and first and rest and not first[-1].isspace() and not any(s in first for s in self.special):
+            try:
+                ids = b"".join(map(self.__getitem__, rest))
+            except KeyError:
+                ids = None
+            if ids is not None:
+                return np.frombuffer(self.whole(first) + ids, np.uint32)
+        return np.frombuffer(self.whole(text), np.uint32)
+
+
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One for each worker process, so that what a task remembers serves the next one."""
+    return Tokens(path)
 
 
 def _filesystem(uri: str):
@@ -156,7 +219,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, encoder: Callable[[str], object] = Tokens) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, encoder: Callable[[str], Tokens] = tokens_of) -> DataFrame:
     """Writes each document's ids and end_id to files in folder; (part, number, path, documents, ids) for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
