@@ -107,21 +107,22 @@ class Mixture:
         odds = np.exp(weighed - weighed.max(1, keepdims=True))
         posterior = 1 / odds.sum(1)
         step = 0.5 * np.log(np.maximum(total, 2))
-        everything = np.arange(len(full))
         if k > 1:
-            pi, reached = maximise(np.full((len(full), k), 1 / k, np.float32), everything, 10)
-            # no set of more languages can do better than all of them do, but for what the last rounds of EM would add
-            rows = np.flatnonzero(reached + 0.01 * total - step > value)
-            order = np.argsort(-pi, axis=1, kind="stable")
+            # By Jensen's inequality no mixture exceeds the best language's likelihood by more than total * ln(largest mean ratio to it)
+            ratio = np.exp(log - np.take_along_axis(log, first[row][:, None], 1))
+            gain = total * np.log(np.maximum(np.add.reduceat(ratio * count[:, None], begin, dtype=np.float64).max(1) / total, 1))
+            rows = np.flatnonzero(gain + np.take_along_axis(single, first[:, None], 1)[:, 0] - value > step)
+            if len(rows):
+                pi, _ = maximise(np.full((len(rows), k), 1 / k, np.float32), rows, 10)
+                order = np.argsort(-pi, axis=1, kind="stable")
             for m in range(2, k + 1):
-                rows = rows[reached[rows] + 0.01 * total[rows] - (m - 1) * step[rows] > value[rows]]
                 if not len(rows):
                     break
                 start = np.zeros((len(rows), k), np.float32)
-                np.put_along_axis(start, order[rows, :m], 1 / m, 1)
-                found, reached_m = maximise(start, rows, rounds)
-                better = reached_m - (m - 1) * step[rows] > value[rows]
-                value[rows[better]] = (reached_m - (m - 1) * step[rows])[better]
+                np.put_along_axis(start, order[:, :m], 1 / m, 1)
+                found, reached = maximise(start, rows, rounds)
+                better = reached - (m - 1) * step[rows] > value[rows]
+                value[rows[better]] = (reached - (m - 1) * step[rows])[better]
                 chosen[rows[better]] = found[better]
         alone = (chosen > 0).sum(1) == 1
         share[full] = chosen
