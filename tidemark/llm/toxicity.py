@@ -10,6 +10,7 @@ a whole and in its most toxic windows; a logistic curve, fitted on training rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -48,22 +49,24 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """(gram, n1, n0) over rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, SYMBOLS**ORDER), np.int32)
-        seen = False
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
         for piece in pieces(batches, "text"):
             doc, key = grams(piece.column("text"))
-            label = piece.column("label").to_numpy()[doc]
-            for c in (0, 1):
-                value, n = np.unique(key[label == c], return_counts=True)
-                sums[c, value] += n.astype(np.int32)
-            seen = True
-        if seen:
-            at = np.flatnonzero(sums[0] | sums[1])
-            for i in range(0, len(at), 1 << 17):
-                part = at[i : i + (1 << 17)]
-                yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(sums[1, part]), pa.array(sums[0, part])], names=["gram", "n1", "n0"])
+            held.append(np.unique(key << 1 | piece.column("label").to_numpy()[doc], return_counts=True))
+            if len(held) > 8:
+                held = [merged()]
+        if held:
+            key, n = merged()
+            for i in range(0, len(key), 1 << 17):
+                k, c = key[i : i + (1 << 17)], n[i : i + (1 << 17)]
+                yield pa.record_batch([pa.array(k >> 1), pa.array(np.where(k & 1, c, 0)), pa.array(np.where(k & 1, 0, c))], names=["gram", "n1", "n0"])
 
-    return labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "gram int, n1 int, n0 int").groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "gram int, n1 long, n0 long").groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def shared_model(contexts: np.ndarray) -> np.ndarray:
@@ -88,8 +91,8 @@ def class_model(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.log(np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lower) / some, lower))
 
 
-def ratio_table(counts: DataFrame) -> np.ndarray:
-    """log P(. | toxic) - log P(. | ordinary) for each 5-gram key. Slices of 2**15 keys are computed on the executors."""
+def ratio_table(counts: DataFrame) -> dict[int, bytes]:
+    """log P(. | toxic) - log P(. | ordinary) for each 5-gram key, as compressed slices of 2**15 keys that the executors compute; most cells are alike."""
     sc = counts.sparkSession.sparkContext
     lower = np.zeros(SYMBOLS ** (ORDER - 1))
     rows = counts.groupBy((F.col("gram").bitwiseAND(SYMBOLS ** (ORDER - 1) - 1)).alias("g")).count().toArrow()
@@ -106,12 +109,16 @@ def ratio_table(counts: DataFrame) -> np.ndarray:
             n = np.zeros(cells)
             n[at] = group.column(name).to_numpy()
             logs.append(class_model(n.reshape(-1, SYMBOLS), base))
-        return pa.table({"part": pa.array([part], pa.int32()), "ratios": pa.array([(logs[0] - logs[1]).astype(np.float16).tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([part], pa.int32()), "ratios": pa.array([compress((logs[0] - logs[1]).astype(np.float16).tobytes(), 1)], pa.binary())})
 
-    table = np.zeros(SYMBOLS**ORDER, np.float16)
     found = counts.withColumn("part", F.shiftright("gram", 3 * _BITS)).groupBy("part").applyInArrow(run, "part int, ratios binary").toArrow()
-    for part, ratios in zip(found.column("part").to_pylist(), found.column("ratios")):
-        table[part * cells : (part + 1) * cells] = np.frombuffer(ratios.as_buffer(), np.float16)
+    return dict(zip(found.column("part").to_pylist(), found.column("ratios").to_pylist()))
+
+
+def unpacked(slices: dict[int, bytes]) -> np.ndarray:
+    table, cells = np.zeros(SYMBOLS**ORDER, np.float16), SYMBOLS**3
+    for part, ratios in slices.items():
+        table[part * cells : (part + 1) * cells] = np.frombuffer(decompress(ratios), np.float16)
     return table
 
 
@@ -139,8 +146,9 @@ def _featured(docs: DataFrame, table, columns: list[str]) -> DataFrame:
     names = [f"f{i}" for i in range(1 + len(WINDOWS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = unpacked(table.value)
         for piece in pieces(batches, "text"):
-            x = features(piece.column("text"), table.value)
+            x = features(piece.column("text"), ratios)
             yield pa.record_batch([*(piece.column(c) for c in columns), *(pa.array(x[:, i].copy()) for i in range(x.shape[1]))], names=[*columns, *names])
 
     kinds = dict(docs.dtypes)
@@ -153,7 +161,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return docs.select("doc_id", "text").join(checked_broadcast(marks), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int"))
 
 
-def learn(labelled: DataFrame) -> tuple[np.ndarray, tuple]:
+def learn(labelled: DataFrame) -> tuple[dict[int, bytes], tuple]:
     """(ratio table, logistic curve) from rows of labelled_rows()."""
     counts = durable(gram_counts(labelled.where("fold <> 0")), "grams")
     table = ratio_table(counts)
@@ -162,7 +170,7 @@ def learn(labelled: DataFrame) -> tuple[np.ndarray, tuple]:
     return table, calibrate.fit(rows.filter(regex="^f[0-9]").to_numpy(float), rows.label.to_numpy(float))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, tuple]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[int, bytes], tuple]) -> DataFrame:
     """(doc_id, score) for each row of docs (doc_id, text): the probability of being toxic, 0 to 1.
 
     Null, empty and blank texts get what a mean log-ratio of 0 gives. With no labelled rows, or one class only, all scores are its share. Extra columns are
@@ -172,8 +180,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, tuple]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = unpacked(shared.value)
         for piece in pieces(batches, "text"):
-            p = calibrate.probability(curve, features(piece.column("text"), shared.value))
+            p = calibrate.probability(curve, features(piece.column("text"), ratios))
             yield pa.record_batch([piece.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
