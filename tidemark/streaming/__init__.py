@@ -1,0 +1 @@
+"""Streams: the reference has none, as whole series are needed; this package is left for extensions."""
