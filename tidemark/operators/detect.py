@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import z_value
-from tidemark.operators.series import SERIES, smoothed, with_threshold_windows
+from tidemark.operators.series import by_series, smoothed, with_threshold_windows
 
 
 def _limits(df: DataFrame, keys: list[str], z: float | Column, method: str) -> DataFrame:
@@ -33,7 +33,7 @@ def flagged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bo
 
 def islands(rows: DataFrame) -> DataFrame:
     """(series_id, s, e): runs of consecutive idx among the rows."""
-    run = F.col("idx") - F.row_number().over(SERIES.orderBy("idx"))
+    run = F.col("idx") - F.row_number().over(by_series().orderBy("idx"))
     return rows.withColumn("_run", run).groupBy("series_id", "_run").agg(F.min("idx").alias("s"), F.max("idx").alias("e")).drop("_run")
 
 
@@ -45,7 +45,7 @@ def padded(intervals: DataFrame, lengths: DataFrame, by: int) -> DataFrame:
 
 def merged(intervals: DataFrame, gap: Column | int = 1, start: str = "s", end: str = "e", severity: str | None = None) -> DataFrame:
     """Joins intervals that overlap or lie within gap; severity: its plain mean. By a running maximum of ends."""
-    order = SERIES.orderBy(start, end)
+    order = by_series().orderBy(start, end)
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.lit(gap) if isinstance(gap, int) else gap
     fresh = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
@@ -67,7 +67,7 @@ def with_times(intervals: DataFrame, scores: DataFrame, severity: bool = True) -
 
 
 def _by_island(rows: DataFrame) -> DataFrame:
-    run = F.col("idx") - F.row_number().over(SERIES.orderBy("idx"))
+    run = F.col("idx") - F.row_number().over(by_series().orderBy("idx"))
     found = rows.withColumn("_run", run).groupBy("series_id", "_run")
     return found.agg(F.min_by("ts", "idx").alias("start"), F.max_by("ts", "idx").alias("end"), F.avg("score").alias("severity")).drop("_run")
 

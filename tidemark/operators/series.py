@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite
 
-SERIES = Window.partitionBy("series_id")
+def by_series():
+    return Window.partitionBy("series_id")
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
@@ -20,21 +21,21 @@ def require(df: DataFrame, *names: str) -> DataFrame:
 def with_index(df: DataFrame, *ties: str) -> DataFrame:
     """Adds idx, the place from 0 by ts (ties by the named columns, else by value), and n, the series' length. NaN and infinite values become null."""
     require(df, "series_id", "ts", "value")
-    order = SERIES.orderBy("ts", *(ties or ("value",)))
+    order = by_series().orderBy("ts", *(ties or ("value",)))
     kept = df.withColumn("value", finite(F.col("value").cast("double")))
-    return kept.withColumn("idx", F.row_number().over(order).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(SERIES))
+    return kept.withColumn("idx", F.row_number().over(order).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(by_series()))
 
 
 def detrended(df: DataFrame, value: str = "value", out: str = "residual") -> DataFrame:
     """Subtracts each series' least-squares line over idx."""
     x, y = F.col("idx").cast("double"), F.col(value)
-    slope, base = F.regr_slope(y, x).over(SERIES), F.regr_intercept(y, x).over(SERIES)
-    return df.withColumn(out, y - (F.coalesce(slope, F.lit(0.0)) * x + F.coalesce(base, F.avg(y).over(SERIES))))
+    slope, base = F.regr_slope(y, x).over(by_series()), F.regr_intercept(y, x).over(by_series())
+    return df.withColumn(out, y - (F.coalesce(slope, F.lit(0.0)) * x + F.coalesce(base, F.avg(y).over(by_series()))))
 
 
 def min_max(df: DataFrame, value: str = "residual", out: str = "value_norm", eps: float = 0.0) -> DataFrame:
     """Scales each series to 0..1; a constant one to 0."""
-    low, high = F.min(value).over(SERIES), F.max(value).over(SERIES)
+    low, high = F.min(value).over(by_series()), F.max(value).over(by_series())
     return df.withColumn(out, F.when(high - low > eps, (F.col(value) - low) / (high - low)).otherwise(0.0))
 
 
@@ -43,7 +44,7 @@ def smoothed(df: DataFrame, value: str = "score", out: str = "smooth") -> DataFr
     span = F.greatest(F.lit(1), F.expr("n div 100")).cast("double")
     keep = 1 - 2 / (span + 1)
     weight = F.pow(F.when(span > 1, keep).otherwise(1.0), -F.col("idx").cast("double"))
-    run = SERIES.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by_series().orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mean = F.sum(F.col(value) * weight).over(run) / F.sum(F.when(F.col(value).isNotNull(), weight)).over(run)
     return df.withColumn(out, F.when(span > 1, mean).otherwise(F.col(value)))
 
@@ -78,5 +79,5 @@ def with_threshold_windows(df: DataFrame) -> DataFrame:
 def sampled_windows(windows: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """At most `size` windows of each series, chosen by a multiplicative hash of window_id that any engine can compute."""
     draw = (F.col("window_id") * 7919 + seed * 104729 + 12345) % 1000003
-    rank = F.row_number().over(SERIES.orderBy(draw, "window_id"))
+    rank = F.row_number().over(by_series().orderBy(draw, "window_id"))
     return windows.select("series_id", "window_id").distinct().withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")

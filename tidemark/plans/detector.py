@@ -31,7 +31,8 @@ class ScreeningDetector:
         indexed = series.with_index(df)
         prepared = series.min_max(series.detrended(indexed))
         windows = render.windows_as_rows(series.with_windows(prepared, self.window_size, step))
-        toks = render.encoded(render.images(windows, self.side), self.encoder, self.side)
+        # three scales and their memories all read the tokens: they are drawn and encoded once
+        toks = render.encoded(render.images(windows, self.side), self.encoder, self.side).persist()
         maps = []
         for name, kernel in (("large", 3), ("mid", 2), ("patch", 1)):
             masks = tokens.make_masks(df.sparkSession, grid, kernel, 1, name)

@@ -1 +1 @@
-"""Streams: the reference has none, as whole series are needed; this package is left for extensions."""
+"""Left for extensions: detection needs whole series, so there is no streaming operator yet."""
