@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, evaluate, render, series, tokens, verify
+from tidemark.sources.storage import durable
 
 
 @dataclass(frozen=True)
@@ -32,18 +33,20 @@ class ScreeningDetector:
         prepared = series.min_max(series.detrended(indexed))
         windows = render.windows_as_rows(series.with_windows(prepared, self.window_size, step))
         # three scales and their memories all read the tokens: they are drawn and encoded once
-        toks = render.encoded(render.images(windows, self.side), self.encoder, self.side).persist()
+        toks = durable(render.encoded(render.images(windows, self.side), self.encoder, self.side), "tokens")
         maps = []
         for name, kernel in (("large", 3), ("mid", 2), ("patch", 1)):
             masks = tokens.make_masks(df.sparkSession, grid, kernel, 1, name)
-            own = tokens.pooled(toks, masks) if kernel > 1 else toks
+            own = durable(tokens.pooled(toks, masks), name) if kernel > 1 else toks
             found = tokens.dissimilarity(own, tokens.memory(own))
+            found = durable(found, name)
             maps.append(tokens.harmonic(found, masks, grid, self.index_shift) if kernel > 1 else found.withColumnRenamed("token_idx", "patch"))
         columns = tokens.column_top(tokens.upsampled(tokens.fused(*maps), grid, self.side), self.side, self.column_share)
         lengths = indexed.select("series_id", "n").distinct()
-        vector = tokens.aligned(tokens.stitched(columns, self.side, self.window_ratio), lengths, self.window_size, step)
+        stitched = durable(tokens.stitched(columns, self.side, self.window_ratio), "stitched")
+        vector = tokens.aligned(stitched, lengths, self.window_size, step)
         joined = indexed.join(vector, ["series_id", "idx"], "left")
-        return joined.select("series_id", "idx", "ts", "n", "value", F.coalesce("score", F.lit(0.0)).alias("score"))
+        return durable(joined.select("series_id", "idx", "ts", "n", "value", F.coalesce("score", F.lit(0.0)).alias("score")), "scores")
 
     def intervals(self, scores: DataFrame) -> DataFrame:
         return detect.detect(scores, self.alpha)
@@ -59,15 +62,15 @@ class TwoStageDetector:
 
     def refine(self, scores: DataFrame, proposals: DataFrame) -> DataFrame:
         """Asks the verifier about each series that has proposals."""
-        numbered = proposals.withColumn("iv", F.monotonically_increasing_id())
+        numbered = proposals.withColumn("iv", F.xxhash64("start", "end"))
         pairs = detect.indices_of(numbered, scores)
         raw = verify.answers(verify.prompts(pairs), scores, self.verifier)
         return verify.verified(raw, proposals, scores)
 
     def detect(self, df: DataFrame, alpha: float | None = None) -> DataFrame:
         screening = self.screening if alpha is None else replace(self.screening, alpha=alpha)
-        scores = screening.scores(df).persist()
-        return self.refine(scores, screening.intervals(scores))
+        scores = screening.scores(df)
+        return self.refine(scores, durable(screening.intervals(scores), "proposals"))
 
 
 def sweep(scores: DataFrame, truth: DataFrame, roster: DataFrame, dataset: str, alphas: tuple[float, ...] = (0.1, 0.01, 0.001), model: str = "screening") -> DataFrame:
