@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import durable, fresh_path
+
+__all__ = ["checked_broadcast", "durable", "fresh_path", "id_crc", "mixed", "pieces", "raw_bytes", "small_enough", "table"]
+
 #: Rows that a checked broadcast may hold (an id and a few numbers each: well under 100 MB).
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text that a numpy kernel works on at a time.
@@ -22,27 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    spark, schema = df.sparkSession, df.schema
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def small_enough(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 

@@ -19,7 +19,7 @@ from tidemark.llm.common import checked_broadcast, durable
 #: Slots of a round per source, about; so a weight is met to within one part in so many.
 RESOLUTION = 64
 #: Documents that a bucket of a source has, about, when documents are numbered.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 
 def whole_parts(weights: dict[str, float], total: int) -> dict[str, int]:
