@@ -35,7 +35,7 @@ _MAGIC, _NULL = b"PFOR0001", -(1 << 63)
 #: Blocks that are packed together, so that they stay in the processor's cache.
 _AT_ONCE = 2048
 #: Chunks of text whose ids a worker remembers.
-_REMEMBERED = 900_000
+_REMEMBERED = 600_000
 #: Letters, then ASCII marks, a line end and letters, marks; all but the first may be missing. Each is a piece of its own (an apostrophe may not be).
 _WITH_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?)?")
 
@@ -154,6 +154,7 @@ class Tokens(dict):
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.simple = t.normalizer is None and str(t.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(t.pre_tokenizer)
         self.piece, self.older, self.bare = t.model.tokenize, {}, {}
+        self.kind = np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32  # ids are kept in as few bytes as they need
         self.shown = [""] * 256  # how the byte-level rule writes each byte
         rule = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         for c in map(chr, [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x400)]):
@@ -161,11 +162,11 @@ class Tokens(dict):
                 self.shown[b] = x
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def letters(self, text: str, before: str = "") -> bytes:
         shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.piece(before + shown)]).tobytes()
+        return array("H" if self.kind is np.uint16 else "I", [t.id for t in self.piece(before + shown)]).tobytes()
 
     def part(self, text: str) -> bytes:
         """The ids of letters, or of marks, without a space before."""
@@ -195,6 +196,14 @@ class Tokens(dict):
         self[chunk] = found
         return found
 
+    def head(self, first: str) -> bytes:
+        """The ids of a text's first chunk, which has no space before it."""
+        if first.isalpha():
+            return self.part(first)
+        if (m := _WITH_MARKS.fullmatch(first)) and not m[3] and m[1].isalpha():
+            return self.part(m[1]) + self.part(m[2])
+        return self.whole(first)
+
     def encode(self, text: str) -> np.ndarray:
         first, *rest = text.split(" ")
         if self.simple and first and rest and not first[-1].isspace() and not any(s in first for s in self.special):
@@ -203,8 +212,8 @@ class Tokens(dict):
             except KeyError:
                 ids = None
             if ids is not None:
-                return np.frombuffer(self.whole(first) + ids, np.uint32)
-        return np.frombuffer(self.whole(text), np.uint32)
+                return np.frombuffer(self.head(first) + ids, self.kind)
+        return np.frombuffer(self.whole(text), self.kind)
 
 
 @cache
@@ -238,7 +247,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         held = 0
         for piece in pieces(batches, "text"):
             for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
-                ids = np.append(tokens.encode(text or ""), np.uint32(end_id))
+                ids = np.append(tokens.encode(text or ""), tokens.kind(end_id))
                 known.append(doc)
                 parts.append(ids)
                 counts.append(len(ids))
