@@ -7,7 +7,7 @@ import numpy as np
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, scales, weights with the bias last) by Newton's method. One class only: its share, slightly drawn to one half, whatever x is."""
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return np.zeros(x.shape[1]), np.ones(x.shape[1]), np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))
