@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import z_value
 from tidemark.operators.series import by_series, smoothed, with_threshold_windows
 
+#: Neighbouring points that meet the intervals over them in one key.
+TIME_BLOCK = 256
 
-def _limits(df: DataFrame, keys: list[str], z: float | Column, method: str) -> DataFrame:
-    """(keys, threshold): centre plus z spreads of smooth."""
+
+def _limits(df: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """(keys, centre, spread) of smooth."""
     if method == "mean":
-        return df.groupBy(*keys).agg((F.avg("smooth") + z * F.stddev_pop("smooth")).alias("threshold"))
+        return df.groupBy(*keys).agg(F.avg("smooth").alias("centre"), F.stddev_pop("smooth").alias("spread"))
     if method != "median":
         raise ValueError(f"unknown method {method}")
-    middle = df.groupBy(*keys).agg(F.percentile("smooth", F.lit(0.5)).alias("middle"))
-    spread = df.join(middle, keys).groupBy(*keys).agg(F.first("middle").alias("middle"), F.percentile(F.abs(F.col("smooth") - F.col("middle")), F.lit(0.5)).alias("mad"))
-    return spread.select(*keys, (F.col("middle") + z * F.col("mad")).alias("threshold"))
+    middle = df.groupBy(*keys).agg(F.percentile("smooth", F.lit(0.5)).alias("centre"))
+    return df.join(middle, keys).groupBy(*keys).agg(F.first("centre").alias("centre"), F.percentile(F.abs(F.col("smooth") - F.col("centre")), F.lit(0.5)).alias("spread"))
+
+
+def _smooth(scores: DataFrame, smoothing: bool) -> DataFrame:
+    return smoothed(scores) if smoothing else scores.withColumn("smooth", F.col("score"))
 
 
 def flagged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bool = True, sliding: bool = False) -> DataFrame:
     """Rows of scores that are above their threshold, strictly; sliding: above that of any of their large windows."""
-    rows = smoothed(scores) if smoothing else scores.withColumn("smooth", F.col("score"))
-    z = z_value(alpha)
+    rows, over = _smooth(scores, smoothing), F.col("smooth") > F.col("centre") + z_value(alpha) * F.col("spread")
     if not sliding:
-        return rows.join(_limits(rows, ["series_id"], z, method), "series_id").where("smooth > threshold")
+        return rows.join(_limits(rows, ["series_id"], method), "series_id").where(over)
     rows = with_threshold_windows(rows)
-    over = rows.join(_limits(rows, ["series_id", "window_id"], z, method), ["series_id", "window_id"]).where("smooth > threshold")
-    return over.drop("window_id", "threshold").distinct()
+    found = rows.join(_limits(rows, ["series_id", "window_id"], method), ["series_id", "window_id"]).where(over)
+    return found.drop("window_id", "centre", "spread").distinct()
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -57,21 +62,36 @@ def merged(intervals: DataFrame, gap: Column | int = 1, start: str = "s", end: s
 def with_times(intervals: DataFrame, scores: DataFrame, severity: bool = True) -> DataFrame:
     """(series_id, start, end, severity) of index intervals: the times at both ends and the mean raw score between them.
 
-    Each point is joined with the intervals of its series that hold it; without scores, severity is 1.
+    Points meet intervals by series and block of TIME_BLOCK indices, so that a long series is many tasks' work; without scores, severity is 1.
     """
-    between = (F.col("idx") >= F.col("s")) & (F.col("idx") <= F.col("e"))
-    points = scores.select("series_id", "idx", "ts", *(["score"] if severity else []))
-    inside = points.join(intervals.select("series_id", "s", "e"), "series_id").where(between)
+    block = lambda c: F.expr(f"{c} div {TIME_BLOCK}")
+    asked = intervals.select("series_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).where("s <= e")
+    asked = asked.withColumn("_block", F.explode(F.sequence(block("s"), block("e"))))
+    points = scores.select("series_id", "idx", "ts", *(["score"] if severity else [])).withColumn("_block", block("idx"))
+    inside = points.join(asked, ["series_id", "_block"]).where("idx >= s and idx <= e")
     mean = F.avg("score") if severity else F.lit(1.0)
     return inside.groupBy("series_id", "s", "e").agg(F.min_by("ts", "idx").alias("start"), F.max_by("ts", "idx").alias("end"), mean.alias("severity"))
 
 
-def _by_island(rows: DataFrame) -> DataFrame:
-    run = F.col("idx") - F.row_number().over(by_series().orderBy("idx"))
-    found = rows.withColumn("_run", run).groupBy("series_id", "_run")
+def _by_island(rows: DataFrame, *keys: str) -> DataFrame:
+    keys = keys or ("series_id",)
+    run = F.col("idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))
+    found = rows.withColumn("_run", run).groupBy(*keys, "_run")
     return found.agg(F.min_by("ts", "idx").alias("start"), F.max_by("ts", "idx").alias("end"), F.avg("score").alias("severity")).drop("_run")
 
 
+def detect_each(scores: DataFrame, alphas: tuple[float, ...], method: str = "mean", smoothing: bool = True) -> DataFrame:
+    """(alpha, series_id, start, end, severity): detect for several alphas, with scores smoothed and summed up once.
+
+    A point is repeated only for the alphas whose threshold it is above.
+    """
+    rows = _smooth(scores, smoothing)
+    levels = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(z_value(a)).alias("z")) for a in alphas))
+    over = F.filter(levels, lambda v: F.col("smooth") > F.col("centre") + v["z"] * F.col("spread"))
+    found = rows.join(_limits(rows, ["series_id"], method), "series_id").withColumn("_over", F.explode(over["alpha"])).withColumnRenamed("_over", "alpha")
+    return _by_island(found, "alpha", "series_id")
+
+
 def detect(scores: DataFrame, alpha: float = 0.01, method: str = "mean", smoothing: bool = True, sliding: bool = False, padding: int = 0) -> DataFrame:
     """(series_id, start, end, severity). Without padding, an interval's points are already in its island: no join is needed."""
     rows = flagged(scores, alpha, method, smoothing, sliding)
@@ -99,10 +119,17 @@ def clamped(pairs: DataFrame, lengths: DataFrame, swap: bool = True) -> DataFram
 
 
 def indices_of(intervals: DataFrame, indexed: DataFrame) -> DataFrame:
-    """(series_id, iv, s, e) of time intervals (series_id, iv, start, end): the first idx at or after start, the last at or before end, within the series."""
-    points = indexed.select("series_id", "idx", "ts", "n")
-    joined = intervals.join(points, "series_id").groupBy("series_id", "iv")
-    first = F.coalesce(F.min(F.when(F.col("ts") >= F.col("start"), F.col("idx"))), F.max("n"))
-    last = F.coalesce(F.max(F.when(F.col("ts") <= F.col("end"), F.col("idx"))), F.lit(-1))
-    top = F.max("n") - 1
-    return joined.agg(F.greatest(F.lit(0), F.least(first, top)).alias("s"), F.greatest(F.lit(0), F.least(last, top)).alias("e"))
+    """(series_id, iv, s, e) of time intervals (series_id, iv, start, end): the first idx at or after start, the last at or before end, within the series.
+
+    One running count of points in order of time answers all of a series' intervals: a start counts the points before it, an end those up to it.
+    """
+    mark = lambda df, at, kind, iv: df.select("series_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), iv.alias("iv"))
+    nothing = F.lit(None).cast(intervals.schema["iv"].dataType)
+    rows = mark(intervals, "start", 0, F.col("iv")).unionByName(mark(indexed, "ts", 1, nothing)).unionByName(mark(intervals, "end", 2, F.col("iv")))
+    order = by_series().orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = rows.withColumn("before", F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(order)).where("kind <> 1")
+    found = before.groupBy("series_id", "iv").agg(F.min(F.when(F.expr("kind = 0 and at is not null"), F.col("before"))).alias("s"), F.max(F.when(F.expr("kind = 2 and at is not null"), F.col("before") - 1)).alias("e"))
+    top = F.col("n") - 1
+    first, last = F.coalesce("s", "n"), F.coalesce("e", F.lit(-1))
+    found = found.join(indexed.select("series_id", "n").distinct(), "series_id")
+    return found.select("series_id", "iv", F.greatest(F.lit(0), F.least(first, top)).alias("s"), F.greatest(F.lit(0), F.least(last, top)).alias("e"))

@@ -75,9 +75,9 @@ class TwoStageDetector:
 
 def sweep(scores: DataFrame, truth: DataFrame, roster: DataFrame, dataset: str, alphas: tuple[float, ...] = (0.1, 0.01, 0.001), model: str = "screening") -> DataFrame:
     """Result rows of one set of scores for each alpha: rates for series of the roster, no_gt for others."""
-    out = []
+    out, each = [], durable(detect.detect_each(scores, alphas), "found")
     for alpha in alphas:
-        found = detect.detect(scores, alpha)
+        found = each.where(F.col("alpha") == alpha).drop("alpha")
         counted = scores.select("series_id").distinct().join(found.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_detected")), "series_id", "left").na.fill(0)
         status = evaluate.with_status(counted, roster)
         rated = evaluate.interval_rates(found.join(roster.select("series_id"), "series_id", "left_semi"), truth, roster)

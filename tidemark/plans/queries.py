@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import dot, l2_normalised, z_value
@@ -79,8 +79,7 @@ def detect_global_median(s, d):
 
 
 def detect_alpha_sweep(s, d):
-    rows = [detect.detect(_scores(s, d), a).withColumn("alpha", F.lit(a)) for a in (0.1, 0.01, 0.001)]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("alpha", "series_id", "start", "end", *r6("severity"))
+    return detect.detect_each(_scores(s, d), (0.1, 0.01, 0.001)).select("alpha", "series_id", "start", "end", *r6("severity"))
 
 
 def detect_sliding(s, d):
@@ -101,7 +100,7 @@ def merge_intervals(s, d):
 
 
 def _pairs(s, d):
-    rows = _indexed(s, d, "user_id").where("idx % 20 = 3")
+    rows = _indexed(s, d, "user_id")
     return rows.select("series_id", (F.col("idx") + 15).alias("s"), (F.col("idx") * 2 - 10).alias("e")).distinct()
 
 
@@ -113,7 +112,7 @@ def intervals_from_indices(s, d):
 
 def ts_to_index(s, d):
     indexed = _indexed(s, d, "user_id")
-    asked = indexed.where("idx % 16 = 5").select("series_id", F.col("event_id").alias("iv"), (F.col("ts") - F.expr("INTERVAL 3 HOURS")).alias("start"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("end"))
+    asked = indexed.select("series_id", F.col("event_id").alias("iv"), (F.col("ts") - F.expr("INTERVAL 3 HOURS")).alias("start"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("end"))
     return detect.indices_of(asked, indexed)
 
 
@@ -148,7 +147,7 @@ def interval_prf(s, d):
 
 
 def gt_lookup_status(s, d):
-    roster = _truth(s, d).groupBy("series_id").agg(F.count(F.lit(1)).alias("n_ground_truth")).where("series_id % 3 <> 0")
+    roster = _truth(s, d).where("start < end").groupBy("series_id").agg(F.count(F.lit(1)).alias("n_ground_truth"))
     counted = _found(s, d).groupBy("series_id").agg(F.count(F.lit(1)).alias("n_detected"))
     return evaluate.with_status(counted, roster).na.fill(0, ["n_ground_truth"])
 
@@ -167,7 +166,7 @@ def f1max_summary(s, d):
 
 
 def results_union(s, d):
-    first = _results(s, d).withColumn("status", F.when(F.col("signal") % 5 == 0, "failed").otherwise("success"))
+    first = _results(s, d).withColumn("status", F.when(F.col("f1") == 0, "failed").otherwise("success"))
     out = evaluate.results_union([first, _results(s, d).drop("model", "alpha")], "screening", 0.5)
     return out.select("dataset", "model", "signal", "alpha", "status", *r6("f1"))
 
@@ -184,8 +183,10 @@ def make_masks(s, d):
 
 
 def _tokens(s, d):
+    """Each 16 vectors are a window's tokens; vectors beyond the last whole window have none."""
     rows = _read(s, d, "embeddings").select((F.expr("vec_id div 16")).alias("window_id"), (F.col("vec_id") % 16).alias("token_idx"), F.col("embedding").alias("tok"))
-    return rows.select(F.lit("e").alias("series_id"), "window_id", "token_idx", "tok").where(F.col("window_id") < 31)
+    whole = F.count(F.lit(1)).over(Window.partitionBy("window_id")) == SIDE * SIDE
+    return rows.withColumn("whole", whole).where("whole").select(F.lit("e").alias("series_id"), "window_id", "token_idx", "tok")
 
 
 def token_l2(s, d):
@@ -255,7 +256,7 @@ def stitch_scores(s, d):
 
 
 def align_scores(s, d):
-    lengths = s.createDataFrame([("e", 24 + 30 * 12 + 7)], "series_id string, n long")
+    lengths = _tokens(s, d).groupBy("series_id").agg((24 + F.max("window_id") * 12 + 7).alias("n"))
     return tokens.aligned(tokens.stitched(_columns(s, d), SIDE, STEP_RATIO), lengths, 24, 12).select("idx", F.round("score", 5).alias("score"))
 
 
@@ -354,7 +355,7 @@ def _found_at(alpha: float) -> str:
 
 _RESULTS = " UNION ALL ".join(f"SELECT CAST(CAST(series_id AS BIGINT) % 7 AS VARCHAR) AS dataset, 'screening' AS model, series_id AS signal, CAST({a} AS DOUBLE) AS alpha, f1 FROM ({_rates(_found_at(a))})" for a in (0.1, 0.01))
 
-_TOK = "(SELECT vec_id // 16 AS w, vec_id % 16 AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id // 16 < 31)"
+_TOK = "(SELECT vec_id // 16 AS w, vec_id % 16 AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY count(*) OVER (PARTITION BY vec_id // 16) = 16)"
 
 
 def _flat(rows: str) -> str:
@@ -418,21 +419,21 @@ SQL: dict[str, str] = {
   grouped AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM
     (SELECT *, max(e) OVER (PARTITION BY series_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv))
   SELECT series_id, min(s) AS s, max(e) AS e, round(avg(severity), 4) AS severity FROM grouped GROUP BY series_id, g""",
-    "intervals_from_indices": f"""WITH p AS (SELECT DISTINCT series_id, n, idx + 15 AS a, idx * 2 - 10 AS b FROM {_idx('user_id')} WHERE idx % 20 = 3),
+    "intervals_from_indices": f"""WITH p AS (SELECT DISTINCT series_id, n, idx + 15 AS a, idx * 2 - 10 AS b FROM {_idx('user_id')}),
   c AS (SELECT series_id, greatest(0, least(a, n - 1)) AS a, greatest(0, least(b, n - 1)) AS b FROM p), d AS (SELECT DISTINCT series_id, least(a, b) AS s, greatest(a, b) AS e FROM c)
   SELECT d.series_id, d.s, d.e, min(i.ts) AS start, max(i.ts) AS "end", round(avg(i.value), 6) AS severity FROM d JOIN {_idx('user_id')} i ON i.series_id = d.series_id AND i.idx BETWEEN d.s AND d.e GROUP BY d.series_id, d.s, d.e""",
     "ts_to_index": f"""SELECT q.series_id, q.iv, greatest(0, least(coalesce(min(i.idx) FILTER (i.ts >= q.start), max(i.n)), max(i.n) - 1)) AS s, greatest(0, least(coalesce(max(i.idx) FILTER (i.ts <= q."end"), -1), max(i.n) - 1)) AS e
-  FROM (SELECT series_id, event_id AS iv, ts - INTERVAL 3 HOUR AS start, ts + INTERVAL 2 DAY AS "end" FROM {_idx('user_id')} WHERE idx % 16 = 5) q JOIN {_idx('user_id')} i ON i.series_id = q.series_id GROUP BY q.series_id, q.iv""",
+  FROM (SELECT series_id, event_id AS iv, ts - INTERVAL 3 HOUR AS start, ts + INTERVAL 2 DAY AS "end" FROM {_idx('user_id')}) q JOIN {_idx('user_id')} i ON i.series_id = q.series_id GROUP BY q.series_id, q.iv""",
     "overlap_pairs": f'SELECT a.series_id, a.start, a."end", b.start AS truth_start, b."end" AS truth_end FROM {_FOUND} a JOIN {_TRUTH} b ON {_TOUCH}',
     "false_positives": f"SELECT a.* FROM {_FOUND} a WHERE NOT EXISTS (SELECT 1 FROM {_TRUTH} b WHERE {_TOUCH})",
     "false_negatives": f"SELECT a.* FROM {_TRUTH} a WHERE NOT EXISTS (SELECT 1 FROM {_FOUND} b WHERE {_TOUCH})",
     "matched_truths": f"SELECT a.* FROM {_TRUTH} a WHERE EXISTS (SELECT 1 FROM {_FOUND} b WHERE {_TOUCH})",
     "interval_prf": f"SELECT series_id, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_rates(_FOUND)})",
     "gt_lookup_status": f"""SELECT f.series_id, f.n_detected, coalesce(t.n_ground_truth, 0) AS n_ground_truth, CASE WHEN t.n_ground_truth IS NULL THEN 'no_gt' ELSE 'success' END AS status FROM (SELECT series_id, count(*) AS n_detected FROM {_FOUND} GROUP BY series_id) f
-  LEFT JOIN (SELECT series_id, count(*) AS n_ground_truth FROM {_TRUTH} WHERE CAST(series_id AS BIGINT) % 3 <> 0 GROUP BY series_id) t ON f.series_id = t.series_id""",
+  LEFT JOIN (SELECT series_id, count(*) AS n_ground_truth FROM {_TRUTH} WHERE start < "end" GROUP BY series_id) t ON f.series_id = t.series_id""",
     "f1max_summary": f"""SELECT dataset AS "Dataset", model AS "Model", round(avg(m), 4) AS "Avg_F1max", round(stddev_samp(m), 4) AS "Std_F1max", count(*) AS "N_Signals" FROM
   (SELECT dataset, model, signal, max(f1) AS m FROM ({_RESULTS}) GROUP BY dataset, model, signal) GROUP BY dataset, model""",
-    "results_union": f"""SELECT dataset, model, signal, alpha, 'success' AS status, round(f1, 6) AS f1 FROM ({_RESULTS}) WHERE CAST(signal AS BIGINT) % 5 <> 0
+    "results_union": f"""SELECT dataset, model, signal, alpha, 'success' AS status, round(f1, 6) AS f1 FROM ({_RESULTS}) WHERE f1 <> 0
   UNION ALL SELECT dataset, 'screening', signal, CAST(0.5 AS DOUBLE), 'success', round(f1, 6) FROM ({_RESULTS})""",
     "filename_fields": f"""SELECT stem, array_to_string(p[2:CASE WHEN named THEN k - 2 ELSE k - 1 END], '_') AS dataset, CASE WHEN named THEN p[k - 1] ELSE 'screening' END AS model, TRY_CAST(p[k + 1] AS DOUBLE) AS alpha FROM
   (SELECT *, p[k - 1] IN ('screening', 'two') AS named FROM (SELECT *, list_position(p, 'alpha') AS k FROM (SELECT stem, string_split(stem, '_') AS p FROM (VALUES {_FIXED(f"('{x}')" for x in STEMS)}) v(stem)))) WHERE k > 2""",
@@ -447,9 +448,11 @@ SQL: dict[str, str] = {
     "fused_map": f"SELECT w AS window_id, patch, round(score, 6) AS score FROM {_FUSED}",
     "column_topk": f"SELECT w AS window_id, c, round(score, 6) AS score FROM {_COLUMNS}",
     "stitch_scores": f"SELECT k, round(score, 6) AS score, covered FROM {_STITCHED}",
-    "align_scores": f"""WITH v AS (SELECT k, score FROM {_STITCHED}), x AS (SELECT i, i * 63e0 / 383 AS x, least(CAST(floor(i * 63e0 / 383) AS BIGINT), 62) AS low FROM (SELECT unnest(generate_series(0, 383)) AS i)),
-  y AS (SELECT x.i AS idx, a.score + (x.x - x.low) * (b.score - a.score) AS score FROM x JOIN v a ON a.k = x.low JOIN v b ON b.k = x.low + 1), z AS (SELECT max(score) FILTER (idx = 383) AS last, max(score) FILTER (idx = 382) AS before FROM y)
-  SELECT idx, round(score, 5) AS score FROM y UNION ALL SELECT 383 + j, round(last + (last - before) * j, 5) FROM z, (SELECT unnest(generate_series(1, 7)) AS j)""",
+    "align_scores": f"""WITH v AS (SELECT k, score FROM {_STITCHED}), n AS (SELECT 24 + max(w) * 12 AS covered, (max(w) * 2 + 4) AS len FROM {_TOK}),
+  x AS (SELECT i, covered, i * (len - 1e0) / (covered - 1) AS x, least(CAST(floor(i * (len - 1e0) / (covered - 1)) AS BIGINT), len - 2) AS low FROM (SELECT *, unnest(generate_series(0, covered - 1)) AS i FROM n)),
+  y AS (SELECT x.i AS idx, covered, a.score + (x.x - x.low) * (b.score - a.score) AS score FROM x JOIN v a ON a.k = x.low JOIN v b ON b.k = x.low + 1),
+  z AS (SELECT any_value(covered) AS covered, max(score) FILTER (idx = covered - 1) AS last, max(score) FILTER (idx = covered - 2) AS before FROM y)
+  SELECT idx, round(score, 5) AS score FROM y UNION ALL SELECT covered - 1 + j, round(last + (last - before) * j, 5) FROM z, (SELECT unnest(generate_series(1, 7)) AS j)""",
     "vlm_parse": "SELECT * FROM (VALUES ('a', 0, 1, 3, 2.0::DOUBLE), ('a', 1, 7, 9, 1.0), ('b', 0, 2, 50, 3.0), ('g', 0, 9, 4, 1.0)) v(series_id, pos, s, e, confidence)",
     "vlm_fallback": """SELECT * FROM (VALUES ('a', 10, 30, 2.0::DOUBLE), ('a', 70, 90, 1.0), ('b', 20, 90, 3.0), ('g', 90, 40, 1.0), ('c', 20, 30, 0.5), ('d', 20, 30, 0.5), ('f', 20, 30, 0.5)) v(series_id, start, "end", severity)""",
 }
