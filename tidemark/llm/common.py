@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.storage import durable, fresh_path
 
-__all__ = ["checked_broadcast", "durable", "fresh_path", "id_crc", "mixed", "pieces", "raw_bytes", "small_enough", "table"]
+__all__ = ["checked_broadcast", "durable", "fresh_path", "hot_join", "id_crc", "mixed", "pieces", "raw_bytes", "small_enough", "table"]
 
 #: Rows that a checked broadcast may hold (an id and a few numbers each: well under 100 MB).
 BROADCAST_ROWS = 2_000_000
+#: A key with more than one in so many rows counts as hot; so there are fewer hot keys than this.
+HOT_SHARE = 1000
 #: Bytes of text that a numpy kernel works on at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -33,6 +35,17 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most) else df
 
 
+def hot_join(many: DataFrame, one: DataFrame, key: str, weight: str) -> DataFrame:
+    """many joined with one, which has a row for each key and, as weight, the number of many's rows with it.
+
+    Rows of hot keys stay where they are, as fewer than HOT_SHARE rows of one are broadcast to them; the others are shuffled. Both sides are read twice.
+    """
+    least = (one.agg(F.sum(weight)).first()[0] or 0) / HOT_SHARE
+    hot, rest = F.broadcast(one.where(F.col(weight) > least)), one.where(F.col(weight) <= least)
+    cold = many.join(hot.select(key), key, "left_anti").join(rest, key)
+    return many.join(hot, key).select(*many.columns, *(c for c in one.columns if c != key)).unionByName(cold)
+
+
 def id_crc(column: str) -> Column:
     """crc32 of an id's decimal text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

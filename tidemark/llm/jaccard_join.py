@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked_broadcast, durable, pieces, raw_bytes
+from tidemark.llm.common import checked_broadcast, durable, hot_join, pieces, raw_bytes
 from tidemark.llm.components import components
 from tidemark.llm.words import TOKEN_BITS, set_hashes, shingle_sets
 
@@ -268,9 +268,13 @@ def _components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     members = members.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", F.col("have.tokens").alias("tokens"), F.col("have.counts").alias("counts"))
     found = durable(_tries(members.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j"), percent), "links")
     joined = components(found)
-    keyed = sets.join(joined, "node", "left").withColumn("key", F.coalesce("root", "node"))
-    least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    full = keyed.where("n > 0").join(least, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    # what a text with its group of equal sets needs is worked out for each node; rows of documents meet it last
+    nodes = durable(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
+    keyed = nodes.join(joined, "node", "left").withColumn("key", F.coalesce("root", "node"))
+    least = keyed.groupBy("key").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = hot_join(durable(keyed.select("node", "key", "rows"), "keys"), durable(least, "least"), "key", "nodes")
+    full = hot_join(sets.where("n > 0"), durable(named.select("node", "rows", "component_id"), "named"), "node", "rows")
+    full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
