@@ -126,3 +126,54 @@ def test_files(spark, tmp_path):
     assert truth.count() == 2 and sorted((r.series_id, r.n_ground_truth) for r in roster.collect()) == [("x", 2), ("y", 0)]
     (tmp_path / "index.txt").write_text("A,\"('s1', 's2')\"\nB,\"('s3',)\"\n")
     assert files.read_dataset_index(spark, str(tmp_path / "index.txt"), ["A"]).count() == 2
+
+
+def test_indices_of_null_bounds_and_ties(spark):
+    ts = spark.createDataFrame([("s", t, 0.0) for t in (10, 20, 20, 30)] + [("t", 5, 0.0)], "series_id string, ts long, value double")
+    asked = [("s", 1, None, None), ("s", 2, 20, 20), ("s", 3, 20, 20), ("t", 1, 0, 9), ("none", 1, 0, 9)]
+    asked = spark.createDataFrame(asked, "series_id string, iv long, start long, end long")
+    got = sorted(tuple(r) for r in detect.indices_of(asked, series.with_index(ts)).collect())
+    assert got == [("s", 1, 3, 0), ("s", 2, 1, 2), ("s", 3, 1, 2), ("t", 1, 0, 0)]
+
+
+def test_times_of_intervals_over_several_blocks(spark):
+    x = np.random.default_rng(1).normal(size=900)
+    pairs = [(0, 899), (255, 256), (256, 256), (100, 700), (5, 4)]
+    got = detect.with_times(spark.createDataFrame([("s", *p) for p in pairs], "series_id string, s long, e long"), scores(spark, x.tolist())).collect()
+    assert {(r.s, r.e): (r.start, r.end, round(r.severity, 9)) for r in got} == {(a, b): (a, b, round(x[a : b + 1].mean(), 9)) for a, b in pairs if a <= b}
+
+
+def test_alphas_together_and_apart(spark):
+    rows = scores(spark, np.random.default_rng(2).normal(size=400).tolist())
+    alphas = (0.1, 0.01, 0.001)
+    got = {tuple(r) for r in detect.detect_each(rows, alphas, "median").select("alpha", "start", "end").collect()}
+    assert got == {(a, r.start, r.end) for a in alphas for r in detect.detect(rows, a, "median").collect()}
+
+
+def test_command_line_steps(spark, tmp_path):
+    from tidemark import __main__ as cli
+
+    (tmp_path / "truth.json").write_text("[[10, 20], [30, 40], [50, 60]]")
+    (tmp_path / "found.csv").write_text("start,end,severity\n15,35,1\n70,80,1\n")
+    got = cli.evaluated(spark, str(tmp_path / "truth.json"), str(tmp_path / "found.csv")).first()
+    assert got.asDict() == pytest.approx({"precision": 2 / 3, "recall": 2 / 3, "F1": 2 / 3})
+    head = "dataset,signal,model,alpha,status,precision,recall,f1,n_detected,n_ground_truth\n"
+    (tmp_path / "results_D_two_stage_alpha_0.1.csv").write_text(head + "d,a,two_stage,0.1,success,1,1,0.5,1,1\nd,b,two_stage,0.1,no_gt,,,,1,\n")
+    (tmp_path / "results_D_two_stage_alpha_0.01.csv").write_text(head + "d,a,two_stage,0.01,success,1,1,1.0,1,1\nd,c,two_stage,0.01,success,1,1,0.5,1,1\n")
+    got = cli.aggregate(spark, str(tmp_path / "results_*_alpha_*.csv"), str(tmp_path / "summary")).collect()
+    assert [tuple(r) for r in got] == [("D", "two_stage", 0.75, 0.3536, 2)]
+
+
+def test_experiment(spark, tmp_path):
+    from tidemark import __main__ as cli
+
+    x = np.sin(np.arange(600) / 9)
+    x[300:320] += 6
+    (tmp_path / "series").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "series" / f"{name}.csv").write_text("timestamp,value\n" + "".join(f"{i},{v}\n" for i, v in enumerate(x)))
+    (tmp_path / "truth.csv").write_text('signal,events\na,"[[300, 320]]"\n')
+    got = cli.experiment(spark, str(tmp_path / "series"), str(tmp_path / "truth.csv"), "D", str(tmp_path / "out"), two_stage=True).collect()
+    assert len(got) == 6
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted({(r.signal, r.status) for r in rows}) == [("a", "success"), ("b", "no_gt")] and len(rows) == 12

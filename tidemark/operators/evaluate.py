@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,7 +73,8 @@ def filename_fields(stems: DataFrame, models: tuple[str, ...] = ("screening", "t
     """Adds dataset, model and alpha, from stems ``results_<dataset>[_<model>]_alpha_<alpha>``."""
     parts = F.split("stem", "_")
     at = F.array_position(parts, "alpha").cast("int")
-    named = F.element_at(parts, at - 1).isin(*models)
-    length = F.when(named, at - 3).otherwise(at - 2)
-    ok = stems.where(at > 2)
-    return ok.select("stem", F.array_join(F.slice(parts, 2, length), "_").alias("dataset"), F.when(named, F.element_at(parts, at - 1)).otherwise(default_model).alias("model"), F.element_at(parts, at + 1).try_cast("double").alias("alpha"))
+    middle = F.array_join(F.slice(parts, 2, at - 2), "_")
+    known = rf"^(?:(.*)_)?({'|'.join(map(re.escape, models))})$"
+    model = F.regexp_extract(middle, known, 2)
+    dataset = F.when(model != "", F.regexp_extract(middle, known, 1)).otherwise(middle)
+    return stems.where(at > 2).select("stem", dataset.alias("dataset"), F.when(model != "", model).otherwise(default_model).alias("model"), F.element_at(parts, at + 1).try_cast("double").alias("alpha"))

@@ -73,14 +73,20 @@ class TwoStageDetector:
         return self.refine(scores, durable(screening.intervals(scores), "proposals"))
 
 
-def sweep(scores: DataFrame, truth: DataFrame, roster: DataFrame, dataset: str, alphas: tuple[float, ...] = (0.1, 0.01, 0.001), model: str = "screening") -> DataFrame:
-    """Result rows of one set of scores for each alpha: rates for series of the roster, no_gt for others."""
-    out, each = [], durable(detect.detect_each(scores, alphas), "found")
-    for alpha in alphas:
-        found = each.where(F.col("alpha") == alpha).drop("alpha")
+def sweep(scores: DataFrame, truth: DataFrame, roster: DataFrame, dataset: str, alphas: tuple[float, ...] = (0.1, 0.01, 0.001), two_stage: TwoStageDetector | None = None) -> DataFrame:
+    """Result rows of one set of scores for each alpha: rates for series of the roster, no_gt for others; with two_stage, also rows of what its verifier leaves."""
+
+    def rows(found: DataFrame, model: str, alpha: float) -> DataFrame:
         counted = scores.select("series_id").distinct().join(found.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_detected")), "series_id", "left").na.fill(0)
         status = evaluate.with_status(counted, roster)
         rated = evaluate.interval_rates(found.join(roster.select("series_id"), "series_id", "left_semi"), truth, roster)
-        rows = status.join(rated, "series_id", "left").select(F.lit(dataset).alias("dataset"), F.col("series_id").alias("signal"), F.lit(model).alias("model"), F.lit(alpha).alias("alpha"), "status", "precision", "recall", "f1", "n_detected", "n_ground_truth")
-        out.append(rows)
+        named = F.lit(dataset).alias("dataset"), F.col("series_id").alias("signal"), F.lit(model).alias("model"), F.lit(alpha).alias("alpha")
+        return status.join(rated, "series_id", "left").select(*named, "status", "precision", "recall", "f1", "n_detected", "n_ground_truth")
+
+    out, each = [], durable(detect.detect_each(scores, alphas), "found")
+    for alpha in alphas:
+        found = each.where(F.col("alpha") == alpha).drop("alpha")
+        out.append(rows(found, "screening", alpha))
+        if two_stage:
+            out.append(rows(durable(two_stage.refine(scores, found), "verified"), "two_stage", alpha))
     return reduce(DataFrame.unionByName, out)

@@ -40,15 +40,21 @@ def read_truth_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Result rows by dataset, model and alpha."""
-    results.write.partitionBy("dataset", "model", "alpha").mode("overwrite").parquet(path)
+    """Result rows by dataset, model and alpha; those of other datasets, models and alphas stay."""
+    results.write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "model", "alpha").mode("overwrite").parquet(path)
 
 
 def read_result_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of CSV files ``results_<dataset>[_<model>]_alpha_<alpha>.csv``; these three columns come from the names."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema("signal string, status string, precision double, recall double, f1 double").option("enforceSchema", False).csv(pattern)
-    df = df.select("*", F.regexp_extract("_metadata.file_name", _STEM, 1).alias("stem"))
-    return df.join(F.broadcast(filename_fields(df.select("stem").distinct())), "stem").drop("stem")
+    """Result rows of CSV files ``results_<dataset>[_<model>]_alpha_<alpha>.csv``, whose columns have one order.
+
+    dataset is that of the file's name; model and alpha are, where the files have no such column. Without a status, rows count as success.
+    """
+    df = spark.read.option("header", True).csv(pattern)
+    wanted = {"signal": "string", "model": "string", "alpha": "double", "status": "string", "precision": "double", "recall": "double", "f1": "double"}
+    rows = df.select(F.regexp_extract("_metadata.file_name", _STEM, 1).alias("stem"), *((F.col(c).try_cast(t) if c in df.columns else F.lit("success" if c == "status" else None).cast(t)).alias(c) for c, t in wanted.items()))
+    named = filename_fields(rows.select("stem").distinct()).select("stem", "dataset", F.col("model").alias("_model"), F.col("alpha").alias("_alpha"))
+    out = rows.join(named, "stem").withColumn("model", F.coalesce("model", "_model")).withColumn("alpha", F.coalesce("alpha", "_alpha"))
+    return out.select("dataset", *wanted)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
