@@ -7,6 +7,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard_join, language, mixing, motion_jpeg, quality, token_files, toxicity, url_filter, warc
 from tidemark.llm.queries import tokenizer_path
@@ -246,3 +247,14 @@ def test_every_operator_of_the_list_has_a_query():
     from tidemark.llm.queries import QUERIES
 
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+
+
+def test_hot_join_keeps_all_rows(spark):
+    from tidemark.llm.common import hot_join
+
+    many = spark.range(5000).selectExpr("id", "case when id < 3000 then 0 else id % 1500 + 1 end as k")
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"))
+    got = hot_join(many, one, "k", "rows").groupBy().agg(F.count(F.lit(1)), F.sum("first"), F.countDistinct("id")).first()
+    want = many.join(one, "k").agg(F.count(F.lit(1)), F.sum("first"), F.countDistinct("id")).first()
+    assert tuple(got) == tuple(want)
+    assert hot_join(many.limit(0), one.limit(0), "k", "rows").count() == 0
