@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import dot, l2_normalised, z_value
 from tidemark.operators import detect, evaluate, render, series, tokens, verify
 from tidemark.plans.detector import ScreeningDetector, TwoStageDetector
+from tidemark.sources.storage import durable
 
 SIDE, STEP_RATIO = 4, 2.0
 
@@ -257,7 +258,8 @@ def stitch_scores(s, d):
 
 def align_scores(s, d):
     lengths = _tokens(s, d).groupBy("series_id").agg((24 + F.max("window_id") * 12 + 7).alias("n"))
-    return tokens.aligned(tokens.stitched(_columns(s, d), SIDE, STEP_RATIO), lengths, 24, 12).select("idx", F.round("score", 5).alias("score"))
+    vector = durable(tokens.stitched(_columns(s, d), SIDE, STEP_RATIO), "stitched")  # resampling reads it five times
+    return tokens.aligned(vector, lengths, 24, 12).select("idx", F.round("score", 5).alias("score"))
 
 
 def upsample_map(s, d):
