@@ -118,6 +118,32 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_all_that_alignment_finds(spark):
+    random, words = np.random.default_rng(3), [f"v{i}" for i in range(300)]
+    items = [" ".join(random.choice(words, n)) for n in (60, 40, 25, 12, 7, 4, 3, 2, 1)]
+
+    def edited(text, every, kind):
+        out = []
+        for i, w in enumerate(text.split(), 1):
+            out += [w] if i % every or kind == "insert" else []
+            out += ["edit"] if not i % every and kind != "delete" else []
+        return " ".join(out)
+
+    texts = [edited(t, k, kind) for t in items for k in (1, 2, 3, 4, 5, 6) for kind in ("insert", "replace", "delete")]
+    texts = [" ".join(random.choice(words, 30)) + f" {t} " + " ".join(random.choice(words, 30)) for t in texts] + [" ".join(random.choice(words[:40], 200)) for _ in range(40)]
+    texts += [t for t in items for _ in range(2)]  # whole copies make the unedited words more common than the edited
+    ids = {w: i + 10 for i, w in enumerate(sorted({w for t in texts + items for w in t.split()}))}
+    number = lambda t: np.array([ids[w] for w in t.split()], np.uint64)
+    want = {}
+    for j, item in enumerate(items):
+        for i, score in enumerate(decontaminate.align([number(item)] * len(texts), [number(t) for t in texts])[0]):
+            if score >= 0.5:
+                want[i, j] = score
+    rows = lambda x, name: spark.createDataFrame(list(enumerate(x)), f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(rows(texts, "doc_id"), rows(items, "item_id")).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_alignment_is_smith_waterman():
     random = np.random.default_rng(2)
     a, b = [random.integers(0, 6, n).astype(np.uint64) + 10 for n in (9, 12)], [random.integers(0, 6, n).astype(np.uint64) + 10 for n in (20, 15)]

@@ -1,12 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-1. The test items' word 3-grams are looked for in all documents, and each gram's number of documents is counted (one sum per task and gram).
-2. Of each item's every WINDOW neighbouring grams, the rarest is a seed. So an item whose grams all are common still has seeds, and an unchanged run of
-   ``WINDOW + 2`` words always has one.
-3. Where a document has an item's seed, the item is aligned with the words around it: 2 for an equal word, -1 for another, -1 for a gap. The best local
-   score, over that of the whole item, is the pair's score.
-
-Words are compared without case (of ASCII and Latin-1 letters) and ASCII marks. Documents are read twice and never shuffled. Test items go to all tasks in blocks of at most BLOCK_BYTES of text.
+"""Benchmark decontamination: rare word pairs as seeds find passages, Smith-Waterman alignment scores them.
+
+1. The test items' word pairs are looked for in all documents, and each pair's number of documents is counted (one sum per task and pair). A pair is two
+   words that stand next to each other or with one word between, in the item and in the document; so it outlives an edit between its words.
+2. An alignment with M equal words scores at most 2 M, less 1 for each edit. Of the M - 1 steps from one equal word to the next, c0 have no edit between, c1
+   have one, the others two or more; so a score of T needs ``2 c0 + c1 >= T - 2``, and each place of the item begins one step at most. Hence an item's most
+   common places can go without loss, as long as twice their number stays below T - 2: SHARE of that goes, and what the rest must have is counted.
+3. Where a document has so much of an item within the length that such a passage can have, the item is aligned with the words around: 2 for an equal word, -1
+   for another, -1 for a gap. The best local score, over that of the whole item, is the pair's score. Items for which one equal word is enough have words as seeds.
+
+So all pairs of document and item that reach the score are found, wherever their edits are. Words are compared without case (of ASCII and Latin-1 letters)
+and ASCII marks. Documents are read twice and never shuffled. Test items go to all tasks in blocks of at most BLOCK_BYTES of text.
 """
 
 from __future__ import annotations
@@ -19,18 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, raw_bytes
-from tidemark.llm.words import plain, run_hashes, word_hashes, word_spans
+from tidemark.llm.common import mixed, pieces, raw_bytes
+from tidemark.llm.words import plain, word_hashes, word_spans
+
+#: Of the places that can go without loss, the share that does: with more, less is looked up; with less, fewer passages are aligned.
+SHARE = 0.5
+BLOCK_BYTES = 8 << 20
+#: Cells of the rows that are aligned at once.
+_CELLS = 1 << 18
+
 
-GRAM, WINDOW = 3, 4
-BLOCK_BYTES = 32 << 20
-_MAP_BITS = 20
+def _pairs(words: np.ndarray, at: np.ndarray, item_step: int, step: int) -> np.ndarray:
+    """Hashes of the words at these places and so many (item_step) after; step is how far apart they are in a document, 0 for single words."""
+    return mixed((words[at] * np.uint64(0xD6E8FEB86659FD93) + words[at + item_step]) * np.uint64(3) + np.uint64(step))
 
 
 class Seeds:
-    """Gram hashes of test items, with the places (item, word) of each."""
+    """Hashes of test items' word pairs, with the places (item, word) of each and its weight in the count."""
 
-    def __init__(self, texts: list[str | None], ids: list[int]) -> None:
+    def __init__(self, texts: list[str | None], ids: list[int], least: float) -> None:
         data, offsets = raw_bytes(pa.array(texts, pa.string()))
         data = plain(data)
         doc, starts, ends = word_spans(data, offsets)
@@ -38,56 +48,91 @@ class Seeds:
         size = np.bincount(doc, minlength=len(texts))
         begin = np.cumsum(size) - size
         self.ids, self.items = np.array(ids, np.int64), [words[b : b + n] for b, n in zip(begin, size)]
-        hashes, item, place, grams = [], [], [], []
-        for i, n in enumerate(size):
-            g = min(GRAM, n)
-            if n:
-                at = np.arange(n - g + 1)
-                hashes.append(run_hashes(self.items[i], at, g))
-                item.append(np.full(len(at), i))
-                place.append(at)
-                grams.append(np.full(len(at), g))
-        joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        self._set(joined(hashes, np.uint64), joined(item, np.int64), joined(place, np.int64), joined(grams, np.int64))
-
-    def _set(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray, grams: np.ndarray) -> None:
+        self.size = size
+        self.score = np.maximum(1, np.ceil(2 * least * size - 1e-9).astype(np.int64))
+        single = self.score <= 2
+        #: Places of an item that can go; what is left of the count for the others.
+        self.spare = np.where(single, 0, np.maximum(0, (self.score - 3) * SHARE / 2)).astype(np.int64)
+        self.need = np.where(single, 1, self.score - 2 - 2 * self.spare)
+        hashes, place, weight, step = [], [], [], []
+        for d, e in ((0, 0), (1, 1), (1, 2), (2, 1), (2, 2)):  # steps in the document and in the item
+            at = np.flatnonzero(doc[: max(0, len(doc) - e)] == doc[e:])
+            at = at[single[doc[at]] == (d == 0)]
+            hashes.append(_pairs(words, at, e, d))
+            place.append(at)
+            weight.append(np.full(len(at), 2 if d == e == 1 else 1))
+            step.append(np.full(len(at), d))
+        place = np.concatenate(place)
+        self._set(np.concatenate(hashes), doc[place], place - begin[doc[place]], np.concatenate(weight), np.concatenate(step))
+
+    def _set(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray, weight: np.ndarray, step: np.ndarray) -> None:
         order = np.lexsort((place, item, hashes))
-        hashes, self.item, self.place, grams = hashes[order], item[order], place[order], grams[order]
+        hashes, self.item, self.place, self.weight, self.step = hashes[order], item[order], place[order], weight[order], step[order]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
         self.hashes, self.begin = hashes[first], np.append(first, len(hashes))
-        self.lengths = sorted(set(grams.tolist()))
-        self.gram_of = grams
-        self.map = np.zeros(1 << _MAP_BITS, bool)
-        self.map[(self.hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+        self.steps = sorted(set(step.tolist()))
+        self.shift = np.uint64(64 - min(26, max(16, len(self.hashes).bit_length() + 4)))
+        self.map = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.map[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def rarest(self, count: np.ndarray) -> Seeds:
-        """Keeps, of each WINDOW neighbouring grams of an item, that of the fewest documents."""
-        number = np.repeat(np.arange(len(self.hashes)), np.diff(self.begin))
-        keep = np.zeros(len(number), bool)
-        for own in np.split(np.lexsort((self.place, self.item)), np.cumsum(np.bincount(self.item))[:-1]) if len(number) else []:
-            rank = list(zip(count[number[own]].tolist(), self.hashes[number[own]].tolist()))
-            for i in range(max(1, len(own) - WINDOW + 1)):
-                keep[own[min(range(i, min(i + WINDOW, len(own))), key=rank.__getitem__)]] = True
+        """Without the places of each item that are in the most documents, as many as can go."""
+        key, own = np.unique(self.item * (1 + self.size.max(initial=0)) + self.place, return_inverse=True)
+        common = np.bincount(own, weights=np.repeat(count, np.diff(self.begin)), minlength=len(key))
+        item = key // (1 + self.size.max(initial=0))
+        order = np.lexsort((-common, item))
+        nth = np.empty(len(key), np.int64)
+        nth[order] = np.arange(len(key)) - np.searchsorted(item, item[order])
+        keep = (nth >= self.spare[item])[own]
         out = object.__new__(Seeds)
-        out.ids, out.items = self.ids, self.items
-        out._set(self.hashes[number[keep]], self.item[keep], self.place[keep], self.gram_of[keep])
+        out.__dict__ |= {k: self.__dict__[k] for k in ("ids", "items", "size", "score", "spare", "need")}
+        out._set(np.repeat(self.hashes, np.diff(self.begin))[keep], self.item[keep], self.place[keep], self.weight[keep], self.step[keep])
         return out
 
     def found(self, doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word's place, number of the gram) wherever a gram stands in these texts."""
+        """(word's place, number of the pair) wherever a pair stands in these texts."""
         places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for g in self.lengths:
-            if len(words) < g:
-                continue
-            at = np.flatnonzero(doc[: len(doc) - g + 1] == doc[g - 1 :])
-            hashes = run_hashes(words, at, g)
-            some = np.flatnonzero(self.map[(hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)])
+        for d in self.steps:
+            at = np.flatnonzero(doc[: max(0, len(doc) - d)] == doc[d:])
+            hashes = _pairs(words, at, d, d)
+            some = np.flatnonzero(self.map[(hashes >> self.shift).astype(np.int64)])
             number = np.minimum(np.searchsorted(self.hashes, hashes[some]), len(self.hashes) - 1)
             real = self.hashes[number] == hashes[some]
             places.append(at[some[real]])
             numbers.append(number[real])
         return np.concatenate(places), np.concatenate(numbers)
 
+    def windows(self, doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first word, end) of the passages in which an item can reach its score."""
+        place, number = self.found(doc, words)
+        n = np.diff(self.begin)[number]
+        pick = np.repeat(self.begin[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = np.repeat(place, n)
+        item, weight = self.item[pick], self.weight[pick]
+        # a passage has at most 2 m words of its item's and as many others as edits, less than 2 m - score of them
+        edits = np.maximum(0, 2 * self.size - self.score)
+        key = (doc[place] * len(self.items) + item) * (4 * len(doc) + 4 * self.size.max(initial=0) + 4)
+        order = np.argsort(key + place, kind="stable")
+        place, item, pick, weight, key = place[order], item[order], pick[order], weight[order], key[order]
+        at, total = key + place, np.append(0, np.cumsum(weight))
+        upto = np.searchsorted(at, at + (self.size + edits)[item], side="right")
+        good = total[upto] - total[:-1] >= self.need[item]
+        mark = np.zeros(len(at) + 1, np.int64)  # all hits from a good one to the end of its passage
+        np.add.at(mark, np.flatnonzero(good), 1)
+        np.add.at(mark, upto[good], -1)
+        kept = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        start, item, d = place[kept] - self.place[pick[kept]], item[kept], doc[place[kept]]
+        order = np.lexsort((start, item, d))
+        start, item, d = start[order], item[order], d[order]
+        m = self.size[item]
+        part = start // (4 * m)
+        new = np.append(True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (part[1:] != part[:-1]) | (start[1:] - start[:-1] > m[1:]))[: len(d)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(new))[: len(first)] - 1
+        d, item = d[first], item[first]
+        low, high = start[first] - edits[item], start[last] + self.size[item] + edits[item]
+        return d, item, np.maximum(low, np.searchsorted(doc, d)), np.minimum(high, np.searchsorted(doc, d, side="right"))
+
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(best local score over twice the item's words, end of the aligned passage) for each pair, all pairs at once."""
@@ -143,31 +188,20 @@ def _matches(docs: DataFrame, seeds: Seeds, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        length = np.array([len(x) for x in s.items], np.int64)
         for piece in pieces(batches, "text"):
             doc, words = _read(piece)
-            place, number = s.found(doc, words)
-            if not len(place):
+            d, item, low, high = s.windows(doc, words)
+            if not len(d):
                 continue
-            size = np.diff(s.begin)[number]
-            pick = np.repeat(s.begin[number] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            place = np.repeat(place, size)
-            d, item, start = doc[place], s.item[pick], place - s.place[pick]
-            order = np.lexsort((start, item, d))
-            d, item, start = d[order], item[order], start[order]
-            new = np.append(True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > length[item[1:]]))
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(new)) - 1
-            n, slack = length[item[first]], length[item[first]] // 2 + 2
-            begin = np.searchsorted(doc, np.arange(piece.num_rows + 1))
-            low = np.maximum(start[first] - slack, begin[d[first]])
-            high = np.minimum(start[last] + n + slack, begin[d[first] + 1])
-            rows = []
+            begin = np.searchsorted(doc, d)
+            rows, i = [], 0
             by_size = np.argsort(high - low, kind="stable")
-            for i in range(0, len(by_size), 256):
-                part = by_size[i : i + 256]
-                score, end = align([s.items[item[first[c]]] for c in part], [words[low[c] : high[c]] for c in part])
-                rows += [(int(d[first[c]]), int(item[first[c]]), float(v), int(low[c] + e - begin[d[first[c]]])) for c, v, e in zip(part, score, end) if v >= least]
+            while i < len(by_size):
+                room = np.searchsorted(np.maximum.accumulate((high - low)[by_size[i : i + 256]]) * np.arange(1, 1 + len(by_size[i : i + 256])), _CELLS, side="right")
+                part = by_size[i : i + max(1, int(room))]
+                i += len(part)
+                score, end = align([s.items[item[c]] for c in part], [words[low[c] : high[c]] for c in part])
+                rows += [(int(d[c]), int(item[c]), float(v), int(low[c] + e - begin[c])) for c, v, e in zip(part, score, end) if v >= least]
             best: dict[tuple[int, int], tuple[float, int]] = {}
             for x, y, v, e in rows:
                 best[x, y] = max(best.get((x, y), (0.0, 0)), (v, -e))
@@ -194,6 +228,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataF
     out = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow().sort_by("item_id")
-        seeds = Seeds(rows.column("text").to_pylist(), rows.column("item_id").to_pylist())
+        seeds = Seeds(rows.column("text").to_pylist(), rows.column("item_id").to_pylist(), least)
         out.append(_matches(docs, seeds.rarest(gram_documents(docs, seeds)), least))
     return reduce(DataFrame.unionByName, out)
