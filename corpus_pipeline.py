@@ -15,6 +15,8 @@ from tidemark.llm.token_files import token_output
 
 #: Share of its language that a document needs to stay.
 LEAST_SHARE = 0.3
+#: Target weights of the sources, those of op8's query.
+WEIGHTS = {"src0": 4.0, "src1": 2.0}
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -39,15 +41,19 @@ def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their rows in the order of the schedule: ranges of positions, sorted within each."""
-    order = mix(docs.select("doc_id", "source")).groupBy("doc_id").agg(F.min("position").alias("position")).where("doc_id is not null")
+    """All documents with their position in the schedule by WEIGHTS, rows in that order. Documents are told apart by id, text and source, so ids may be null or
+    repeat; rows that are equal in all three share the position of the first."""
+    key = F.xxhash64("doc_id", "text", "source")
+    keys = durable(docs.select(key.alias("doc_id"), "source"), "keys")
+    order = mix(keys, WEIGHTS).groupBy(F.col("doc_id").alias("key")).agg(F.min("position").alias("position"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.join(order, "doc_id", "left").repartitionByRange(n, "position").sortWithinPartitions("position").select(docs.columns)
+    placed = docs.withColumn("key", key).join(order, "key", "left").select(*docs.columns, "position")
+    return placed.repartitionByRange(n, "position").sortWithinPartitions("position")
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in files; what they hold of each document."""
-    return token_output(docs, tokenizer_path(), end_id=0)
+    """Token ids in files, in the mixture's order; what they hold of each document."""
+    return token_output(docs, tokenizer_path(), end_id=0, order="position")
 
 
 STAGES = [

@@ -269,6 +269,22 @@ def test_pipeline(spark, real):
     assert len(lost) <= 2
 
 
+def test_token_files_of_the_pipeline_are_in_the_order_of_the_mixture(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"text number {i}", f"src{i * 3 // 1200}") for i in range(1200)] + [(None, f"without an id {i}", f"src{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mix_sources(spark, docs, PATH)
+    got = corpus_pipeline.write_token_files(spark, mixed, PATH).orderBy("start").collect()
+    placed = sorted(mixed.collect(), key=lambda r: r.position)
+    assert [r.doc_id for r in got] == [r.doc_id for r in placed] and [r.position for r in placed] == list(range(len(rows)))
+    weights, done = {"src0": 4 / 7, "src1": 2 / 7, "src2": 1 / 7}, dict.fromkeys(("src0", "src1", "src2"), 0)
+    for t, r in enumerate(placed[:700], 1):  # src0 has 420 documents, so all go on until here
+        done[r.source] += 1
+        if t % 16 == 0:
+            assert all(abs(done[s] - w * t) < 16 * 1.1 for s, w in weights.items())
+
+
 def test_every_operator_of_the_list_has_a_query():
     from tidemark.llm.queries import QUERIES
 

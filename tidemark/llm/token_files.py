@@ -6,7 +6,7 @@ A block is: its minimum (32-bit), its width (8-bit), its number of exceptions (1
 lowest bit on; the exceptions' places (16-bit each) and whole differences (32-bit each). The width is that of the 90th percentile of the block's
 differences. The last block of a file is filled up with its own minimum.
 
-Documents are dealt by ranges of doc_id, so that the files in order of (part, number) hold ascending ids. A task writes to paths of its own, and only those
+Documents are dealt by ranges of doc_id, or another column, so that the files in order of (part, number) hold them in its ascending order. A task writes to paths of its own, and only those
 that a finished task reports are read, so that a task that runs again does no harm. Nothing but the list of files is ever in one place.
 """
 
@@ -228,8 +228,8 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, encoder: Callable[[str], Tokens] = tokens_of) -> DataFrame:
-    """Writes each document's ids and end_id to files in folder; (part, number, path, documents, ids) for each file."""
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, encoder: Callable[[str], Tokens] = tokens_of, order: str = "doc_id") -> DataFrame:
+    """Writes each document's ids and end_id to files in folder, in ascending order of a column; (part, number, path, documents, ids) for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -259,7 +259,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    by = F.col("doc_id").cast("long") if order == "doc_id" else F.col(order)
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", by.alias("by"))
+    ranged = keyed.repartitionByRange(n, "by").sortWithinPartitions("by", "doc_id", "text").select("doc_id", "text")
     return durable(ranged.mapInArrow(run, "part long, number long, path string, documents long, ids long"), "files")
 
 
@@ -286,10 +288,10 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return starts.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, order: str = "doc_id") -> DataFrame:
     """read_tokens(write_tokens()) over (doc_id, text), in folder or a fresh one in the shared folder.
 
-    A null text is empty: its only id is end_id. Documents of equal doc_id are ordered by text, null ids come first. No documents make no files and no rows.
-    Extra columns are left out.
+    Documents go in ascending order of the column that order names. A null text is empty: its only id is end_id. Documents of equal order are ordered by doc_id
+    and text, nulls come first. No documents make no files and no rows. Extra columns are left out.
     """
-    return read_tokens(write_tokens(docs, tokenizer, folder or fresh_path(docs.sparkSession, "tokens"), end_id))
+    return read_tokens(write_tokens(docs, tokenizer, folder or fresh_path(docs.sparkSession, "tokens"), end_id, order=order))
