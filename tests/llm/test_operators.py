@@ -246,6 +246,20 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(pages).count() == len(rows)
 
 
+def test_warc_with_long_heads(spark, monkeypatch):
+    rows = [(1, "http://a/" + "x" * 200_000, "first"), (2, "http://b/", "second"), (3, "http://c/" + " " * 30_000, "third"), (4, "http://d/" + "WARC/1.1\r\n" * 20_000, "fourth"), (5, "u", "last")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    want = {(i, url.replace(" ", "%20").replace("\r", "%0D").replace("\n", "%0A"), len(html)) for i, url, html in rows}
+    for split in (warc.SPLIT_BYTES, 70_000):
+        monkeypatch.setattr(warc, "SPLIT_BYTES", split)
+        got = warc.round_trip(pages).collect()
+        assert len(got) == len(rows) and {(r.page_id, r.url, r.payload_bytes) for r in got} == want
+    real = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda files: real(files).where("page_id <> 2"))
+    with pytest.raises(ValueError, match="records"):
+        warc.round_trip(pages)
+
+
 def test_url_filter(spark):
     day = lambda rows, schema: spark.createDataFrame(rows, schema)
     entries = day([("x.com", "block", "2024-02-01"), ("x.com", None, "2024-03-01"), ("a.x.com/p/", "allow", "2024-01-01"), (None, "block", "2024-01-01")], "key string, verdict string, dated string").selectExpr("key", "verdict", "to_date(dated) as dated")

@@ -25,7 +25,8 @@ from tidemark.llm.common import BROADCAST_ROWS, durable, fresh_path, small_enoug
 REVISIT_BYTES, FILE_BYTES, SPLIT_BYTES = 1000, 64 << 20, 16 << 20
 SALTS = 16
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD_BYTES = 1 << 16
+#: Bytes that are read on from a split's end, or from what is read of a longer head, each time twice as many.
+_READ_BYTES = 1 << 16
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -123,13 +124,24 @@ def candidates(files: DataFrame) -> DataFrame:
 
     def scan(file, size: int, start: int, end: int) -> list[tuple]:
         file.seek(start)
-        data = file.read(min(size, end + _HEAD_BYTES) - start)
+        data, step = file.read(min(size, end + _READ_BYTES) - start), _READ_BYTES
         rows = []
-        for m in _MAGIC.finditer(data):
-            if m.start() >= end - start:
+        # what the chain comes to has a blank line before it; so heads don't overlap and all of them are parsed in one pass
+        for at in [m.start() for m in _MAGIC.finditer(data) if m.start() < 4 or data[m.start() - 4 : m.start()] == b"\r\n\r\n"]:
+            if at >= end - start:
                 break
-            stop = data.find(b"\r\n\r\n", m.end() - 2)
-            fields = parse(data[m.start() : stop]) if 0 <= stop < m.start() + _HEAD_BYTES else None
+            stop = data.find(b"\r\n\r\n", at + 8)
+            while stop < 0 and start + len(data) < size:
+                seen = max(at + 8, len(data) - 3)
+                file.seek(start + len(data))
+                more = file.read(min(step, size - start - len(data)))
+                if not more:
+                    break
+                data, step = data + more, 2 * step
+                stop = data.find(b"\r\n\r\n", seen)
+            if stop < 0:
+                break
+            fields = parse(data[at:stop])
             if fields is None:
                 continue
             body, length = stop + 4, int(fields[b"content-length"])
@@ -152,7 +164,7 @@ def candidates(files: DataFrame) -> DataFrame:
                 said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block)
                 digest, n_bytes = fields.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:"), int(said[1]) if said else 0
             url = fields.get(b"warc-target-uri")
-            rows.append((start + m.start(), after, (_number(fields.get(b"warc-record-id", b"")), kind, _number(fields.get(b"warc-refers-to", b"")), url and url.decode("utf-8", "replace"), n_bytes, digest)))
+            rows.append((start + at, after, (_number(fields.get(b"warc-record-id", b"")), kind, _number(fields.get(b"warc-refers-to", b"")), url and url.decode("utf-8", "replace"), n_bytes, digest)))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +227,13 @@ def read_archives(files: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """read_archives() of what write_archives() makes of pages (page_id, url, html) in folder or a fresh one in the shared folder.
 
-    Null html is an empty payload, a null page_id or url is left out of the head and comes back null, repeated rows are records each. Extra columns are left
-    out. No pages make no archives and no rows.
+    Null html is an empty payload, a null page_id or url is left out of the head and comes back null, repeated rows are records each, and urls and texts may be
+    of any length. Extra columns are left out. No pages make no archives and no rows. Fails if an archive gives another number of records than were written.
     """
-    return read_archives(write_archives(with_revisits(pages), folder or fresh_path(pages.sparkSession, "warc")))
+    files = write_archives(with_revisits(pages), folder or fresh_path(pages.sparkSession, "warc"))
+    found = durable(read_archives(files), "records")
+    read = found.groupBy("path").agg(F.count(F.lit(1)).alias("read"))
+    lost = files.join(read, "path", "left").where(F.coalesce("read", F.lit(0)) != F.col("records")).select("path", "records", "read").limit(5).collect()
+    if lost:
+        raise ValueError(f"archives with other records than were written: {lost}")
+    return found
