@@ -1,73 +1,104 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in an order that a hash of doc_id gives, are cut into blocks. In units of one block, block j of a source of weight w may go out from
+Each source's documents, in an order that a hash of doc_id gives, are cut into blocks. In units of one block, block j of a source of share w may go out from
 time ``floor(j / w)`` and must be out by ``ceil((j + 1) / w)``; in each slot the open block of the earliest deadline goes. So at any time a source has less
-than one block more or fewer than its share. Weights are whole parts of RESOLUTION, so that the schedule repeats after as many slots: one round of it is
-computed, the rest is arithmetic. When a source has no block left, those that have go on by their own weights in a new phase, until all are out: no document
-is left behind.
+than one block more or fewer than its share. Shares are exact fractions, windows are whole numbers worked out for any j.
+
+Time is cut into stretches, which tasks schedule apart from one another, given how many blocks each source has sent before. Weights that are whole parts of a
+sum of at most PERIOD meet their shares exactly each time that so many slots have passed: stretches begin there. For other weights (1 to pi, say) no such time
+may come while there are documents; then one pass over the slots (some microseconds each, no documents) notes what has been sent at the stretches' ends.
+
+A source that has no block left leaves its slots empty, and they are closed up; when sources of half the weight have ended, a new phase begins with the others
+by their own weights. So there are at most as many phases as halvings of the weight, no more than half of the slots are empty, and no document is left behind.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import gcd, lcm
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checked_broadcast, durable
 
-#: Slots of a round per source, about; so a weight is met to within one part in so many.
-RESOLUTION = 64
-#: Documents that a bucket of a source has, about, when documents are numbered.
-BUCKET_DOCS = 2_000
-
-
-def whole_parts(weights: dict[str, float], total: int) -> dict[str, int]:
-    """Shares of total in proportion, each at least 1, by largest remainders."""
-    scale = sum(weights.values())
-    exact = {s: w / scale * (total - len(weights)) for s, w in weights.items()}
-    parts = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: total - sum(parts.values())]:
-        parts[s] += 1
-    return parts
-
-
-def one_round(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of a round: earliest deadline first among released blocks."""
-    total = sum(parts.values())
-    coming, ready, slots = [(0, -(-total // w), s, 0) for s, w in parts.items()], [], []
-    heapq.heapify(coming)
-    for t in range(total):
-        while coming and coming[0][0] <= t:
-            release, deadline, s, j = heapq.heappop(coming)
-            w = parts[s]
-            # of equal deadlines, a block whose window overlaps the next one's goes first, then the heavier source's
-            heapq.heappush(ready, (deadline, -((j + 1) * total % w > 0), -w, s, j))
-        deadline, _, _, s, j = heapq.heappop(ready)
-        slots.append(s)
-        if j + 1 < parts[s]:
-            heapq.heappush(coming, ((j + 1) * total // parts[s], -(-(j + 2) * total // parts[s]), s, j + 1))
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple]:
-    """(source, first block, end, parts of a round, slots of a round, nth in the round, its slot, first slot of the phase): where each block of a phase goes."""
-    left, done, start, rows = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        parts = whole_parts({s: weights[s] for s in left}, RESOLUTION * len(left))
-        slots, total = one_round(parts), sum(parts.values())
-        at = {s: [] for s in parts}
-        for t, s in enumerate(slots):
-            at[s].append(t)
-        out = {s: (n - 1) // parts[s] * total + at[s][(n - 1) % parts[s]] for s, n in left.items()}  # the slot of a source's last block
-        stop = min(out.values()) + 1
-        gone = {s: stop // total * parts[s] + sum(t < stop % total for t in at[s]) for s in parts}
-        for s, n in gone.items():
-            rows += [(s, done[s], done[s] + n, parts[s], total, k, t, start) for k, t in enumerate(at[s])]
-            done[s] += n
-        start += stop
-        left = {s: n - gone[s] for s, n in left.items() if n > gone[s]}
-    return rows
+#: Slots of a stretch at least, and the longest period of weights (or so many slots a source) at which stretches begin.
+STRETCH, PERIOD, PERIOD_PER_SOURCE = 4096, 1 << 20, 256
+#: Whole parts of 1 that a weight by a source's size has.
+PARTS = 64
+#: Documents that a bucket of a source has, about, when documents are numbered; blocks that go out of a task at once.
+BUCKET_DOCS, BATCH_BLOCKS = 2_000, 1 << 15
+
+
+class Shares:
+    """Exact shares of some sources, and the schedule that they give for any stretch of time."""
+
+    def __init__(self, weights: list[Fraction]) -> None:
+        if any(w <= 0 for w in weights):
+            raise ValueError("weights must be positive")
+        scale = lcm(*(w.denominator for w in weights))
+        parts = [int(w * scale) for w in weights]
+        self.parts = [p // gcd(*parts) for p in parts]
+        self.total = sum(self.parts)
+        self.periodic = self.total <= max(PERIOD, PERIOD_PER_SOURCE * len(weights))
+        self.stretch = -(-STRETCH // self.total) * self.total if self.periodic else max(STRETCH, PERIOD_PER_SOURCE * len(weights))
+
+    def release(self, s: int, j: int) -> int:
+        return j * self.total // self.parts[s]
+
+    def deadline(self, s: int, j: int) -> int:
+        return -(-(j + 1) * self.total // self.parts[s])
+
+    def slots(self, start: int, end: int, sent: list[int]) -> Iterator[tuple[int, int]]:
+        """(source, block) of each slot from start, when sources have sent so many blocks: earliest deadline first among released blocks."""
+        coming, ready = [(self.release(s, j), s, j) for s, j in enumerate(sent)], []
+        heapq.heapify(coming)
+        for t in range(start, end):
+            while coming and coming[0][0] <= t:
+                _, s, j = heapq.heappop(coming)
+                heapq.heappush(ready, (self.deadline(s, j), s, j))
+            _, s, j = heapq.heappop(ready)
+            heapq.heappush(coming, (self.release(s, j + 1), s, j + 1))
+            yield s, j
+
+    def states(self, stretches: int) -> list[list[int]]:
+        """What each source has sent before each of the first stretches and after the last."""
+        if self.periodic:
+            return [[p * (k * self.stretch // self.total) for p in self.parts] for k in (0, stretches)]
+        out = [[0] * len(self.parts)]
+        for k in range(stretches):
+            now = list(out[-1])
+            for s, j in self.slots(k * self.stretch, (k + 1) * self.stretch, out[-1]):
+                now[s] = j + 1
+            out.append(now)
+        return out
+
+    def stretch_slots(self, k: int, states: list[list[int]]) -> Iterator[tuple[int, int]]:
+        start = k * self.stretch
+        return self.slots(start, start + self.stretch, [p * (start // self.total) for p in self.parts] if self.periodic else states[k])
+
+
+def phases(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[list[str], list[int], list[int], int, list[list[int]], Shares]]:
+    """(sources, first block of each, blocks that each has left, stretches, states(), shares) of each phase: some numbers for each source and phase if weights have a
+    period, else for each source and stretch."""
+    done, out = dict.fromkeys(blocks, 0), []
+    while left := sorted(s for s, n in blocks.items() if n > done[s]):
+        shares = Shares([weights[s] for s in left])
+        n = [blocks[s] - done[s] for s in left]
+        ended, stop = 0, 0
+        for last, part in sorted((shares.deadline(i, k - 1), shares.parts[i]) for i, k in enumerate(n)):
+            stop, ended = last, ended + part
+            if 2 * ended >= shares.total:
+                break
+        stretches = -(-stop // shares.stretch)
+        states = shares.states(stretches)
+        out.append((left, [done[s] for s in left], n, stretches, states, shares))
+        for s, sent, k in zip(left, states[-1], n):
+            done[s] += min(sent, k)
+    return out
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -86,38 +117,66 @@ def numbered(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("nth", nth).join(checked_broadcast(counts), ["source", "bucket"]).select("doc_id", "source", (F.col("nth") + F.col("ahead")).alias("number"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16) -> DataFrame:
+def scheduled(spark: SparkSession, sizes: dict[str, int], weights: dict[str, Fraction], block_docs: int) -> DataFrame:
+    """(source, block, stretch, slot, before, size) of each block: size documents, after before others in its stretch. Each task schedules some stretches."""
+    plan = phases({s: -(-n // block_docs) for s, n in sizes.items()}, weights)
+    first = [0]
+    for _, _, _, stretches, *_ in plan:
+        first.append(first[-1] + stretches)
+    shared = spark.sparkContext.broadcast((plan, first, sizes))
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), *[pa.int64()] * 5)
+        return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["source", "block", "stretch", "nth", "before", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, first, sizes = shared.value
+        for batch in batches:
+            for stretch in batch.column("stretch").to_pylist():
+                phase = next(p for p in range(len(plan)) if first[p] <= stretch < first[p + 1])
+                sources, begin, left, _, states, shares = plan[phase]
+                rows, nth, before, most = [], 0, 0, sum(left)
+                for s, j in shares.stretch_slots(stretch - first[phase], states):
+                    if j < left[s]:
+                        block = begin[s] + j
+                        size = min(block_docs, sizes[sources[s]] - block * block_docs)
+                        rows.append((sources[s], block, stretch, nth, before, size))
+                        nth, before = nth + 1, before + size
+                        if len(rows) == BATCH_BLOCKS:
+                            yield as_batch(rows)
+                            rows = []
+                        if nth == most:
+                            break
+                yield as_batch(rows)
+
+    every = spark.range(first[-1], numPartitions=max(1, min(first[-1], 10_000))).withColumnRenamed("id", "stretch")
+    return every.mapInArrow(run, "source string, block long, stretch long, nth long, before long, size long")
+
+
+def as_fraction(weight: float | Fraction) -> Fraction:
+    """A number as it is written: 0.3 is three tenths."""
+    return weight if isinstance(weight, Fraction) else Fraction(str(weight))
+
+
+def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, block_docs: int = 16) -> DataFrame:
     """(doc_id, source, block, slot, position) for each row of docs (doc_id, source): slots are in order of output, position counts documents from 0.
 
-    Weights are by source; one that has none, or all if none are given, gets the square root of its number of documents (over all such sources' mean, if some
-    are given). A null source is the source ''. Repeated rows and null ids are documents like others. No rows give no rows. The driver gets one row for each
-    source.
+    Weights are by source, positive, and taken as they are written; one that has none, or all if none are given, gets the square root of its number of documents
+    over all sources' mean, in whole parts of PARTS (one at least). A null source is the source ''. Repeated rows and null ids are documents like others. No
+    rows give no rows. The driver gets one row for each source, and keeps a few numbers for each source and phase (each stretch, if the weights have no period).
     """
     spark = docs.sparkSession
     rows = durable(numbered(docs), "numbered")
     n = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
     roots = {s: k**0.5 for s, k in n.items()}
     mean = sum(roots.values()) / max(1, len(roots))
-    given = {s: (weights or {}).get(s, roots[s] / (mean if weights else 1)) for s in n}
-    plan = phases({s: -(-k // block_docs) for s, k in n.items()}, given)
-    schema = "source string, first long, end long, parts long, total long, nth long, at long, start long"
-    plan = spark.createDataFrame(plan, schema) if plan else spark.createDataFrame([], schema)
-    heads = plan.select("source", "first", "end", "parts", "total", "start").distinct().withColumnRenamed("source", "s")
-    blocks = rows.select("source", F.expr(f"number div {block_docs}").alias("block")).distinct()
-    placed = blocks.join(checked_broadcast(heads), (F.col("source") == F.col("s")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
-    placed = placed.withColumn("nth", (F.col("block") - F.col("first")) % F.col("parts"))
-    placed = placed.join(checked_broadcast(plan.select("source", "start", "nth", "at")), ["source", "start", "nth"])
-    placed = placed.select("source", "block", (F.col("start") + F.expr("(block - first) div parts") * F.col("total") + F.col("at")).alias("slot"))
-    placed = durable(placed, "placed")
-    # documents before a block: full ones but for the short last blocks of sources that ended earlier, one at most for each source
-    ends = [(s, (k - 1) // block_docs, block_docs - k % block_docs) for s, k in n.items() if k % block_docs]
-    ends = spark.createDataFrame(ends, "source string, block long, missing long") if ends else spark.createDataFrame([], "source string, block long, missing long")
-    lost, steps = 0, [(-1, 0)]
-    for r in placed.join(checked_broadcast(ends), ["source", "block"]).orderBy("slot").select("slot", "missing").collect():
-        lost += r["missing"]
-        steps.append((r["slot"], lost))
-    steps = spark.createDataFrame([(a, b, m) for (a, m), (b, _) in zip(steps, [*steps[1:], (1 << 62, 0)])], "after long, upto long, lost long")
-    placed = placed.join(F.broadcast(steps), (F.col("slot") > F.col("after")) & (F.col("slot") <= F.col("upto")))
+    given = {s: as_fraction(weights[s]) if s in (weights or {}) else Fraction(max(1, round(PARTS * root / mean)), PARTS) for s, root in roots.items()}
+    placed = durable(scheduled(spark, n, given, block_docs), "placed")
+    stretches = placed.groupBy("stretch").agg(F.sum("size").alias("docs"), F.count(F.lit(1)).alias("blocks"))
+    # one row for each stretch of thousands of blocks
+    order = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = stretches.select("stretch", (F.sum("docs").over(order) - F.col("docs")).alias("docs_ahead"), (F.sum("blocks").over(order) - F.col("blocks")).alias("blocks_ahead"))
+    placed = placed.join(checked_broadcast(durable(ahead, "ahead")), "stretch")
+    placed = placed.select("source", "block", (F.col("blocks_ahead") + F.col("nth")).alias("slot"), (F.col("docs_ahead") + F.col("before")).alias("first"))
     rows = rows.withColumn("block", F.expr(f"number div {block_docs}")).join(placed, ["source", "block"])
-    position = F.col("slot") * block_docs - F.col("lost") + F.col("number") % block_docs
-    return rows.select("doc_id", "source", "block", "slot", position.alias("position"))
+    return rows.select("doc_id", "source", "block", "slot", (F.col("first") + F.col("number") % block_docs).alias("position"))
