@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, raw_bytes
+from tidemark.llm.common import durable, pieces, raw_bytes
 
 UNIT, FRAME_UNITS, FPS, BINS = 192, 64, 25, 32
+#: Bytes that are stored or decoded in step.
+AT_ONCE = 1 << 20
 #: Frames before a frame whose differences set its threshold, standard deviations above their mean, and the least difference of a cut.
 SPAN, SPREAD, LEAST = 12, 3.0, 0.08
 
@@ -317,16 +319,24 @@ def payloads(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) for each row of docs (doc_id, text): the text as an AVI. A null text is empty. Extra columns are left out."""
+    """(doc_id, n_bytes, media) for each row of docs (doc_id, text): the text as an AVI. A null text is empty. Extra columns are left out.
+
+    stored() writes them to the shared folder; what reads them gets what was stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", AT_ONCE):
             data, size, full = payloads(piece.column("text"))
             yield pa.record_batch([piece.column("doc_id"), pa.array(size), pa.array(store(data, full), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored(media: DataFrame) -> DataFrame:
+    """media as it comes back from the shared folder, where it lies compressed: the coded bits shift by one each byte, which hides repeats from faster codecs."""
+    return durable(media, "media", compression="zstd")
+
+
 def _watched(piece: pa.RecordBatch) -> Iterator[tuple[int, bytes, float, list, np.ndarray]]:
     """(row, media, frames a second, decoded frames, histogram shares) of each row."""
     media = [x or b"" for x in piece.column("media").to_pylist()]
@@ -345,7 +355,7 @@ def clips(media: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "media"):
+        for piece in pieces(batches, "media", AT_ONCE):
             ids, rows = piece.column("doc_id").to_pylist(), []
             for i, _, rate, frames, shares in _watched(piece):
                 first = cuts(shares)
@@ -365,23 +375,27 @@ def payload_of(frames: list[tuple[Head, np.ndarray] | None]) -> bytes:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) read from the media of store_texts().
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips) read from the media of store_texts().
 
-    feature tells the frames, the shots and their first frames, and a checksum of the histograms in thousandths.
+    feature tells the frames, the shots and their first frames, and a checksum of the histograms in thousandths; clips has the times of all shots. Null media
+    have an empty payload, no frames and no clips. Equal media give equal values; repeated rows are answered as often.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "media"):
+        for piece in pieces(batches, "media", AT_ONCE):
             rows = []
             for _, m, rate, frames, shares in _watched(piece):
                 p, first = payload_of(frames), cuts(shares)
-                told = f"mjpeg;fps={rate:g};frames={len(frames)};shots={len(first)};at={'.'.join(map(str, first[:8]))};histogram={crc32(np.round(shares * 1000).astype('<u2').tobytes()):08x}"
-                rows.append((len(p), sha256(p).hexdigest(), crc32(p[-16:]), len(m), sha256(m).hexdigest(), told))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                told = f"mjpeg;fps={rate:g};frames={len(frames)};shots={len(first)};at={'.'.join(map(str, first))};histogram={crc32(np.round(shares * 1000).astype('<u2').tobytes()):08x}"
+                shots = [{"first_frame": a, "frames": b - a, "start_s": a / rate, "end_s": b / rate} for a, b in zip(first, [*first[1:], len(frames)])]
+                rows.append((len(p), sha256(p).hexdigest(), crc32(p[-16:]), len(m), sha256(m).hexdigest(), told, shots))
+            shot = pa.struct([("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(shot))
             yield pa.record_batch(
                 [piece.column("doc_id"), piece.column("n_bytes"), *(pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"],
             )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema += ", clips array<struct<first_frame: long, frames: long, start_s: double, end_s: double>>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

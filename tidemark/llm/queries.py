@@ -18,7 +18,7 @@ from tidemark.llm.warc import round_trip
 
 
 def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion_jpeg.digests(motion_jpeg.store_texts(table(spark, sf_dir, "documents")))
+    return motion_jpeg.digests(motion_jpeg.stored(motion_jpeg.store_texts(table(spark, sf_dir, "documents"))))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
