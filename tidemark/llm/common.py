@@ -18,8 +18,8 @@ __all__ = ["checked_broadcast", "durable", "fresh_path", "hot_join", "id_crc", "
 BROADCAST_ROWS = 2_000_000
 #: A key with more than one in so many rows counts as hot; so there are fewer hot keys than this.
 HOT_SHARE = 1000
-#: Bytes of text that a numpy kernel works on at a time.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a numpy kernel works on at a time, so that what it needs for them stays small.
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

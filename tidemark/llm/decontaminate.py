@@ -173,7 +173,7 @@ def gram_documents(docs: DataFrame, seeds: Seeds) -> np.ndarray:
         for piece in pieces(batches, "text"):
             doc, words = _read(piece)
             place, number = s.found(doc, words)
-            total += np.bincount(np.unique(doc[place] * len(total) + number) % max(1, len(total)), minlength=len(total))
+            np.add.at(total, np.unique(doc[place] * len(total) + number) % max(1, len(total)), 1)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 

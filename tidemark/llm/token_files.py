@@ -34,8 +34,8 @@ FILE_IDS = 1 << 21
 _MAGIC, _NULL = b"PFOR0001", -(1 << 63)
 #: Blocks that are packed together, so that they stay in the processor's cache.
 _AT_ONCE = 2048
-#: Chunks of text whose ids a worker remembers.
-_REMEMBERED = 600_000
+#: Chunks of text whose ids a worker remembers, twice, and the length above which it doesn't (some 100 MB at most, whatever the language).
+_REMEMBERED, _LONGEST = 250_000, 48
 #: Letters, then ASCII marks, a line end and letters, marks; all but the first may be missing. Each is a piece of its own (an apostrophe may not be).
 _WITH_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?)?")
 
@@ -174,7 +174,9 @@ class Tokens(dict):
         if found is None:
             if len(self.bare) >= _REMEMBERED // 8:
                 self.bare.clear()
-            found = self.bare[text] = self.letters(text) if text.isalpha() else self.whole(text)
+            found = self.letters(text) if text.isalpha() else self.whole(text)
+            if len(text) <= _LONGEST:
+                self.bare[text] = found
         return found
 
     def __missing__(self, chunk: str) -> bytes:
@@ -190,10 +192,11 @@ class Tokens(dict):
                 found = self[word] + (self.part(marks) if marks else b"") + (self.part(line) + self.part(after) if line else b"") + (self.part(last) if last else b"")
             else:
                 found = self.whole(" " + chunk)
-        if len(self) >= _REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = found
+        if len(chunk) <= _LONGEST:
+            if len(self) >= _REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = found
         return found
 
     def head(self, first: str) -> bytes:
