@@ -59,6 +59,64 @@ def test_jaccard_components(spark, docs, real):
     assert jaccard_join.one_of_each(docs).where("doc_id in (6, 7, 8, 9)").count() == 1
 
 
+def shared_lines(n, lines, each, seed=6):
+    """Texts of a few lines that others have too; and near copies of some."""
+    random = np.random.default_rng(seed)
+    known = [" ".join(f"w{w}" for w in random.integers(0, 100_000, 9)) for _ in range(lines)]
+    texts = [" ".join(known[i] for i in random.choice(lines, each, replace=False)) for _ in range(n)]
+    return texts + [t + f" more{i}" for i, t in enumerate(texts[: n // 10])]
+
+
+@pytest.mark.parametrize("most", [1 << 17, 900])
+def test_jaccard_join_cuts_large_blocks(spark, monkeypatch, most):
+    """Texts that are joined by shared lines, but not similar, and a group of near copies above the most tokens of a group."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", most)
+    base = " ".join(f"n{i}" for i in range(60))
+    texts = shared_lines(400, 300, 6) + [base + f" v{i} " + base[: i * 4] for i in range(40)]
+    sizes, cut = [], jaccard_join._tries
+    monkeypatch.setattr(jaccard_join, "_tries", lambda members, percent: (sizes.append(members), cut(members, percent))[1])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows).collect()}
+    assert got == components_by_force(list(enumerate(texts)))
+    each = sizes[0].groupBy("block", "i", "j").agg(F.sum(F.size("tokens")).alias("m"), F.max("j").alias("parts")).collect()
+    assert max(r.m for r in each) < 4 * most and (most > 900 or len(each) > 20)
+
+
+def test_hot_tokens_are_counted_by_cell(spark):
+    texts = ["a line that all of them have here " + " ".join(f"u{i}x{j}" for j in range(4)) for i in range(300)] + ["a line that all of them have here"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    cells, counts = jaccard_join.hot_cells(jaccard_join.sets_of(docs, 5), len(texts))
+    total = np.zeros(1 << 20, int)
+    for t in texts:
+        w = t.split()
+        from tidemark.llm import words
+        from tidemark.llm.common import raw_bytes
+
+        np.add.at(total, jaccard_join._cell(words.shingle_sets(*raw_bytes(pa.array([t])), 5)[1]), 1)
+        assert len(w) > 7
+    assert cells.tolist() == np.flatnonzero(total > len(texts) / 1000).tolist() and counts.tolist() == total[cells].tolist()
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    from tidemark.llm import components
+
+    calls, real = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, name: (calls.append(name), real(df, name))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2000)] + [(5000, 5000), (7001, 7000)], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(2001), 0), 7000: 7000, 7001: 7000} and len(calls) < 30
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_one_of_each_decides_by_row(spark):
+    other = "something else entirely that is long enough to be a text of its own with many words in it " * 2
+    rows = [(None, BASE, "a"), (7, BASE + " extra", "b"), (7, other, "c"), (9, BASE, "d"), (9, BASE, "d"), (None, other + "x", "e"), (None, None, "f"), (None, "", "g"), (3, None, "h"), (None, "lone text", "i"), (None, "lone text", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = sorted((str(r.doc_id), str(r.text)[:9], r._gone) for r in jaccard_join.one_of_each(docs).collect())
+    want = [(None, None, "f"), (None, "", "g"), (3, None, "h"), (7, BASE + " extra", "b"), (7, other, "c"), (None, "lone text", "i")]
+    assert kept == sorted((str(i), str(t)[:9], g) for i, t, g in want)
+
+
 def test_trie_finds_what_comparing_all_finds():
     random = np.random.default_rng(5)
     for _ in range(30):

@@ -11,7 +11,9 @@ from tidemark.llm.common import durable
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each end of the edges (a, b): root is the same within a component. No row for a node without an edge to another.
 
-    Each round, all edges and labels are shuffled by key; nothing is collected. The edges left fall by about half a round.
+    Each round, every node hooks to its smallest neighbour if that is smaller, and what it hooks to is followed to the end by doubling. Only nodes without a
+    smaller neighbour are left, at most half of them; so both kinds of rounds are as many as the logarithm of the nodes. Edges and labels are shuffled by
+    key; nothing is collected.
     """
 
     def unequal(e: DataFrame) -> DataFrame:
@@ -21,8 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         hook = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a")).groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
         hook = durable(hook, "hooks")
-        up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        hook = durable(hook.join(up, "p").select("u", F.col("q").alias("p")), "hooks")
+        moved = True
+        while moved:
+            up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            hook = durable(hook.join(up, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "hooks")
+            moved = not hook.where("moved").isEmpty()
+            hook = hook.select("u", "p")
         if labels is None:
             labels = hook.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:

@@ -1,13 +1,16 @@
 """N-gram Jaccard join: sets of word shingles that overlap by a threshold, found with prefix trees.
 
-1. Texts with the same set become one node; a node is known by a 64-bit hash of its set.
-2. Tokens (48-bit shingle hashes) are dealt to buckets by their high bits. A bucket counts each token's nodes and sends back, per node, only tokens that
-   another node has too. As a link needs that share of shared tokens, most nodes end here.
+1. Texts with the same set become one node; a node is known by a 64-bit hash of its set. Tasks also count the tokens (48-bit shingle hashes) in 2**20 cells.
+   Tokens of a cell with more than one in HOT_SHARE of all rows count as hot, and their cell's count as their frequency: nobody gathers their nodes.
+2. Other tokens are dealt to buckets by their high bits. A bucket counts each token's nodes and sends back, per node, only tokens that another node has too.
+   As a link needs that share of shared tokens, most nodes end here. A token's nodes in one bucket are so at most one in HOT_SHARE of all rows.
 3. All sets are ordered alike: rare tokens first. A linked pair has a common token among the first ``n - ceil(t n) + 1`` of both; nodes that have one in
-   common, also by way of others, form a block.
-4. In each block the sets go into a radix trie in the reverse of that order, common tokens first, so that near copies share their path. Each set walks the
+   common, also by way of others, form a block. A block of more than BLOCK_TOKENS is cut by these tokens: each has the nodes that have it, tokens with the
+   same nodes count once, and are dealt to so many groups as the block has BLOCK_TOKENS.
+4. In each group the sets go into a radix trie in the reverse of that order, common tokens first, so that near copies share their path. Each set walks the
    trie, counting its overlap once for a shared path, and leaves a subtree when what remains of the set or of the subtree cannot reach the overlap
-   needed, or when all sets below are in its component already. A block of more than BLOCK_TOKENS is cut into parts, and each pair of parts has a trie.
+   needed, or when all sets below are in its component already. Groups that are still above BLOCK_TOKENS (of near copies), and blocks that cutting would
+   copy more often than that, are cut into parts, and each pair of parts has a trie.
 5. Links join nodes to components.
 
 Chances of error: two sets of one hash, or tokens of one hash in two compared sets, about 2**-64 and 2**-48 for each pair of them.
@@ -23,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checked_broadcast, durable, hot_join, pieces, raw_bytes
+from tidemark.llm.common import HOT_SHARE, checked_broadcast, durable, hot_join, pieces, raw_bytes
 from tidemark.llm.components import components
 from tidemark.llm.words import TOKEN_BITS, set_hashes, shingle_sets
 
 #: Tokens that a bucket of step 2 gets on average at most, and tokens in one trie of step 4.
-BUCKET_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 21
+BUCKET_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 17
 _KEPT = 40  # bits of a token that are stored; the bucket has the others
+_CELL_BITS, _SLICES = 20, 16
 
 
 def needed(size: int, percent: int) -> int:
@@ -41,22 +45,70 @@ def links(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64((1 << _CELL_BITS) - 1)).astype(np.int64)
+
+
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node) for each row."""
+    """(doc_id, row, n, node) for each row, row being a hash of id and text; and for each task (slice, cells), its packed counts of tokens by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, names = np.zeros(1 << _CELL_BITS, np.uint32), ["doc_id", "row", "n", "node", "slice", "cells"]
+        nothing = lambda m: [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())]
         for piece in pieces(batches, "text"):
             data, offsets = raw_bytes(piece.column("text"))
-            size, node = set_hashes(*shingle_sets(data, offsets, k), piece.num_rows)
-            yield pa.record_batch([piece.column("doc_id"), pa.array(size), pa.array(node)], names=["doc_id", "n", "node"])
+            doc, tokens = shingle_sets(data, offsets, k)
+            np.add.at(cells, _cell(tokens), 1)
+            size, node = set_hashes(doc, tokens, piece.num_rows)
+            yield pa.record_batch([piece.column("doc_id"), piece.column("row"), pa.array(size), pa.array(node), *nothing(piece.num_rows)[4:]], names=names)
+        each = [(i, c.tobytes()) for i, c in enumerate(np.split(cells, _SLICES)) if c.any()]
+        if each:
+            yield pa.record_batch([*nothing(len(each))[:4], pa.array([i for i, _ in each], pa.int32()), pa.array([c for _, c in each], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, n long, node long, slice int, cells binary")
 
 
-def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Rows (bucket, nodes, tokens) with packed arrays; within a piece, a set that repeats is sent once."""
+def hot_cells(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts) of more than one in HOT_SHARE rows: fewer than HOT_SHARE times the tokens of a text."""
+
+    def run(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in group.column("cells"))
+        at = np.flatnonzero(total > rows / HOT_SHARE)
+        return pa.table({"cell": pa.array(at + group.column("slice")[0].as_py() * len(total)), "n": pa.array(total[at])})
+
+    # a task's counts are summed with some others' before the few slices meet
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column("slice").to_pylist(), batch.column("cells")):
+                counts = np.frombuffer(x.as_buffer(), np.uint32)
+                sums[i] = sums[i] + counts if i in sums else counts
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["slice", "cells"])
+
+    counts = sets.where("slice is not null").select("slice", "cells").mapInArrow(some, "slice int, cells binary")
+    found = counts.groupBy("slice").applyInArrow(run, "cell long, n long").toArrow()
+    order = np.argsort(cell := found.column("cell").to_numpy())
+    return cell[order], found.column("n").to_numpy()[order]
+
+
+def _dealt(docs: DataFrame, k: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (bucket, nodes, tokens) with packed arrays; within a piece, a set that repeats is sent once. Hot tokens go by their node, in buckets below 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot[0])
+
+    def packed(bucket: np.ndarray, node: np.ndarray, tokens: np.ndarray, width: int) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        bucket, node, rows = bucket[order], node[order], tokens[order].view(np.uint8).reshape(-1, 8)[:, :width]
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(bucket))
+        return pa.record_batch(
+            [pa.array(bucket[cut]), pa.array([node[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
+            names=["bucket", "nodes", "tokens"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_hot = np.zeros(1 << _CELL_BITS, bool)
+        is_hot[shared.value] = True
         for piece in pieces(batches, "text"):
             data, offsets = raw_bytes(piece.column("text"))
             doc, tokens = shingle_sets(data, offsets, k)
@@ -64,41 +116,43 @@ def _dealt(docs: DataFrame, k: int, bits: int) -> DataFrame:
             once = np.zeros(piece.num_rows, bool)
             once[np.unique(node, return_index=True)[1]] = True
             tokens, node = tokens[once[doc]], node[doc[once[doc]]]
-            bucket = (tokens >> np.uint64(TOKEN_BITS - bits)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
-            bucket, node = bucket[order], node[order]
-            packed = tokens[order].view(np.uint8).reshape(-1, 8)[:, : _KEPT // 8]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(bucket))
-            yield pa.record_batch(
-                [pa.array(bucket[cut]), pa.array([node[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([packed[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
-                names=["bucket", "nodes", "tokens"],
-            )
+            warm = is_hot[_cell(tokens)]
+            yield packed((tokens[~warm] >> np.uint64(TOKEN_BITS - bits)).astype(np.int32), node[~warm], tokens[~warm], _KEPT // 8)
+            yield packed((-1 - (node[warm] & ((1 << bits) - 1))).astype(np.int32), node[warm], tokens[warm], 8)
 
     return docs.select("text").mapInArrow(run, "bucket int, nodes binary, tokens binary")
 
 
-def _shared(dealt: DataFrame, bits: int) -> DataFrame:
-    """(node, tokens, counts): of each bucket's tokens those that more than one node has, with the number of their nodes."""
+def _shared(dealt: DataFrame, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(node, tokens, counts): of each bucket's tokens those that more than one node has, with the number of their nodes; hot ones with their cell's count."""
+    known = dealt.sparkSession.sparkContext.broadcast(hot)
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
+        width = _KEPT // 8 if bucket >= 0 else 8
         node = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("nodes")])
-        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, _KEPT // 8) for x in group.column("tokens")])
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in group.column("tokens")])
         token = np.zeros((len(low), 8), np.uint8)
-        token[:, : _KEPT // 8] = low
-        token = token.view(np.uint64)[:, 0].astype(np.int64) | (bucket >> (bits - (TOKEN_BITS - _KEPT))) << _KEPT
-        order = np.argsort(token)
-        token, node = token[order], node[order]
-        new = np.append(True, token[1:] != token[:-1])
-        more = ~(new & np.append(new[1:], True))  # not alone
-        token, node = token[more], node[more]
+        token[:, :width] = low
+        token = token.view(np.uint64)[:, 0].astype(np.int64)
+        if bucket >= 0:
+            token |= (bucket >> (bits - (TOKEN_BITS - _KEPT))) << _KEPT
+            order = np.argsort(token)
+            token, node = token[order], node[order]
+            new = np.append(True, token[1:] != token[:-1])
+            more = ~(new & np.append(new[1:], True))  # not alone
+            token, node = token[more], node[more]
         order = np.lexsort((node, token))
         token, node = token[order], node[order]
         once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])) if len(token) else np.zeros(0, bool)
         token, node = token[once], node[once]
-        _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
-        count = count[inverse].astype(np.int32) if len(token) else np.zeros(0, np.int32)
+        if bucket >= 0:
+            _, inverse, count = np.unique(token, return_inverse=True, return_counts=True)
+            count = count[inverse] if len(token) else np.zeros(0, np.int64)
+        else:
+            cells, counts = known.value
+            count = np.maximum(2, counts[np.searchsorted(cells, _cell(token.view(np.uint64)))])
+        count = np.minimum(count, (1 << 31) - 1).astype(np.int32)
         order = np.flatnonzero(count > 1)
         order = order[np.argsort(node[order], kind="stable")]
         token, node, count = token[order], node[order], count[order]
@@ -243,15 +297,58 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFr
     shingle sets. Null and empty texts and texts without words have n_shingles 0 and link with nothing, not with each other either. Equal texts link. A row
     that repeats is answered as often. A null doc_id is never a component_id unless all of its component are null.
     """
-    return _components(docs, percent, k)
+    sets, named = _components(docs, percent, k)
+    full = hot_join(sets.where("n > 0"), named.select("node", "rows", "best"), "node", "rows")
+    full = full.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"))
+    return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _components(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    sets = durable(sets_of(docs, k), "sets")
+def one_of_each(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """The rows of docs, all columns, less those whose component has a better one: that of the smallest doc_id, null ids last, then of the smallest hash.
+
+    Rows are told apart by id and text, so ids may be null or repeat; of rows that are equal in both, one stays (any, if other columns differ). Rows without words
+    all stay. The texts stay where they are, unless the rows that go are too many to broadcast.
+    """
+    sets, named = _components(docs, percent, k)
+    placed = hot_join(sets.where("n > 0"), named.select("node", "rows", "best"), "node", "rows").select("row", F.col("best.row").alias("best"))
+    placed = durable(placed.groupBy("row").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("many")), "placed")
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    gone = checked_broadcast(placed.where("row <> best").select(F.col("row").alias("_gone")))
+    kept = docs.join(gone, key == gone["_gone"], "left_anti")
+    many = placed.where("row = best and many > 1").select(F.col("row").alias("_many"))
+    if many.isEmpty():
+        return kept
+    many = checked_broadcast(many)
+    once = kept.join(many, key == many["_many"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(many, key == many["_many"], "left_anti").unionByName(once)
+
+
+def _grouped(kept: DataFrame, first: DataFrame, block: DataFrame) -> DataFrame:
+    """(node, block, grp): the groups in which each node is compared. first: (node, token) of the tokens of which a linked pair has one in common."""
+    sized = block.join(kept.select("node", F.size("have").alias("m")), "node")
+    blocks = sized.groupBy("block").agg(F.ceil(F.sum("m") / BLOCK_TOKENS).cast("int").alias("groups"))
+    large = sized.join(checked_broadcast(durable(blocks.where("groups > 1"), "large")), "block")
+    posting = first.join(large.select("node", "block", "groups"), "node")
+    # tokens with the same nodes do the same: the hash of their list deals them, so all but one of them go with the repeats
+    lists = posting.groupBy("token").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("list"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    dealt = posting.join(lists, "token").select("node", "block", F.pmod(F.xxhash64("list", "c"), F.col("groups")).cast("int").alias("grp")).distinct()
+    dealt = durable(dealt, "dealt")
+    # a block of P parts that are compared pair by pair copies each set P times; what copies more isn't cut by tokens
+    copies = dealt.groupBy("block").count().join(large.groupBy("block").agg(F.count(F.lit(1)).alias("nodes"), F.max("groups").alias("groups")), "block")
+    cut = durable(copies.where(F.col("count") * 2 <= F.col("nodes") * F.col("groups")).select("block"), "cut")
+    some = dealt.join(checked_broadcast(cut), "block", "left_semi")
+    return some.select("node", "block", "grp").unionByName(block.join(checked_broadcast(cut), "block", "left_anti").select("node", "block", F.lit(0).alias("grp")))
+
+
+def _components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, row, n, node) of each row, (node, rows, best) of each node: the best (doc_id, row) of its component)."""
+    written = durable(sets_of(docs, k), "sets")
+    sets = written.where("n is not null").select("doc_id", "row", "n", "node")
+    rows, total = sets.agg(F.count(F.lit(1)), F.sum("n")).first()
+    hot = hot_cells(written, rows)
     nodes = sets.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = max(TOKEN_BITS - _KEPT, min(30, int(total // BUCKET_TOKENS).bit_length()))
-    shared = durable(_shared(_dealt(docs, k, bits), bits), "shared")
+    bits = max(TOKEN_BITS - _KEPT, min(30, int((total or 0) // BUCKET_TOKENS).bit_length()))
+    shared = durable(_shared(_dealt(docs, k, bits, hot), bits, hot), "shared")
     held = shared.groupBy("node").agg(F.sum(F.size("tokens")).alias("m")).join(nodes, "node").where(F.col("m") * 100 >= F.col("n") * percent)
     kept = shared.join(held, "node").groupBy("node", "n").agg(F.flatten(F.collect_list(F.arrays_zip("counts", "tokens"))).alias("have"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("have"))
@@ -260,32 +357,19 @@ def _components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     first = kept.select("node", F.explode(F.slice("have", 1, F.col("prefix"))["tokens"]).alias("token"))
     roots = first.groupBy("token").agg(F.min("node").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
     block = components(first.join(roots, "token").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "block")
-    block = durable(block, "blocks")
-    blocks = block.join(kept.select("node", F.size("have").alias("m")), "node").groupBy("block").agg(F.sum("m").alias("m"))
-    parts = blocks.select("block", F.ceil(F.col("m") / BLOCK_TOKENS).cast("int").alias("parts"))
-    members = kept.join(block, "node").join(parts, "block")
+    place = durable(_grouped(kept, first, durable(block, "blocks")), "groups")
+    sized = place.join(kept.select("node", F.size("have").alias("m")), "node").groupBy("block", "grp").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("nodes"))
+    parts = sized.where("nodes > 1").select("block", "grp", F.ceil(F.col("m") / BLOCK_TOKENS).cast("int").alias("parts"))
+    members = kept.join(place, "node").join(parts, ["block", "grp"])
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.withColumn("block", F.xxhash64("block", "grp"))
     members = members.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", F.col("have.tokens").alias("tokens"), F.col("have.counts").alias("counts"))
     found = durable(_tries(members.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j"), percent), "links")
     joined = components(found)
     # what a text with its group of equal sets needs is worked out for each node; rows of documents meet it last
-    nodes = durable(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "nodes")
-    keyed = nodes.join(joined, "node", "left").withColumn("key", F.coalesce("root", "node"))
-    least = keyed.groupBy("key").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    named = hot_join(durable(keyed.select("node", "key", "rows"), "keys"), durable(least, "least"), "key", "nodes")
-    full = hot_join(sets.where("n > 0"), durable(named.select("node", "rows", "component_id"), "named"), "node", "rows")
-    full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
-
-def one_of_each(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; of rows that repeat a doc_id, one stays. Rows of null doc_id stay."""
-    found = durable(jaccard_components(docs, percent, k), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    many = durable(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeats")
-    kept = docs.join(checked_broadcast(durable(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
-    if many.isEmpty():
-        return kept
-    many = checked_broadcast(many)
-    once = kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    best = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    nodes = durable(sets.where("n > 0").groupBy("node").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("rows")), "nodes")
+    keyed = durable(nodes.join(joined, "node", "left").withColumn("key", F.coalesce("root", "node")), "keyed")
+    least = keyed.groupBy("key").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("nodes"))
+    named = hot_join(keyed.select("node", "key", "rows"), durable(least, "least"), "key", "nodes")
+    return sets, durable(named.select("node", "rows", "best"), "named")
