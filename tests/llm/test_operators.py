@@ -377,6 +377,44 @@ def test_url_filter(spark):
     assert url_filter.verdicts(captures.limit(0), entries).count() == 0 and url_filter.verdicts(captures, entries.limit(0)).where("verdict is not null").count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_url_filter_against_force(spark, monkeypatch, most):
+    """Odd URLs, many dates of one key, same-day entries and a hot URL, against a plain loop; with the list broadcast and shuffled."""
+    monkeypatch.setattr(url_filter, "BROADCAST_INTERVALS", most)
+    random = np.random.default_rng(8)
+    keys = ["evil.com", "a.evil.com", "x.org", "x.org/p/", "x.org/p/q/", "EVIL.com.", "deep.x.org/"]
+    rows = [(keys[i], [None, "block", "allow", "review"][v], int(d)) for i, v, d in zip(random.integers(0, len(keys), 600), random.integers(0, 4, 600), random.integers(0, 200, 600))]
+    rows += [(None, "block", 5), ("x.org", "block", None), ("same.net", "block", 10), ("same.net", None, 10), ("same.net", "allow", 50)]
+    entries = spark.createDataFrame(rows, "key string, verdict string, d int").selectExpr("key", "verdict", "date_add(date'2024-01-01', d) as dated")
+    urls = {
+        "http://user:pw@evil.com/": "evil.com", "http://evil.com./": "evil.com", " http://evil.com/\n": "evil.com", "HTTPS://A.Evil.com:8080/z": "a.evil.com", "http://notevil.com/": "notevil.com",
+        "http:\\\\evil.com\\p": "evil.com", "http://x.org/p/q/r?u=/s/": "x.org", "http://x.org?/p/": "x.org", "http://x.org/p#/q/": "x.org", "http://deep.x.org/": "deep.x.org", "http://deep.x.org": "deep.x.org",
+        "http://x.org:80@evil.com:90/p/": "evil.com", "http://[::1]:80/": "[::1]", "junk": "", "": "", "http://": "", "http://same.net/": "same.net", "http://x.org/" + "p/" * 30_000: "x.org", "http://" + "a." * 5000 + "x.org/p/": "a." * 5000 + "x.org",
+    }
+    asked = [(u, int(d)) for u in urls for d in random.integers(0, 210, 6)] + [(None, 3), ("http://evil.com/", None)] + [("http://evil.com/hot", 77)] * 3000 + [("http://same.net/", 10), ("http://same.net/", 50)]
+    urls["http://evil.com/hot"] = "evil.com"
+    captures = spark.createDataFrame([(i, u, d, "clash", 7) for i, (u, d) in enumerate(asked)], "id long, url string, d int, matched_key string, _rows2 int").withColumn("fetched", F.expr("date_add(date'2024-01-01', d)"))
+    days = {}
+    for k, v, d in rows:
+        if k and d is not None:
+            days.setdefault(k.lower().rstrip("."), {}).setdefault(d, []).append(v)
+
+    def expected(u, d):
+        if u is None or d is None or not urls.get(u):
+            return None, None
+        path = re.sub(r"[?#].*", "", u.strip().lower().replace("\\", "/")).split("://", 1)[-1].partition("/")
+        hit = []
+        for k, by in days.items():
+            inside = (urls[u] + path[1] + path[2]).startswith(k) if k.endswith("/") else urls[u] == k or urls[u].endswith("." + k)
+            held = [by[x] for x in sorted(by) if x <= d]
+            if inside and held and None not in held[-1]:
+                hit.append((len(k), k, max(held[-1])))
+        return max(hit)[:0:-1] if hit else (None, None)
+
+    got = {r.id: (r.verdict, r.matched_key) for r in url_filter.verdicts(captures, entries).collect()}
+    assert got == {i: expected(u, d) for i, (u, d) in enumerate(asked)} and len({v for v, _ in got.values()}) == 4
+
+
 def test_pipeline(spark, real):
     import corpus_pipeline
 

@@ -66,30 +66,29 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: A list's dated entries: (key, verdict or None for a removal, first day).
-URL_LIST = [
-    ("casino-win.example.com", "block", "2024-01-10"),
-    ("casino-win.example.com", None, "2024-05-01"),
-    ("casino-win.example.com", "block", "2024-08-15"),
-    ("free-bets.example.com", "block", "2024-03-01"),
-    ("free-bets.example.com", "allow", "2024-11-01"),
-    ("example.net", "review", "2024-02-01"),
-    ("example.net", None, "2024-06-30"),
-    ("example.org", "review", "2024-07-01"),
-    ("example.com", "allow", "2023-12-01"),
-    ("example.com", "review", "2024-09-01"),
-    ("m.casino-win.example.com/en/", "block", "2024-05-15"),
-    ("m.casino-win.example.com/en/", None, "2024-07-15"),
-    ("m.free-bets.example.com", "block", "2024-10-01"),
-]
+#: Dated entries that op10's list has for a host and for a path prefix, and their verdicts (none is a removal).
+HOST_ENTRIES, PREFIX_ENTRIES, VERDICTS = 24, 3, ("block", "review", "allow", None, "block")
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """(key, verdict, dated): thousands of entries for half of the hosts and path prefixes in pages (url), with days and verdicts by an MD5 of the key, as the tables
+    have no list."""
+    url = F.lower("url")
+    keys = pages.select(F.explode(F.array(F.regexp_extract(url, "://([^/?#]*)", 1), F.regexp_extract(url, "://([^?#]*/)", 1))).alias("key")).where("key <> ''").distinct()
+    keys = keys.where(F.substring(F.md5("key"), 1, 1) < "8")
+    times = F.when(F.col("key").endswith("/"), PREFIX_ENTRIES).otherwise(HOST_ENTRIES)
+    dated = keys.select("key", F.explode(F.sequence(F.lit(1), times)).alias("nth")).withColumn("h", F.md5(F.concat_ws("#", "key", F.col("nth").cast("string"))))
+    number = lambda at, n: F.conv(F.substring("h", at, 6), 16, 10).cast("int") % n
+    day = F.date_add(F.lit("2023-10-01").cast("date"), number(1, 450))
+    return dated.select("key", F.array(*(F.lit(v) for v in VERDICTS))[number(7, len(VERDICTS))].alias("verdict"), day.alias("dated"))
 
 
 def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's day of capture is derived from its page_id, as the table has none."""
-    entries = spark.createDataFrame(URL_LIST, "key string, verdict string, dated string").withColumn("dated", F.to_date("dated"))
+    pages = table(spark, sf_dir, "pages")
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int"))
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
-    found = verdicts(captures, entries)
+    captures = pages.select("page_id", "url", day.alias("fetched"))
+    found = verdicts(captures, url_list(pages))
     return found.select("page_id", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), F.coalesce("verdict", F.lit("unlisted")).alias("verdict"), "matched_key")
 
 
@@ -100,20 +99,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, C
   CASE WHEN keep <> page_id THEN keep END AS refers_to FROM q
 """
 
-OP10_SQL = r"""
-WITH entries(key, verdict, dated) AS (VALUES {values}),
-spans AS (SELECT key, verdict, CAST(dated AS DATE) AS f, lead(CAST(dated AS DATE)) OVER (PARTITION BY key ORDER BY dated) AS t FROM entries),
-captures AS (
-  SELECT page_id, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS d, regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://([^/?#:]*)', 1) AS host,
-    regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages
+# hosts by splitting at marks, verdicts by the last entry up to the day, keys by comparing all of them
+OP10_SQL = f"""
+WITH keys AS (
+  SELECT DISTINCT key FROM (SELECT split_part(split_part(split_part(split_part(lower(url), '://', 2), '/', 1), '?', 1), '#', 1) AS key FROM pages
+    UNION SELECT regexp_extract(lower(url), '://([^?#]*/)', 1) FROM pages) WHERE key <> '' AND substr(md5(key), 1, 1) < '8'
+), listed AS (
+  SELECT key, md5(key || '#' || nth) AS h FROM (SELECT key, unnest(generate_series(1, CASE WHEN ends_with(key, '/') THEN {PREFIX_ENTRIES} ELSE {HOST_ENTRIES} END)) AS nth FROM keys)
+), entries AS (
+  SELECT key, (DATE '2023-10-01' + CAST(CAST('0x' || substr(h, 1, 6) AS INTEGER) % 450 AS INTEGER)) AS dated,
+    [{", ".join(f"'{v}'" if v else "NULL" for v in VERDICTS)}][1 + CAST('0x' || substr(h, 7, 6) AS INTEGER) % {len(VERDICTS)}] AS verdict FROM listed
+), daily AS (
+  SELECT key, dated, CASE WHEN count(verdict) = count(*) THEN max(verdict) END AS verdict FROM entries GROUP BY key, dated
+), captures AS (
+  SELECT page_id, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS d, rtrim(regexp_replace(regexp_replace(string_split(rest, '/')[1], '.*@', ''), ':[0-9]*$', ''), '.') AS host,
+    CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path
+  FROM (SELECT page_id, split_part(split_part(split_part(lower(trim(url)), '://', 2), '?', 1), '#', 1) AS rest FROM pages)
+), latest AS (
+  SELECT c.page_id, e.key, e.verdict, row_number() OVER (PARTITION BY c.page_id, e.key ORDER BY e.dated DESC) AS r
+  FROM captures c JOIN daily e ON e.dated <= c.d AND c.host <> '' AND (c.host = e.key OR ends_with(c.host, '.' || e.key) OR (ends_with(e.key, '/') AND starts_with(c.host || c.path, e.key)))
 ), hits AS (
-  SELECT c.page_id, s.key, s.verdict, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.key) DESC, s.key DESC) AS r
-  FROM captures c JOIN spans s ON s.verdict IS NOT NULL AND c.d >= s.f AND (s.t IS NULL OR c.d < s.t) AND c.host <> ''
-    AND (c.host = s.key OR ends_with(c.host, '.' || s.key) OR (ends_with(s.key, '/') AND starts_with(c.host || c.path, s.key)))
+  SELECT page_id, key, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, key DESC) AS r FROM latest WHERE r = 1 AND verdict IS NOT NULL
 )
 SELECT c.page_id, strftime(c.d, '%Y-%m-%d') AS fetched, coalesce(h.verdict, 'unlisted') AS verdict, h.key AS matched_key
 FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.r = 1
-""".replace("{values}", ", ".join(f"('{k}', {repr(v) if v else 'NULL'}, '{d}')" for k, v, d in URL_LIST))
+"""
 
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
