@@ -104,13 +104,25 @@ def test_alignment(spark):
 
 
 def test_memory_takes_the_lower_median(spark):
-    rows = spark.createDataFrame([("s", i, 0, [v]) for i, v in enumerate([4.0, 1.0, 3.0, 2.0])], "series_id string, window_id long, token_idx long, tok array<double>")
-    assert tokens.memory(rows).first().mem == [2.0]
+    rows = spark.createDataFrame([("s", i, 0, [v, -v]) for i, v in enumerate([4.0, 1.0, 3.0, 2.0])], "series_id string, window_id long, token_idx long, tok array<double>")
+    assert tokens.memory(tokens.packed(rows)).first().mem == [2.0, -3.0]
+    wide = np.random.default_rng(3).normal(size=(9, 150))  # more dimensions than one row carries
+    rows = spark.createDataFrame([("s", i, 0, v.tolist()) for i, v in enumerate(wide)], rows.schema)
+    assert np.array_equal(tokens.memory(tokens.packed(rows)).first().mem, np.sort(wide, axis=0)[4])
 
 
 def test_raster_and_png():
     image = render.raster(np.linspace(0, 1, 50), 32, 32)
     assert image.shape == (32, 32) and image[31, 0] == 0 and image[0, 31] == 0 and image[0, 0] == 1
+    force = np.ones((20, 9))  # each column's pixels by their distance to the line's span there
+    y = (1 - np.interp(np.arange(9), np.linspace(0, 8, 5), v := np.array([0.1, 0.9, 0.4, 0.4, 1.0]))) * 19
+    for c in range(9):
+        a, b = y[max(0, c - 1)], y[min(8, c + 1)]
+        half = abs(b - a) / (4 if 0 < c < 8 else 2)
+        for r in range(20):
+            force[r, c] = min(1, max(0, abs(r - y[c]) - half))
+    assert np.allclose(render.raster(v, 20, 9), force, atol=1e-6)
+    assert render.raster(np.array([5.0, 7.0]), 8, 8, None, None)[0, 7] == 0
     assert render.png(image).startswith(b"\x89PNG") and render.PatchEncoder(16, 8)(image).shape == (4, 8)
     assert (render.raster([float("nan")]) == 1).all()
 
@@ -177,3 +189,124 @@ def test_experiment(spark, tmp_path):
     assert len(got) == 6
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted({(r.signal, r.status) for r in rows}) == [("a", "success"), ("b", "no_gt")] and len(rows) == 12
+
+
+def test_plots_can_be_read():
+    assert render.ticks(0, 1000, 11).tolist() == list(range(0, 1001, 100)) and render.ticks(3, 3, 5).tolist() == [3]
+    x = np.arange(3000)
+    drawn = render.plot(x, np.where(x == 1500, 9.0, 0.0))
+    assert drawn.shape == (342, 1200) and drawn[:300, 72 + 564].min() == 0 and drawn[10:250, 300:600].min() == 1  # one spike in the middle
+    assert (drawn[320:342] < 0.5).sum() > 200  # figures under the axis
+    assert render.plot(x[:0], x[:0].astype(float)).shape == (342, 1200)
+    assert render.label("10").sum() == (15 - 2 + 4 - 8 + 0) * 4 or render.label("10").max() == 1
+
+
+def test_one_window_in_numpy_is_the_frames_together(spark):
+    random = np.random.default_rng(11)
+    side, size, share = 4, 8, 0.25
+    toks = random.normal(size=(6, side * side, 5))
+    rows = spark.createDataFrame([("s", w, i, toks[w, i].tolist()) for w in range(6) for i in range(side * side)], "series_id string, window_id long, token_idx long, tok array<double>")
+    windows, masks = tokens.packed(rows), {"large": tokens.mask_matrix(side, 3), "mid": tokens.mask_matrix(side, 2)}
+    maps, memories = [], {"patch": tokens.memory(windows)}
+    for name, k in (("large", 3), ("mid", 2)):
+        own = tokens.pooled(windows, masks[name])
+        memories[name] = tokens.memory(own)
+        maps.append(tokens.harmonic(tokens.dissimilarity(own, memories[name]), tokens.make_masks(spark, side, k), side))
+    plain = tokens.dissimilarity(windows, memories["patch"]).withColumnRenamed("token_idx", "patch")
+    want = tokens.column_top(tokens.upsampled(tokens.fused(*maps, plain), side, size), size, share).collect()
+    found = tokens.with_memory(windows, memories, lambda t, held: tokens.column_scores(t, held, masks, side, size, share)).collect()
+    got = {(r.window_id, c): v for r in found for c, v in enumerate(r.out)}
+    assert len(got) == len(want) == 48 and all(got[r.window_id, r.c] == pytest.approx(r.score) for r in want)
+    for k in (2, 3):
+        listed = tokens.make_masks(spark, side, k).collect()
+        assert {(r.mask_idx, r.patch_idx) for r in listed} == set(zip(*np.nonzero(tokens.mask_matrix(side, k))))
+
+
+def test_windows_meet_their_memory_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "STRETCH", 3)
+    rows = spark.createDataFrame([(s, w, [[float(w), 1.0]]) for s in "ab" for w in range(10)], "series_id string, window_id long, toks array<array<double>>")
+    mem = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0])], "series_id string, token_idx long, mem array<double>")
+    got = {(r.series_id, r.window_id): r.out for r in tokens.with_memory(rows, {"m": mem}, lambda t, held: (t @ held["m"].T)[:, 0]).collect()}
+    assert got == {(s, w): [float(w) if s == "a" else 1.0] for s in "ab" for w in range(10)}
+
+
+def test_overlaps_against_force(spark):
+    random = np.random.default_rng(12)
+
+    def some(n):
+        start = random.integers(0, 3000, n)
+        return [(f"s{i % 3}", int(a), int(a + length)) for i, (a, length) in enumerate(zip(start, np.where(random.random(n) < 0.05, 2000, random.integers(0, 30, n))))]
+
+    a, b = some(300), some(250)
+    a += a[:5]
+    schema = "series_id string, start long, end long"
+    found, truth = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    pairs = [(x, y) for x in a for y in b if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]]
+    assert sorted(tuple(r) for r in evaluate.overlap_pairs(found, truth).collect()) == sorted((*x, *y[1:]) for x, y in pairs)
+    hit, seen = {x for x, _ in pairs}, {y for _, y in pairs}
+    assert sorted(tuple(r) for r in evaluate.unmatched(found, truth).collect()) == sorted(x for x in a if x not in hit)
+    assert sorted(tuple(r) for r in evaluate.matched(truth, found).collect()) == sorted(y for y in b if y in seen)
+    got = {r.series_id: (r.tp, r.fp, r.fn) for r in evaluate.interval_rates(found, truth, spark.createDataFrame([("s0",), ("s1",), ("s2",), ("none",)], "series_id string")).collect()}
+    assert got == {s: (sum(x[0] == s for x, _ in pairs), sum(x[0] == s and x not in hit for x in a), sum(y[0] == s and y not in seen for y in b)) for s in ("s0", "s1", "s2", "none")}
+    odd = spark.createDataFrame([("s0", 9, 4)], schema)  # an end before its start
+    assert evaluate.overlap_pairs(odd, spark.createDataFrame([("s0", 1, 20), ("s0", 4, 5)], schema)).count() == 1
+
+
+class Fussy(render.PatchEncoder):
+    """Fails on windows that go down at their end."""
+
+    def __call__(self, image):
+        if image[: len(image) // 2, -1].min() > 0.5:
+            raise RuntimeError("no such picture")
+        return super().__call__(image)
+
+
+def test_detectors_options_and_failures(spark):
+    from tidemark.plans.detector import ScreeningDetector, sweep
+
+    x = np.sin(np.arange(300) / 9) + np.where(np.arange(300) > 285, 4, 0)
+    rows = [("up", float(i), float(v)) for i, v in enumerate(x)] + [("down", float(i), float(-v)) for i, v in enumerate(x)] + [("none", float(i), None) for i in range(80)]
+    df = spark.createDataFrame(rows, "series_id string, ts double, value double")
+    small = dict(window_size=60, side=64)
+    scores = ScreeningDetector(**small, encoder=Fussy()).scores(df).cache()
+    errors = {r.series_id: r.error for r in scores.select("series_id", "error").distinct().collect()}
+    assert errors["down"] == "RuntimeError: no such picture" and errors["none"] == "no readable value"
+    roster = spark.createDataFrame([("up", 1), ("down", 1)], "series_id string, n_ground_truth long")
+    truth = spark.createDataFrame([("up", 286.0, 299.0)], "series_id string, start double, end double")
+    got = sweep(scores, truth, roster, "D", (0.1,)).collect()
+    assert {(r.signal, r.status) for r in got if r.signal != "up"} == {("down", "failed"), ("none", "failed")} and all(r.f1 is None for r in got if r.status == "failed")
+    for options in ({"standardize": False}, {"kernels": ()}, {"kernels": (2,), "index_shift": 0}):
+        one = ScreeningDetector(**small, **options).scores(df.where("series_id = 'up'")).collect()
+        assert len(one) == 300 and max(r.score for r in one) > 0 and all(r.error is None for r in one)
+
+
+def test_requests_and_sinks(spark, tmp_path):
+    import base64
+    import json
+
+    from tidemark.operators import verify
+    from tidemark.sources import files
+
+    def send(body):
+        part = json.loads(body)["messages"][0]["content"]
+        assert part[0]["text"] == "what?" and base64.b64decode(part[1]["image_url"]["url"].removeprefix("data:image/png;base64,")).startswith(b"\x89PNG")
+        return "answer"
+
+    assert verify.ChatVerifier(send, "some-model")("what?", render.png(np.ones((4, 4)))) == "answer"
+    windows = spark.createDataFrame([("a/b", 0, [0.0, 1.0]), ("a/b", 1, [1.0, 0.0])], "series_id string, window_id long, points array<double>")
+    imaged = render.images(windows, 32)
+    first, again = (files.write_images(imaged, str(tmp_path / "png"), 32).collect() for _ in range(2))
+    assert all(r.written for r in first) and not any(r.written for r in again) and len(list((tmp_path / "png" / "a%2Fb").iterdir())) == 2
+    files.write_windows(windows, str(tmp_path / "windows"))
+    assert spark.read.parquet(str(tmp_path / "windows")).count() == 2
+
+
+def test_a_long_series_is_asked_about_by_few_points(spark):
+    from tidemark.operators import verify
+
+    x = np.random.default_rng(5).normal(size=9000)
+    seen = []
+    rows = series.with_index(of(spark, x.tolist()))
+    raw = verify.answers(verify.prompts(spark.createDataFrame([("s", 3, 9)], "series_id string, s long, e long")), rows, verify.KeepAll())
+    got = verify.answered(raw).collect()
+    assert [(r.s, r.e) for r in got] == [(3, 9)] and not seen

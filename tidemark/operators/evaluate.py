@@ -5,30 +5,87 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import safe_ratio
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> Column:
-    """Closed intervals of one series touch."""
-    return (a.series_id == b.series_id) & (a.start <= b.end) & (b.start <= a.end)
+def _number(c: str, kind: str) -> Column:
+    """A time, of this type, as a number: seconds, or what it is."""
+    if kind == "timestamp_ntz":  # whatever the session's zone
+        day = F.unix_date(F.col(c).cast("date")).cast("double")
+        return day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+    return (F.unix_date(c) if kind == "date" else F.col(c)).cast("double")
+
+
+def _level() -> Column:
+    """The least whole number of which the power of 2 is no less than the interval's length."""
+    return F.ceil(F.log2(F.greatest(F.col("_e") - F.col("_s"), F.lit(1.0)))).cast("int")
+
+
+def _levelled(df: DataFrame, levels: list[int], side: str) -> DataFrame:
+    """A row for each level from an interval's own on and each block of 2**level that it touches there: at most two, as an interval is no longer than its level."""
+    rows = df.withColumn("_own", _level()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).where("_level >= _own")
+    block = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    rows = rows.withColumn("_block", F.explode(F.sequence(block("_s"), block("_e"))))
+    return rows.select("series_id", *(F.col(c).alias(f"{side}{c}") for c in ("start", "end", "_own", "_s")), "_level", "_block")
 
 
 def overlap_pairs(found: DataFrame, truth: DataFrame) -> DataFrame:
-    f, t = found.alias("f"), truth.alias("t")
-    on = (F.col("f.series_id") == F.col("t.series_id")) & (F.col("f.start") <= F.col("t.end")) & (F.col("t.start") <= F.col("f.end"))
-    return f.join(t, on).select("f.series_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("t.start").alias("truth_start"), F.col("t.end").alias("truth_end"))
+    """(series_id, start, end, truth_start, truth_end) of closed intervals of one series that touch.
+
+    Intervals meet in blocks of time whose length is that of the longer one's level, so a long series isn't one key, and a long interval isn't many rows. An
+    interval whose end is before its start is compared with all of its series.
+    """
+    kind = dict(found.dtypes)["start"]
+    found, truth = (df.select("series_id", "start", "end", _number("start", kind).alias("_s"), _number("end", kind).alias("_e")) for df in (found, truth))
+    ordered = F.col("start") <= F.col("end")
+    levels = sorted(found.unionByName(truth).where(ordered).agg(F.collect_set(_level())).first()[0]) or [0]  # those that there are, some dozens at most
+    f, t = _levelled(found.where(ordered), levels, "f"), _levelled(truth.where(ordered), levels, "t")
+    both = (F.col("fstart") <= F.col("tend")) & (F.col("tstart") <= F.col("fend"))
+    # each pair once: at the level of the longer one, in the block in which the later begins
+    once = (F.col("_level") == F.greatest("f_own", "t_own")) & (F.col("_block") == F.floor(F.greatest("f_s", "t_s") / F.pow(F.lit(2.0), F.col("_level"))))
+    names = ("series_id", "fstart", "fend", "tstart", "tend")
+    pairs = f.join(t, ["series_id", "_level", "_block"]).where(both & once).select(*names)
+    for a, b in ((found.where(~ordered), truth), (found.where(ordered), truth.where(~ordered))):
+        a, b = a.select("series_id", F.col("start").alias("fstart"), F.col("end").alias("fend")), b.select("series_id", F.col("start").alias("tstart"), F.col("end").alias("tend"))
+        pairs = pairs.unionByName(a.join(b, "series_id").where(both).select(*names))
+    return pairs.toDF("series_id", "start", "end", "truth_start", "truth_end")
+
+
+def overlap_counts(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(side, series_id, start, end, copies, overlaps): how many of the other side's intervals each touches; side is f or t.
+
+    What touches has begun by an interval's end and not ended before its start: one running count of begins and ends in order of time answers all of a series'
+    intervals, and each input is read once. Begins go before ends of the same time. Ends before starts are turned round for this.
+    """
+    low, high = F.least("start", "end"), F.greatest("start", "end")
+    rows = None
+    for side, df in (("f", found), ("t", truth)):
+        marks = F.array(F.struct(low.alias("at"), F.lit(0).alias("kind")), F.struct(high.alias("at"), F.lit(1).alias("kind")))
+        own = df.select(F.lit(side).alias("side"), "series_id", "start", "end", F.explode(marks).alias("m")).select("side", "series_id", "start", "end", "m.at", "m.kind")
+        rows = own if rows is None else rows.unionByName(own)
+    upto = Window.partitionBy("series_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lambda side, kind: F.sum(F.when((F.col("side") == side) & (F.col("kind") == kind), 1).otherwise(0)).over(upto)
+    other = F.when(F.col("side") == "f", F.when(F.col("kind") == 0, -seen("t", 1)).otherwise(seen("t", 0))).otherwise(F.when(F.col("kind") == 0, -seen("f", 1)).otherwise(seen("f", 0)))
+    counted = rows.withColumn("other", other).groupBy("side", "series_id", "start", "end")
+    copies = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))
+    return counted.agg(copies.alias("copies"), (F.max(F.when(F.col("kind") == 1, F.col("other"))) + F.max(F.when(F.col("kind") == 0, F.col("other")))).alias("overlaps"))
+
+
+def _of_side(a: DataFrame, b: DataFrame, touching: bool) -> DataFrame:
+    counts = overlap_counts(a, b).where("side = 'f'").where("overlaps > 0" if touching else "overlaps = 0").select("series_id", "start", "end")
+    return a.join(counts, ["series_id", "start", "end"], "left_semi").select(a.columns)
 
 
 def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a that overlap nothing in b: false positives, or misses with the sides turned."""
-    return a.join(b, overlaps(a, b), "left_anti")
+    return _of_side(a, b, False)
 
 
 def matched(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, overlaps(a, b), "left_semi")
+    return _of_side(a, b, True)
 
 
 def rates(counts: DataFrame) -> DataFrame:
@@ -39,10 +96,10 @@ def rates(counts: DataFrame) -> DataFrame:
 
 def interval_rates(found: DataFrame, truth: DataFrame, roster: DataFrame) -> DataFrame:
     """(series_id, tp, fp, fn, precision, recall, f1) for each series of the roster. tp counts overlapping pairs."""
-    count = lambda df, name: df.groupBy("series_id").agg(F.count(F.lit(1)).alias(name))
-    parts = [count(overlap_pairs(found, truth), "tp"), count(unmatched(found, truth), "fp"), count(unmatched(truth, found), "fn")]
-    joined = reduce(lambda a, b: a.join(b, "series_id", "left"), parts, roster.select("series_id").distinct())
-    return rates(joined.na.fill(0, ["tp", "fp", "fn"]))
+    total = lambda side, value: F.sum(F.when(F.col("side") == side, value).otherwise(0))
+    alone = F.when(F.col("overlaps") == 0, F.col("copies")).otherwise(0)
+    sums = overlap_counts(found, truth).groupBy("series_id").agg(total("f", F.col("copies") * F.col("overlaps")).alias("tp"), total("f", alone).alias("fp"), total("t", alone).alias("fn"))
+    return rates(roster.select("series_id").distinct().join(sums, "series_id", "left").na.fill(0, ["tp", "fp", "fn"]))
 
 
 def with_status(detected: DataFrame, roster: DataFrame) -> DataFrame:

@@ -12,13 +12,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Figures of 3 x 5 dots for the plots' labels, row by row.
+_FIGURES = {
+    "0": "111101101101111", "1": "010110010010111", "2": "111001111100111", "3": "111001011001111", "4": "101101111001001", "5": "111100111001111",
+    "6": "111100111101111", "7": "111001010010010", "8": "111101111101111", "9": "111101111001111", "-": "000000111000000", ".": "000000000000010", "e": "000111101110011", "+": "000010111010000",
+}
 
-def raster(values: np.ndarray, height: int = 64, width: int = 64, low: float = 0.0, high: float = 1.0) -> np.ndarray:
-    """A black line on white, 1 pixel wide with soft edges, from the left edge to the right; gray values 0 to 1, missing points are left out."""
+
+def raster(values: np.ndarray, height: int = 224, width: int = 224, low: float | None = 0.0, high: float | None = 1.0) -> np.ndarray:
+    """A black line on white, 1 pixel wide with soft edges, from the left edge to the right; gray values 0 to 1, missing points are left out.
+
+    low or high None: the least or greatest value.
+    """
     values = np.asarray(values, float)
     known = np.isfinite(values)
     if not known.any():
         return np.ones((height, width), np.float32)
+    low, high = values[known].min() if low is None else low, values[known].max() if high is None else high
     x = np.linspace(0, width - 1, len(values)) if len(values) > 1 else np.array([(width - 1) / 2])
     y = np.interp(np.arange(width), x[known], values[known])
     y = (1 - np.clip((y - low) / ((high - low) or 1), 0, 1)) * (height - 1)
@@ -27,6 +37,64 @@ def raster(values: np.ndarray, height: int = 64, width: int = 64, low: float = 0
     return np.clip(np.maximum(np.abs(rows - y) - half, 0), 0, 1).astype(np.float32)
 
 
+def ticks(low: float, high: float, most: int) -> np.ndarray:
+    """At most so many round numbers from low to high: steps of 1, 2 or 5 times a power of ten."""
+    if not high > low:
+        return np.array([low])
+    rough = (high - low) / max(1, most - 1)
+    power = 10.0 ** np.floor(np.log10(rough))
+    step = next(power * k for k in (1, 2, 5, 10) if power * k >= rough * (1 - 1e-9))
+    return np.arange(np.ceil(low / step - 1e-9), np.floor(high / step + 1e-9) + 1) * step
+
+
+def label(text: str, size: int = 2) -> np.ndarray:
+    """Figures as ink (1) on paper (0)."""
+    dots = [np.array(list(_FIGURES.get(c, "0" * 15)), np.uint8).reshape(5, 3) for c in text]
+    return np.kron(np.hstack([np.pad(d, ((0, 0), (0, 1))) for d in dots]), np.ones((size, size), np.uint8)).astype(np.float32)
+
+
+def plot(index: np.ndarray, values: np.ndarray, height: int = 342, width: int = 1200, margins: tuple[int, int] = (72, 28)) -> np.ndarray:
+    """A series against its index, with axes: numbered ticks at round places and unnumbered ones between them, so that indices can be read off."""
+    known = np.isfinite(values)
+    index, values = np.asarray(index, float)[known], np.asarray(values, float)[known]
+    left, below = margins
+    wide, tall, out = width - left, height - below, np.ones((height, width), np.float32)
+    out[:tall, left], out[tall - 1, left:] = 0, 0
+    if not len(index):
+        return out
+    x_low, x_high, y_low, y_high = index.min(), index.max(), values.min(), values.max()
+    across = lambda i: (np.asarray(i) - x_low) / ((x_high - x_low) or 1) * (wide - 1)
+    down = lambda v: (1 - (np.asarray(v) - y_low) / ((y_high - y_low) or 1)) * (tall - 8) + 3
+    x, y = across(index), down(values)
+    edges = np.interp(np.arange(wide + 1) - 0.5, x, y)
+    top, bottom = np.minimum(edges[:-1], edges[1:]), np.maximum(edges[:-1], edges[1:])
+    column = np.clip(np.round(x).astype(int), 0, wide - 1)
+    np.minimum.at(top, column, y)
+    np.maximum.at(bottom, column, y)
+    rows = np.arange(tall)[:, None]
+    line = np.clip(np.maximum(top - rows, rows - bottom), 0, 1)
+    out[:tall, left:] = np.minimum(out[:tall, left:], line)
+
+    def put(ink: np.ndarray, row: int, col: int) -> None:
+        row, col = max(0, min(row, height - ink.shape[0])), max(0, min(col, width - ink.shape[1]))
+        out[row : row + ink.shape[0], col : col + ink.shape[1]] = np.minimum(out[row : row + ink.shape[0], col : col + ink.shape[1]], 1 - ink)
+
+    major = ticks(x_low, x_high, 11)
+    for i in major:
+        at = left + int(round(float(across(i))))
+        out[tall - 1 : tall + 6, at] = 0
+        ink = label(f"{i:.0f}")
+        put(ink, tall + 9, at - ink.shape[1] // 2)
+    for i in (major[1:] + major[:-1]) / 2:
+        out[tall - 1 : tall + 4, left + int(round(float(across(i))))] = 0
+    for v in ticks(y_low, y_high, 5):
+        at = int(round(float(down(v))))
+        out[at, left - 6 : left] = 0
+        ink = label(f"{v:.5g}")
+        put(ink, at - 5, left - 9 - ink.shape[1])
+    return out
+
+
 def png(gray: np.ndarray) -> bytes:
     """An 8-bit gray PNG."""
     rows = np.round(np.clip(gray, 0, 1) * 255).astype(np.uint8)
@@ -60,26 +128,30 @@ def windows_as_rows(windowed: DataFrame, value: str = "value_norm") -> DataFrame
     return rows.select("series_id", "window_id", F.col("p.v").alias("points"))
 
 
-def images(windows: DataFrame, side: int = 64) -> DataFrame:
-    """(series_id, window_id, image): float32 gray values, row by row."""
+def images(windows: DataFrame, side: int = 224, low: float | None = 0.0, high: float | None = 1.0) -> DataFrame:
+    """(series_id, window_id, image): 8-bit gray values, row by row. low or high None: each window's own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["series_id", "window_id"]].assign(image=[raster(p, side, side).tobytes() for p in b.points])
+            drawn = [np.round(raster(p, side, side, low, high) * 255).astype(np.uint8).tobytes() for p in b.points]
+            yield b[["series_id", "window_id"]].assign(image=drawn)
 
     return windows.mapInPandas(run, "series_id string, window_id long, image binary")
 
 
-def encoded(imaged: DataFrame, encoder: Encoder, side: int = 64) -> DataFrame:
-    """(series_id, window_id, token_idx, tok)."""
+def encoded(imaged: DataFrame, encoder: Encoder, side: int = 224) -> DataFrame:
+    """(series_id, window_id, toks, error): a window's tokens, or what the encoder failed with, which doesn't end the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            tokens = [encoder(np.frombuffer(x, np.float32).reshape(side, side)) for x in b.image]
-            n = len(tokens[0]) if tokens else 0
-            yield pd.DataFrame({
-                "series_id": np.repeat(b.series_id.to_numpy(), n), "window_id": np.repeat(b.window_id.to_numpy(), n), "token_idx": np.tile(np.arange(n), len(b)),
-                "tok": [row for t in tokens for row in t.astype(float)],
-            })
-
-    return imaged.mapInPandas(run, "series_id string, window_id long, token_idx long, tok array<double>")
+            toks, errors = [], []
+            for x in b.image:
+                try:
+                    toks.append(list(np.asarray(encoder(np.frombuffer(x, np.uint8).reshape(side, side).astype(np.float32) / 255), float)))
+                    errors.append(None)
+                except Exception as e:
+                    toks.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            yield pd.DataFrame({"series_id": b.series_id, "window_id": b.window_id, "toks": toks, "error": pd.Series(errors, dtype=object)})
+
+    return imaged.mapInPandas(run, "series_id string, window_id long, toks array<array<double>>, error string")

@@ -1,13 +1,23 @@
-"""Patch tokens (series_id, window_id, token_idx, tok) on a square grid: pooling, memory, dissimilarity, maps."""
+"""Patch tokens on a square grid: pooling, memory, dissimilarity, maps.
+
+Tokens come one to a row (series_id, window_id, token_idx, tok) or one window to a row (series_id, window_id, toks), tokens in order. What is a matrix product for each
+window (pooling, cosines to the memory) is one, in Arrow batches; a series' memory is sent once to each stretch of its windows, not to each token or window.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import doubles, dot, l2_normalised
+from tidemark.functions.scalar import doubles
 
 KEYS = ["series_id", "window_id"]
+#: Windows of a series that meet its memory in one key; dimensions whose medians one row of the memory's aggregation carries.
+STRETCH, DIMENSIONS = 4096, 64
 
 
 def make_masks(spark: SparkSession, side: int, kernel: int, stride: int = 1, scale: str = "mid") -> DataFrame:
@@ -20,31 +30,113 @@ def make_masks(spark: SparkSession, side: int, kernel: int, stride: int = 1, sca
     return cells.select(F.lit(scale).alias("scale"), "mask_idx", patch.cast("long").alias("patch_idx"))
 
 
-def pooled(tokens: DataFrame, masks: DataFrame) -> DataFrame:
-    """Tokens of each mask: the mean of its patches, dimension by dimension. The masks are a few hundred rows, made from the grid."""
-    joined = tokens.join(F.broadcast(masks), tokens.token_idx == masks.patch_idx)
-    each = joined.select(*KEYS, "mask_idx", F.posexplode(doubles(F.col("tok"))).alias("dim", "x")).groupBy(*KEYS, "mask_idx", "dim").agg(F.avg("x").alias("x"))
-    rows = each.groupBy(*KEYS, "mask_idx").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("d"))
-    return rows.select(*KEYS, F.col("mask_idx").alias("token_idx"), F.col("d.x").alias("tok"))
+def mask_matrix(side: int, kernel: int, stride: int = 1) -> np.ndarray:
+    """make_masks() as masks x patches, 1 where a mask has the patch."""
+    wide, out = (side - kernel) // stride + 1, np.zeros((((side - kernel) // stride + 1) ** 2, side, side))
+    for i in range(wide):
+        for j in range(wide):
+            out[i * wide + j, i * stride : i * stride + kernel, j * stride : j * stride + kernel] = 1
+    return out.reshape(wide * wide, side * side)
+
+
+def packed(tokens: DataFrame) -> DataFrame:
+    """(series_id, window_id, toks) of single tokens; a window has as many as the grid has places."""
+    rows = tokens.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("token_idx", doubles(F.col("tok")).alias("tok")))).alias("t"))
+    return rows.select(*KEYS, F.col("t.tok").alias("toks"))
+
+
+def unpacked(windows: DataFrame) -> DataFrame:
+    rows = windows.select(*KEYS, F.posexplode("toks").alias("token_idx", "tok"))
+    return rows.select(*KEYS, F.col("token_idx").cast("long").alias("token_idx"), "tok")
+
+
+def _matrix(cell: pa.Scalar) -> np.ndarray:
+    """An array of equally long arrays of numbers as a matrix."""
+    rows = cell.values
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(rows), -1)
+
+
+def _nested(rows: list[np.ndarray]) -> pa.Array:
+    flat = pa.ListArray.from_arrays(np.cumsum([0, *(r.shape[1] for r in rows for _ in range(len(r)))]).astype(np.int32), pa.array(np.concatenate([r.reshape(-1) for r in rows]) if rows else np.zeros(0)))
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), flat)
+
+
+def pooled(windows: DataFrame, masks: np.ndarray) -> DataFrame:
+    """windows with a token for each mask: the mean of its patches. One matrix product a window."""
+    mean = masks / masks.sum(1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("series_id"), b.column("window_id"), _nested([mean @ _matrix(x) for x in b.column("toks")])], names=[*KEYS, "toks"])
+
+    return windows.select(*KEYS, "toks").mapInArrow(run, "series_id string, window_id long, toks array<array<double>>")
+
 
+def memory(windows: DataFrame) -> DataFrame:
+    """(series_id, token_idx, mem): the lower median over all windows, dimension by dimension.
+
+    Rows are windows x tokens (times each 64 dimensions); tasks count their own values first.
+    """
+    first = windows.select(F.size(F.col("toks")[0]).alias("d")).first()
+    dims = first["d"] if first else 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1), F.lit(DIMENSIONS)), lambda i: F.slice("tok", i + 1, DIMENSIONS))
+    each = unpacked(windows).select("series_id", "token_idx", F.posexplode(parts).alias("part", "x"))
+    medians = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY get(x, {i}))").alias(f"m{i}") for i in range(min(dims, DIMENSIONS))]
+    rows = each.groupBy("series_id", "token_idx", "part").agg(*medians).select("series_id", "token_idx", "part", F.array(*(f"m{i}" for i in range(len(medians)))).alias("m"))
+    rows = rows.groupBy("series_id", "token_idx").agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "m")))["m"]).alias("mem"))
+    return rows.select("series_id", "token_idx", F.slice("mem", 1, dims).alias("mem"))
 
-def memory(tokens: DataFrame) -> DataFrame:
-    """(series_id, token_idx, mem): the lower median over all windows, dimension by dimension."""
-    each = tokens.select("series_id", "token_idx", F.posexplode(doubles(F.col("tok"))).alias("dim", "x"))
-    each = each.groupBy("series_id", "token_idx", "dim").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("x"))
-    rows = each.groupBy("series_id", "token_idx").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("d"))
-    return rows.select("series_id", "token_idx", F.col("d.x").alias("mem"))
 
+def with_memory(windows: DataFrame, memories: dict[str, DataFrame], run: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """(series_id, window_id, out): run(tokens of a window, its series' memory by name) for each window, an array of doubles.
 
-def dissimilarity(tokens: DataFrame, mem: DataFrame, row_side: int | None = None) -> DataFrame:
-    """(series_id, window_id, token_idx, score): half of 1 less the best cosine to the series' memory; row_side: to memory in the same row of the grid only."""
-    a = tokens.select(*KEYS, "token_idx", l2_normalised(F.col("tok")).alias("a"))
-    b = mem.select("series_id", F.col("token_idx").alias("m"), l2_normalised(F.col("mem")).alias("b"))
-    on = ["series_id"]
+    A stretch of a series' windows and a copy of its memory, ahead of them, are one sorted run of rows: one memory at a time is held, and no series is one task.
+    """
+    stretch = F.expr(f"window_id div {STRETCH}")
+    rows = windows.select("series_id", stretch.alias("stretch"), "window_id", F.lit(None).cast("string").alias("name"), "toks")
+    last = windows.groupBy("series_id").agg(F.max(stretch).alias("last"))
+    for name, mem in memories.items():
+        held = mem.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("token_idx", "mem")))["mem"].alias("toks")).join(last, "series_id")
+        copies = held.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("stretch"), F.lit(-1).cast("long").alias("window_id"), F.lit(name).alias("name"), "toks")
+        rows = rows.unionByName(copies)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, held = None, {}
+        for b in batches:
+            ids, numbers, out = [], [], []
+            for s, w, name, toks in zip(b.column("series_id").to_pylist(), b.column("window_id").to_pylist(), b.column("name").to_pylist(), b.column("toks")):
+                if s != series:
+                    series, held = s, {}
+                if name is not None:
+                    held[name] = _matrix(toks)
+                else:
+                    ids.append(s)
+                    numbers.append(w)
+                    out.append(run(_matrix(toks), held))
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.zeros(0)))], names=[*KEYS, "out"])
+
+    dealt = rows.repartition("series_id", "stretch").sortWithinPartitions("series_id", "stretch", "window_id")
+    return dealt.mapInArrow(each, "series_id string, window_id long, out array<double>")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+
+def distances(toks: np.ndarray, mem: np.ndarray, row_side: int | None = None) -> np.ndarray:
+    """Half of 1 less the best cosine of each token to the memory; row_side: to memory in the same row of the grid only."""
+    cosine = _unit(toks) @ _unit(mem).T
     if row_side:
-        a, b = a.withColumn("row", F.expr(f"token_idx div {row_side}")), b.withColumn("row", F.expr(f"m div {row_side}"))
-        on = ["series_id", "row"]
-    return a.join(b, on).groupBy(*KEYS, "token_idx").agg((0.5 * F.min(1 - dot(F.col("a"), F.col("b")))).alias("score"))
+        cosine = np.where(np.arange(len(toks))[:, None] // row_side == np.arange(len(mem)) // row_side, cosine, -np.inf)
+    return 0.5 * (1 - cosine.max(1))
+
+
+def dissimilarity(windows: DataFrame, mem: DataFrame, row_side: int | None = None) -> DataFrame:
+    """(series_id, window_id, token_idx, score): distances() to the series' memory."""
+    found = with_memory(windows, {"mem": mem}, lambda toks, held: distances(toks, held["mem"], row_side))
+    return found.select(*KEYS, F.posexplode("out").alias("token_idx", "score")).withColumn("token_idx", F.col("token_idx").cast("long"))
 
 
 def harmonic(scores: DataFrame, masks: DataFrame, side: int, shift: int = 1) -> DataFrame:
@@ -58,6 +150,15 @@ def harmonic(scores: DataFrame, masks: DataFrame, side: int, shift: int = 1) ->
     return grid.join(held.groupBy(*KEYS, "patch").agg(mean.alias("score")), [*KEYS, "patch"], "left")
 
 
+def harmonic_map(scores: np.ndarray, masks: np.ndarray, shift: int = 1) -> np.ndarray:
+    """harmonic() of one window; NaN where no mask holds the patch."""
+    held = np.zeros_like(masks)
+    held[:, : masks.shape[1] - shift] = masks[:, shift:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = held.sum(0) / (held / scores[:, None]).sum(0, where=held > 0)
+    return np.where((held * (scores == 0)[:, None]).any(0), 0.0, np.where(held.any(0), mean, np.nan))
+
+
 def fused(large: DataFrame, mid: DataFrame, patch: DataFrame) -> DataFrame:
     """(series_id, window_id, patch, score): the mean of three maps; 0 where one is missing or not finite."""
     total = None
@@ -68,14 +169,20 @@ def fused(large: DataFrame, mid: DataFrame, patch: DataFrame) -> DataFrame:
     return total.select(*KEYS, "patch", F.when(mean.isNull() | F.isnan(mean) | (F.abs(mean) == float("inf")), 0.0).otherwise(mean).alias("score"))
 
 
-def upsampled(maps: DataFrame, side: int, size: int) -> DataFrame:
-    """(series_id, window_id, r, c, score): bilinear by half-pixel centres; four weighted taps joined by place."""
-    taps = []
+def bilinear(side: int, size: int) -> np.ndarray:
+    """Weights (size x side) that stretch a row of side cells to size, by half-pixel centres."""
+    out = np.zeros((size, side))
     for d in range(size):
         x = max(0.0, (d + 0.5) * side / size - 0.5)
         low = min(int(x), side - 1)
-        high, share = min(low + 1, side - 1), x - low
-        taps += [(d, low, 1 - share), (d, high, share)]
+        out[d, low] += 1 - (x - low)
+        out[d, min(low + 1, side - 1)] += x - low
+    return out
+
+
+def upsampled(maps: DataFrame, side: int, size: int) -> DataFrame:
+    """(series_id, window_id, r, c, score): both directions stretched by bilinear() weights; a cell's four taps are joined by place."""
+    taps = [(d, i, float(w)) for d, row in enumerate(bilinear(side, size)) for i, w in enumerate(row) if w]
     taps = maps.sparkSession.createDataFrame(taps, "at long, of long, w double")
     placed = maps.withColumn("of_r", F.expr(f"patch div {side}")).withColumn("of_c", F.col("patch") % side)
     rows = placed.join(F.broadcast(taps.toDF("r", "of_r", "wr")), "of_r").groupBy(*KEYS, "r", "of_c").agg(F.sum(F.col("score") * F.col("wr")).alias("score"))
@@ -89,6 +196,21 @@ def column_top(maps: DataFrame, side: int, share: float = 0.25) -> DataFrame:
     return maps.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy(*KEYS, "c").agg(F.avg("score").alias("score"))
 
 
+def column_scores(toks: np.ndarray, held: dict[str, np.ndarray], masks: dict[str, np.ndarray], side: int, size: int, share: float = 0.25, shift: int = 1) -> np.ndarray:
+    """One window's column scores: what pooled(), dissimilarity(), harmonic(), fused(), upsampled() and column_top() give, without a row for each cell.
+
+    masks has the scales to use besides single patches; held the memory of each scale, that of patches by the name patch.
+    """
+    maps = [distances(toks, held["patch"])]
+    for name, m in masks.items():
+        maps.append(harmonic_map(distances(m @ toks / m.sum(1, keepdims=True), held[name]), m, shift))
+    mean = np.mean(maps, axis=0)
+    stretch = bilinear(side, size)
+    full = stretch @ np.where(np.isfinite(mean), mean, 0.0).reshape(side, side) @ stretch.T
+    k = max(1, -int(-size * share // 1))
+    return np.sort(full, axis=0)[-k:].mean(0)
+
+
 def stitched(columns: DataFrame, width: int, ratio: float) -> DataFrame:
     """(series_id, k, score, covered): windows laid over each other every width / ratio cells, averaged; 0 in gaps."""
     step = int(width / ratio)

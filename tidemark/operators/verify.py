@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from base64 import b64encode
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -10,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.render import png, raster
+from tidemark.operators.render import plot, png
 
 ANSWER = "struct<interval_index:array<array<double>>,confidence:array<double>,abnormal_description:string>"
 
@@ -28,6 +31,23 @@ class KeepAll:
         return '{"interval_index": ' + prompt.rpartition("PROPOSALS ")[2] + ', "abnormal_description": "as proposed"}'
 
 
+def chat_request(prompt: str, image: bytes, model: str) -> str:
+    """The JSON of a request to a chat service: one message with the text and the image as a data URL."""
+    picture = {"type": "image_url", "image_url": {"url": "data:image/png;base64," + b64encode(image).decode()}}
+    return json.dumps({"model": model, "messages": [{"role": "user", "content": [{"type": "text", "text": prompt}, picture]}]})
+
+
+@dataclass(frozen=True)
+class ChatVerifier:
+    """Sends chat_request() by a function that users bring, which returns the answer's text."""
+
+    send: Callable[[str], str]
+    model: str
+
+    def __call__(self, prompt: str, image: bytes) -> str:
+        return self.send(chat_request(prompt, image, self.model))
+
+
 def prompts(proposals: DataFrame) -> DataFrame:
     """(series_id, prompt) of index pairs (series_id, s, e)."""
     listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("s", "e"))), lambda p: F.array(p["s"], p["e"])))
@@ -36,21 +56,26 @@ def prompts(proposals: DataFrame) -> DataFrame:
 
 
 def answers(prompted: DataFrame, series: DataFrame, verifier: Verifier, height: int = 342, width: int = 1200) -> DataFrame:
-    """(series_id, raw): each series with proposals is drawn and asked about once, on an executor. A failure gives null."""
+    """(series_id, raw): each series with proposals is drawn and asked about once, on an executor. A failure gives null.
+
+    Of the points that share a column of the plot, only the first, last, least and greatest are gathered, so a series of any length is a few thousand points.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for prompt, points in zip(b.prompt, b["values"]):
-                v = np.array(points, float)
+            for prompt, index, values in zip(b.prompt, b["index"], b["values"]):
                 try:
-                    out.append(verifier(prompt, png(raster(v, height, width, np.nanmin(v), np.nanmax(v)))))
+                    out.append(verifier(prompt, png(plot(np.array(index, float), np.array(values, float), height, width))))
                 except Exception:  # a model's failure must not end the job
                     out.append(None)
             yield pd.DataFrame({"series_id": b.series_id, "raw": out})
 
-    asked = series.join(prompted.select("series_id"), "series_id", "left_semi")
-    rows = asked.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("p")).select("series_id", F.col("p.value").alias("values"))
+    asked = series.join(prompted.select("series_id"), "series_id", "left_semi").select("series_id", "idx", "value", F.expr(f"idx * {width} div n").alias("at"))
+    point = F.struct("idx", "value")
+    few = asked.groupBy("series_id", "at").agg(F.min(point).alias("a"), F.max(point).alias("b"), F.min_by(point, "value").alias("c"), F.max_by(point, "value").alias("d"))
+    few = few.select("series_id", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("p")).where("p is not null")
+    rows = few.groupBy("series_id").agg(F.sort_array(F.collect_list("p")).alias("p")).select("series_id", F.col("p.idx").alias("index"), F.col("p.value").alias("values"))
     return rows.join(prompted, "series_id").mapInPandas(run, "series_id string, raw string")
 
 

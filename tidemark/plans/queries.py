@@ -154,12 +154,16 @@ def gt_lookup_status(s, d):
 
 
 def _results(s, d):
+    """Rates for two alphas: series are scored, and truths found, once."""
+    truth = durable(_truth(s, d), "truth")
+    each = durable(detect.detect_each(_indexed(s, d, "user_id").withColumn("score", F.col("value")), (0.1, 0.01)).select("alpha", "series_id", "start", "end"), "found")
+    roster = durable(_events(s, d, "user_id").select("series_id").distinct(), "roster")
     out = None
     for alpha in (0.1, 0.01):
-        rated = evaluate.interval_rates(_found(s, d, alpha), _truth(s, d), _events(s, d, "user_id"))
+        rated = evaluate.interval_rates(each.where(F.col("alpha") == alpha), truth, roster)
         rows = rated.select((F.col("series_id") % 7).cast("long").cast("string").alias("dataset"), F.lit("screening").alias("model"), F.col("series_id").alias("signal"), F.lit(alpha).alias("alpha"), "f1")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return durable(out, "results")
 
 
 def f1max_summary(s, d):
@@ -167,11 +171,22 @@ def f1max_summary(s, d):
 
 
 def results_union(s, d):
-    first = _results(s, d).withColumn("status", F.when(F.col("f1") == 0, "failed").otherwise("success"))
-    out = evaluate.results_union([first, _results(s, d).drop("model", "alpha")], "screening", 0.5)
+    rated = _results(s, d)
+    first = rated.withColumn("status", F.when(F.col("f1") == 0, "failed").otherwise("success"))
+    out = evaluate.results_union([first, rated.drop("model", "alpha")], "screening", 0.5)
     return out.select("dataset", "model", "signal", "alpha", "status", *r6("f1"))
 
 
+def model_fanout(s, d):
+    """Rates of two models' rows of one alpha in one table: what screening found, and what a second look that knows the truth would leave of it."""
+    found, truth = durable(_found(s, d), "found"), durable(_truth(s, d), "truth")
+    roster, out = _events(s, d, "user_id"), None
+    for model, rows in (("screening", found), ("two_stage", evaluate.matched(found, truth))):
+        rated = evaluate.interval_rates(rows, truth, roster).select(F.lit(model).alias("model"), "series_id", "tp", "fp", "fn", *r6("precision", "recall", "f1"))
+        out = rated if out is None else out.unionByName(rated)
+    return out
+
+
 STEMS = ["results_MSL_two_alpha_0.01", "results_A_B_alpha_0.1", "results_X_screening_alpha_0.001", "results_N_alpha_x", "summary"]
 
 
@@ -184,63 +199,67 @@ def make_masks(s, d):
 
 
 def _tokens(s, d):
-    """Each 16 vectors are a window's tokens; vectors beyond the last whole window have none."""
-    rows = _read(s, d, "embeddings").select((F.expr("vec_id div 16")).alias("window_id"), (F.col("vec_id") % 16).alias("token_idx"), F.col("embedding").alias("tok"))
-    whole = F.count(F.lit(1)).over(Window.partitionBy("window_id")) == SIDE * SIDE
-    return rows.withColumn("whole", whole).where("whole").select(F.lit("e").alias("series_id"), "window_id", "token_idx", "tok")
+    """A label's vectors are a series, each 16 of them a window's tokens; the last window's missing ones are the series' first again."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    rows = _read(s, d, "embeddings").select(F.col("label").cast("string").alias("series_id"), (F.row_number().over(order) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("n"), F.col("embedding").alias("tok"))
+    full = F.expr(f"((n + {SIDE * SIDE - 1}) div {SIDE * SIDE}) * {SIDE * SIDE}")
+    place = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE)), lambda k: F.col("i") + k * F.col("n")), lambda p: p < full))
+    rows = rows.select("series_id", place.alias("p"), "tok")
+    return rows.select("series_id", F.expr(f"p div {SIDE * SIDE}").alias("window_id"), (F.col("p") % (SIDE * SIDE)).alias("token_idx"), "tok")
+
+
+def _windows(s, d):
+    return tokens.packed(_tokens(s, d))
 
 
 def token_l2(s, d):
     norm = l2_normalised(F.col("tok"))
-    return _tokens(s, d).select("window_id", "token_idx", F.round(norm[0], 6).alias("first"), F.round(F.aggregate(norm, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return _tokens(s, d).select(*tokens.KEYS, "token_idx", F.round(norm[0], 6).alias("first"), F.round(F.aggregate(norm, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def token_cosine(s, d):
-    t = _tokens(s, d).select("window_id", "token_idx", l2_normalised(F.col("tok")).alias("a"))
-    u = t.select("window_id", F.col("token_idx").alias("other"), F.col("a").alias("b"))
-    return t.join(u, "window_id").where("token_idx < other").select("window_id", "token_idx", "other", F.round(1 - dot(F.col("a"), F.col("b")), 6).alias("distance"))
-
-
-def _mid(s):
-    return tokens.make_masks(s, SIDE, 2, 1, "mid")
+    t = _tokens(s, d).select(*tokens.KEYS, "token_idx", l2_normalised(F.col("tok")).alias("a"))
+    u = t.select(*tokens.KEYS, F.col("token_idx").alias("other"), F.col("a").alias("b"))
+    return t.join(u, tokens.KEYS).where("token_idx < other").select(*tokens.KEYS, "token_idx", "other", F.round(1 - dot(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 def token_pool(s, d):
-    return tokens.pooled(_tokens(s, d), _mid(s)).select("window_id", "token_idx", F.posexplode("tok").alias("dim", "x")).select("window_id", "token_idx", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
+    rows = tokens.unpacked(tokens.pooled(_windows(s, d), tokens.mask_matrix(SIDE, 2)))
+    return rows.select(*tokens.KEYS, "token_idx", F.posexplode("tok").alias("dim", "x")).select(*tokens.KEYS, "token_idx", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 def memory_median(s, d):
-    return tokens.memory(_tokens(s, d)).select("token_idx", F.posexplode("mem").alias("dim", "x")).select("token_idx", F.col("dim").cast("long").alias("dim"), *r6("x"))
+    rows = tokens.memory(_windows(s, d)).select("series_id", "token_idx", F.posexplode("mem").alias("dim", "x"))
+    return rows.select("series_id", "token_idx", F.col("dim").cast("long").alias("dim"), *r6("x"))
 
 
 def dissim_universal(s, d):
-    t = _tokens(s, d)
-    return tokens.dissimilarity(t, tokens.memory(t)).select("window_id", "token_idx", *r6("score"))
+    w = durable(_windows(s, d), "windows")
+    return tokens.dissimilarity(w, tokens.memory(w)).select(*tokens.KEYS, "token_idx", *r6("score"))
 
 
 def dissim_rowwise(s, d):
-    t = _tokens(s, d)
-    return tokens.dissimilarity(t, tokens.memory(t), SIDE).select("window_id", "token_idx", *r6("score"))
+    w = durable(_windows(s, d), "windows")
+    return tokens.dissimilarity(w, tokens.memory(w), SIDE).select(*tokens.KEYS, "token_idx", *r6("score"))
 
 
-def _map(s, d, kernel):
-    t, masks = _tokens(s, d), tokens.make_masks(s, SIDE, kernel)
-    own = tokens.pooled(t, masks)
-    return tokens.harmonic(tokens.dissimilarity(own, tokens.memory(own)), masks, SIDE)
+def _map(s, windows, kernel):
+    own = durable(tokens.pooled(windows, tokens.mask_matrix(SIDE, kernel)), "pooled")
+    return tokens.harmonic(durable(tokens.dissimilarity(own, tokens.memory(own)), "distances"), tokens.make_masks(s, SIDE, kernel), SIDE)
 
 
 def harmonic_map(s, d):
-    return _map(s, d, 2).select("window_id", "patch", *r6("score"))
+    return _map(s, _windows(s, d), 2).select(*tokens.KEYS, "patch", *r6("score"))
 
 
 def _fused(s, d):
-    t = _tokens(s, d)
-    plain = tokens.dissimilarity(t, tokens.memory(t)).withColumnRenamed("token_idx", "patch")
-    return tokens.fused(_map(s, d, 3), _map(s, d, 2), plain)
+    w = durable(_windows(s, d), "windows")
+    plain = tokens.dissimilarity(w, tokens.memory(w)).withColumnRenamed("token_idx", "patch")
+    return tokens.fused(_map(s, w, 3), _map(s, w, 2), plain)
 
 
 def fused_map(s, d):
-    return _fused(s, d).select("window_id", "patch", *r6("score"))
+    return _fused(s, d).select(*tokens.KEYS, "patch", *r6("score"))
 
 
 def _columns(s, d):
@@ -249,21 +268,23 @@ def _columns(s, d):
 
 
 def column_topk(s, d):
-    return _columns(s, d).select("window_id", "c", *r6("score"))
+    return _columns(s, d).select(*tokens.KEYS, "c", *r6("score"))
 
 
 def stitch_scores(s, d):
-    return tokens.stitched(_columns(s, d), SIDE, STEP_RATIO).select("k", *r6("score"), "covered")
+    columns = durable(_columns(s, d), "columns")
+    return tokens.stitched(columns, SIDE, STEP_RATIO).select("series_id", "k", *r6("score"), "covered")
 
 
 def align_scores(s, d):
-    lengths = _tokens(s, d).groupBy("series_id").agg((24 + F.max("window_id") * 12 + 7).alias("n"))
-    vector = durable(tokens.stitched(_columns(s, d), SIDE, STEP_RATIO), "stitched")  # resampling reads it five times
-    return tokens.aligned(vector, lengths, 24, 12).select("idx", F.round("score", 5).alias("score"))
+    columns = durable(_columns(s, d), "columns")
+    lengths = columns.groupBy("series_id").agg((24 + F.max("window_id") * 12 + 7).alias("n"))
+    vector = durable(tokens.stitched(columns, SIDE, STEP_RATIO), "stitched")  # resampling reads it five times
+    return tokens.aligned(vector, lengths, 24, 12).select("series_id", "idx", F.round("score", 5).alias("score"))
 
 
 def upsample_map(s, d):
-    return tokens.upsampled(_fused(s, d), SIDE, 8).select("window_id", "r", "c", *r6("score"))
+    return tokens.upsampled(_fused(s, d), SIDE, 8).select(*tokens.KEYS, "r", "c", *r6("score"))
 
 
 ANSWERS = [
@@ -291,15 +312,20 @@ def vlm_fallback(s, d):
 DETECTOR = ScreeningDetector(window_size=240, alpha=0.01)
 
 
-def raster_windows(s, d):
+def _images(s, d):
     prepared = series.min_max(series.detrended(_indexed(s, d)))
-    return render.images(render.windows_as_rows(series.with_windows(prepared, 240, 60))).select("series_id", "window_id", F.length("image").alias("bytes"))
+    return render.images(render.windows_as_rows(series.with_windows(prepared, 240, 60)))
+
+
+def raster_windows(s, d):
+    """Checksums of the windows' plots."""
+    return _images(s, d).select("series_id", "window_id", F.crc32("image").alias("crc32"), F.length("image").cast("long").alias("bytes"))
 
 
 def encode_windows(s, d):
-    prepared = series.min_max(series.detrended(_indexed(s, d)))
-    images = render.images(render.windows_as_rows(series.with_windows(prepared, 240, 60)))
-    return render.encoded(images, render.PatchEncoder()).select("series_id", "window_id", "token_idx", F.size("tok").alias("dims"))
+    """Each window's tokens: how many, their dimensions, and the sum of all values."""
+    toks = F.col("toks")
+    return render.encoded(_images(s, d), render.PatchEncoder()).select("series_id", "window_id", F.size(toks).alias("tokens"), F.size(toks[0]).alias("dims"), F.round(F.aggregate(F.flatten(toks), F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "error")
 
 
 def screen_detect(s, d):
@@ -357,11 +383,14 @@ def _found_at(alpha: float) -> str:
 
 _RESULTS = " UNION ALL ".join(f"SELECT CAST(CAST(series_id AS BIGINT) % 7 AS VARCHAR) AS dataset, 'screening' AS model, series_id AS signal, CAST({a} AS DOUBLE) AS alpha, f1 FROM ({_rates(_found_at(a))})" for a in (0.1, 0.01))
 
-_TOK = "(SELECT vec_id // 16 AS w, vec_id % 16 AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY count(*) OVER (PARTITION BY vec_id // 16) = 16)"
+_CELLS = SIDE * SIDE
+_TOK = f"""(SELECT s, p // {_CELLS} AS w, p % {_CELLS} AS t, v FROM (SELECT a.s, a.p, b.v FROM (SELECT s, unnest(generate_series(0, {_CELLS} * ((n + {_CELLS - 1}) // {_CELLS}) - 1)) AS p, n FROM
+  (SELECT CAST(label AS VARCHAR) AS s, count(*) AS n FROM embeddings GROUP BY label)) a JOIN (SELECT CAST(label AS VARCHAR) AS s, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b
+  ON a.s = b.s AND a.p % a.n = b.i))"""
 
 
 def _flat(rows: str) -> str:
-    return f"(SELECT w, t, unnest(generate_series(0, 63)) AS dim, unnest(v) AS x FROM {rows})"
+    return f"(SELECT s, w, t, unnest(generate_series(0, 63)) AS dim, unnest(v) AS x FROM {rows})"
 
 
 def _masks(side: int, kernel: int) -> str:
@@ -370,27 +399,30 @@ def _masks(side: int, kernel: int) -> str:
 
 
 def _pooled(kernel: int) -> str:
-    return f"(SELECT w, m AS t, list(x ORDER BY dim) AS v FROM (SELECT w, m, dim, avg(x) AS x FROM {_flat(_TOK)} JOIN {_masks(SIDE, kernel)} ON t = p GROUP BY w, m, dim) GROUP BY w, m)"
+    return f"(SELECT s, w, m AS t, list(x ORDER BY dim) AS v FROM (SELECT s, w, m, dim, avg(x) AS x FROM {_flat(_TOK)} JOIN {_masks(SIDE, kernel)} ON t = p GROUP BY s, w, m, dim) GROUP BY s, w, m)"
 
 
 def _memory(rows: str) -> str:
-    return f"(SELECT t, list(x ORDER BY dim) AS v FROM (SELECT t, dim, quantile_disc(x, 0.5) AS x FROM {_flat(rows)} GROUP BY t, dim) GROUP BY t)"
+    return f"(SELECT s, t, list(x ORDER BY dim) AS v FROM (SELECT s, t, dim, quantile_disc(x, 0.5) AS x FROM {_flat(rows)} GROUP BY s, t, dim) GROUP BY s, t)"
 
 
 def _dissim(rows: str, row: bool = False) -> str:
-    on = f"a.t // {SIDE} = b.t // {SIDE}" if row else "true"
-    return f"(SELECT a.w, a.t, 0.5 * min(1 - list_cosine_similarity(a.v, b.v)) AS score FROM {rows} a JOIN {_memory(rows)} b ON {on} GROUP BY a.w, a.t)"
+    on = f" AND a.t // {SIDE} = b.t // {SIDE}" if row else ""
+    return f"(SELECT a.s, a.w, a.t, 0.5 * min(1 - list_cosine_similarity(a.v, b.v)) AS score FROM {rows} a JOIN {_memory(rows)} b ON a.s = b.s{on} GROUP BY a.s, a.w, a.t)"
 
 
 def _harmonic(kernel: int) -> str:
-    return f"""(SELECT g.w, g.patch, CASE WHEN min(s.score) = 0 THEN 0 ELSE count(s.score) / sum(1 / s.score) END AS score
-  FROM (SELECT DISTINCT w, unnest(generate_series(0, {SIDE * SIDE - 1})) AS patch FROM {_TOK}) g LEFT JOIN {_masks(SIDE, kernel)} m ON m.p = g.patch + 1
-  LEFT JOIN {_dissim(_pooled(kernel))} s ON s.w = g.w AND s.t = m.m GROUP BY g.w, g.patch)"""
+    return f"""(SELECT g.s, g.w, g.patch, CASE WHEN min(s.score) = 0 THEN 0 ELSE count(s.score) / sum(1 / s.score) END AS score
+  FROM (SELECT DISTINCT s, w, unnest(generate_series(0, {SIDE * SIDE - 1})) AS patch FROM {_TOK}) g LEFT JOIN {_masks(SIDE, kernel)} m ON m.p = g.patch + 1
+  LEFT JOIN {_dissim(_pooled(kernel))} s ON s.s = g.s AND s.w = g.w AND s.t = m.m GROUP BY g.s, g.w, g.patch)"""
 
 
-_FUSED = f"(SELECT p.w, p.t AS patch, coalesce((l.score + m.score + p.score) / 3, 0) AS score FROM {_dissim(_TOK)} p JOIN {_harmonic(3)} l ON l.w = p.w AND l.patch = p.t JOIN {_harmonic(2)} m ON m.w = p.w AND m.patch = p.t)"
-_COLUMNS = f"(SELECT w, patch % {SIDE} AS c, avg(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY w, patch % {SIDE} ORDER BY score DESC, patch) AS rk FROM {_FUSED}) WHERE rk <= 2 GROUP BY w, patch % {SIDE})"
-_STITCHED = f"(SELECT w * 2 + c AS k, avg(score) AS score, count(*) AS covered FROM {_COLUMNS} GROUP BY w * 2 + c)"
+_FUSED = f"(SELECT p.s, p.w, p.t AS patch, coalesce((l.score + m.score + p.score) / 3, 0) AS score FROM {_dissim(_TOK)} p JOIN {_harmonic(3)} l ON l.s = p.s AND l.w = p.w AND l.patch = p.t JOIN {_harmonic(2)} m ON m.s = p.s AND m.w = p.w AND m.patch = p.t)"
+_COLUMNS = f"(SELECT s, w, patch % {SIDE} AS c, avg(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s, w, patch % {SIDE} ORDER BY score DESC, patch) AS rk FROM {_FUSED}) WHERE rk <= 2 GROUP BY s, w, patch % {SIDE})"
+_STITCHED = f"(SELECT s, w * 2 + c AS k, avg(score) AS score, count(*) AS covered FROM {_COLUMNS} GROUP BY s, w * 2 + c)"
+#: Each of 8 places along a side, the two of 4 cells it lies between, and how far it is from the first.
+_TAPS = f"(SELECT d, CAST(floor(x) AS BIGINT) AS lo, least(CAST(floor(x) AS BIGINT) + 1, {SIDE - 1}) AS hi, x - floor(x) AS f FROM (SELECT d, greatest(0, (d + 0.5) * {SIDE} / 8.0 - 0.5) AS x FROM (SELECT unnest(generate_series(0, 7)) AS d)))"
+_NAMES = "s AS series_id, w AS window_id"
 _FIXED = ", ".join
 
 SQL: dict[str, str] = {
@@ -437,29 +469,33 @@ SQL: dict[str, str] = {
   (SELECT dataset, model, signal, max(f1) AS m FROM ({_RESULTS}) GROUP BY dataset, model, signal) GROUP BY dataset, model""",
     "results_union": f"""SELECT dataset, model, signal, alpha, 'success' AS status, round(f1, 6) AS f1 FROM ({_RESULTS}) WHERE f1 <> 0
   UNION ALL SELECT dataset, 'screening', signal, CAST(0.5 AS DOUBLE), 'success', round(f1, 6) FROM ({_RESULTS})""",
+    "model_fanout": " UNION ALL ".join(f"SELECT '{m}' AS model, series_id, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_rates(r)})" for m, r in (("screening", _FOUND), ("two_stage", f"(SELECT a.* FROM {_FOUND} a WHERE EXISTS (SELECT 1 FROM {_TRUTH} b WHERE {_TOUCH}))"))),
     "filename_fields": f"""SELECT stem, array_to_string(p[2:CASE WHEN named THEN k - 2 ELSE k - 1 END], '_') AS dataset, CASE WHEN named THEN p[k - 1] ELSE 'screening' END AS model, TRY_CAST(p[k + 1] AS DOUBLE) AS alpha FROM
   (SELECT *, p[k - 1] IN ('screening', 'two') AS named FROM (SELECT *, list_position(p, 'alpha') AS k FROM (SELECT stem, string_split(stem, '_') AS p FROM (VALUES {_FIXED(f"('{x}')" for x in STEMS)}) v(stem)))) WHERE k > 2""",
     "make_masks": f"SELECT 'large' AS scale, m AS mask_idx, p AS patch_idx FROM {_masks(14, 3)} UNION ALL SELECT 'mid', m, p FROM {_masks(14, 2)}",
-    "token_l2": f"SELECT w AS window_id, t AS token_idx, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_inner_product(v, v)), 6) AS total FROM {_TOK}",
-    "token_cosine": f"SELECT a.w AS window_id, a.t AS token_idx, b.t AS other, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM {_TOK} a JOIN {_TOK} b ON a.w = b.w AND a.t < b.t",
-    "token_pool": f"SELECT w AS window_id, t AS token_idx, dim, round(x, 6) + 0.0 AS x FROM {_flat(_pooled(2))}",
-    "memory_median": f"SELECT t AS token_idx, dim, round(x, 6) AS x FROM (SELECT t, unnest(generate_series(0, 63)) AS dim, unnest(v) AS x FROM {_memory(_TOK)})",
-    "dissim_universal": f"SELECT w AS window_id, t AS token_idx, round(score, 6) AS score FROM {_dissim(_TOK)}",
-    "dissim_rowwise": f"SELECT w AS window_id, t AS token_idx, round(score, 6) AS score FROM {_dissim(_TOK, True)}",
-    "harmonic_map": f"SELECT w AS window_id, patch, round(score, 6) AS score FROM {_harmonic(2)}",
-    "fused_map": f"SELECT w AS window_id, patch, round(score, 6) AS score FROM {_FUSED}",
-    "column_topk": f"SELECT w AS window_id, c, round(score, 6) AS score FROM {_COLUMNS}",
-    "stitch_scores": f"SELECT k, round(score, 6) AS score, covered FROM {_STITCHED}",
-    "align_scores": f"""WITH v AS (SELECT k, score FROM {_STITCHED}), n AS (SELECT 24 + max(w) * 12 AS covered, (max(w) * 2 + 4) AS len FROM {_TOK}),
-  x AS (SELECT i, covered, i * (len - 1e0) / (covered - 1) AS x, least(CAST(floor(i * (len - 1e0) / (covered - 1)) AS BIGINT), len - 2) AS low FROM (SELECT *, unnest(generate_series(0, covered - 1)) AS i FROM n)),
-  y AS (SELECT x.i AS idx, covered, a.score + (x.x - x.low) * (b.score - a.score) AS score FROM x JOIN v a ON a.k = x.low JOIN v b ON b.k = x.low + 1),
-  z AS (SELECT any_value(covered) AS covered, max(score) FILTER (idx = covered - 1) AS last, max(score) FILTER (idx = covered - 2) AS before FROM y)
-  SELECT idx, round(score, 5) AS score FROM y UNION ALL SELECT covered - 1 + j, round(last + (last - before) * j, 5) FROM z, (SELECT unnest(generate_series(1, 7)) AS j)""",
+    "token_l2": f"SELECT {_NAMES}, t AS token_idx, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_inner_product(v, v)), 6) AS total FROM {_TOK}",
+    "token_cosine": f"SELECT a.s AS series_id, a.w AS window_id, a.t AS token_idx, b.t AS other, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM {_TOK} a JOIN {_TOK} b ON a.s = b.s AND a.w = b.w AND a.t < b.t",
+    "token_pool": f"SELECT {_NAMES}, t AS token_idx, dim, round(x, 6) + 0.0 AS x FROM {_flat(_pooled(2))}",
+    "memory_median": f"SELECT s AS series_id, t AS token_idx, dim, round(x, 6) AS x FROM (SELECT s, t, unnest(generate_series(0, 63)) AS dim, unnest(v) AS x FROM {_memory(_TOK)})",
+    "dissim_universal": f"SELECT {_NAMES}, t AS token_idx, round(score, 6) AS score FROM {_dissim(_TOK)}",
+    "dissim_rowwise": f"SELECT {_NAMES}, t AS token_idx, round(score, 6) AS score FROM {_dissim(_TOK, True)}",
+    "harmonic_map": f"SELECT {_NAMES}, patch, round(score, 6) AS score FROM {_harmonic(2)}",
+    "fused_map": f"SELECT {_NAMES}, patch, round(score, 6) AS score FROM {_FUSED}",
+    "column_topk": f"SELECT {_NAMES}, c, round(score, 6) AS score FROM {_COLUMNS}",
+    "stitch_scores": f"SELECT s AS series_id, k, round(score, 6) AS score, covered FROM {_STITCHED}",
+    "upsample_map": f"""WITH m AS (SELECT s, w, patch // {SIDE} AS i, patch % {SIDE} AS j, score FROM {_FUSED}), t AS (SELECT * FROM {_TAPS})
+  SELECT a.s AS series_id, a.w AS window_id, r.d AS r, c.d AS c, round((1 - r.f) * ((1 - c.f) * a.score + c.f * b.score) + r.f * ((1 - c.f) * e.score + c.f * g.score), 6) AS score FROM t r, t c
+    JOIN m a ON a.i = r.lo AND a.j = c.lo JOIN m b ON b.s = a.s AND b.w = a.w AND b.i = r.lo AND b.j = c.hi JOIN m e ON e.s = a.s AND e.w = a.w AND e.i = r.hi AND e.j = c.lo JOIN m g ON g.s = a.s AND g.w = a.w AND g.i = r.hi AND g.j = c.hi""",
+    "align_scores": f"""WITH v AS (SELECT s, k, score FROM {_STITCHED}), n AS (SELECT s, 24 + max(w) * 12 AS covered, (max(w) * 2 + 4) AS len FROM {_TOK} GROUP BY s),
+  x AS (SELECT s, i, covered, i * (len - 1e0) / (covered - 1) AS x, least(CAST(floor(i * (len - 1e0) / (covered - 1)) AS BIGINT), len - 2) AS low FROM (SELECT *, unnest(generate_series(0, covered - 1)) AS i FROM n)),
+  y AS (SELECT x.s, x.i AS idx, covered, a.score + (x.x - x.low) * (b.score - a.score) AS score FROM x JOIN v a ON a.s = x.s AND a.k = x.low JOIN v b ON b.s = x.s AND b.k = x.low + 1),
+  z AS (SELECT s, any_value(covered) AS covered, max(score) FILTER (idx = covered - 1) AS last, max(score) FILTER (idx = covered - 2) AS before FROM y GROUP BY s)
+  SELECT s AS series_id, idx, round(score, 5) AS score FROM y UNION ALL SELECT s, covered - 1 + j, round(last + (last - before) * j, 5) FROM z, (SELECT unnest(generate_series(1, 7)) AS j)""",
     "vlm_parse": "SELECT * FROM (VALUES ('a', 0, 1, 3, 2.0::DOUBLE), ('a', 1, 7, 9, 1.0), ('b', 0, 2, 50, 3.0), ('g', 0, 9, 4, 1.0)) v(series_id, pos, s, e, confidence)",
     "vlm_fallback": """SELECT * FROM (VALUES ('a', 10, 30, 2.0::DOUBLE), ('a', 70, 90, 1.0), ('b', 20, 90, 3.0), ('g', 90, 40, 1.0), ('c', 20, 30, 0.5), ('d', 20, 30, 0.5), ('f', 20, 30, 0.5)) v(series_id, start, "end", severity)""",
 }
 
 NAMES = [
-    *SQL, "upsample_map", "raster_windows", "encode_windows", "screen_detect", "two_stage_detect",
+    *SQL, "raster_windows", "encode_windows", "screen_detect", "two_stage_detect",
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in NAMES}

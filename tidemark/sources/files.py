@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import filename_fields
+from tidemark.operators.render import png
 
 _STEM = r"([^/]+)\.csv$"
 
@@ -59,3 +65,36 @@ def read_result_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_windows(windows: DataFrame, path: str) -> None:
+    """Window rows (points, images or tokens) as Parquet, for later use."""
+    windows.write.mode("overwrite").parquet(path)
+
+
+def write_images(imaged: DataFrame, folder: str, side: int = 224, override: bool = False) -> DataFrame:
+    """A PNG of each window (series_id, window_id, image) at ``folder/series_id/window_id.png``; (series_id, window_id, path, written) once the result is read.
+
+    folder is a URI or path that all executors see. Files that are there stay, unless override is set.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        from pyarrow import fs
+
+        filesystem, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            paths, written = [], []
+            for s, w, x in zip(b.series_id, b.window_id, b.image):
+                inside = f"{quote(str(s), safe='')}/{w}.png"
+                at = posixpath.join(base, inside)
+                fresh = override or filesystem.get_file_info(at).type == fs.FileType.NotFound
+                if fresh:
+                    filesystem.create_dir(posixpath.dirname(at), recursive=True)
+                    with filesystem.open_output_stream(at) as out:
+                        out.write(png(np.frombuffer(x, np.uint8).reshape(side, side) / 255))
+                paths.append(f"{folder.rstrip('/')}/{inside}")
+                written.append(fresh)
+            yield b[["series_id", "window_id"]].assign(path=paths, written=written)
+
+    return imaged.mapInPandas(run, "series_id string, window_id long, path string, written boolean")
