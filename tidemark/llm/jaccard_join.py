@@ -19,6 +19,7 @@ Chances of error: two sets of one hash, or tokens of one hash in two compared se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import compress, decompress
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
             np.add.at(cells, _cell(tokens), 1)
             size, node = set_hashes(doc, tokens, piece.num_rows)
             yield pa.record_batch([piece.column("doc_id"), piece.column("row"), pa.array(size), pa.array(node), *nothing(piece.num_rows)[4:]], names=names)
-        each = [(i, c.tobytes()) for i, c in enumerate(np.split(cells, _SLICES)) if c.any()]
+        each = [(i, compress(c.tobytes(), 1)) for i, c in enumerate(np.split(cells, _SLICES)) if c.any()]
         if each:
             yield pa.record_batch([*nothing(len(each))[:4], pa.array([i for i, _ in each], pa.int32()), pa.array([c for _, c in each], pa.binary())], names=names)
 
@@ -73,7 +74,7 @@ def hot_cells(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(cells, counts) of more than one in HOT_SHARE rows: fewer than HOT_SHARE times the tokens of a text."""
 
     def run(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in group.column("cells"))
+        total = sum(np.frombuffer(decompress(x.as_buffer()), np.int64) for x in group.column("cells"))
         at = np.flatnonzero(total > rows / HOT_SHARE)
         return pa.table({"cell": pa.array(at + group.column("slice")[0].as_py() * len(total)), "n": pa.array(total[at])})
 
@@ -82,9 +83,9 @@ def hot_cells(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column("slice").to_pylist(), batch.column("cells")):
-                counts = np.frombuffer(x.as_buffer(), np.uint32)
+                counts = np.frombuffer(decompress(x.as_buffer()), np.uint32).astype(np.int64)
                 sums[i] = sums[i] + counts if i in sums else counts
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names=["slice", "cells"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], names=["slice", "cells"])
 
     counts = sets.where("slice is not null").select("slice", "cells").mapInArrow(some, "slice int, cells binary")
     found = counts.groupBy("slice").applyInArrow(run, "cell long, n long").toArrow()
@@ -331,7 +332,7 @@ def _grouped(kept: DataFrame, first: DataFrame, block: DataFrame) -> DataFrame:
     posting = first.join(large.select("node", "block", "groups"), "node")
     # tokens with the same nodes do the same: the hash of their list deals them, so all but one of them go with the repeats
     lists = posting.groupBy("token").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("list"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    dealt = posting.join(lists, "token").select("node", "block", F.pmod(F.xxhash64("list", "c"), F.col("groups")).cast("int").alias("grp")).distinct()
+    dealt = hot_join(posting, durable(lists, "lists"), "token", "c").select("node", "block", F.pmod(F.xxhash64("list", "c"), F.col("groups")).cast("int").alias("grp")).distinct()
     dealt = durable(dealt, "dealt")
     # a block of P parts that are compared pair by pair copies each set P times; what copies more isn't cut by tokens
     copies = dealt.groupBy("block").count().join(large.groupBy("block").agg(F.count(F.lit(1)).alias("nodes"), F.max("groups").alias("groups")), "block")
@@ -355,8 +356,8 @@ def _components(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataF
     kept = kept.withColumn("have", F.sort_array("have")).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
     kept = durable(kept, "kept")
     first = kept.select("node", F.explode(F.slice("have", 1, F.col("prefix"))["tokens"]).alias("token"))
-    roots = first.groupBy("token").agg(F.min("node").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
-    block = components(first.join(roots, "token").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "block")
+    roots = first.groupBy("token").agg(F.min("node").alias("root"), F.count("*").alias("c")).where("c > 1")
+    block = components(hot_join(first, durable(roots, "roots"), "token", "c").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "block")
     place = durable(_grouped(kept, first, durable(block, "blocks")), "groups")
     sized = place.join(kept.select("node", F.size("have").alias("m")), "node").groupBy("block", "grp").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("nodes"))
     parts = sized.where("nodes > 1").select("block", "grp", F.ceil(F.col("m") / BLOCK_TOKENS).cast("int").alias("parts"))
