@@ -242,6 +242,167 @@ def test_labelled_scores(spark, docs, kind):
     assert all(r.score == 0.5 for r in kind.score(docs, none).collect())
 
 
+def kneser_ney_by_force(texts, labels):
+    """log P(text's symbols | toxic) - log P(. | ordinary), by dictionaries of symbol strings."""
+    import unicodedata
+
+    def symbol(c):
+        if c.isspace() or c == "\0":
+            return " "
+        if c.isalpha():
+            base = unicodedata.normalize("NFD", c)[0].lower() if ord(c) > 127 else c.lower()
+            return base if "a" <= base <= "z" else "XYZ"[ord(c) % 3]
+        return "0" if c.isdigit() else "."
+
+    def grams(text):
+        t = re.sub(" +", " ", "".join(map(symbol, text.lower())) + " ")
+        t = t[1:] if t.startswith(" ") and len(t) > 1 else t
+        t = "    " + t if t.strip() else ""
+        return [t[i : i + 5] for i in range(len(t) - 4)]
+
+    counts = [{}, {}]
+    for t, y in zip(texts, labels):
+        for g in grams(t):
+            counts[y][g] = counts[y].get(g, 0) + 1
+    left = [None] * 5  # of each length, the contexts to the left of its grams
+    level = {*counts[0], *counts[1]}
+    for k in (4, 3, 2, 1):
+        n = {}
+        for g in level:
+            n[g[1:]] = n.get(g[1:], 0) + 1
+        left[k], level = n, set(n)
+
+    def shared(g):
+        if not g:
+            return 1 / 32
+        total = sum(n for x, n in left[len(g)].items() if x[:-1] == g[:-1])
+        kinds = sum(x[:-1] == g[:-1] for x in left[len(g)])
+        lower = shared(g[1:])
+        return (max(left[len(g)].get(g, 0) - 0.75, 0) + 0.75 * kinds * lower) / total if total else lower
+
+    def of_class(g, n):
+        total, kinds, lower = sum(v for x, v in n.items() if x[:4] == g[:4]), sum(x[:4] == g[:4] for x in n), shared(g[1:])
+        return (max(n.get(g, 0) - 0.75, 0) + 0.75 * kinds * lower) / total if total else lower
+
+    return lambda text: [float(np.log(of_class(g, counts[1])) - np.log(of_class(g, counts[0]))) for g in grams(text)]
+
+
+def test_toxicity_is_kneser_ney_by_force(spark):
+    texts = ["you vile thing", "a calm day, 2 birds", "vile vile words", "été et été", "day by day", "Привет you"]
+    labels = [1, 0, 1, 0, 0, 1]
+    rows = spark.createDataFrame(list(zip(texts, labels)), "text string, label int")
+    table = toxicity.unpacked(toxicity.ratio_table(toxicity.gram_counts(rows)))
+    force = kneser_ney_by_force(texts, labels)
+    for t in [*texts, "vile day", "unseen zebra!", "", "  a  b "]:
+        want, got = force(t), toxicity.features(pa.array([t]), table)[0]
+        total = np.append(0, np.cumsum(want))
+        assert got[0] == pytest.approx(np.mean(want) if want else 0, abs=2e-3)
+        for w, x in zip(toxicity.WINDOWS, got[1:]):
+            best = max((total[min(i + w, len(want))] - total[i]) / w for i in range(len(want))) if want else 0
+            assert x == pytest.approx(best, abs=2e-3)
+
+
+def test_curve_rows_are_a_fifth_or_few(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'text' as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic").unionByName(docs.limit(5).selectExpr("doc_id", "1 as toxic"))
+    for most, low, high in ((20_000, 600, 1000), (200, 130, 280)):
+        rows = toxicity.labelled_rows(docs, labels, "toxic", most)
+        assert low < rows.where("fold = 0").count() < high and rows.count() == 4000
+    assert rows.where("doc_id < 5 and label = 1").count() == 5
+
+
+def test_language_mixture_is_the_best_penalised_set(spark):
+    """EM to convergence over all sets of languages, by plain loops, against the operator's choice."""
+    random = np.random.default_rng(7)
+    words = {"aa": "lorem ipsum dolor", "bb": "quick brown foxes", "cc": "zwölf große jäger", "dd": "gato perro pájaro"}
+    train = spark.createDataFrame([(t * 20, k) for k, t in words.items()] + [("nothing", None)], "text string, lang string")
+    model = language.learn(train)
+    texts = [" ".join(random.choice(" ".join(words[k] for k in ks).split(), 12)) for ks in (["aa"], ["aa", "bb"], ["cc", "dd"], ["bb", "cc", "dd"], ["dd"], ["aa", "bb", "cc", "dd"]) for _ in range(4)]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    agree = 0
+    for i, t in enumerate(texts):
+        _, bucket = language.trigrams(pa.array([t]))
+        key, count = np.unique(bucket, return_counts=True)
+        p = np.exp(model.log[:, key].astype(float))
+        best = None
+        for subset in range(1, 16):
+            ks = [k for k in range(4) if subset >> k & 1]
+            pi = np.full(len(ks), 1 / len(ks))
+            for _ in range(300):
+                part = pi[:, None] * p[ks]
+                pi = (part / part.sum(0) * count).sum(1)
+                pi /= pi.sum()
+            value = (count * np.log((pi[:, None] * p[ks]).sum(0))).sum() - (len(ks) - 1) / 2 * np.log(count.sum())
+            if best is None or value > best[0] + 1e-6:
+                best = value, ks, pi
+        want = {model.names[k]: x for k, x in zip(best[1], best[2])}
+        same = set(got[i].mixture) == set(want)
+        agree += same
+        if same:
+            assert all(abs(got[i].mixture[k] - x) < 0.03 for k, x in want.items())
+        assert got[i].lang_pred == max(want, key=want.get) or sorted(want.values())[-1] - sorted(want.values())[-2] < 0.05
+    assert agree >= len(texts) - 1  # the operator tries the sets of the most present languages, not all
+
+
+def test_dual_descent_is_the_hinge_loss_minimum():
+    """Against gradient descent on the primal problem."""
+    random = np.random.default_rng(9)
+    ratio, rows = random.normal(size=30), [np.sort(random.choice(30, 8, replace=False)) for _ in range(60)]
+    y = np.where([ratio[r].sum() + random.normal() > 0 for r in rows], 1, -1)
+    w, b = quality.dual_descent(rows, y, ratio, rounds=2000)
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 30] = ratio[r] / np.linalg.norm(ratio[r]), 1
+    weight = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+    v = np.zeros(31)
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (x @ v))
+        v -= 0.005 * (v - 2 * x.T @ (weight * slack * y))
+    loss = lambda u: 0.5 * u @ u + (weight * np.maximum(0, 1 - y * (x @ u)) ** 2).sum()
+    assert loss(np.append(w, b)) == pytest.approx(loss(v), rel=1e-3) and np.allclose(np.append(w, b), v, atol=0.02)
+
+
+def test_log_ratios_are_those_of_document_counts(spark):
+    texts, labels = ["ab ab", "ab cd", "cd", "", "ab"], [1, 1, 0, 0, 0]
+    rows = spark.createDataFrame(list(zip(texts, labels)), "text string, label int")
+    got = quality.log_ratios(quality.class_counts(rows))
+    each = [set(quality.indicators(pa.array([t]))[1].tolist()) for t in texts]
+    for k in set().union(*each):
+        n = [sum(k in s for s, y in zip(each, labels) if y == c) for c in (0, 1)]
+        assert got[k] == pytest.approx(np.log(((n[1] + 1) / (2 + 2)) / ((n[0] + 1) / (3 + 2))))
+
+
+def shots_by_force(shares):
+    """First frames of shots, one frame after the other."""
+    found, since = [0], 0
+    for t in range(1, len(shares)):
+        d = sum(abs(a - b) for a, b in zip(shares[t], shares[t - 1])) / 2
+        before = [sum(abs(a - b) for a, b in zip(shares[i], shares[i - 1])) / 2 for i in range(max(since + 1, t - 12), t)]
+        mean = sum(before) / len(before) if before else 0
+        limit = mean + 3 * (sum((x - mean) ** 2 for x in before) / len(before)) ** 0.5 if before else 0.5
+        if d > max(0.08, limit):
+            found.append(t)
+            since = t
+    return found
+
+
+def test_shots_of_stored_texts_by_force(spark):
+    """Frames of 12,288 bytes with changing kinds of bytes: histograms from the bytes themselves, and all shots told."""
+    kinds = ["aeiou", "AEIOU", "0123456789", "{|}~", "    !", "MNOPQ", "é", "xyz"]
+    random = np.random.default_rng(10)
+    text = "".join("".join(random.choice(list(kinds[(i // 3) % 8]), 12_288 if kinds[(i // 3) % 8] != "é" else 6_144)) for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in motion_jpeg.digests(motion_jpeg.stored(motion_jpeg.store_texts(docs))).collect()}
+    media = {r.doc_id: bytes(r.media) for r in motion_jpeg.store_texts(docs).collect()}
+    rate, places = motion_jpeg.frames_of(media[1])
+    shares = motion_jpeg.histograms(motion_jpeg.decode([media[1][a : a + n] for a, n in places]))
+    want = shots_by_force(shares.tolist())
+    at = [int(x) for x in re.search(r"at=([\d.]+);", got[1].feature)[1].split(".")]
+    assert at == want and len(want) > 8
+    assert [(c.first_frame, c.start_s) for c in got[1].clips] == [(f, f / rate) for f in want] and got[1].clips[-1].end_s == len(places) / rate
+    assert [tuple(c) for c in got[2].clips] == [(0, 1, 0.0, 1 / rate)]
+
+
 def test_shared_model_is_a_distribution():
     p = toxicity.shared_model((np.random.default_rng(1).random(32**4) < 0.02).astype(float))
     assert np.allclose(p.reshape(-1, 32).sum(1), 1)

@@ -42,9 +42,14 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spaced(symbols: np.ndarray, ends: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
-    """Joins runs of spaces. Each text begins after its predecessor's last symbol, which is a space."""
+    """Joins runs of spaces, also one before a text's end with that. Each text begins after its predecessor's last symbol, which is a space."""
     gap = symbols == space
-    keep = np.ones(len(gap), bool)
-    keep[1:] = ~(gap[1:] & gap[:-1])
-    keep[ends - 1] = True
-    return symbols[keep], np.cumsum(keep)[ends - 1]
+    last = np.zeros(len(gap), bool)
+    last[ends - 1] = True
+    keep = last.copy()
+    keep[1:] |= ~(gap[1:] & gap[:-1])
+    keep[:1] = True
+    symbols, last = symbols[keep], last[keep]
+    keep = np.ones(len(symbols), bool)
+    keep[:-1] = ~((symbols[:-1] == space) & last[1:] & ~last[:-1])
+    return symbols[keep], np.flatnonzero(last[keep]) + 1

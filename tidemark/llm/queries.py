@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, motion_jpeg, quality, toxicity
@@ -17,6 +17,11 @@ from tidemark.llm.url_filter import verdicts
 from tidemark.llm.warc import round_trip
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether crc32(doc_id as text) has this remainder; false for a null id, whose document teaches nothing either."""
+    return F.coalesce(id_crc("doc_id") % parts == part, F.lit(False)).alias("held_out")
+
+
 def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion_jpeg.digests(motion_jpeg.stored(motion_jpeg.store_texts(table(spark, sf_dir, "documents"))))
 
@@ -28,19 +33,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.learn(docs.where(id_crc("doc_id") % 4 != 2)))
-    return found.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op4_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.learn(toxicity.training(docs, table(spark, sf_dir, "labels"), "toxic")))
-    return found.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", held_out(5, 0), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = quality.score(docs, quality.learn(toxicity.training(docs, table(spark, sf_dir, "labels"), "quality")))
-    return found.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    found = quality.score(docs, quality.learn(toxicity.training(docs, table(spark, sf_dir, "labels"), "quality", quality.CURVE_ROWS)))
+    return found.select("doc_id", held_out(5, 0), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

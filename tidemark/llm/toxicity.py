@@ -58,7 +58,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for piece in pieces(batches, "text"):
             doc, key = grams(piece.column("text"))
             held.append(np.unique(key << 1 | piece.column("label").to_numpy()[doc], return_counts=True))
-            if len(held) > 8:
+            if len(held) > 8 and sum(len(k) for k, _ in held[1:]) > len(held[0][0]):
                 held = [merged()]
         if held:
             key, n = merged()
@@ -155,10 +155,15 @@ def _featured(docs: DataFrame, table, columns: list[str]) -> DataFrame:
     return docs.select("text", *columns).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), *(f"{c} double" for c in names)]))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """(doc_id, text, label, fold) of labelled documents; fold 0 (a fifth, by a hash of doc_id) is left out of counts. A repeated label counts once."""
-    marks = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(checked_broadcast(marks), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int"))
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, curve_rows: int = CALIBRATION_ROWS) -> DataFrame:
+    """(doc_id, text, label, fold) of labelled documents, kept in the shared folder as they are read several times. A repeated label counts once, the greater one.
+
+    Fold 0, chosen by a hash of doc_id, is for the logistic curve and left out of counts: a fifth, or about curve_rows if that is less; all others are counted.
+    """
+    marks = durable(labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label")), "marks")
+    share = min(0.2, curve_rows / max(1, marks.count()))
+    fold = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)), 0).otherwise(1)
+    return durable(docs.select("doc_id", "text").join(checked_broadcast(marks), "doc_id").withColumn("fold", fold), "labelled", compression="zstd")
 
 
 def learn(labelled: DataFrame) -> tuple[dict[int, bytes], tuple]:
@@ -188,6 +193,6 @@ def score(docs: DataFrame, model: tuple[dict[int, bytes], tuple]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def training(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+def training(docs: DataFrame, labels: DataFrame, column: str, curve_rows: int = CALIBRATION_ROWS) -> DataFrame:
     """labelled_rows() of documents whose crc32(doc_id as text) mod 5 is not 0."""
-    return labelled_rows(docs.where(id_crc("doc_id") % 5 != 0), labels, column)
+    return labelled_rows(docs.where(id_crc("doc_id") % 5 != 0), labels, column, curve_rows)
