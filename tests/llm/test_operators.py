@@ -251,7 +251,7 @@ def kneser_ney_by_force(texts, labels):
             return " "
         if c.isalpha():
             base = unicodedata.normalize("NFD", c)[0].lower() if ord(c) > 127 else c.lower()
-            return base if "a" <= base <= "z" else "XYZ"[ord(c) % 3]
+            return base if "a" <= base <= "z" else c
         return "0" if c.isdigit() else "."
 
     def grams(text):
@@ -274,7 +274,7 @@ def kneser_ney_by_force(texts, labels):
 
     def shared(g):
         if not g:
-            return 1 / 32
+            return 1 / (len(left[1]) + 1)
         total = sum(n for x, n in left[len(g)].items() if x[:-1] == g[:-1])
         kinds = sum(x[:-1] == g[:-1] for x in left[len(g)])
         lower = shared(g[1:])
@@ -291,7 +291,7 @@ def test_toxicity_is_kneser_ney_by_force(spark):
     texts = ["you vile thing", "a calm day, 2 birds", "vile vile words", "été et été", "day by day", "Привет you"]
     labels = [1, 0, 1, 0, 0, 1]
     rows = spark.createDataFrame(list(zip(texts, labels)), "text string, label int")
-    table = toxicity.unpacked(toxicity.ratio_table(toxicity.gram_counts(rows)))
+    table = toxicity.Lookup(*toxicity.packed(toxicity.ratios(toxicity.gram_counts(rows))))
     force = kneser_ney_by_force(texts, labels)
     for t in [*texts, "vile day", "unseen zebra!", "", "  a  b "]:
         want, got = force(t), toxicity.features(pa.array([t]), table)[0]
@@ -403,11 +403,39 @@ def test_shots_of_stored_texts_by_force(spark):
     assert [tuple(c) for c in got[2].clips] == [(0, 1, 0.0, 1 / rate)]
 
 
-def test_shared_model_is_a_distribution():
-    p = toxicity.shared_model((np.random.default_rng(1).random(32**4) < 0.02).astype(float))
-    assert np.allclose(p.reshape(-1, 32).sum(1), 1)
-    n = np.random.default_rng(1).poisson(0.2, (1024, 32)).astype(float)
-    assert np.allclose(np.exp(toxicity.class_model(n, p.reshape(-1, 32)[:1024])).sum(1), 1)
+def test_shared_model_is_a_distribution(spark):
+    counts = toxicity.gram_counts(spark.createDataFrame([("some text, and another text of 7 words", 1), ("été 你好 some more of it", 0)], "text string, label int"))
+    rows = toxicity.shared_model(counts).collect()
+    seen = {}
+    for r in rows:
+        seen[r.g[:3]] = seen.get(r.g[:3], 0) + r.p
+    assert all(0 < x < 1 for x in seen.values()) and len(rows) == len({r.g for r in rows})
+
+
+def test_lookup_holds_all_keys():
+    random = np.random.default_rng(2)
+    keys = np.unique(random.integers(0, 1 << 64, 5000, np.uint64, endpoint=False))
+    keys[:200] = (keys[0] & ~np.uint64(0xFFFFFFFF)) + np.arange(200, dtype=np.uint64) * np.uint64(2)  # one slot
+    table = toxicity.Lookup(keys.view(np.int64), np.arange(len(keys)).astype(np.float16))
+    got, has = table.find(keys)
+    assert has.all() and np.array_equal(got, np.arange(len(keys)).astype(np.float16))
+    assert not table.find(random.integers(0, 1 << 64, 5000, np.uint64, endpoint=False))[1].any()
+    assert not toxicity.Lookup(np.zeros(0, np.int64), np.zeros(0, np.float16)).find(keys)[1].any()
+
+
+def test_toxicity_by_a_join_is_the_same(spark, docs, monkeypatch):
+    rows = [(i, f"plain words number {i % 7} of a calm page " * 3 + ("vile words" if i % 2 else "")) for i in range(300)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = train.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    asked = docs.select("doc_id", "text").unionByName(train)
+    found = []
+    for most in (toxicity.TABLE_GRAMS, 0):
+        monkeypatch.setattr(toxicity, "TABLE_GRAMS", most)
+        monkeypatch.setattr(toxicity, "ASKING_BYTES", 100_000)
+        model = toxicity.learn(toxicity.training(train, labels, "toxic"))
+        assert (model.small is None) == (most == 0)
+        found.append(sorted((str(r.doc_id), round(r.score, 6)) for r in toxicity.score(asked, model).collect()))
+    assert found[0] == found[1] and len(found[0]) == len(TEXTS) + 302
 
 
 def test_token_files(spark, docs):

@@ -8,10 +8,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Symbols that the folded alphabet has: space, a to z, digit, mark, and three for other letters.
-SYMBOLS = 32
-
-
 @cache
 def letters() -> np.ndarray:
     """Whether a code point is a letter."""
@@ -34,6 +30,17 @@ def folded() -> np.ndarray:
     return out
 
 
+@cache
+def symbols() -> np.ndarray:
+    """Each code point's symbol, as a code point: letters without accents, other alphabets' letters as they are, 0 for digits, a space, and a dot for marks."""
+    kinds = folded()
+    out = np.arange(0x110000, dtype=np.uint32)
+    out[kinds == 0], out[kinds == 27], out[kinds == 28] = 32, 48, 46
+    latin = (kinds > 0) & (kinds < 27)
+    out[latin] = 96 + kinds[latin]
+    return out
+
+
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all lower-cased texts, each ended by a 0, and the place after each text's 0). Null is empty; a 0 in a text counts as a space."""
     joined = "\0".join((x or "").replace("\0", " ").lower() for x in texts.to_pylist()) + "\0"

@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Texts are read as symbols of an alphabet of 32 (letters without accents, space, digit, mark); each class has 5-gram counts over its training texts, all
-sent through per-task sums and one shuffle. The models discount these counts and back off to one shared model, whose Kneser-Ney continuation counts (in how
-many contexts a shorter n-gram stands) come from both classes. So an expression that neither class has often counts for little. What is kept of both
-models is the log-ratio of each 5-gram: a table of 2**25 half floats, whatever the corpus' size. A text's length-normalised log-likelihoods are compared as
-a whole and in its most toxic windows; a logistic curve, fitted on training rows that the counts left out, makes a probability of these.
+Texts are read as symbols (letters, a space, a digit, a mark); each class has counts of the 5-grams that its training texts have, as many as there are. The models
+discount these counts and back off to one shared model, whose Kneser-Ney continuation counts (in how many contexts a shorter n-gram stands) come from both classes:
+an expression that neither class has often counts for little. Counts, continuation counts and models are tables of n-grams, joined by histories and suffixes.
+
+What scoring needs is a table of log-ratios of the classes: of each 5-gram that is known, and of each history, for what has not been seen after it. It grows with
+the corpus. Up to TABLE_GRAMS rows it is sent to the tasks; beyond that, stretches of documents ask for the n-grams that they have, and get those rows by a join.
+A text's length-normalised log-likelihoods are compared as a whole and in its most toxic windows; a logistic curve, fitted on training rows that the counts left
+out, makes a probability of these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from zlib import compress, decompress
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import calibrate
-from tidemark.llm.chars import SYMBOLS, code_points, folded, spaced
-from tidemark.llm.common import checked_broadcast, durable, id_crc, pieces
+from tidemark.llm.chars import code_points, spaced, symbols
+from tidemark.llm.common import checked_broadcast, durable, id_crc, mixed, pieces, small_enough
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -27,132 +30,203 @@ DISCOUNT = 0.75
 WINDOWS = (8, 24, 96)
 #: Rows that the logistic curve is fitted on at most.
 CALIBRATION_ROWS = 20_000
-_BITS = 5
+#: Rows of the table that are sent to all tasks, ten bytes each; bytes of text that ask for rows together beyond that.
+TABLE_GRAMS, ASKING_BYTES = 4_000_000, 32 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NAMES = [f"f{i}" for i in range(1 + len(WINDOWS))]
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text's number, 25-bit key) of each 5-gram. A text begins with the spaces before it: its first symbol has a history too."""
+@dataclass
+class Grams:
+    """Of each 5-gram of some texts: the text's number, its symbols (one row for each place), the keys of it and of its history."""
+
+    doc: np.ndarray
+    points: list[np.ndarray]
+    key: np.ndarray
+    history: np.ndarray
+
+
+def grams(texts: pa.Array) -> Grams:
+    """A text begins with the spaces before it: its first symbol has a history too. An empty text has nothing."""
     points, ends = code_points(texts)
-    symbols, ends = spaced(folded()[points], ends, 0)
+    found, ends = spaced(symbols()[points], ends, 32)
     size = np.diff(np.append(0, ends))
-    doc = np.repeat(np.arange(len(ends)), size)
-    at = np.arange(len(symbols)) - np.repeat(ends - size, size)
-    key = np.zeros(len(symbols), np.int32)
+    at = np.arange(len(found)) - np.repeat(ends - size, size)
+    real = np.flatnonzero(~((at == 0) & (found == 32)))
+    places = []
     for back in range(ORDER - 1, -1, -1):
-        key <<= _BITS
-        key[back:] |= np.where(at[back:] >= back, symbols[: len(symbols) - back], 0).astype(np.int32)
-    real = ~((at == 0) & (symbols == 0))  # an empty text has nothing
-    return doc[real], key[real]
+        place = np.full(len(found), 32, np.uint32)
+        place[back:] = np.where(at[back:] >= back, found[: len(found) - back], 32)
+        places.append(place[real])
+    total = np.zeros(len(real), np.uint64)
+    for p in places[:-1]:
+        total = total * _STEP + p
+    return Grams(np.repeat(np.arange(len(ends)), size)[real], places, mixed(total * _STEP + places[-1] + np.uint64(5)), mixed(total + np.uint64(4)))
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(gram, n1, n0) over rows (text, label)."""
+    """(gram, key, history, n1, n0) over rows (text, label): history is the key of the first four symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+        def merged() -> tuple:
+            key, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+            history, points = (np.concatenate([h[i] for h in held])[first] for i in (1, 2))
+            return key, history, points, *(np.bincount(at, np.concatenate([h[i] for h in held]), len(key)).astype(np.int64) for i in (3, 4))
 
         for piece in pieces(batches, "text"):
-            doc, key = grams(piece.column("text"))
-            held.append(np.unique(key << 1 | piece.column("label").to_numpy()[doc], return_counts=True))
-            if len(held) > 8 and sum(len(k) for k, _ in held[1:]) > len(held[0][0]):
+            g = grams(piece.column("text"))
+            label = piece.column("label").to_numpy()[g.doc]
+            key, first, at = np.unique(g.key, return_index=True, return_inverse=True)
+            held.append((key, g.history[first], np.stack([p[first] for p in g.points], axis=1), *(np.bincount(at[label == c], minlength=len(key)) for c in (1, 0))))
+            if len(held) > 8 and sum(len(h[0]) for h in held[1:]) > len(held[0][0]):
                 held = [merged()]
         if held:
-            key, n = merged()
-            for i in range(0, len(key), 1 << 17):
-                k, c = key[i : i + (1 << 17)], n[i : i + (1 << 17)]
-                yield pa.record_batch([pa.array(k >> 1), pa.array(np.where(k & 1, c, 0)), pa.array(np.where(k & 1, 0, c))], names=["gram", "n1", "n0"])
-
-    return labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "gram int, n1 long, n0 long").groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-
-def shared_model(contexts: np.ndarray) -> np.ndarray:
-    """P(symbol | three before) from the number of left contexts of each 4-gram, interpolated down to single symbols and to 1/32."""
-    levels = [contexts.astype(np.float64)]
-    while levels[-1].size > SYMBOLS:
-        levels.append((levels[-1].reshape(SYMBOLS, -1) > 0).sum(0).astype(np.float64))
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for n in reversed(levels):
-        n = n.reshape(-1, SYMBOLS)
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS), (max(1, len(n) // max(1, p.size // SYMBOLS)), 1))
-        some = np.maximum(total, 1)
-        p = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lower) / some, lower)
-    return p.reshape(-1)
-
-
-def class_model(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Log P(symbol | history) for counts (histories x symbols) over the shared model's rows."""
-    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    some = np.maximum(total, 1)
-    return np.log(np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lower) / some, lower))
-
-
-def ratio_table(counts: DataFrame) -> dict[int, bytes]:
-    """log P(. | toxic) - log P(. | ordinary) for each 5-gram key, as compressed slices of 2**15 keys that the executors compute; most cells are alike."""
-    sc = counts.sparkSession.sparkContext
-    lower = np.zeros(SYMBOLS ** (ORDER - 1))
-    rows = counts.groupBy((F.col("gram").bitwiseAND(SYMBOLS ** (ORDER - 1) - 1)).alias("g")).count().toArrow()
-    lower[rows.column("g").to_numpy()] = rows.column("count").to_numpy()
-    lower = sc.broadcast(shared_model(lower).astype(np.float32))
-    cells = SYMBOLS**3
-
-    def run(group: pa.Table) -> pa.Table:
-        part, at = group.column("part")[0].as_py(), group.column("gram").to_numpy() % cells
-        logs = []
-        # a 5-gram's last four symbols are its place in the slice and the lowest symbol of the slice's number
-        base = lower.value.reshape(SYMBOLS, cells)[part % SYMBOLS].reshape(-1, SYMBOLS).astype(np.float64)
-        for name in ("n1", "n0"):
-            n = np.zeros(cells)
-            n[at] = group.column(name).to_numpy()
-            logs.append(class_model(n.reshape(-1, SYMBOLS), base))
-        return pa.table({"part": pa.array([part], pa.int32()), "ratios": pa.array([compress((logs[0] - logs[1]).astype(np.float16).tobytes(), 1)], pa.binary())})
-
-    found = counts.withColumn("part", F.shiftright("gram", 3 * _BITS)).groupBy("part").applyInArrow(run, "part int, ratios binary").toArrow()
-    return dict(zip(found.column("part").to_pylist(), found.column("ratios").to_pylist()))
-
-
-def unpacked(slices: dict[int, bytes]) -> np.ndarray:
-    table, cells = np.zeros(SYMBOLS**ORDER, np.float16), SYMBOLS**3
-    for part, ratios in slices.items():
-        table[part * cells : (part + 1) * cells] = np.frombuffer(decompress(ratios), np.float16)
-    return table
-
-
-def features(texts: pa.Array, table: np.ndarray) -> np.ndarray:
+            key, history, points, n1, n0 = merged()
+            for i in range(0, len(key), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                told = points[part].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                names = pa.array([told[j : j + ORDER] for j in range(0, len(told), ORDER)])
+                yield pa.record_batch([names, pa.array(key[part].view(np.int64)), pa.array(history[part].view(np.int64)), pa.array(n1[part]), pa.array(n0[part])], names=["gram", "key", "history", "n1", "n0"])
+
+    rows = labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "gram string, key long, history long, n1 long, n0 long")
+    return rows.groupBy("gram", "key", "history").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def shared_model(counts: DataFrame) -> DataFrame:
+    """(g, p): P(last symbol | three before) of each 4-gram that stands at the end of a counted 5-gram, from the number of its left contexts, interpolated down to
+    single symbols and to one over their number and one more."""
+    levels, longer = [], counts.select(F.col("gram").alias("g"))
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(durable(longer.groupBy(F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).alias("n")), f"contexts{k}"))
+        longer = levels[-1].select("g")
+    total, kinds = levels[-1].agg(F.sum("n"), F.count(F.lit(1))).first()
+    p = levels[-1].select("g", ((F.col("n") - DISCOUNT + DISCOUNT * kinds / (kinds + 1)) / (total or 1)).alias("p"))
+    for k, level in zip(range(2, ORDER), reversed(levels[:-1])):
+        split = level.select("g", "n", F.substring("g", 1, k - 1).alias("h"), F.substring("g", 2, k - 1).alias("s"))
+        sums = split.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        lower = p.select(F.col("g").alias("s"), F.col("p").alias("lower"))
+        p = durable(split.join(sums, "h").join(lower, "s").select("g", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("total")).alias("p")), f"shared{k}")
+    return p
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """(key, ratio): log P(. | toxic) - log P(. | ordinary) of each counted 5-gram, and of what was never counted after each history, by the history's key."""
+    # a class without this history goes by the shared model alone
+    rest = lambda c: F.when(F.col(f"t{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"t{c}")).otherwise(1.0)
+    whole = lambda c: F.greatest(F.lit(0.0), F.col(f"n{c}") - DISCOUNT) / F.greatest(F.lit(1), F.col(f"t{c}")) + rest(c) * F.col("p")
+    sums = [x for c in (1, 0) for x in (F.sum(f"n{c}").alias(f"t{c}"), F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"k{c}"))]
+    histories = durable(counts.groupBy("history").agg(*sums), "histories")
+    lower = shared_model(counts).withColumnRenamed("g", "s")
+    full = counts.withColumn("s", F.substring("gram", 2, ORDER - 1)).join(lower, "s").join(histories, "history")
+    known = full.select("key", (F.log(whole(1)) - F.log(whole(0))).cast("float").alias("ratio"))
+    return known.unionByName(histories.select(F.col("history").alias("key"), (F.log(rest(1)) - F.log(rest(0))).cast("float").alias("ratio")))
+
+
+class Lookup:
+    """An open-addressed table of keys and ratios: a third of the slots is taken at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.mark, self.value = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.float16)
+        slot, mark = self._of(keys.view(np.uint64))
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.mark[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.mark[slot[put]], self.value[slot[put]] = mark[put], values[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] = (slot[left] + 1) & self.last
+
+    def _of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys >> self.shift).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ratios, whether they are known)."""
+        slot, mark = self._of(keys)
+        out, has, left = np.zeros(len(keys)), np.zeros(len(keys), bool), np.arange(len(keys))
+        while len(left):
+            seen = self.mark[slot[left]]
+            hit = left[seen == mark[left]]
+            out[hit], has[hit] = self.value[slot[hit]], True
+            left = left[(seen != 0) & (seen != mark[left])]
+            slot[left] = (slot[left] + 1) & self.last
+        return out, has
+
+    def ratios(self, g: Grams) -> np.ndarray:
+        out, has = self.find(g.key)
+        rest = np.flatnonzero(~has)
+        out[rest] = self.find(g.history[rest])[0]
+        return out
+
+
+def features(texts: pa.Array, lookup: Lookup) -> np.ndarray:
     """Mean log-ratio and best window means for each text; zeros without symbols."""
-    doc, key = grams(texts)
-    n = np.bincount(doc, minlength=len(texts))
-    out = np.zeros((len(texts), 1 + len(WINDOWS)))
+    g = grams(texts)
+    n = np.bincount(g.doc, minlength=len(texts))
+    out = np.zeros((len(texts), len(_NAMES)))
     full = np.flatnonzero(n)
     if not len(full):
         return out
-    ratio = table[key].astype(np.float64)
-    total = np.append(0, np.cumsum(ratio))
+    total = np.append(0, np.cumsum(lookup.ratios(g)))
     begin = (np.cumsum(n) - n)[full]
     end = begin + n[full]
-    whole = total[end] - total[begin]
-    out[full, 0] = whole / n[full]
+    out[full, 0] = (total[end] - total[begin]) / n[full]
     for i, w in enumerate(WINDOWS, 1):
-        stop = np.minimum(np.arange(len(key)) + w, np.repeat(end, n[full]))  # near the end, a window is shorter but weighs as if full
+        stop = np.minimum(np.arange(len(g.key)) + w, np.repeat(end, n[full]))  # near the end, a window is shorter but weighs as if full
         out[full, i] = np.maximum.reduceat((total[stop] - total[:-1]) / w, begin)
     return out
 
 
-def _featured(docs: DataFrame, table, columns: list[str]) -> DataFrame:
-    names = [f"f{i}" for i in range(1 + len(WINDOWS))]
+def packed(table: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The table's keys and ratios if it has at most TABLE_GRAMS rows."""
+    if not small_enough(table, TABLE_GRAMS):
+        return None
+    rows = table.toArrow()
+    return rows.column("key").to_numpy(), rows.column("ratio").to_numpy().astype(np.float16)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = unpacked(table.value)
-        for piece in pieces(batches, "text"):
-            x = features(piece.column("text"), ratios)
-            yield pa.record_batch([*(piece.column(c) for c in columns), *(pa.array(x[:, i].copy()) for i in range(x.shape[1]))], names=[*columns, *names])
 
+def with_features(docs: DataFrame, table: DataFrame, small: tuple[np.ndarray, np.ndarray] | None, columns: list[str], schema: str, made: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """columns of docs and what made() gives for the features of their texts."""
+    names = [*columns, *(x.split()[0] for x in schema.split(", "))]
     kinds = dict(docs.dtypes)
-    return docs.select("text", *columns).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), *(f"{c} double" for c in names)]))
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in columns), schema])
+
+    def answer(rows: pa.RecordBatch, lookup: Lookup) -> pa.RecordBatch:
+        return pa.record_batch([*(rows.column(c) for c in columns), *made(features(rows.column("text"), lookup))], names=names)
+
+    if small is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(small)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup = Lookup(*shared.value)
+            for piece in pieces(batches, "text"):
+                yield answer(piece, lookup)
+
+        return docs.select("text", *columns).mapInArrow(run, out)
+
+    stretches = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ASKING_BYTES))
+    dealt = durable(docs.select("text", *columns).withColumn("_stretch", F.pmod(F.xxhash64("text", *columns), F.lit(stretches))), "dealt", compression="zstd")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            g = grams(piece.column("text"))
+            stretch = piece.column("_stretch").to_numpy()[g.doc]
+            for s in np.unique(stretch):
+                keys = np.unique(np.concatenate([g.key[stretch == s], g.history[stretch == s]])).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(keys), s)), pa.array(keys)], names=["_stretch", "key"])
+
+    asked = dealt.select("text", "_stretch").mapInArrow(ask, "_stretch long, key long").distinct()
+    told = asked.join(table, "key").select("_stretch", "key", "ratio")
+
+    def both(rows: pa.Table, known: pa.Table) -> pa.Table:
+        lookup = Lookup(known.column("key").to_numpy(), known.column("ratio").to_numpy().astype(np.float16))
+        return pa.Table.from_batches([answer(p, lookup) for p in pieces(iter(rows.to_batches()), "text")] or [answer(rows.schema.empty_table().combine_chunks().to_batches()[0], lookup)])
+
+    return dealt.groupBy("_stretch").cogroup(told.groupBy("_stretch")).applyInArrow(both, out)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, curve_rows: int = CALIBRATION_ROWS) -> DataFrame:
@@ -166,31 +240,31 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, curve_rows: i
     return durable(docs.select("doc_id", "text").join(checked_broadcast(marks), "doc_id").withColumn("fold", fold), "labelled", compression="zstd")
 
 
-def learn(labelled: DataFrame) -> tuple[dict[int, bytes], tuple]:
-    """(ratio table, logistic curve) from rows of labelled_rows()."""
+@dataclass
+class Model:
+    table: DataFrame
+    small: tuple[np.ndarray, np.ndarray] | None
+    curve: tuple
+
+
+def learn(labelled: DataFrame) -> Model:
+    """From rows of labelled_rows()."""
     counts = durable(gram_counts(labelled.where("fold <> 0")), "grams")
-    table = ratio_table(counts)
-    shared = labelled.sparkSession.sparkContext.broadcast(table)
-    rows = _featured(labelled.where("fold = 0"), shared, ["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
-    return table, calibrate.fit(rows.filter(regex="^f[0-9]").to_numpy(float), rows.label.to_numpy(float))
+    table = durable(ratios(counts), "ratios")
+    small = packed(table)
+    found = with_features(labelled.where("fold = 0"), table, small, ["doc_id", "label"], ", ".join(f"{n} double" for n in _NAMES), lambda x: [pa.array(c.copy()) for c in x.T])
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
+    return Model(table, small, calibrate.fit(rows[_NAMES].to_numpy(float), rows.label.to_numpy(float)))
 
 
-def score(docs: DataFrame, model: tuple[dict[int, bytes], tuple]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of docs (doc_id, text): the probability of being toxic, 0 to 1.
 
     Null, empty and blank texts get what a mean log-ratio of 0 gives. With no labelled rows, or one class only, all scores are its share. Extra columns are
     left out; equal texts get equal scores.
     """
-    table, curve = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = unpacked(shared.value)
-        for piece in pieces(batches, "text"):
-            p = calibrate.probability(curve, features(piece.column("text"), ratios))
-            yield pa.record_batch([piece.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    curve = model.curve
+    return with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.table, model.small, ["doc_id"], "score double", lambda x: [pa.array(calibrate.probability(curve, x))])
 
 
 def training(docs: DataFrame, labels: DataFrame, column: str, curve_rows: int = CALIBRATION_ROWS) -> DataFrame:
