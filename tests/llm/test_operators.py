@@ -203,6 +203,24 @@ def test_decontamination_finds_all_that_alignment_finds(spark):
     assert got == want and len(want) > 100
 
 
+def test_decontamination_in_blocks_and_by_parts_of_items(spark, monkeypatch):
+    """Several blocks of items, some of them equal, and a long text full of a line that all items have: the same rows."""
+    random = np.random.default_rng(13)
+    words, line = [f"v{i}" for i in range(500)], "all the items have this very line"
+    items = [(i, " ".join(random.choice(words, 12)) + " " + line) for i in range(60)] + [(60, line + " once"), (61, line + " once")]
+    texts = [(0, f"{line} " * 400)] + [(i, "before " + t.replace("v1", "w1") + " after") for i, t in items[:20]] + [(None, items[3][1]), (30, ""), (31, None)]
+    rows = lambda x, name: spark.createDataFrame(x, f"{name} long, text string")
+    found = []
+    for size, places in ((8 << 20, 1 << 20), (1500, 50)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        found.append(sorted((str(r.doc_id), r.item_id, r.score, r.end_word) for r in decontaminate.contaminated(rows(texts, "doc_id"), rows(items, "item_id")).collect()))
+        seeds = decontaminate.Seeds([t for _, t in items], [i for i, _ in items], 0.5)
+        doc, words_of = decontaminate._read(pa.record_batch([pa.array([t for _, t in texts])], names=["text"]))
+        monkeypatch.setattr(decontaminate, "_PLACES", places)
+        found.append(sorted(x for w in seeds.windows(doc, words_of) for x in zip(*(c.tolist() for c in w))))
+    assert found[0] == found[2] and found[1] == found[3] and ("None", 3, 1.0, 19) in found[0] and {r[1] for r in found[0] if r[0] == "0"} >= {60, 61}
+
+
 def test_alignment_is_smith_waterman():
     random = np.random.default_rng(2)
     a, b = [random.integers(0, 6, n).astype(np.uint64) + 10 for n in (9, 12)], [random.integers(0, 6, n).astype(np.uint64) + 10 for n in (20, 15)]
@@ -450,6 +468,9 @@ def test_token_files(spark, docs):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), crc32(ids.tobytes()))
         at += len(ids)
     assert token_files.token_output(docs.limit(0), tokenizer_path()).count() == 0
+    files = token_files.write_tokens(docs, tokenizer_path(), token_files.fresh_path(spark, "tokens"), file_ids=5)  # many files a part
+    again = token_files.read_tokens(files).orderBy("start").collect()
+    assert files.groupBy("part").count().agg(F.max("count")).first()[0] > 3 and [tuple(r) for r in again] == [tuple(r) for r in got]
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 70_000])
@@ -542,6 +563,16 @@ def test_warc(spark, monkeypatch):
     assert warc.round_trip(pages).count() == len(rows)
 
 
+def test_warc_with_too_many_repeats_to_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", "x" * (1000 + i % 3)) for i in range(60)] + [(None, "u", "x" * 1000), (59, "again", "x" * 1002)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for most in (warc.BROADCAST_DIGESTS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+        found.append(sorted((str(r.page_id), r.url, r.record_type, r.refers_to, r.payload_digest) for r in warc.round_trip(pages).collect()))
+    assert found[0] == found[1] and sum(x[2] == "response" for x in found[0]) == 4  # the largest id is there twice
+
+
 def test_warc_with_long_heads(spark, monkeypatch):
     rows = [(1, "http://a/" + "x" * 200_000, "first"), (2, "http://b/", "second"), (3, "http://c/" + " " * 30_000, "third"), (4, "http://d/" + "WARC/1.1\r\n" * 20_000, "fourth"), (5, "u", "last")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
@@ -696,6 +727,13 @@ def test_every_operator_of_the_list_has_a_query():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
 
 
+def test_large_sides_are_not_broadcast(spark):
+    from tidemark.llm.common import checked_broadcast
+
+    told = lambda df: df._jdf.queryExecution().toString()
+    assert "broadcast" in told(checked_broadcast(spark.range(3), 3)) and "broadcast" not in told(checked_broadcast(spark.range(4), 3))
+
+
 def test_hot_join_keeps_all_rows(spark):
     from tidemark.llm.common import hot_join
 

@@ -28,8 +28,8 @@ from tidemark.llm.words import plain, word_hashes, word_spans
 #: Of the places that can go without loss, the share that does: with more, less is looked up; with less, fewer passages are aligned.
 SHARE = 0.5
 BLOCK_BYTES = 8 << 20
-#: Cells of the rows that are aligned at once.
-_CELLS = 1 << 18
+#: Cells of the rows that are aligned at once, and places of items that are weighed at once, about.
+_CELLS, _PLACES = 1 << 18, 1 << 20
 
 
 def _pairs(words: np.ndarray, at: np.ndarray, item_step: int, step: int) -> np.ndarray:
@@ -70,6 +70,7 @@ class Seeds:
         hashes, self.item, self.place, self.weight, self.step = hashes[order], item[order], place[order], weight[order], step[order]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
         self.hashes, self.begin = hashes[first], np.append(first, len(hashes))
+        self.sorted = np.repeat(np.arange(len(first)), np.diff(self.begin)) * (1 + len(self.items)) + self.item  # pair, then item
         self.steps = sorted(set(step.tolist()))
         self.shift = np.uint64(64 - min(26, max(16, len(self.hashes).bit_length() + 4)))
         self.map = np.zeros(1 << (64 - int(self.shift)), bool)
@@ -102,11 +103,18 @@ class Seeds:
             numbers.append(number[real])
         return np.concatenate(places), np.concatenate(numbers)
 
-    def windows(self, doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, first word, end) of the passages in which an item can reach its score."""
+    def windows(self, doc: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, first word, end) of the passages in which an item can reach its score; so many items at a time that their places stay few."""
         place, number = self.found(doc, words)
-        n = np.diff(self.begin)[number]
-        pick = np.repeat(self.begin[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parts = max(1, -(-int(np.diff(self.begin)[number].sum()) // _PLACES))
+        cuts = np.linspace(0, len(self.items), min(parts, max(1, len(self.items))) + 1).astype(np.int64)
+        for low, high in zip(cuts, cuts[1:]):
+            yield self._windows(doc, place, number, low, high)
+
+    def _windows(self, doc: np.ndarray, place: np.ndarray, number: np.ndarray, low_item: int, high_item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        begin = np.searchsorted(self.sorted, number * (1 + len(self.items)) + low_item)
+        n = np.searchsorted(self.sorted, number * (1 + len(self.items)) + high_item) - begin
+        pick = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
         place = np.repeat(place, n)
         item, weight = self.item[pick], self.weight[pick]
         # a passage has at most 2 m words of its item's and as many others as edits, less than 2 m - score of them
@@ -190,18 +198,16 @@ def _matches(docs: DataFrame, seeds: Seeds, least: float) -> DataFrame:
         s = shared.value
         for piece in pieces(batches, "text"):
             doc, words = _read(piece)
-            d, item, low, high = s.windows(doc, words)
-            if not len(d):
-                continue
-            begin = np.searchsorted(doc, d)
-            rows, i = [], 0
-            by_size = np.argsort(high - low, kind="stable")
-            while i < len(by_size):
-                room = np.searchsorted(np.maximum.accumulate((high - low)[by_size[i : i + 256]]) * np.arange(1, 1 + len(by_size[i : i + 256])), _CELLS, side="right")
-                part = by_size[i : i + max(1, int(room))]
-                i += len(part)
-                score, end = align([s.items[item[c]] for c in part], [words[low[c] : high[c]] for c in part])
-                rows += [(int(d[c]), int(item[c]), float(v), int(low[c] + e - begin[c])) for c, v, e in zip(part, score, end) if v >= least]
+            rows = []
+            for d, item, low, high in s.windows(doc, words):
+                begin, i = np.searchsorted(doc, d), 0
+                by_size = np.argsort(high - low, kind="stable")
+                while i < len(by_size):
+                    room = np.searchsorted(np.maximum.accumulate((high - low)[by_size[i : i + 256]]) * np.arange(1, 1 + len(by_size[i : i + 256])), _CELLS, side="right")
+                    part = by_size[i : i + max(1, int(room))]
+                    i += len(part)
+                    score, end = align([s.items[item[c]] for c in part], [words[low[c] : high[c]] for c in part])
+                    rows += [(int(d[c]), int(item[c]), float(v), int(low[c] + e - begin[c])) for c, v, e in zip(part, score, end) if v >= least]
             best: dict[tuple[int, int], tuple[float, int]] = {}
             for x, y, v, e in rows:
                 best[x, y] = max(best.get((x, y), (0.0, 0)), (v, -e))

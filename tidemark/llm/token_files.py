@@ -231,7 +231,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, encoder: Callable[[str], Tokens] = tokens_of, order: str = "doc_id") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, encoder: Callable[[str], Tokens] = tokens_of, order: str = "doc_id", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes each document's ids and end_id to files in folder, in ascending order of a column; (part, number, path, documents, ids) for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
                 parts.append(ids)
                 counts.append(len(ids))
                 held += len(ids)
-                if held >= FILE_IDS:
+                if held >= file_ids:
                     yield flush()
                     known, parts, counts, number, held = [], [], [], number + 1, 0
         if known:

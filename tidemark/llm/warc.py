@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, durable, fresh_path, small_enough
+from tidemark.llm.common import durable, fresh_path, small_enough
 
 #: Payload bytes from which equal payloads are stored once; bytes of an archive after which a new one is begun; bytes of a split.
 REVISIT_BYTES, FILE_BYTES, SPLIT_BYTES = 1000, 64 << 20, 16 << 20
-SALTS = 16
+#: Repeated digests that are sent to all tasks at most (some 100 bytes each), and shares that a digest's pages are dealt to beyond that.
+BROADCAST_DIGESTS, SALTS = 400_000, 16
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes that are read on from a split's end, or from what is read of a longer head, each time twice as many.
 _READ_BYTES = 1 << 16
@@ -40,7 +41,7 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     large = F.octet_length("html") >= least
     groups = pages.where(large).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
     groups = durable(groups, "repeats")
-    if small_enough(groups, BROADCAST_ROWS):
+    if small_enough(groups, BROADCAST_DIGESTS):
         joined = pages.join(F.broadcast(groups), "digest", "left")
     else:
         salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
