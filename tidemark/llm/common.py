@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +53,20 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+@cache
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _trim() -> None:
+    """Free heap memory goes back to the system, where the C library can do that."""
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a piece has one row or at most so many bytes in a text column."""
+    """Cuts batches so that a piece has one row or at most so many bytes in a text column. What the task took for them goes back to the system at its end, as
+    workers outlive tasks."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,6 +78,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             end = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
+    _trim()
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
