@@ -573,6 +573,25 @@ def test_warc_with_too_many_repeats_to_broadcast(spark, monkeypatch):
     assert found[0] == found[1] and sum(x[2] == "response" for x in found[0]) == 4  # the largest id is there twice
 
 
+def test_warc_hashes_only_what_is_reached(spark, monkeypatch, tmp_path):
+    """A payload full of heads that all claim the rest of it, and an archive that is cut off."""
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: {:07d}\r\n\r\n"
+    each, n = len(head.format(0)), 400
+    inner = "\r\n\r\n" + "".join(head.format((n - i - 1) * each + 9) for i in range(n)) + "some text\r\n\r\n"
+    pages = spark.createDataFrame([(1, "u", inner), (2, "v", "after it")], "page_id long, url string, html string").repartition(1)
+    files = warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}")
+    assert warc.candidates(files).count() > n
+    for split in (warc.SPLIT_BYTES, 3000):
+        monkeypatch.setattr(warc, "SPLIT_BYTES", split)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(files).collect()}
+        assert got == {1: (len(inner), sha1(inner.encode()).hexdigest()), 2: (8, sha1(b"after it").hexdigest())}
+    path, size, _ = files.first()
+    with open(path.removeprefix("file://"), "r+b") as f:
+        f.truncate(size - 3)
+    cut = spark.createDataFrame([(path, size - 3)], "path string, bytes long")
+    assert len({r.page_id for r in warc.read_archives(cut).collect()}) == 1
+
+
 def test_warc_with_long_heads(spark, monkeypatch):
     rows = [(1, "http://a/" + "x" * 200_000, "first"), (2, "http://b/", "second"), (3, "http://c/" + " " * 30_000, "third"), (4, "http://d/" + "WARC/1.1\r\n" * 20_000, "fourth"), (5, "u", "last")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)

@@ -3,7 +3,8 @@
 Reading cuts archives into splits. A task looks for the magic in its split and parses what follows as a record head; each that parses is a candidate whose
 head says where its successor begins. Payloads may hold the magic too, even whole records; so only what is reachable from a file's first byte counts. Within
 a split, a task follows the chain by itself and says where each candidate leaves the split; between splits, pointer jumping doubles the distance each round:
-the candidates that are reached, and where 1, 2, 4, ... hops lead to. Last, each split is walked from the place where the chain enters it.
+the candidates that are reached, and where 1, 2, 4, ... hops lead to. Last, each split is walked from the place where the chain enters it, and only the payloads of
+records that are reached are read and hashed: what a payload holds, however often it claims to begin a record, costs no more than its heads.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     return durable(pages.mapInArrow(run, "path string, bytes long, records long"), "archives")
 
 
-_FIELDS = (("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()))
+#: What a candidate's head says, and where its block is.
+_FIELDS = (("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("declared", pa.string()), ("body", pa.int64()), ("length", pa.int64()))
+_TOLD = "path string, at long, page_id long, record_type string, refers_to long, url string"
 
 
 def parse(head: bytes) -> dict[bytes, bytes] | None:
@@ -150,22 +153,15 @@ def candidates(files: DataFrame) -> DataFrame:
             if after > size:
                 continue
             if body + length + 4 <= len(data):
-                block = data[body : body + length]
                 tail = data[body + length : body + length + 4]
             else:
-                file.seek(start + body)
-                block = file.read(length)
+                file.seek(after - 4)
                 tail = file.read(4)
             if tail != b"\r\n\r\n":
                 continue
-            cut = block.find(b"\r\n\r\n")
-            payload = block[cut + 4 :] if cut >= 0 else block
-            kind, digest, n_bytes = fields[b"warc-type"].decode("utf-8", "replace"), sha1(payload).hexdigest(), len(payload)
-            if kind == "revisit":  # its block has only the head of what it refers to
-                said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block)
-                digest, n_bytes = fields.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:"), int(said[1]) if said else 0
-            url = fields.get(b"warc-target-uri")
-            rows.append((start + at, after, (_number(fields.get(b"warc-record-id", b"")), kind, _number(fields.get(b"warc-refers-to", b"")), url and url.decode("utf-8", "replace"), n_bytes, digest)))
+            url, text = fields.get(b"warc-target-uri"), lambda name: fields.get(name, b"").decode("utf-8", "replace")
+            told = (_number(fields.get(b"warc-record-id", b"")), text(b"warc-type"), _number(fields.get(b"warc-refers-to", b"")), url and url.decode("utf-8", "replace"), text(b"warc-payload-digest"), start + body, length)
+            rows.append((start + at, after, told))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +179,7 @@ def candidates(files: DataFrame) -> DataFrame:
                 columns += [pa.array([r[2][i] for r in rows], kind) for i, (_, kind) in enumerate(_FIELDS)]
                 yield pa.record_batch(columns, names=["path", "bytes", "split", "at", "next", "leaves", *(f for f, _ in _FIELDS)])
 
-    schema = "path string, bytes long, split long, at long, next long, leaves long, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string"
+    schema = "path string, bytes long, split long, at long, next long, leaves long, page_id long, record_type string, refers_to long, url string, declared string, body long, length long"
     return splits.repartition(n, "path", "split").mapInArrow(run, schema)
 
 
@@ -201,6 +197,36 @@ def entered(found: DataFrame) -> DataFrame:
         jump = durable(jump.join(onward, ["path", "to"], "left").select("path", "at", F.col("further").alias("to")), "jumps")
 
 
+def with_payloads(records: DataFrame) -> DataFrame:
+    """records (path, at, page_id, record_type, refers_to, url, declared, body, length) with payload_bytes and payload_digest: of the block after its HTTP head, or as
+    a revisit's head says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, file = None, None
+        for batch in batches:
+            told = []
+            for path, kind, declared, body, length in zip(*(batch.column(c).to_pylist() for c in ("path", "record_type", "declared", "body", "length"))):
+                if path != opened:
+                    if file is not None:
+                        file.close()
+                    filesystem, name = _filesystem(path)
+                    opened, file = path, filesystem.open_input_file(name)
+                file.seek(body)
+                block = file.read(length)
+                if kind == "revisit":  # its block has only the head of what it refers to
+                    said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", block)
+                    told.append((int(said[1]) if said else 0, declared.removeprefix("sha1:")))
+                else:
+                    payload = memoryview(block)[block.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else block
+                    told.append((len(payload), sha1(payload).hexdigest()))
+            kept = [batch.column(c) for c in ("path", "at", "page_id", "record_type", "refers_to", "url")]
+            yield pa.record_batch([*kept, pa.array([n for n, _ in told], pa.int64()), pa.array([d for _, d in told], pa.string())], schema=pa.schema([*(batch.schema.field(c) for c in ("path", "at", "page_id", "record_type", "refers_to", "url")), pa.field("payload_bytes", pa.int64()), pa.field("payload_digest", pa.string())]))
+        if file is not None:
+            file.close()
+
+    return records.mapInArrow(run, f"{_TOLD}, payload_bytes long, payload_digest string")
+
+
 def read_archives(files: DataFrame) -> DataFrame:
     """(path, at, page_id, record_type, refers_to, url, payload_bytes, payload_digest) of each record of files (path, bytes); of a revisit, as its head says.
 
@@ -221,8 +247,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                 i = row.get(int(after[i]))
         return group.select(names).take(pa.array(sorted(set(kept)), pa.int64()))
 
-    schema = "path string, at long, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string"
-    return marked.select("split", "next", "entry", *names).groupBy("path", "split").applyInArrow(walk, schema)
+    reached = marked.select("split", "next", "entry", *names).groupBy("path", "split").applyInArrow(walk, f"{_TOLD}, declared string, body long, length long")
+    return with_payloads(reached)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
