@@ -34,8 +34,8 @@ FILE_IDS = 1 << 21
 _MAGIC, _NULL = b"PFOR0001", -(1 << 63)
 #: Blocks that are packed together, so that they stay in the processor's cache.
 _AT_ONCE = 2048
-#: Chunks of text whose ids a worker remembers, twice, and the length above which it doesn't (some 100 MB at most, whatever the language).
-_REMEMBERED, _LONGEST = 250_000, 48
+#: Chunks of text whose ids a worker remembers, twice, and the length above which it doesn't (some 200 MB at most, whatever the language).
+_REMEMBERED, _LONGEST = 400_000, 48
 #: Letters, then ASCII marks, a line end and letters, marks; all but the first may be missing. Each is a piece of its own (an apostrophe may not be).
 _WITH_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?)?")
 
