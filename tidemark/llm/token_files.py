@@ -34,8 +34,8 @@ FILE_IDS = 1 << 21
 _MAGIC, _NULL = b"PFOR0001", -(1 << 63)
 #: Blocks that are packed together, so that they stay in the processor's cache.
 _AT_ONCE = 2048
-#: Chunks of text whose ids a worker remembers, twice, and the length above which it doesn't (some 200 MB at most, whatever the language).
-_REMEMBERED, _LONGEST = 400_000, 48
+#: Chunks of text whose ids a worker remembers, twice, and the length above which it doesn't (some 250 MB at most, whatever the language).
+_REMEMBERED, _LONGEST = 500_000, 48
 #: Letters, then ASCII marks, a line end and letters, marks; all but the first may be missing. Each is a piece of its own (an apostrophe may not be).
 _WITH_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)?)?")
 
@@ -160,13 +160,14 @@ class Tokens(dict):
         for c in map(chr, [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x400)]):
             for b, x in zip(c.encode(), rule.pre_tokenize_str(c)[0][0]):
                 self.shown[b] = x
+        self.space, self.code = self.shown[32], "H" if self.kind is np.uint16 else "I"
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def letters(self, text: str, before: str = "") -> bytes:
         shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
-        return array("H" if self.kind is np.uint16 else "I", [t.id for t in self.piece(before + shown)]).tobytes()
+        return array(self.code, [t.id for t in self.piece(before + shown)]).tobytes()
 
     def part(self, text: str) -> bytes:
         """The ids of letters, or of marks, without a space before."""
@@ -183,8 +184,10 @@ class Tokens(dict):
         """The ids of a space and the chunk, for a chunk that neither is empty nor has white space at an end nor a special token in it."""
         found = self.older.get(chunk)
         if found is None:
-            if chunk.isalpha():
-                found = self.letters(chunk, self.shown[32])
+            if chunk.isascii() and chunk.isalpha():
+                found = array(self.code, [t.id for t in self.piece(self.space + chunk)]).tobytes()
+            elif chunk.isalpha():
+                found = self.letters(chunk, self.space)
             elif not chunk or chunk[0].isspace() or chunk[-1].isspace() or any(s in chunk for s in self.special):
                 raise KeyError(chunk)
             elif (m := _WITH_MARKS.fullmatch(chunk)) and m[1].isalpha() and m[1] != chunk and (m[4] or "a").isalpha():
