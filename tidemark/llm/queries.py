@@ -23,7 +23,9 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def op1_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion_jpeg.digests(motion_jpeg.stored(motion_jpeg.store_texts(table(spark, sf_dir, "documents"))))
+    """The clips' times are told as JSON."""
+    found = motion_jpeg.digests(motion_jpeg.stored(motion_jpeg.store_texts(table(spark, sf_dir, "documents"))))
+    return found.withColumn("clips", F.to_json("clips"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
