@@ -221,6 +221,16 @@ def test_decontamination_in_blocks_and_by_parts_of_items(spark, monkeypatch):
     assert found[0] == found[2] and found[1] == found[3] and ("None", 3, 1.0, 19) in found[0] and {r[1] for r in found[0] if r[0] == "0"} >= {60, 61}
 
 
+def test_decontamination_without_spaces(spark):
+    random = np.random.default_rng(14)
+    han = lambda n: "".join(chr(0x4E00 + i) for i in random.integers(0, 3000, n))
+    item = han(30)
+    texts = [han(40) + item + han(40), han(20) + item[:9] + "ひ" + item[10:19] + item[20:] + "。", han(110), item[:10] + han(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (round(r.score, 3), r.end_word) for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: (1.0, 70), 1: (round((28 * 2 - 2) / 60, 3), 49)}
+
+
 def test_alignment_is_smith_waterman():
     random = np.random.default_rng(2)
     a, b = [random.integers(0, 6, n).astype(np.uint64) + 10 for n in (9, 12)], [random.integers(0, 6, n).astype(np.uint64) + 10 for n in (20, 15)]

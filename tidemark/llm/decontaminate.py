@@ -9,7 +9,7 @@
    for another, -1 for a gap. The best local score, over that of the whole item, is the pair's score. Items for which one equal word is enough have words as seeds.
 
 So all pairs of document and item that reach the score are found, wherever their edits are. Words are compared without case (of ASCII and Latin-1 letters)
-and ASCII marks. Documents are read twice and never shuffled. Test items go to all tasks in blocks of at most BLOCK_BYTES of text.
+and ASCII marks; Han characters and kana are words each. Documents are read twice and never shuffled. Test items go to all tasks in blocks of at most BLOCK_BYTES of text.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class Seeds:
     def __init__(self, texts: list[str | None], ids: list[int], least: float) -> None:
         data, offsets = raw_bytes(pa.array(texts, pa.string()))
         data = plain(data)
-        doc, starts, ends = word_spans(data, offsets)
+        doc, starts, ends = word_spans(data, offsets, single=True)
         words = word_hashes(data, starts, ends)
         size = np.bincount(doc, minlength=len(texts))
         begin = np.cumsum(size) - size
@@ -167,7 +167,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 def _read(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = raw_bytes(piece.column("text"))
     data = plain(data)
-    doc, starts, ends = word_spans(data, offsets)
+    doc, starts, ends = word_spans(data, offsets, single=True)
     return doc, word_hashes(data, starts, ends)
 
 

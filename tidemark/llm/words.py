@@ -39,13 +39,16 @@ def plain(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word in order: its text's number, first byte and end."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word in order: its text's number, first byte and end. single: Han characters and kana, which no spaces part, are words of their own."""
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 3
     gap, first = _SEPARATOR[data], np.zeros(n + 1, bool)
     first[offsets] = True
+    if single:
+        lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))  # three bytes each, from U+3000 to U+9FFF
+        first[lead], first[np.minimum(lead + 3, n)] = True, True
     before = np.empty(n, bool)
     before[0], before[1:] = True, gap[:-1]
     after = np.empty(n, bool)
