@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, motion_jpeg, quality, toxicity
+from tidemark.llm import anagram, language, motion_jpeg, quality, toxicity
 from tidemark.llm.common import id_crc, table
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.jaccard_join import jaccard_components
@@ -99,6 +99,23 @@ def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), F.coalesce("verdict", F.lit("unlisted")).alias("verdict"), "matched_key")
 
 
+#: What op11 takes for words, and how many of the runs lose a letter: one in SPOILED, by their hash.
+WORD_LETTERS, WORD_COUNT, SPOILED = 7, 2, 31
+
+
+def spoiled(runs: DataFrame) -> DataFrame:
+    """(word) for each of runs (doc_id, run): without the letter at h % length, from 0, where SPOILED divides h, the crc32 of `<doc_id>:<run>`. A null id has no digits."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return runs.select(F.when(h % SPOILED == 0, shorter).otherwise(F.col("run")).alias("word"))
+
+
+def op11_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spoiled(anagram.runs_of(table(spark, sf_dir, "documents"), WORD_LETTERS))
+    return anagram.variants(anagram.counted(words, WORD_LETTERS, WORD_COUNT))
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keep FROM p)
@@ -160,5 +177,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_temporal_url_filter": op10_temporal_url_filter,
+    "op11_anagram_variants": op11_anagram_variants,
 }
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op9_warc": OP9_SQL, "op10_temporal_url_filter": OP10_SQL}
