@@ -15,6 +15,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.token_files import token_output
 from tidemark.llm.url_filter import verdicts
 from tidemark.llm.warc import round_trip
+from tidemark.llm.word_runs import word_runs
 
 
 def held_out(parts: int, part: int) -> Column:
@@ -116,6 +117,30 @@ def op11_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anagram.variants(anagram.counted(words, WORD_LETTERS, WORD_COUNT))
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in which texts with words whose id's crc32, h, is divisible by 10 repeat themselves: word i from a on becomes word a + (i - a) % p, where
+    a = g % n, p = 1 + (n - a) div (3 + g % 8) and g = h div 10. Others and those of null ids stay as they are."""
+    words, h = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), id_crc("doc_id")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"))
+    chosen = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    chosen = chosen.withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    again = F.array_join(F.transform("w", lambda _, i: F.get("w", place(i))), " ")
+    return chosen.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs(made_periodic(table(spark, sf_dir, "documents")))
+    higher = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    found = found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), higher))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{c}") for c in ("start", "length", "period")), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keep FROM p)
@@ -178,5 +203,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_temporal_url_filter": op10_temporal_url_filter,
     "op11_anagram_variants": op11_anagram_variants,
+    "op12_word_runs": op12_word_runs,
 }
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op9_warc": OP9_SQL, "op10_temporal_url_filter": OP10_SQL}
