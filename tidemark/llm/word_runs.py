@@ -16,7 +16,9 @@ repeat. A text is one task's work, and takes some 4 bytes a word for each doubli
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -60,22 +62,41 @@ class Suffixes:
         self.rank = np.empty(n, np.int64)
         self.rank[self.order] = np.arange(n)
 
+    def _alike(self, a: np.ndarray, b: np.ndarray, j: int) -> np.ndarray:
+        """Whether the 2**j words from places a and b are the same; places may lie outside."""
+        n, classes = len(self.order), self.levels[j]
+        return (np.minimum(a, b) >= 0) & (np.maximum(a, b) < n) & (classes.take(a, mode="clip") == classes.take(b, mode="clip"))
+
+    def _same(self, a: np.ndarray, b: np.ndarray, sign: int) -> np.ndarray:
+        """Up to the last power of two of words that agree, then down again; sign -1 looks back."""
+        top, live, back = np.full(len(a), -1), np.arange(len(a)), int(sign < 0)
+        for j in range(len(self.levels)):
+            live = live[self._alike(a[live] - (back << j), b[live] - (back << j), j)]
+            if not len(live):
+                break
+            top[live] = j
+        out = np.where(top >= 0, 1 << np.maximum(top, 0), 0)
+        for j in reversed(range(int(top.max(initial=0)))):
+            live = np.flatnonzero(top > j)
+            move = sign * out[live] - (back << j)
+            out[live] += self._alike(a[live] + move, b[live] + move, j).astype(np.int64) << j
+        return out
+
     def ahead(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many words from places a and b, which differ, are the same."""
-        n, out = len(self.order), np.zeros(len(a), np.int64)
-        for j in reversed(range(len(self.levels))):
-            x, y = a + out, b + out
-            same = (np.maximum(x, y) < n) & (self.levels[j][np.minimum(x, n - 1)] == self.levels[j][np.minimum(y, n - 1)])
-            out += same.astype(np.int64) << j
-        return out
+        return self._same(a, b, 1)
 
     def behind(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many words before places a and b are the same."""
-        out = np.zeros(len(a), np.int64)
-        for j in reversed(range(len(self.levels))):
-            x, y = a - out - (1 << j), b - out - (1 << j)
-            same = (np.minimum(x, y) >= 0) & (self.levels[j][np.maximum(x, 0)] == self.levels[j][np.maximum(y, 0)])
-            out += same.astype(np.int64) << j
+        return self._same(a, b, -1)
+
+    def halves(self, a: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the 2**j words from places a and b, or those before them, are the same."""
+        out = np.zeros(len(a), bool)
+        for level in np.unique(j[j < len(self.levels)]).tolist():
+            at = np.flatnonzero(j == level)
+            x, y = a[at], b[at]
+            out[at] = self._alike(x, y, level) | self._alike(x - (1 << level), y - (1 << level), level)
         return out
 
     def range_of(self, at: np.ndarray, depth: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,37 +131,46 @@ def _earlier(order: list[int]) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def blocks(tree: Suffixes, begin: int, end: int) -> np.ndarray:
-    """Begins of the Lempel-Ziv blocks of the text in these places, and its end: a block is the longest stretch that begins earlier too, or one word."""
-    order = tree.order[begin:end]
-    longest = np.zeros(end - begin, np.int64)
+def blocks(tree: Suffixes, slots: np.ndarray) -> np.ndarray:
+    """Begins of the Lempel-Ziv blocks of the texts that have these slots of the order: a block is the longest stretch that begins earlier in its text too, or one
+    word."""
+    order = tree.order[slots]
+    longest = np.zeros(len(tree.order), np.int64)
     for side in map(np.asarray, _earlier(order.tolist())):
-        known = np.flatnonzero(side >= 0)
-        at = order[known] - begin
-        longest[at] = np.maximum(longest[at], tree.ahead(order[known], side[known]))
-    jumps, at, out = np.maximum(longest, 1).tolist(), 0, []
-    while at < end - begin:
-        out.append(begin + at)
-        at += jumps[at]
-    return np.array([*out, end])
-
-
-def leftmost(tree: Suffixes, cuts: np.ndarray, most: int) -> np.ndarray:
-    """Rows (start, length, period), distinct: stretches of two periods or more, of periods up to most, that cover the first occurrence of each kind of square."""
-    starts, ends = cuts[:-1], cuts[1:]
-    size, following = ends - starts, np.append(ends[1:] - starts[1:], 0)
+        known = side >= 0
+        longest[order[known]] = np.maximum(longest[order[known]], tree.ahead(order[known], side[known]))  # none in common with another text
+    places = np.sort(order)
+    out, free = [], -1
+    for at, jump in zip(places.tolist(), longest[places].tolist()):
+        if at >= free:
+            out.append(at)
+            free = at + (jump or 1)
+    return np.array(out)
+
+
+def leftmost(tree: Suffixes, starts: np.ndarray, end: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Rows (start, length, period), distinct: stretches of two periods or more that cover the first occurrence of each kind of square. For each block, its begin, its
+    text's end and the longest period to look for."""
+    ends = np.append(starts[1:], end[-1:])
+    ends = np.minimum(ends, end)
+    size = ends - starts
+    following = np.where(ends < end, np.append(size[1:], 0), 0)
     rows = [np.zeros((0, 3), np.int64)]
     # periods that reach back from a block's end, then those that reach ahead from its begin into the next block
-    for base, sizes, back in ((ends, np.where(ends < cuts[-1], size, 0), True), (starts, size + following, False)):
+    for base, sizes, back in ((ends, np.where(ends < end, size, 0), True), (starts, size + following, False)):
         sizes = np.minimum(sizes, most)
         total = np.cumsum(sizes)
-        for lo in range(0, int(total[-1]) if len(total) else 0, QUERIES):
+        for lo in range(0, int(total[-1]), QUERIES):
             number = np.arange(lo, min(lo + QUERIES, int(total[-1])))
             row = np.searchsorted(total, number, side="right")
             period = number - (total[row] - sizes[row]) + 1
             a = base[row] - period if back else base[row]
-            fits = a + period < cuts[-1]
+            fits = a + period < end[row]
             a, period = a[fits], period[fits]
+            # half of a period agrees ahead or behind
+            j = np.frexp((period + 1) // 2)[1] - 1
+            half = np.flatnonzero(tree.halves(a, a + period, j))
+            a, period = a[half], period[half]
             after, before = tree.ahead(a, a + period), tree.behind(a, a + period)
             found = after + before >= period
             rows.append(np.stack([a - before, after + before + period, period], 1)[found])
@@ -194,23 +224,21 @@ def periodic(doc: np.ndarray, word: np.ndarray, n_docs: int, shortest: int = 6,
     """(text, rows (start, length, period)) by text, start and period: maximal stretches of words of at least shortest words and periods smallest periods. word: numbers
     of words, in order, doc: the number of its text. shortest must be 5 and periods 3 at least."""
     tree = Suffixes(doc, word)
-    ends = np.cumsum(np.bincount(doc, minlength=n_docs))
-    found, texts = [], []
-    for d in tree.repeated:
-        begin, end = (int(ends[d - 1]) if d else 0), int(ends[d])
-        rows = primitive(tree, leftmost(tree, blocks(tree, begin, end), (end - begin) // periods))
-        found.append(rows)
-        texts.append(np.full(len(rows), d))
-    if not found:
+    if not len(tree.repeated):
         return np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
-    text = np.concatenate(texts)
-    end = ends[text]
-    begin = np.where(text > 0, ends[text - 1], 0)
-    runs = runs_of(tree, vocabulary(tree, np.concatenate(found), begin, end))
+    ends = np.cumsum(np.bincount(doc, minlength=n_docs))
+    begins = np.append(0, ends[:-1])
+    size = (ends - begins)[tree.repeated]
+    row, number = _sequences(size)
+    starts = blocks(tree, begins[tree.repeated][row] + number)
+    text = doc[starts]
+    found = primitive(tree, leftmost(tree, starts, ends[text], (ends - begins)[text] // periods))
+    text = doc[found[:, 0]]
+    runs = runs_of(tree, vocabulary(tree, found, begins[text], ends[text]))
     runs = runs[(runs[:, 1] >= shortest) & (runs[:, 1] >= periods * runs[:, 2])]
     runs = runs[np.lexsort((runs[:, 2], runs[:, 0]))]
     text = doc[runs[:, 0]]
-    runs[:, 0] -= np.where(text > 0, ends[text - 1], 0)
+    runs[:, 0] -= begins[text]
     return text, runs
 
 
@@ -227,8 +255,8 @@ def word_runs(docs: DataFrame, shortest: int = 6, periods: int = 4) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             words = [x.as_buffer().to_pybytes().split() if x.is_valid else [] for x in piece.column("text").cast(pa.binary())]
-            number: dict[bytes, int] = {}
-            word = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64)
+            number = defaultdict(count().__next__)
+            word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
             size = np.array([len(ws) for ws in words])
             text, runs = periodic(np.repeat(np.arange(len(words)), size), word, len(words), shortest, periods)
             cuts = np.searchsorted(text, np.arange(len(words) + 1))
