@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anagram, language, motion_jpeg, quality, toxicity
+from tidemark.llm import anagram, language, motion_jpeg, quality, secrets, toxicity
 from tidemark.llm.common import id_crc, table
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.jaccard_join import jaccard_components
@@ -141,6 +141,15 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.BASE + secrets.MORE)
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, kinds), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keep FROM p)
@@ -204,5 +213,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_temporal_url_filter": op10_temporal_url_filter,
     "op11_anagram_variants": op11_anagram_variants,
     "op12_word_runs": op12_word_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op9_warc": OP9_SQL, "op10_temporal_url_filter": OP10_SQL}
