@@ -35,76 +35,58 @@ def letter_value(letter: Column) -> Column:
     return power
 
 
-def with_key(words: DataFrame) -> DataFrame:
-    """Adds letters (an array) and key to words (word)."""
-    out = words.withColumn("letters", F.split("word", ""))
-    return out.withColumn("key", F.aggregate("letters", F.lit(0).cast("long"), lambda total, c: (total + letter_value(c)) % F.lit(MODULUS)))
-
-
 def _left(key: Column, letter: Column) -> Column:
     return (key - letter_value(letter) + F.lit(MODULUS)) % F.lit(MODULUS)
 
 
 def residues(words: DataFrame) -> DataFrame:
-    """(res, gone, word, letters, n): a row for the whole word, gone being '', and one for each different letter, gone, without its value."""
-    keyed = with_key(words)
-    gone = F.explode(F.concat(F.array(F.lit("")), F.array_distinct("letters")))
-    rows = keyed.withColumn("gone", gone)
-    return rows.select(F.when(F.col("gone") == "", F.col("key")).otherwise(_left(F.col("key"), F.col("gone"))).alias("res"), "gone", "word", "letters", "n")
+    """(res, gone, word, size, n): a row for the whole word, gone being '', and one for each different letter, gone, without its value."""
+    key = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda total, c: (total + letter_value(c)) % F.lit(MODULUS))
+    gone = F.concat(F.array(F.lit("")), F.array_distinct(F.split("word", "")))
+    rows = words.select("word", "n", key.alias("key"), F.length("word").alias("size"), F.explode(gone).alias("gone"))
+    return rows.select(F.when(F.col("gone") == "", F.col("key")).otherwise(_left(F.col("key"), F.col("gone"))).alias("res"), "gone", "word", "size", "n")
 
 
 def _ends(side: str) -> list[Column]:
-    return [F.col(c).alias(f"{side}_{c}") for c in ("gone", "word", "letters", "n")]
-
+    return [F.col(c).alias(f"{side}_{c}") for c in ("gone", "word", "size", "n")]
 
-def _removed(letters: Column, at: Column) -> Column:
-    """The letters without that at a place from 0."""
-    return F.array_compact(F.transform(letters, lambda x, i: F.when(i != at, x)))
 
+def _without(word: str, at: Column) -> Column:
+    """The word less the letter at a place from 0."""
+    return F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
 
-def _places() -> Column:
-    """Places of gone in letters: all of them for an exchange, and the flag whether it begins a run of the same letter, at which a removal is noted."""
-    each = F.transform("letters", lambda x, i: F.struct(i.alias("at"), ((x == F.col("gone")) & ((i == 0) | (F.get("letters", i - 1) != x))).alias("first"), (x == F.col("gone")).alias("is")))
-    return F.filter(each, lambda p: p["is"])
 
-
-def _by_key(rows: DataFrame) -> DataFrame:
-    """(short or a, long or b) pairs among rows of few rows a key, verified."""
-    whole = rows.where("gone = ''").select("res", *_ends("a"))
-    less = rows.where("gone <> ''")
-    removed = whole.join(less.select("res", *_ends("b")), "res").where(F.size("b_letters") == F.size("a_letters") + 1)
-    removed = removed.where(_is_removal())
-    pair = ["a_word", "a_n", "b_word", "b_n"]
-    one, two = less.select("res", *_ends("a")), less.select("res", *_ends("b"))
-    exchanged = one.join(two, "res").where((F.col("a_gone") < F.col("b_gone")) & (F.size("a_letters") == F.size("b_letters")))
-    unlike = F.filter(F.zip_with("a_letters", "b_letters", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"] != p["y"])
-    fits = unlike == F.array(F.struct(F.col("a_gone").alias("x"), F.col("b_gone").alias("y")))
-    return removed.select(*pair).unionByName(exchanged.where(fits).select(*pair))
-
-
-def _is_removal() -> Column:
-    """Whether b without the letter in the first place where a differs is a, and that letter is b_gone."""
-    a, b = F.col("a_letters"), F.col("b_letters")
+def _agree() -> Column:
+    """How many letters a_word and b_word begin with alike."""
 
     def follow(state: Column, x: Column) -> Column:
-        same = state["on"] & (x == F.get(b, state["i"]))
+        same = state["on"] & (x == F.get("b", state["i"]))
         return F.struct((state["i"] + F.when(same, 1).otherwise(0)).alias("i"), same.alias("on"))
 
-    start = F.aggregate(a, F.struct(F.lit(0).alias("i"), F.lit(True).alias("on")), follow)["i"]
-    rest = F.forall(F.transform(a, lambda x, i: (i < start) | (x == F.get(b, i + 1))), lambda same: same)
-    return (F.get(b, start) == F.col("b_gone")) & rest
+    return F.aggregate("a", F.struct(F.lit(0).alias("i"), F.lit(True).alias("on")), follow)["i"]
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Pairs among rows of few rows a key: a and b's letters are the same up to some place and after it, where b has one more letter, or another."""
+    whole, less, pair = rows.where("gone = ''"), rows.where("gone <> ''"), ["a_word", "a_n", "b_word", "b_n"]
+    removed = whole.select("res", *_ends("a")).join(less.select("res", *_ends("b")), "res").where("b_size = a_size + 1")
+    exchanged = less.select("res", *_ends("a")).join(less.select("res", *_ends("b")), "res").where("a_gone < b_gone and a_size = b_size")
+    both = removed.unionByName(exchanged).withColumn("a", F.split("a_word", "")).withColumn("b", F.split("b_word", "")).withColumn("i", _agree())
+    fits = "(a_size = b_size or a_gone = '') and get(b, i) = b_gone and (a_gone = '' or get(a, i) = a_gone)"
+    rest = F.substring("b_word", F.col("i") + 2, F.col("b_size")) == F.substring("a_word", F.col("i") + F.when(F.col("a_gone") == "", 1).otherwise(2), F.col("a_size"))
+    return both.where(fits).where(rest).select(*pair)
 
 
 def _by_order(rows: DataFrame) -> DataFrame:
     """The same pairs among rows of keys that many rows share: by key, place and a hash of the other letters in order."""
-    rest = lambda at: F.xxhash64(_removed(F.col("letters"), at))
-    less = rows.where("gone <> ''").withColumn("p", F.explode(_places())).withColumn("order", rest(F.col("p.at")))
-    whole = rows.where("gone = ''").withColumn("order", F.xxhash64("letters"))
     pair = ["a_word", "a_n", "b_word", "b_n"]
-    noted = less.where("p.first").select("res", "order", F.col("p.at").alias("at"), *_ends("b"))
-    removed = whole.select("res", "order", *_ends("a")).join(noted, ["res", "order"]).where(F.col("a_letters") == _removed(F.col("b_letters"), F.col("at")))
-    one, two = (less.select("res", "order", F.col("p.at").alias("at"), *_ends(s)) for s in "ab")
-    exchanged = one.join(two, ["res", "order", "at"]).where((F.col("a_gone") < F.col("b_gone")) & (_removed(F.col("a_letters"), F.col("at")) == _removed(F.col("b_letters"), F.col("at"))))
+    places = F.filter(F.transform(F.split("word", ""), lambda x, i: F.when(x == F.col("gone"), i)), lambda i: i.isNotNull())
+    less = rows.where("gone <> ''").withColumn("at", F.explode(places)).withColumn("order", F.xxhash64(_without("word", F.col("at"))))
+    first = less.where((F.col("at") == 0) | (F.substring("word", F.col("at"), F.lit(1)) != F.col("gone")))  # of a run of one letter, any may go
+    whole = rows.where("gone = ''").withColumn("order", F.xxhash64("word"))
+    removed = whole.select("res", "order", *_ends("a")).join(first.select("res", "order", "at", *_ends("b")), ["res", "order"]).where(F.col("a_word") == _without("b_word", F.col("at")))
+    one, two = (less.select("res", "order", "at", *_ends(s)) for s in "ab")
+    exchanged = one.join(two, ["res", "order", "at"]).where((F.col("a_gone") < F.col("b_gone")) & (_without("a_word", F.col("at")) == _without("b_word", F.col("at"))))
     return removed.select(*pair).unionByName(exchanged.select(*pair))
 
 
