@@ -494,48 +494,60 @@ def test_packing(n):
 @pytest.mark.parametrize("weights", [[1, 2], [1, 3.141592653589793], [1, 10_000], [5, 3, 1, 1], [0.7, 0.2, 1e-6, 11, 0.3333], [1] * 40])
 def test_pfair_stays_within_a_block_of_the_target(weights):
     shares = mixing.Shares([mixing.as_fraction(w) for w in weights])
-    target, stretches = [Fraction(str(w)) / sum(Fraction(str(x)) for x in weights) for w in weights], -(-90_000 // shares.stretch)
-    done, t, states = [0] * len(weights), 0, shares.states(stretches)
-    for k in range(stretches):
-        for s, j in shares.stretch_slots(k, states):
-            assert j == done[s]
-            done[s], t = done[s] + 1, t + 1
-            others = range(len(weights)) if t % 64 == 0 else [s]
-            assert all(abs(done[x] - target[x] * t) < 1 for x in others)
-        assert t == (k + 1) * shares.stretch and (not shares.periodic or all(d == w * t for d, w in zip(done, target)))
+    target = [Fraction(str(w)) / sum(Fraction(str(x)) for x in weights) for w in weights]
+    done = [0] * len(weights)
+    for t, (s, j) in enumerate(shares.slots(0, 90_000, list(done)), 1):
+        assert j == done[s] and shares.release(s, j) < t <= shares.deadline(s, j)
+        done[s] += 1
+        assert all(abs(done[x] - target[x] * t) < 1 for x in (range(len(weights)) if t % 64 == 0 else [s]))
+        assert t % shares.total or all(n == w * t for n, w in zip(done, target))
 
 
 def test_phases_send_all_blocks_of_many_sources():
-    random = np.random.default_rng(4)
-    blocks = {f"s{i:04}": int(n) for i, n in enumerate(random.integers(1, 400, 2000))}
-    weights = {s: Fraction(int(w), 64) for s, w in zip(blocks, random.integers(1, 200, 2000))}
+    weights = {f"s{i}": Fraction(1 + i * 37 % 64, 64) for i in range(2000)}
+    blocks = {f"s{i}": 1 + i * 7919 % 400 for i in range(2000)}
     plan = mixing.phases(blocks, weights)
-    assert sum(len(states) for *_, states, _ in plan) <= 2 * len(plan) <= 40
-    for s, n in blocks.items():
-        parts = [(begin[names.index(s)], left[names.index(s)], states[-1][names.index(s)]) for names, begin, left, _, states, _ in plan if s in names]
-        assert parts[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(parts, parts[1:])) and parts[-1][0] + parts[-1][1] == n and parts[-1][2] >= parts[-1][1]
-    with pytest.raises(ValueError):
+    assert sum(stop for _, stop, _, _ in plan) == sum(blocks.values()) and len(plan) <= 2000
+    with pytest.raises(ValueError, match="positive"):
         mixing.Shares([Fraction(0), Fraction(1)])
 
 
-def positions_by_force(sizes, weights, block):
-    """Positions of a source's blocks: one slot after the other, each to the open block of the earliest deadline, without stretches, in phases as the operator's."""
-    done, out, position = dict.fromkeys(sizes, 0), {}, 0
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
-    while left := sorted(s for s in sizes if done[s] < blocks[s]):
-        shares, base = mixing.Shares([weights[s] for s in left]), dict(done)
-        ends = sorted((shares.deadline(i, blocks[s] - base[s] - 1), shares.parts[i]) for i, s in enumerate(left))
-        stop = next(t for k, (t, _) in enumerate(ends) if 2 * sum(p for _, p in ends[: k + 1]) >= shares.total)
-        sent = [0] * len(left)
-        for t in range(-(-stop // shares.stretch) * shares.stretch):
-            i = min((i for i in range(len(left)) if sent[i] * shares.total // shares.parts[i] <= t), key=lambda i: (shares.deadline(i, sent[i]), i))
-            s, j, sent[i] = left[i], base[left[i]] + sent[i], sent[i] + 1
-            if j < blocks[s]:
-                out[s, j], done[s] = position, j + 1
-                position += min(block, sizes[s] - j * block)
+def order_by_force(blocks, weights):
+    """(source, block) slot by slot, from the contract alone: released blocks by deadline, and all anew for those left when a source has ended. Checks that each source
+    alive has less than one block more or fewer than its share since then, at every slot."""
+    done, out = dict.fromkeys(blocks, 0), []
+    while left := sorted(s for s in blocks if done[s] < blocks[s]):
+        total, sent = sum(weights[s] for s in left), dict.fromkeys(left, 0)
+        share, t = {s: weights[s] / total for s in left}, 0
+        while all(done[s] + sent[s] < blocks[s] for s in left):
+            s = min((s for s in left if sent[s] / share[s] < t + 1), key=lambda s: (-((-sent[s] - 1) / share[s] // 1), left.index(s)))
+            out.append((s, done[s] + sent[s]))
+            sent[s], t = sent[s] + 1, t + 1
+            assert all(abs(sent[x] - share[x] * t) < 1 for x in left)
+        for s in left:
+            done[s] += sent[s]
     return out
 
 
+def test_sources_that_end_at_any_time(spark, monkeypatch):
+    """Also the mix of one large source and 40 small ones; the order is the same for any stretch."""
+    random = np.random.default_rng(3)
+    cases = [({"big": 400, **{f"s{i:02}": 2 + i % 10 for i in range(40)}}, {"big": 60, **{f"s{i:02}": 1 for i in range(40)}})]
+    for _ in range(6):
+        names = [f"s{i:02}" for i in range(random.integers(2, 25))]
+        cases.append(({s: int(random.integers(1, 60)) for s in names}, {s: int(random.integers(1, 64)) for s in names}))
+    for stretch in (4096, 7):
+        monkeypatch.setattr(mixing, "STRETCH", stretch)
+        for blocks, weights in cases:
+            given = {s: Fraction(w) for s, w in weights.items()}
+            plan, got = mixing.phases(blocks, given), []
+            for done, stop, stretches, states in plan:
+                left = [(s, k) for s, k in zip(sorted(blocks), done.tolist()) if k < blocks[s]]
+                shares = mixing.Shares([given[s] for s, _ in left])
+                got += [(left[i][0], left[i][1] + j) for k in range(stretches) for i, j in shares.stretch_slots(k, stop, states)]
+            assert got == order_by_force(blocks, given)
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 3.141592653589793, "b": 1.0}, {"a": 0.25, "c": 10}])
 def test_mixing_is_what_one_slot_after_the_other_gives(spark, monkeypatch, weights):
     monkeypatch.setattr(mixing, "STRETCH", 50)
@@ -543,9 +555,12 @@ def test_mixing_is_what_one_slot_after_the_other_gives(spark, monkeypatch, weigh
     rows = spark.createDataFrame([(i, s or None) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
     got = mixing.mix(rows, weights, 4).collect()
     given = {s: mixing.as_fraction(weights[s]) if s in weights else Fraction(max(1, round(64 * n**0.5 / (sum(k**0.5 for k in sizes.values()) / 5))), 64) for s, n in sizes.items()}
-    want = positions_by_force(sizes, given, 4)
+    want, position = {}, 0
+    for s, j in order_by_force({s: -(-n // 4) for s, n in sizes.items()}, given):
+        want[s, j] = position
+        position += min(4, sizes[s] - 4 * j)
     assert sorted(r.position for r in got) == list(range(sum(sizes.values()))) and len({r.slot for r in got}) == len(want)
-    assert {(r.source, r.block): want[r.source, r.block] for r in got} == {k: min(r.position for r in got if (r.source, r.block) == k) for k in want}
+    assert want == {k: min(r.position for r in got if (r.source, r.block) == k) for k in want}
 
 
 def test_mixing(spark, docs, real):

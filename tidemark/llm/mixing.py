@@ -4,21 +4,24 @@ Each source's documents, in an order that a hash of doc_id gives, are cut into b
 time ``floor(j / w)`` and must be out by ``ceil((j + 1) / w)``; in each slot the open block of the earliest deadline goes. So at any time a source has less
 than one block more or fewer than its share. Shares are exact fractions, windows are whole numbers worked out for any j.
 
-Time is cut into stretches, which tasks schedule apart from one another, given how many blocks each source has sent before. Weights that are whole parts of a
-sum of at most PERIOD meet their shares exactly each time that so many slots have passed: stretches begin there. For other weights (1 to pi, say) no such time
-may come while there are documents; then one pass over the slots (some microseconds each, no documents) notes what has been sent at the stretches' ends.
+When a source has sent its last block, a phase ends at that slot, and the others begin anew by their own weights: counted from there, each has less than one block
+more or fewer than its share among those that are left. No slot is empty, and no document is left behind.
 
-A source that has no block left leaves its slots empty, and they are closed up; when sources of half the weight have ended, a new phase begins with the others
-by their own weights. So there are at most as many phases as halvings of the weight, no more than half of the slots are empty, and no document is left behind.
+A phase's time is cut into stretches, which tasks schedule apart from one another, given how many blocks each source has sent before; where they are cut doesn't
+matter for the schedule. Weights that are whole parts of a sum of at most PERIOD meet their shares exactly each time that so many slots have passed: stretches begin
+there, and the driver goes through the last of these periods to find the phase's end (2 microseconds a slot, a phase for each source that ends). For other weights (1
+to pi, say) no such time may come while there are documents; then one pass over the slots notes what has been sent at the stretches' ends.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from math import gcd, lcm
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,40 +67,34 @@ class Shares:
             heapq.heappush(coming, (self.release(s, j + 1), s, j + 1))
             yield s, j
 
-    def states(self, stretches: int) -> list[list[int]]:
-        """What each source has sent before each of the first stretches and after the last."""
-        if self.periodic:
-            return [[p * (k * self.stretch // self.total) for p in self.parts] for k in (0, stretches)]
-        out = [[0] * len(self.parts)]
-        for k in range(stretches):
-            now = list(out[-1])
-            for s, j in self.slots(k * self.stretch, (k + 1) * self.stretch, out[-1]):
-                now[s] = j + 1
-            out.append(now)
-        return out
-
-    def stretch_slots(self, k: int, states: list[list[int]]) -> Iterator[tuple[int, int]]:
+    def first_end(self, n: list[int]) -> tuple[int, list[int], list[list[int]]]:
+        """(slots until the first source has sent its n[s] blocks, what each has sent by then, what each has sent before each stretch if weights have no period)."""
+        start = min(self.release(s, k - 1) for s, k in enumerate(n)) // self.total * self.total if self.periodic else 0
+        sent, states = [p * (start // self.total) for p in self.parts], []
+        end = min(self.deadline(s, k - 1) for s, k in enumerate(n))
+        for t, (s, j) in enumerate(self.slots(start, end, sent), start):
+            if not self.periodic and t % self.stretch == 0:
+                states.append(list(sent))
+            sent[s] = j + 1
+            if j + 1 == n[s]:
+                return t + 1, sent, states
+        raise AssertionError("a block missed its deadline")
+
+    def stretch_slots(self, k: int, stop: int, states: list[list[int]]) -> Iterator[tuple[int, int]]:
         start = k * self.stretch
-        return self.slots(start, start + self.stretch, [p * (start // self.total) for p in self.parts] if self.periodic else states[k])
+        return self.slots(start, min(start + self.stretch, stop), [p * (start // self.total) for p in self.parts] if self.periodic else states[k])
 
 
-def phases(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[list[str], list[int], list[int], int, list[list[int]], Shares]]:
-    """(sources, first block of each, blocks that each has left, stretches, states(), shares) of each phase: some numbers for each source and phase if weights have a
-    period, else for each source and stretch."""
-    done, out = dict.fromkeys(blocks, 0), []
-    while left := sorted(s for s, n in blocks.items() if n > done[s]):
+def phases(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[np.ndarray, int, int, list[list[int]]]]:
+    """(blocks that each source, by name, has sent before, slots, stretches, states) of each phase: a number for each source and phase; if weights have no period, also
+    one for each source and stretch."""
+    names, done, out = sorted(blocks), dict.fromkeys(blocks, 0), []
+    while left := [s for s in names if blocks[s] > done[s]]:
         shares = Shares([weights[s] for s in left])
-        n = [blocks[s] - done[s] for s in left]
-        ended, stop = 0, 0
-        for last, part in sorted((shares.deadline(i, k - 1), shares.parts[i]) for i, k in enumerate(n)):
-            stop, ended = last, ended + part
-            if 2 * ended >= shares.total:
-                break
-        stretches = -(-stop // shares.stretch)
-        states = shares.states(stretches)
-        out.append((left, [done[s] for s in left], n, stretches, states, shares))
-        for s, sent, k in zip(left, states[-1], n):
-            done[s] += min(sent, k)
+        stop, sent, states = shares.first_end([blocks[s] - done[s] for s in left])
+        out.append((np.array([done[s] for s in names]), stop, -(-stop // shares.stretch), states))
+        for s, k in zip(left, sent):
+            done[s] += k
     return out
 
 
@@ -119,34 +116,34 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def scheduled(spark: SparkSession, sizes: dict[str, int], weights: dict[str, Fraction], block_docs: int) -> DataFrame:
     """(source, block, stretch, slot, before, size) of each block: size documents, after before others in its stretch. Each task schedules some stretches."""
-    plan = phases({s: -(-n // block_docs) for s, n in sizes.items()}, weights)
+    names, blocks = sorted(sizes), {s: -(-n // block_docs) for s, n in sizes.items()}
+    plan = phases(blocks, weights)
     first = [0]
-    for _, _, _, stretches, *_ in plan:
+    for _, _, stretches, _ in plan:
         first.append(first[-1] + stretches)
-    shared = spark.sparkContext.broadcast((plan, first, sizes))
+    shared = spark.sparkContext.broadcast((plan, first, sizes, weights))
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.string(), *[pa.int64()] * 5)
         return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["source", "block", "stretch", "nth", "before", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, first, sizes = shared.value
+        plan, first, sizes, weights = shared.value
         for batch in batches:
             for stretch in batch.column("stretch").to_pylist():
-                phase = next(p for p in range(len(plan)) if first[p] <= stretch < first[p + 1])
-                sources, begin, left, _, states, shares = plan[phase]
-                rows, nth, before, most = [], 0, 0, sum(left)
-                for s, j in shares.stretch_slots(stretch - first[phase], states):
-                    if j < left[s]:
-                        block = begin[s] + j
-                        size = min(block_docs, sizes[sources[s]] - block * block_docs)
-                        rows.append((sources[s], block, stretch, nth, before, size))
-                        nth, before = nth + 1, before + size
-                        if len(rows) == BATCH_BLOCKS:
-                            yield as_batch(rows)
-                            rows = []
-                        if nth == most:
-                            break
+                phase = bisect_right(first, stretch) - 1
+                done, stop, _, states = plan[phase]
+                left = [(s, k) for s, k in zip(names, done.tolist()) if k < blocks[s]]
+                shares = Shares([weights[s] for s, _ in left])
+                rows, before = [], 0
+                for nth, (i, j) in enumerate(shares.stretch_slots(stretch - first[phase], stop, states)):
+                    source, block = left[i][0], left[i][1] + j
+                    size = min(block_docs, sizes[source] - block * block_docs)
+                    rows.append((source, block, stretch, nth, before, size))
+                    before += size
+                    if len(rows) == BATCH_BLOCKS:
+                        yield as_batch(rows)
+                        rows = []
                 yield as_batch(rows)
 
     every = spark.range(first[-1], numPartitions=max(1, min(first[-1], 10_000))).withColumnRenamed("id", "stretch")
@@ -163,7 +160,8 @@ def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, blo
 
     Weights are by source, positive, and taken as they are written; one that has none, or all if none are given, gets the square root of its number of documents
     over all sources' mean, in whole parts of PARTS (one at least). A null source is the source ''. Repeated rows and null ids are documents like others. No
-    rows give no rows. The driver gets one row for each source, and keeps a few numbers for each source and phase (each stretch, if the weights have no period).
+    rows give no rows. The driver gets one row for each source, and keeps a number for each source and phase, of which there are as many as sources (for each source and
+    stretch too, if the weights have no period).
     """
     spark = docs.sparkSession
     rows = durable(numbered(docs), "numbered")
