@@ -30,7 +30,10 @@ def evaluated(spark: SparkSession, truth: str, detected: str) -> DataFrame:
 
 
 def aggregate(spark: SparkSession, pattern: str, out: str) -> DataFrame:
-    """Writes the summary of result files of success, and returns it."""
+    """Writes the summary of result files of success, and returns it; shows what couldn't be read."""
+    errors = files.result_file_errors(spark, pattern)
+    if not errors.isEmpty():
+        errors.show(truncate=False)
     summary = best_f1_summary(files.read_result_files(spark, pattern).where("status = 'success'"))
     files.write_summary(summary, out)
     return summary

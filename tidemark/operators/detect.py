@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import z_value
+from tidemark.operators import scan
+from tidemark.operators.scan import blocked, percentiles, running
 from tidemark.operators.series import by_series, smoothed, with_threshold_windows
+from tidemark.sources.storage import durable
 
 #: Neighbouring points that meet the intervals over them in one key.
 TIME_BLOCK = 256
@@ -18,17 +21,20 @@ def _limits(df: DataFrame, keys: list[str], method: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.avg("smooth").alias("centre"), F.stddev_pop("smooth").alias("spread"))
     if method != "median":
         raise ValueError(f"unknown method {method}")
-    middle = df.groupBy(*keys).agg(F.percentile("smooth", F.lit(0.5)).alias("centre"))
-    return df.join(middle, keys).groupBy(*keys).agg(F.first("centre").alias("centre"), F.percentile(F.abs(F.col("smooth") - F.col("centre")), F.lit(0.5)).alias("spread"))
+    middle = durable(percentiles(df, keys, "smooth", 0.5, "centre"), "medians")
+    away = df.join(middle, keys).withColumn("_away", F.abs(F.col("smooth") - F.col("centre")))
+    return middle.join(percentiles(away, keys, "_away", 0.5, "spread"), keys)
 
 
-def _smooth(scores: DataFrame, smoothing: bool) -> DataFrame:
-    return smoothed(scores) if smoothing else scores.withColumn("smooth", F.col("score"))
+def _smooth(scores: DataFrame, smoothing: bool, method: str) -> DataFrame:
+    """Adds smooth; for medians, which are found in several passes, as a written table."""
+    rows = smoothed(scores) if smoothing else scores.withColumn("smooth", F.col("score"))
+    return durable(rows, "smooth") if method == "median" else rows
 
 
 def flagged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bool = True, sliding: bool = False) -> DataFrame:
     """Rows of scores that are above their threshold, strictly; sliding: above that of any of their large windows."""
-    rows, over = _smooth(scores, smoothing), F.col("smooth") > F.col("centre") + z_value(alpha) * F.col("spread")
+    rows, over = _smooth(scores, smoothing, method), F.col("smooth") > F.col("centre") + z_value(alpha) * F.col("spread")
     if not sliding:
         return rows.join(_limits(rows, ["series_id"], method), "series_id").where(over)
     rows = with_threshold_windows(rows)
@@ -36,10 +42,29 @@ def flagged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bo
     return found.drop("window_id", "centre", "spread").distinct()
 
 
+def _runs(rows: DataFrame, keys: list[str], sums: list[str] | None = None) -> DataFrame:
+    """(keys, s, e, first time, last time and sums of these columns with their counts) of runs of consecutive idx: first within blocks of indices; then those that
+    touch a block's border, at most two a block, are put together."""
+    block = f"idx div {scan.BLOCK}"
+    run = F.col("idx") - F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("idx"))
+    told = [F.min("idx").alias("s"), F.max("idx").alias("e")]
+    if sums:
+        told += [F.min_by("ts", "idx").alias("start"), F.max_by("ts", "idx").alias("end")] + [x for c in sums for x in (F.sum(c).alias(c), F.count(c).alias(f"n_{c}"))]
+    parts = rows.withColumn("_block", F.expr(block)).withColumn("_run", run).groupBy(*keys, "_block", "_run").agg(*told).drop("_block", "_run")
+    border = F.expr(f"s % {scan.BLOCK} = 0 or (e + 1) % {scan.BLOCK} = 0")
+    order = Window.partitionBy(*keys).orderBy("s")
+    fresh = F.when(F.lag("e").over(order) + 1 == F.col("s"), 0).otherwise(1)
+    group = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    again = [F.min("s").alias("s"), F.max("e").alias("e")]
+    if sums:
+        again += [F.min_by("start", "s").alias("start"), F.max_by("end", "s").alias("end")] + [F.sum(x).alias(x) for c in sums for x in (c, f"n_{c}")]
+    joined = parts.where(border).withColumn("_new", fresh).withColumn("_group", group).groupBy(*keys, "_group").agg(*again).drop("_group")
+    return parts.where(~border).unionByName(joined)
+
+
 def islands(rows: DataFrame) -> DataFrame:
     """(series_id, s, e): runs of consecutive idx among the rows."""
-    run = F.col("idx") - F.row_number().over(by_series().orderBy("idx"))
-    return rows.withColumn("_run", run).groupBy("series_id", "_run").agg(F.min("idx").alias("s"), F.max("idx").alias("e")).drop("_run")
+    return _runs(rows, ["series_id"])
 
 
 def padded(intervals: DataFrame, lengths: DataFrame, by: int) -> DataFrame:
@@ -75,9 +100,8 @@ def with_times(intervals: DataFrame, scores: DataFrame, severity: bool = True) -
 
 def _by_island(rows: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("series_id",)
-    run = F.col("idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("idx"))
-    found = rows.withColumn("_run", run).groupBy(*keys, "_run")
-    return found.agg(F.min_by("ts", "idx").alias("start"), F.max_by("ts", "idx").alias("end"), F.avg("score").alias("severity")).drop("_run")
+    severity = F.when(F.col("n_score") > 0, F.col("score") / F.col("n_score"))
+    return _runs(rows, list(keys), ["score"]).select(*keys, "start", "end", severity.alias("severity"))
 
 
 def detect_each(scores: DataFrame, alphas: tuple[float, ...], method: str = "mean", smoothing: bool = True) -> DataFrame:
@@ -85,7 +109,7 @@ def detect_each(scores: DataFrame, alphas: tuple[float, ...], method: str = "mea
 
     A point is repeated only for the alphas whose threshold it is above.
     """
-    rows = _smooth(scores, smoothing)
+    rows = _smooth(scores, smoothing, method)
     levels = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(z_value(a)).alias("z")) for a in alphas))
     over = F.filter(levels, lambda v: F.col("smooth") > F.col("centre") + v["z"] * F.col("spread"))
     found = rows.join(_limits(rows, ["series_id"], method), "series_id").withColumn("_over", F.explode(over["alpha"])).withColumnRenamed("_over", "alpha")
@@ -105,7 +129,7 @@ def above_percentile(scores: DataFrame, percent: float = 99.0, threshold: float
     """Islands of scores above a threshold, or above each series' interpolated percentile."""
     if threshold is not None:
         return _by_island(scores.where(F.col("score") > threshold))
-    limits = scores.groupBy("series_id").agg(F.percentile("score", F.lit(percent / 100)).alias("threshold"))
+    limits = percentiles(scores, ["series_id"], "score", percent / 100, "threshold")
     return _by_island(scores.join(limits, "series_id").where("score > threshold"))
 
 
@@ -126,8 +150,7 @@ def indices_of(intervals: DataFrame, indexed: DataFrame) -> DataFrame:
     mark = lambda df, at, kind, iv: df.select("series_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), iv.alias("iv"))
     nothing = F.lit(None).cast(intervals.schema["iv"].dataType)
     rows = mark(intervals, "start", 0, F.col("iv")).unionByName(mark(indexed, "ts", 1, nothing)).unionByName(mark(intervals, "end", 2, F.col("iv")))
-    order = by_series().orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = rows.withColumn("before", F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(order)).where("kind <> 1")
+    before = running(blocked(durable(rows, "marks"), "at"), ["at", "kind"], {"before": F.when(F.col("kind") == 1, 1).otherwise(0)}).where("kind <> 1")
     found = before.groupBy("series_id", "iv").agg(F.min(F.when(F.expr("kind = 0 and at is not null"), F.col("before"))).alias("s"), F.max(F.when(F.expr("kind = 2 and at is not null"), F.col("before") - 1)).alias("e"))
     top = F.col("n") - 1
     first, last = F.coalesce("s", "n"), F.coalesce("e", F.lit(-1))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import safe_ratio
+from tidemark.operators.scan import blocked, running
+from tidemark.sources.storage import durable
 
 
 def _number(c: str, kind: str) -> Column:
@@ -66,9 +68,9 @@ def overlap_counts(found: DataFrame, truth: DataFrame) -> DataFrame:
         marks = F.array(F.struct(low.alias("at"), F.lit(0).alias("kind")), F.struct(high.alias("at"), F.lit(1).alias("kind")))
         own = df.select(F.lit(side).alias("side"), "series_id", "start", "end", F.explode(marks).alias("m")).select("side", "series_id", "start", "end", "m.at", "m.kind")
         rows = own if rows is None else rows.unionByName(own)
-    upto = Window.partitionBy("series_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = lambda side, kind: F.sum(F.when((F.col("side") == side) & (F.col("kind") == kind), 1).otherwise(0)).over(upto)
-    other = F.when(F.col("side") == "f", F.when(F.col("kind") == 0, -seen("t", 1)).otherwise(seen("t", 0))).otherwise(F.when(F.col("kind") == 0, -seen("f", 1)).otherwise(seen("f", 0)))
+    of = lambda side, kind: F.when((F.col("side") == side) & (F.col("kind") == kind), 1).otherwise(0)
+    rows = running(blocked(durable(rows, "marks"), "at"), ["at", "kind"], {f"_{s}{k}": of(s, k) for s in "ft" for k in (0, 1)})
+    other = F.when(F.col("side") == "f", F.when(F.col("kind") == 0, -F.col("_t1")).otherwise(F.col("_t0"))).otherwise(F.when(F.col("kind") == 0, -F.col("_f1")).otherwise(F.col("_f0")))
     counted = rows.withColumn("other", other).groupBy("side", "series_id", "start", "end")
     copies = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))
     return counted.agg(copies.alias("copies"), (F.max(F.when(F.col("kind") == 1, F.col("other"))) + F.max(F.when(F.col("kind") == 0, F.col("other")))).alias("overlaps"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite
+from tidemark.operators import scan
+from tidemark.operators.scan import blocked, running
 
 def by_series():
     return Window.partitionBy("series_id")
@@ -21,9 +23,9 @@ def require(df: DataFrame, *names: str) -> DataFrame:
 def with_index(df: DataFrame, *ties: str) -> DataFrame:
     """Adds idx, the place from 0 by ts (ties by the named columns, else by value), and n, the series' length. NaN and infinite values become null."""
     require(df, "series_id", "ts", "value")
-    order = by_series().orderBy("ts", *(ties or ("value",)))
-    kept = df.withColumn("value", finite(F.col("value").cast("double")))
-    return kept.withColumn("idx", F.row_number().over(order).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(by_series()))
+    kept = blocked(df.withColumn("value", finite(F.col("value").cast("double"))), "ts")
+    out = running(kept, ["ts", *(ties or ("value",))], {"idx": F.lit(1).cast("long")}, {"n": "idx"})
+    return out.withColumn("idx", F.col("idx") - 1)
 
 
 def detrended(df: DataFrame, value: str = "value", out: str = "residual") -> DataFrame:
@@ -40,13 +42,14 @@ def min_max(df: DataFrame, value: str = "residual", out: str = "value_norm", eps
 
 
 def smoothed(df: DataFrame, value: str = "score", out: str = "smooth") -> DataFrame:
-    """Bias-corrected exponential mean of span max(1, n div 100), as two running sums."""
+    """Bias-corrected exponential mean of span max(1, n div 100), as two running sums, whose weights are at most e**200."""
     span = F.greatest(F.lit(1), F.expr("n div 100")).cast("double")
     keep = 1 - 2 / (span + 1)
     weight = F.pow(F.when(span > 1, keep).otherwise(1.0), -F.col("idx").cast("double"))
-    run = by_series().orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mean = F.sum(F.col(value) * weight).over(run) / F.sum(F.when(F.col(value).isNotNull(), weight)).over(run)
-    return df.withColumn(out, F.when(span > 1, mean).otherwise(F.col(value)))
+    sums = {"_sum": F.col(value) * weight, "_weight": F.when(F.col(value).isNotNull(), weight)}
+    rows = running(df.withColumn("_block", F.expr(f"idx div {scan.BLOCK}")), ["idx"], sums)
+    mean = F.when(F.col("_weight") > 0, F.col("_sum") / F.col("_weight"))
+    return rows.withColumn(out, F.when(span > 1, mean).otherwise(F.col(value))).drop("_sum", "_weight")
 
 
 def window_span(size: int, ratio: float) -> int:

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import doubles
+from tidemark.operators.scan import order_statistics
 
 KEYS = ["series_id", "window_id"]
-#: Windows of a series that meet its memory in one key; dimensions whose medians one row of the memory's aggregation carries.
-STRETCH, DIMENSIONS = 4096, 64
+#: Windows of a series that meet its memory in one key.
+STRETCH = 4096
 
 
 def make_masks(spark: SparkSession, side: int, kernel: int, stride: int = 1, scale: str = "mid") -> DataFrame:
@@ -74,18 +75,10 @@ def pooled(windows: DataFrame, masks: np.ndarray) -> DataFrame:
 
 
 def memory(windows: DataFrame) -> DataFrame:
-    """(series_id, token_idx, mem): the lower median over all windows, dimension by dimension.
-
-    Rows are windows x tokens (times each 64 dimensions); tasks count their own values first.
-    """
-    first = windows.select(F.size(F.col("toks")[0]).alias("d")).first()
-    dims = first["d"] if first else 1
-    parts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1), F.lit(DIMENSIONS)), lambda i: F.slice("tok", i + 1, DIMENSIONS))
-    each = unpacked(windows).select("series_id", "token_idx", F.posexplode(parts).alias("part", "x"))
-    medians = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY get(x, {i}))").alias(f"m{i}") for i in range(min(dims, DIMENSIONS))]
-    rows = each.groupBy("series_id", "token_idx", "part").agg(*medians).select("series_id", "token_idx", "part", F.array(*(f"m{i}" for i in range(len(medians)))).alias("m"))
-    rows = rows.groupBy("series_id", "token_idx").agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "m")))["m"]).alias("mem"))
-    return rows.select("series_id", "token_idx", F.slice("mem", 1, dims).alias("mem"))
+    """(series_id, token_idx, mem): the lower median over all windows, dimension by dimension, by selection."""
+    each = unpacked(windows).select("series_id", "token_idx", F.posexplode("tok").alias("dim", "x"))
+    middle = order_statistics(each, ["series_id", "token_idx", "dim"], "x", {"mem": F.expr("(n - 1) div 2")})
+    return middle.groupBy("series_id", "token_idx").agg(F.sort_array(F.collect_list(F.struct("dim", "mem")))["mem"].alias("mem"))
 
 
 def with_memory(windows: DataFrame, memories: dict[str, DataFrame], run: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import posixpath
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -50,17 +52,70 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "model", "alpha").mode("overwrite").parquet(path)
 
 
+_RESULT = {"signal": str, "model": str, "alpha": float, "status": str, "precision": float, "recall": float, "f1": float}
+
+
+def _parsed(name: str, text: str) -> Iterator[dict]:
+    """The rows of one result file by the names in its own header, and a row with line and error for each line, or a file, that can't be read."""
+    rows = csv.reader(io.StringIO(text))
+    header = [c.strip().removeprefix("\ufeff") for c in next(rows, [])]
+    if "signal" not in header or len(set(header)) < len(header):
+        yield {"file": name, "line": 1, "error": "no column signal" if "signal" not in header else "columns of one name"}
+        return
+    try:
+        for row in rows:
+            if len(row) != len(header):
+                if row:
+                    yield {"file": name, "line": rows.line_num, "error": f"{len(row)} fields, not {len(header)}"}
+                continue
+            found, told, wrong = dict(zip(header, row)), {"status": None if "status" in header else "success"}, []
+            for c, kind in _RESULT.items():
+                try:
+                    told[c] = kind(found[c]) if found.get(c) else told.get(c)
+                except ValueError:
+                    wrong.append(c)
+            yield {"file": name, "line": rows.line_num, **told, "error": f"no number: {', '.join(wrong)}" if wrong else None}
+    except csv.Error as e:
+        yield {"file": name, "line": rows.line_num, "error": str(e)}
+
+
+def _read_results(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, line, columns of _RESULT, error) of all lines of CSV files, each file read by its own header. A file is one task's work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file", "line", *_RESULT, "error"]
+        for b in batches:
+            for name, text in zip(b.file, b.value):
+                rows = list(_parsed(name, text))
+                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="float64" if _RESULT.get(c) is float else "object") for c in columns}).astype({"line": "int64"})
+
+    kinds = ", ".join(f"{c} {'double' if k is float else 'string'}" for c, k in _RESULT.items())
+    texts = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    read = texts.mapInPandas(run, f"file string, line long, {kinds}, error string")
+    return read.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, k in _RESULT.items() if k is float})
+
 def read_result_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Result rows of CSV files ``results_<dataset>[_<model>]_alpha_<alpha>.csv``, whose columns have one order.
+    """Result rows of CSV files ``results_<dataset>[_<model>]_alpha_<alpha>.csv``, by the names in each file's header, whatever the columns' order.
 
-    dataset is that of the file's name; model and alpha are, where the files have no such column. Without a status, rows count as success.
+    dataset is that of the file's name; model and alpha are, where a file has no such column. Without a column status, rows count as success. What can't be read is in
+    result_file_errors(): a file without a column signal and lines with too many or too few fields have no row; a value that isn't a number is null.
     """
-    df = spark.read.option("header", True).csv(pattern)
-    wanted = {"signal": "string", "model": "string", "alpha": "double", "status": "string", "precision": "double", "recall": "double", "f1": "double"}
-    rows = df.select(F.regexp_extract("_metadata.file_name", _STEM, 1).alias("stem"), *((F.col(c).try_cast(t) if c in df.columns else F.lit("success" if c == "status" else None).cast(t)).alias(c) for c, t in wanted.items()))
+    rows = _read_results(spark, pattern).where("signal is not null").withColumn("stem", F.regexp_extract("file", _STEM, 1))
     named = filename_fields(rows.select("stem").distinct()).select("stem", "dataset", F.col("model").alias("_model"), F.col("alpha").alias("_alpha"))
     out = rows.join(named, "stem").withColumn("model", F.coalesce("model", "_model")).withColumn("alpha", F.coalesce("alpha", "_alpha"))
-    return out.select("dataset", *wanted)
+    return out.select("dataset", *_RESULT)
+
+
+def result_file_errors(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, line, error) of what read_result_files() can't read."""
+    return _read_results(spark, pattern).where("error is not null").select("file", "line", "error")
+
+
+def truth_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of the lines that read_truth() can't read, besides the header."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    pairs = F.from_json(F.regexp_extract("text", r'^[^,]*,"?(.*?)"?\s*$', 1), "array<array<double>>")
+    return lines.where((pairs.isNull() | (F.regexp_extract("text", r"^([^,]*),", 1) == "")) & (F.trim("text") != "") & ~F.lower("text").startswith("signal,"))
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
