@@ -8,10 +8,11 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import anagram, queries, secrets, word_runs
+from tidemark.llm import anagram, jaccard_join, queries, secrets, word_runs
 
 PATH = "/root/testdata/sf0.001"
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -242,3 +243,28 @@ def test_an_index_serves_other_rules_and_leaves_texts_out(spark):
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(docs, [rule], index).where("size(spans) > 0").collect()}
     assert got == {300: [("needle", 4, 10)], 301: [("needle", 2, 8)]}
     assert secrets.scan(docs.limit(0), [rule]).count() == 0
+
+
+# ---- what the operators share
+
+
+def test_pieces_have_few_rows_and_bytes():
+    from tidemark.llm import words
+    from tidemark.llm.common import pieces, raw_bytes
+
+    batch = pa.record_batch([pa.array(["one two three four five six", None, ""] * 40_000)], names=["text"])
+    sizes = [p.num_rows for p in pieces(iter([batch]), "text", 1 << 30)]
+    assert sizes == [65_536, 120_000 - 65_536]
+    for piece in pieces(iter([batch]), "text", 1 << 30):
+        doc, tokens = words.shingle_sets(*raw_bytes(piece.column("text")), 5)
+        assert np.bincount(doc, minlength=piece.num_rows).tolist() == [2 if x.as_py() else 0 for x in piece.column("text")]
+
+
+def test_counts_of_many_tasks_are_added_a_few_at_a_time(spark, monkeypatch):
+    texts = ["a line that all of them have here " + " ".join(f"u{i}x{j}" for j in range(4)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(13)
+    found = []
+    for most in (64, 2):
+        monkeypatch.setattr(jaccard_join, "FAN_IN", most)
+        found.append([x.tolist() for x in jaccard_join.hot_cells(jaccard_join.sets_of(docs, 5), len(texts))])
+    assert found[0] == found[1] and max(found[0][1]) >= 120

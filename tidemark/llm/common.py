@@ -22,6 +22,8 @@ BROADCAST_ROWS = 2_000_000
 HOT_SHARE = 1000
 #: Bytes of text that a numpy kernel works on at a time, so that what it needs for them stays small.
 CHUNK_BYTES = 1 << 18
+#: Rows that one has at most, whatever their bytes: a row's number takes 16 bits.
+CHUNK_ROWS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +66,8 @@ def _trim() -> None:
         _malloc_trim()(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a piece has one row or at most so many bytes in a text column. What the task took for them goes back to the system at its end, as
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a piece has at most so many rows, and one row or at most so many bytes in a text column. What the task took for them goes back to the system at its end, as
     workers outlive tasks."""
     for batch in batches:
         if not batch.num_rows:
@@ -75,7 +77,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
         at = 0
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
+            end = min(at + rows, max(at + 1, int(np.searchsorted(total, base + most, side="right"))))
             yield batch.slice(at, end - at)
             at = end
     pa.default_memory_pool().release_unused()

@@ -35,6 +35,8 @@ from tidemark.llm.words import TOKEN_BITS, set_hashes, shingle_sets
 BUCKET_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 17
 _KEPT = 40  # bits of a token that are stored; the bucket has the others
 _CELL_BITS, _SLICES = 20, 16
+#: Tasks whose counts are added in one group.
+FAN_IN = 64
 
 
 def needed(size: int, percent: int) -> int:
@@ -71,14 +73,25 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def hot_cells(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, counts) of more than one in HOT_SHARE rows: fewer than HOT_SHARE times the tokens of a text."""
+    """(cells, counts) of more than one in HOT_SHARE rows: fewer than HOT_SHARE times the tokens of a text. The tasks' counts are added FAN_IN at a time, in as many
+    rounds as that takes, so that no group holds more of them."""
 
-    def run(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(decompress(x.as_buffer()), np.int64) for x in group.column("cells"))
-        at = np.flatnonzero(total > rows / HOT_SHARE)
-        return pa.table({"cell": pa.array(at + group.column("slice")[0].as_py() * len(total)), "n": pa.array(total[at])})
+    def total(cells: Iterator[pa.Scalar], kind: type) -> np.ndarray:
+        out = 0
+        for x in cells:
+            out = out + np.frombuffer(decompress(x.as_buffer()), kind).astype(np.int64)
+        return out
+
+    def added(group: pa.Table) -> pa.Table:
+        cells = compress(total(iter(group.column("cells")), np.int64).tobytes(), 1)
+        return pa.table({"slice": group.column("slice")[:1].cast(pa.int32()), "of": pa.array([group.column("of")[0].as_py() // FAN_IN], pa.int32()), "cells": pa.array([cells], pa.binary())})
+
+    def last(group: pa.Table) -> pa.Table:
+        counts = total(iter(group.column("cells")), np.int64)
+        at = np.flatnonzero(counts > rows / HOT_SHARE)
+        return pa.table({"cell": pa.array(at + group.column("slice")[0].as_py() * len(counts)), "n": pa.array(counts[at])})
 
-    # a task's counts are summed with some others' before the few slices meet
+    # a task's counts are summed with some others' first
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -88,7 +101,12 @@ def hot_cells(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([compress(c.tobytes(), 1) for c in sums.values()], pa.binary())], names=["slice", "cells"])
 
     counts = sets.where("slice is not null").select("slice", "cells").mapInArrow(some, "slice int, cells binary")
-    found = counts.groupBy("slice").applyInArrow(run, "cell long, n long").toArrow()
+    tasks = sets.rdd.getNumPartitions()
+    counts = counts.withColumn("of", F.spark_partition_id())
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        counts = counts.groupBy("slice", F.expr(f"of div {FAN_IN}").alias("group")).applyInArrow(added, "slice int, of int, cells binary")
+    found = counts.groupBy("slice").applyInArrow(last, "cell long, n long").toArrow()
     order = np.argsort(cell := found.column("cell").to_numpy())
     return cell[order], found.column("n").to_numpy()[order]
 
