@@ -72,7 +72,8 @@ def _by_key(rows: DataFrame) -> DataFrame:
     whole, less, pair = rows.where("gone = ''"), rows.where("gone <> ''"), ["a_word", "a_n", "b_word", "b_n"]
     removed = whole.select("res", *_ends("a")).join(less.select("res", *_ends("b")), "res").where("b_size = a_size + 1")
     exchanged = less.select("res", *_ends("a")).join(less.select("res", *_ends("b")), "res").where("a_gone < b_gone and a_size = b_size")
-    both = removed.unionByName(exchanged).where(F.levenshtein("a_word", "b_word", 1) == 1)
+    half = "left(a_word, a_size div 2) = left(b_word, a_size div 2) or right(a_word, a_size div 2) = right(b_word, a_size div 2)"  # one edit spares half of the word
+    both = removed.unionByName(exchanged).where(f"({half}) and levenshtein(a_word, b_word, 1) = 1")
     both = both.withColumn("a", F.split("a_word", "")).withColumn("b", F.split("b_word", "")).withColumn("i", _agree())
     fits = "(a_size = b_size or a_gone = '') and get(b, i) = b_gone and (a_gone = '' or get(a, i) = a_gone)"
     rest = F.substring("b_word", F.col("i") + 2, F.col("b_size")) == F.substring("a_word", F.col("i") + F.when(F.col("a_gone") == "", 1).otherwise(2), F.col("a_size"))
