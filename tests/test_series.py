@@ -123,7 +123,7 @@ def test_raster_and_png():
             force[r, c] = min(1, max(0, abs(r - y[c]) - half))
     assert np.allclose(render.raster(v, 20, 9), force, atol=1e-6)
     assert render.raster(np.array([5.0, 7.0]), 8, 8, None, None)[0, 7] == 0
-    assert render.png(image).startswith(b"\x89PNG") and render.PatchEncoder(16, 8)(image).shape == (4, 8)
+    assert render.png(image).startswith(b"\x89PNG") and render.PatchEncoder(16, 8)(np.stack([image] * 3)).shape == (3, 4, 8)
     assert (render.raster([float("nan")]) == 1).all()
 
 
@@ -255,10 +255,10 @@ def test_overlaps_against_force(spark):
 class Fussy(render.PatchEncoder):
     """Fails on windows that go down at their end."""
 
-    def __call__(self, image):
-        if image[: len(image) // 2, -1].min() > 0.5:
+    def __call__(self, images):
+        if (images[:, : images.shape[1] // 2, -1].min(1) > 0.5).any():
             raise RuntimeError("no such picture")
-        return super().__call__(image)
+        return super().__call__(images)
 
 
 def test_detectors_options_and_failures(spark):
@@ -268,7 +268,7 @@ def test_detectors_options_and_failures(spark):
     rows = [("up", float(i), float(v)) for i, v in enumerate(x)] + [("down", float(i), float(-v)) for i, v in enumerate(x)] + [("none", float(i), None) for i in range(80)]
     df = spark.createDataFrame(rows, "series_id string, ts double, value double")
     small = dict(window_size=60, side=64)
-    scores = ScreeningDetector(**small, encoder=Fussy()).scores(df).cache()
+    scores = ScreeningDetector(**small, encoder=Fussy).scores(df).cache()
     errors = {r.series_id: r.error for r in scores.select("series_id", "error").distinct().collect()}
     assert errors["down"] == "RuntimeError: no such picture" and errors["none"] == "no readable value"
     roster = spark.createDataFrame([("up", 1), ("down", 1)], "series_id string, n_ground_truth long")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import z_value
 from tidemark.operators import scan
 from tidemark.operators.scan import blocked, percentiles, running
-from tidemark.operators.series import by_series, smoothed, with_threshold_windows
+from tidemark.operators.series import by_series, smoothed, threshold_panes, with_threshold_windows
 from tidemark.sources.storage import durable
 
 #: Neighbouring points that meet the intervals over them in one key.
@@ -32,11 +32,23 @@ def _smooth(scores: DataFrame, smoothing: bool, method: str) -> DataFrame:
     return durable(rows, "smooth") if method == "median" else rows
 
 
+def _pane_limits(panes: DataFrame, alpha: float) -> DataFrame:
+    """(series_id, low, high, limit): the least threshold of the large windows that a pane's points are in. A window's mean and spread come from those of its panes."""
+    part = panes.groupBy("series_id", "low", "high").agg(F.count("smooth").alias("m"), F.avg("smooth").alias("mean"), F.var_pop("smooth").alias("var"))
+    window, m = Window.partitionBy("series_id", "window_id"), F.col("m")
+    each = part.withColumn("window_id", F.explode(F.sequence("low", "high"))).withColumn("centre", F.sum(m * F.col("mean")).over(window) / F.nullif(F.sum(m).over(window), F.lit(0)))
+    spread = F.sqrt(F.sum(m * (F.col("var") + F.pow(F.col("mean") - F.col("centre"), 2))).over(window) / F.sum(m).over(window))
+    return each.withColumn("limit", F.col("centre") + z_value(alpha) * spread).groupBy("series_id", "low", "high").agg(F.min("limit").alias("limit"))
+
+
 def flagged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bool = True, sliding: bool = False) -> DataFrame:
     """Rows of scores that are above their threshold, strictly; sliding: above that of any of their large windows."""
     rows, over = _smooth(scores, smoothing, method), F.col("smooth") > F.col("centre") + z_value(alpha) * F.col("spread")
     if not sliding:
         return rows.join(_limits(rows, ["series_id"], method), "series_id").where(over)
+    if method == "mean":  # points stay one row each
+        panes = threshold_panes(rows)
+        return panes.join(_pane_limits(panes, alpha), ["series_id", "low", "high"]).where("smooth > limit").drop("low", "high", "limit")
     rows = with_threshold_windows(rows)
     found = rows.join(_limits(rows, ["series_id", "window_id"], method), ["series_id", "window_id"]).where(over)
     return found.drop("window_id", "centre", "spread").distinct()

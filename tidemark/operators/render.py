@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tidemark.operators.tokens import nested
 
 #: Figures of 3 x 5 dots for the plots' labels, row by row.
 _FIGURES = {
@@ -104,9 +109,9 @@ def png(gray: np.ndarray) -> bytes:
 
 
 class Encoder(Protocol):
-    """Tokens (patches x dimensions), row by row of the grid, of a gray image."""
+    """Tokens (n x patches x dimensions), row by row of the grid, of n gray images (n x height x width, 0 to 1)."""
 
-    def __call__(self, image: np.ndarray) -> np.ndarray: ...
+    def __call__(self, images: np.ndarray) -> np.ndarray: ...
 
 
 class PatchEncoder:
@@ -116,18 +121,12 @@ class PatchEncoder:
         self.patch = patch
         self.directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(patch * patch, dims)))[0]
 
-    def __call__(self, image: np.ndarray) -> np.ndarray:
-        p = self.patch
-        grid = image.reshape(image.shape[0] // p, p, image.shape[1] // p, p).swapaxes(1, 2).reshape(-1, p * p)
+    def __call__(self, images: np.ndarray) -> np.ndarray:
+        p, (n, height, width) = self.patch, images.shape
+        grid = images.reshape(n, height // p, p, width // p, p).swapaxes(2, 3).reshape(n, -1, p * p)
         return (1 - grid) @ self.directions + 1e-6
 
 
-def windows_as_rows(windowed: DataFrame, value: str = "value_norm") -> DataFrame:
-    """(series_id, window_id, points): one row for each window."""
-    rows = windowed.groupBy("series_id", "window_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(value).alias("v")))).alias("p"))
-    return rows.select("series_id", "window_id", F.col("p.v").alias("points"))
-
-
 def images(windows: DataFrame, side: int = 224, low: float | None = 0.0, high: float | None = 1.0) -> DataFrame:
     """(series_id, window_id, image): 8-bit gray values, row by row. low or high None: each window's own."""
 
@@ -139,19 +138,43 @@ def images(windows: DataFrame, side: int = 224, low: float | None = 0.0, high: f
     return windows.mapInPandas(run, "series_id string, window_id long, image binary")
 
 
-def encoded(imaged: DataFrame, encoder: Encoder, side: int = 224) -> DataFrame:
-    """(series_id, window_id, toks, error): a window's tokens, or what the encoder failed with, which doesn't end the job."""
+@lru_cache(maxsize=1)
+def _made(maker: bytes) -> Encoder:
+    """The encoder of a worker process, which lives on from task to task."""
+    return cloudpickle.loads(maker)()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _tokens(maker: bytes, images: np.ndarray) -> tuple[list[np.ndarray | None], list[str | None]]:
+    """Each image's tokens, or None and the error. If the encoder fails on all together, they are encoded one by one."""
+    try:
+        toks = np.asarray(_made(maker)(images), float)
+        if toks.ndim == 3 and len(toks) == len(images):
+            return list(toks), [None] * len(toks)
+        raise ValueError(f"tokens of shape {toks.shape} for {len(images)} images")
+    except Exception as e:
+        if len(images) == 1:
+            return [None], [f"{type(e).__name__}: {e}"[:500]]
+        each = [_tokens(maker, images[i : i + 1]) for i in range(len(images))]
+        return [t[0] for t, _ in each], [e[0] for _, e in each]
+
+
+def encoded(imaged: DataFrame, encoder: Callable[[], Encoder], side: int = 224, most: int = 16, profile: ResourceProfile | None = None) -> DataFrame:
+    """(series_id, window_id, toks, error): a window's tokens, or what the encoder failed with, which doesn't end the job.
+
+    encoder makes an Encoder, once in each worker process, which gets at most so many images at a time; their tokens leave the worker before the next ones are made.
+    profile: what a task needs, such as a device.
+    """
+    maker = cloudpickle.dumps(encoder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks, errors = [], []
-            for x in b.image:
-                try:
-                    toks.append(list(np.asarray(encoder(np.frombuffer(x, np.uint8).reshape(side, side).astype(np.float32) / 255), float)))
-                    errors.append(None)
-                except Exception as e:
-                    toks.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pd.DataFrame({"series_id": b.series_id, "window_id": b.window_id, "toks": toks, "error": pd.Series(errors, dtype=object)})
-
-    return imaged.mapInPandas(run, "series_id string, window_id long, toks array<array<double>>, error string")
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                gray = np.stack([np.frombuffer(x.as_buffer(), np.uint8).reshape(side, side) for x in part.column("image")])
+                toks, errors = _tokens(maker, gray.astype(np.float32) / 255)
+                lists = nested([np.zeros((0, 0)) if t is None else t for t in toks])
+                lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array([t is None for t in toks]))
+                yield pa.record_batch([part.column("series_id"), part.column("window_id"), lists, pa.array(errors, pa.string())], names=["series_id", "window_id", "toks", "error"])
+
+    kept = imaged.select("series_id", "window_id", "image")
+    return kept.mapInArrow(run, "series_id string, window_id long, toks array<array<double>>, error string", profile=profile)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,12 @@ from tidemark.functions.scalar import finite
 from tidemark.operators import scan
 from tidemark.operators.scan import blocked, running
 
+#: Points of the windows that one group cuts.
+CUT = 1 << 18
+#: Neighbouring windows of a series that are ranked together for a sample.
+SAMPLED = 1 << 16
+
+
 def by_series():
     return Window.partitionBy("series_id")
 
@@ -63,24 +71,62 @@ def window_count(n: Column, size: int, step: int) -> Column:
     return F.when(n >= size, F.floor((n - size) / step) + 1).otherwise(0).cast("long")
 
 
-def with_windows(df: DataFrame, size: int, step: int) -> DataFrame:
-    """A row for each window of `size` points that a point is in: window_id and pos are added. Windows that would end after the series aren't made."""
+def _in_windows(df: DataFrame, size: int, step: int) -> DataFrame:
+    """Adds _low and _high, the first and last window that a point is in; points in none go."""
     low = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / step)).cast("long")
     high = F.least(F.floor(F.col("idx") / step), window_count(F.col("n"), size, step) - 1).cast("long")
-    inside = df.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    return df.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+
+
+def with_windows(df: DataFrame, size: int, step: int) -> DataFrame:
+    """A row for each window of `size` points that a point is in: window_id and pos are added. Windows that would end after the series aren't made."""
+    inside = _in_windows(df, size, step)
     inside = inside.withColumn("window_id", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
     return inside.withColumn("pos", F.col("idx") - F.col("window_id") * step)
 
 
-def with_threshold_windows(df: DataFrame) -> DataFrame:
-    """A row for each of a point's large windows: n div 3 points every n div 10, the last ones cut short."""
+def window_rows(df: DataFrame, size: int, step: int, value: str = "value_norm") -> DataFrame:
+    """(series_id, window_id, points): the windows of with_windows(), one to a row, values in order of idx.
+
+    A stretch of neighbouring windows, CUT points of them, is cut in one task from the points that they share. So a point is shuffled once, and those at the end of a
+    stretch, fewer than `size`, twice. Missing indices are left out, null values stay.
+    """
+    many = max(1, CUT // size)
+    rows = _in_windows(df, size, step).select("series_id", "idx", "n", F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.expr(f"_low div {many}"), F.expr(f"_high div {many}"))).alias("stretch"))
+
+    def cut(points: pa.Table) -> pa.Table:
+        idx, n, first = points["idx"].to_numpy(), points["n"][0].as_py(), points["stretch"][0].as_py() * many
+        order = np.argsort(idx, kind="stable")
+        windows = np.arange(first, min(first + many, (n - size) // step + 1))
+        begin, end = np.searchsorted(idx, windows * step, sorter=order), np.searchsorted(idx, windows * step + size, sorter=order)
+        windows, begin, end = (x[end > begin] for x in (windows, begin, end))
+        ends = np.cumsum(end - begin)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - (end - begin)), end - begin)
+        values = points["v"].combine_chunks().take(pa.array(order[taken]))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+        return pa.table([pa.array([points["series_id"][0].as_py()] * len(windows), pa.string()), pa.array(windows, pa.int64()), lists], names=["series_id", "window_id", "points"])
+
+    return rows.groupBy("series_id", "stretch").applyInArrow(cut, "series_id string, window_id long, points array<double>")
+
+
+def threshold_panes(df: DataFrame) -> DataFrame:
+    """Adds low and high, the first and last of a point's large windows: n div 3 points every n div 10, the last ones cut short. A series has some 20 such pairs, its panes."""
     size, step = F.greatest(F.lit(1), F.expr("n div 3")), F.greatest(F.lit(1), F.expr("n div 10"))
     low = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / step)).cast("long")
-    return df.withColumn("window_id", F.explode(F.sequence(low, F.floor(F.col("idx") / step).cast("long"))))
+    return df.withColumn("low", low).withColumn("high", F.floor(F.col("idx") / step).cast("long"))
+
+
+def with_threshold_windows(df: DataFrame) -> DataFrame:
+    """A row for each of a point's large windows."""
+    return threshold_panes(df).withColumn("window_id", F.explode(F.sequence("low", "high"))).drop("low", "high")
 
 
 def sampled_windows(windows: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """At most `size` windows of each series, chosen by a multiplicative hash of window_id that any engine can compute."""
+    """At most `size` windows of each series, chosen by a multiplicative hash of window_id that any engine can compute: the smallest of each SAMPLED neighbouring windows
+    first, then of what they leave, so that no task ranks all windows of a series."""
     draw = (F.col("window_id") * 7919 + seed * 104729 + 12345) % 1000003
-    rank = F.row_number().over(by_series().orderBy(draw, "window_id"))
-    return windows.select("series_id", "window_id").distinct().withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
+    rows = windows.select("series_id", "window_id").distinct().withColumn("_part", F.expr(f"window_id div {SAMPLED}"))
+    for part in (["_part"], []):
+        rank = F.row_number().over(Window.partitionBy("series_id", *part).orderBy(draw, "window_id"))
+        rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
+    return rows.drop("_part")

@@ -58,7 +58,7 @@ def _matrix(cell: pa.Scalar) -> np.ndarray:
     return flat.reshape(len(rows), -1)
 
 
-def _nested(rows: list[np.ndarray]) -> pa.Array:
+def nested(rows: list[np.ndarray]) -> pa.Array:
     flat = pa.ListArray.from_arrays(np.cumsum([0, *(r.shape[1] for r in rows for _ in range(len(r)))]).astype(np.int32), pa.array(np.concatenate([r.reshape(-1) for r in rows]) if rows else np.zeros(0)))
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), flat)
 
@@ -69,7 +69,7 @@ def pooled(windows: DataFrame, masks: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("series_id"), b.column("window_id"), _nested([mean @ _matrix(x) for x in b.column("toks")])], names=[*KEYS, "toks"])
+            yield pa.record_batch([b.column("series_id"), b.column("window_id"), nested([mean @ _matrix(x) for x in b.column("toks")])], names=[*KEYS, "toks"])
 
     return windows.select(*KEYS, "toks").mapInArrow(run, "series_id string, window_id long, toks array<array<double>>")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ class ScreeningDetector:
     column_share: float = 0.25
     alpha: float = 0.01
     index_shift: int = 1
-    encoder: render.Encoder = field(default_factory=render.PatchEncoder)
+    #: Makes the encoder, in each worker; profile tells what its tasks need.
+    encoder: Callable[[], render.Encoder] = render.PatchEncoder
+    profile: ResourceProfile | None = None
     #: False: raw values, each window's plot between its own extremes.
     standardize: bool = True
     #: Squares of patches whose mean tokens are compared too, besides single patches; none for these only.
@@ -35,10 +39,10 @@ class ScreeningDetector:
         grid = self.side // self.patch
         indexed = series.with_index(df)
         prepared = series.min_max(series.detrended(indexed)) if self.standardize else indexed.withColumn("value_norm", F.col("value"))
-        windows = render.windows_as_rows(series.with_windows(prepared, self.window_size, step))
+        windows = series.window_rows(prepared, self.window_size, step)
         drawn = render.images(windows, self.side, *((0.0, 1.0) if self.standardize else (None, None)))
         # the memories and what is compared with them read the tokens: they are drawn and encoded once
-        encoded = durable(render.encoded(drawn, self.encoder, self.side), "tokens")
+        encoded = durable(render.encoded(drawn, self.encoder, self.side, profile=self.profile), "tokens")
         failed = encoded.where("error is not null").groupBy("series_id").agg(F.min("error").alias("error"))
         toks, masks = encoded.where("error is null"), {f"of{k}": tokens.mask_matrix(grid, k) for k in self.kernels}
         memories = {name: durable(tokens.memory(tokens.pooled(toks, m)), name) for name, m in masks.items()}

@@ -314,7 +314,7 @@ DETECTOR = ScreeningDetector(window_size=240, alpha=0.01)
 
 def _images(s, d):
     prepared = series.min_max(series.detrended(_indexed(s, d)))
-    return render.images(render.windows_as_rows(series.with_windows(prepared, 240, 60)))
+    return render.images(series.window_rows(prepared, 240, 60))
 
 
 def raster_windows(s, d):
@@ -325,7 +325,7 @@ def raster_windows(s, d):
 def encode_windows(s, d):
     """Each window's tokens: how many, their dimensions, and the sum of all values."""
     toks = F.col("toks")
-    return render.encoded(_images(s, d), render.PatchEncoder()).select("series_id", "window_id", F.size(toks).alias("tokens"), F.size(toks[0]).alias("dims"), F.round(F.aggregate(F.flatten(toks), F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "error")
+    return render.encoded(_images(s, d), render.PatchEncoder).select("series_id", "window_id", F.size(toks).alias("tokens"), F.size(toks[0]).alias("dims"), F.round(F.aggregate(F.flatten(toks), F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "error")
 
 
 def screen_detect(s, d):
