@@ -187,15 +187,21 @@ def model_fanout(s, d):
     return out
 
 
-STEMS = ["results_MSL_two_alpha_0.01", "results_A_B_alpha_0.1", "results_X_screening_alpha_0.001", "results_N_alpha_x", "summary"]
+#: A name of a result file for each event, some of other files or without a number.
+STEM = """CASE WHEN event_id % 11 = 0 THEN concat('summary_', event_type) ELSE concat('results_', event_type, '_', user_id % 7, CASE event_id % 3 WHEN 0 THEN '_two' WHEN 1 THEN '_screening' ELSE '' END,
+  '_alpha_', CASE event_id % 5 WHEN 0 THEN '0.1' WHEN 1 THEN '0.01' WHEN 2 THEN 'x' ELSE '0.001' END) END"""
 
 
 def filename_fields(s, d):
-    return evaluate.filename_fields(s.createDataFrame([(x,) for x in STEMS], "stem string"), ("screening", "two"))
+    return evaluate.filename_fields(_read(s, d, "events").selectExpr(f"{STEM} AS stem").distinct(), ("screening", "two"))
 
 
 def make_masks(s, d):
-    return tokens.make_masks(s, 14, 3, 1, "large").unionByName(tokens.make_masks(s, 14, 2, 1, "mid"))
+    """What lies under each mask of two scales: how many of a series' tokens, and the mean of their first numbers."""
+    masks = tokens.make_masks(s, SIDE, 3, 1, "large").unionByName(tokens.make_masks(s, SIDE, 2, 1, "mid"))
+    toks = _tokens(s, d).select("series_id", F.col("token_idx").alias("patch_idx"), F.element_at("tok", 1).cast("double").alias("x"))
+    under = toks.join(F.broadcast(masks), "patch_idx").groupBy("series_id", "scale", "mask_idx")
+    return under.agg(F.count(F.lit(1)).alias("tokens"), (F.round(F.avg("x"), 6) + 0.0).alias("x"))
 
 
 def _tokens(s, d):
@@ -287,26 +293,27 @@ def upsample_map(s, d):
     return tokens.upsampled(_fused(s, d), SIDE, 8).select(*tokens.KEYS, "r", "c", *r6("score"))
 
 
-ANSWERS = [
-    ("a", '{"interval_index": [[1, 3], [7, 9]], "confidence": [2]}'),
-    ("b", 'Sure:\n```json\n{"interval_index": [[2, 50]], "confidence": [3]}\n```'),
-    ("c", "I see nothing"),
-    ("d", '{"confidence": [1]}'),
-    ("e", '{"interval_index": []}'),
-    ("f", '{"interval_index": null}'),
-    ("g", '{"interval_index": [[9, 4]]}'),
-]
+def _asked(s, d):
+    """(scores, index pairs of what screening proposes, answers): an answer takes its series' proposals from the prompt, and is spoiled by the series' number."""
+    scored = durable(_indexed(s, d, "user_id").withColumn("score", F.col("value")), "scored")
+    pairs = durable(detect.islands(detect.flagged(scored, 0.1)), "pairs")
+    listed, kind = F.substring_index("prompt", "PROPOSALS ", -1), F.col("series_id").cast("long") % 7
+    turned = F.to_json(F.transform(F.from_json(listed, "array<array<long>>"), lambda p: F.reverse(p)))
+    told = lambda head, pairs, tail: F.concat(F.lit(head + '{"interval_index": '), pairs, F.lit(tail))
+    raw = (
+        F.when(kind == 0, told("", listed, "}")).when(kind == 1, told("Sure:\n```json\n", listed, ', "confidence": [2]}\n```')).when(kind == 2, "I see nothing").when(kind == 3, '{"confidence": [1]}')
+        .when(kind == 4, '{"interval_index": []}').when(kind == 5, told("", turned, "}")).otherwise('{"interval_index": null}')
+    )
+    return scored, pairs, verify.prompts(pairs).select("series_id", raw.alias("raw"))
 
 
 def vlm_parse(s, d):
-    return verify.answered(s.createDataFrame(ANSWERS, "series_id string, raw string")).select("series_id", F.col("pos").cast("long").alias("pos"), "s", "e", "confidence")
+    return verify.answered(_asked(s, d)[2]).select("series_id", F.col("pos").cast("long").alias("pos"), "s", "e", "confidence")
 
 
 def vlm_fallback(s, d):
-    raw = s.createDataFrame(ANSWERS, "series_id string, raw string")
-    indexed = raw.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("idx"), F.lit(10).cast("long").alias("n")).withColumn("ts", F.col("idx") * 10)
-    proposals = raw.select("series_id", F.lit(20).cast("long").alias("start"), F.lit(30).cast("long").alias("end"), F.lit(0.5).alias("severity"))
-    return verify.verified(raw, proposals, indexed)
+    scored, pairs, raw = _asked(s, d)
+    return _told(verify.verified(raw, detect.with_times(pairs, scored), scored))
 
 
 DETECTOR = ScreeningDetector(window_size=240, alpha=0.01)
@@ -423,7 +430,9 @@ _STITCHED = f"(SELECT s, w * 2 + c AS k, avg(score) AS score, count(*) AS covere
 #: Each of 8 places along a side, the two of 4 cells it lies between, and how far it is from the first.
 _TAPS = f"(SELECT d, CAST(floor(x) AS BIGINT) AS lo, least(CAST(floor(x) AS BIGINT) + 1, {SIDE - 1}) AS hi, x - floor(x) AS f FROM (SELECT d, greatest(0, (d + 0.5) * {SIDE} / 8.0 - 0.5) AS x FROM (SELECT unnest(generate_series(0, 7)) AS d)))"
 _NAMES = "s AS series_id, w AS window_id"
-_FIXED = ", ".join
+_PAIRS = f"""(SELECT *, CAST(series_id AS BIGINT) % 7 AS kind, row_number() OVER (PARTITION BY series_id ORDER BY s, e) - 1 AS pos FROM (SELECT series_id, min(idx) AS s, max(idx) AS e, min(ts) AS start, max(ts) AS "end", avg(score) AS severity FROM
+  (SELECT *, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS run FROM ({_flag_mean(0.1, 'user_id')})) GROUP BY series_id, run))"""
+_SURE = "CASE WHEN kind = 1 AND pos = 0 THEN 2e0 ELSE 1e0 END"
 
 SQL: dict[str, str] = {
     "scan_signals": "SELECT event_type AS series_id, ts, value FROM events",
@@ -471,8 +480,8 @@ SQL: dict[str, str] = {
   UNION ALL SELECT dataset, 'screening', signal, CAST(0.5 AS DOUBLE), 'success', round(f1, 6) FROM ({_RESULTS})""",
     "model_fanout": " UNION ALL ".join(f"SELECT '{m}' AS model, series_id, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_rates(r)})" for m, r in (("screening", _FOUND), ("two_stage", f"(SELECT a.* FROM {_FOUND} a WHERE EXISTS (SELECT 1 FROM {_TRUTH} b WHERE {_TOUCH}))"))),
     "filename_fields": f"""SELECT stem, array_to_string(p[2:CASE WHEN named THEN k - 2 ELSE k - 1 END], '_') AS dataset, CASE WHEN named THEN p[k - 1] ELSE 'screening' END AS model, TRY_CAST(p[k + 1] AS DOUBLE) AS alpha FROM
-  (SELECT *, p[k - 1] IN ('screening', 'two') AS named FROM (SELECT *, list_position(p, 'alpha') AS k FROM (SELECT stem, string_split(stem, '_') AS p FROM (VALUES {_FIXED(f"('{x}')" for x in STEMS)}) v(stem)))) WHERE k > 2""",
-    "make_masks": f"SELECT 'large' AS scale, m AS mask_idx, p AS patch_idx FROM {_masks(14, 3)} UNION ALL SELECT 'mid', m, p FROM {_masks(14, 2)}",
+  (SELECT *, p[k - 1] IN ('screening', 'two') AS named FROM (SELECT *, list_position(p, 'alpha') AS k FROM (SELECT stem, string_split(stem, '_') AS p FROM (SELECT DISTINCT {STEM} AS stem FROM events)))) WHERE k > 2""",
+    "make_masks": " UNION ALL ".join(f"SELECT s AS series_id, '{scale}' AS scale, m AS mask_idx, count(*) AS tokens, round(avg(v[1]), 6) + 0.0 AS x FROM {_TOK} JOIN {_masks(SIDE, k)} ON t = p GROUP BY s, m" for scale, k in (("large", 3), ("mid", 2))),
     "token_l2": f"SELECT {_NAMES}, t AS token_idx, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_inner_product(v, v)), 6) AS total FROM {_TOK}",
     "token_cosine": f"SELECT a.s AS series_id, a.w AS window_id, a.t AS token_idx, b.t AS other, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM {_TOK} a JOIN {_TOK} b ON a.s = b.s AND a.w = b.w AND a.t < b.t",
     "token_pool": f"SELECT {_NAMES}, t AS token_idx, dim, round(x, 6) + 0.0 AS x FROM {_flat(_pooled(2))}",
@@ -491,8 +500,8 @@ SQL: dict[str, str] = {
   y AS (SELECT x.s, x.i AS idx, covered, a.score + (x.x - x.low) * (b.score - a.score) AS score FROM x JOIN v a ON a.s = x.s AND a.k = x.low JOIN v b ON b.s = x.s AND b.k = x.low + 1),
   z AS (SELECT s, any_value(covered) AS covered, max(score) FILTER (idx = covered - 1) AS last, max(score) FILTER (idx = covered - 2) AS before FROM y GROUP BY s)
   SELECT s AS series_id, idx, round(score, 5) AS score FROM y UNION ALL SELECT s, covered - 1 + j, round(last + (last - before) * j, 5) FROM z, (SELECT unnest(generate_series(1, 7)) AS j)""",
-    "vlm_parse": "SELECT * FROM (VALUES ('a', 0, 1, 3, 2.0::DOUBLE), ('a', 1, 7, 9, 1.0), ('b', 0, 2, 50, 3.0), ('g', 0, 9, 4, 1.0)) v(series_id, pos, s, e, confidence)",
-    "vlm_fallback": """SELECT * FROM (VALUES ('a', 10, 30, 2.0::DOUBLE), ('a', 70, 90, 1.0), ('b', 20, 90, 3.0), ('g', 90, 40, 1.0), ('c', 20, 30, 0.5), ('d', 20, 30, 0.5), ('f', 20, 30, 0.5)) v(series_id, start, "end", severity)""",
+    "vlm_parse": f"SELECT series_id, pos, CASE WHEN kind = 5 THEN e ELSE s END AS s, CASE WHEN kind = 5 THEN s ELSE e END AS e, {_SURE} AS confidence FROM {_PAIRS} WHERE kind IN (0, 1, 5)",
+    "vlm_fallback": f"""SELECT series_id, CASE WHEN kind = 5 THEN "end" ELSE start END AS start, CASE WHEN kind = 5 THEN start ELSE "end" END AS "end", CASE WHEN kind IN (0, 1, 5) THEN {_SURE} ELSE round(severity, 6) END AS severity FROM {_PAIRS} WHERE kind <> 4""",
 }
 
 NAMES = [
