@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import json
+import posixpath
+import time
+import uuid
 from base64 import b64encode
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from hashlib import sha256
+from threading import Thread
 from typing import Protocol
 
 import numpy as np
@@ -48,28 +54,122 @@ class ChatVerifier:
         return self.send(chat_request(prompt, image, self.model))
 
 
+@dataclass(frozen=True)
+class AnswerLog:
+    """Answers in a folder (a path or URI) that all executors see, each in a file named by a hash of what was asked.
+
+    A file appears whole, by a rename. model tells apart what different models say.
+    """
+
+    folder: str
+    model: str = ""
+
+    def _place(self, prompt: str, image: bytes):
+        from pyarrow import fs
+
+        filesystem, base = fs.FileSystem.from_uri(self.folder)
+        parts = [self.model.encode(), prompt.encode(), image]
+        key = sha256(b"".join(len(p).to_bytes(8, "little") + p for p in parts)).hexdigest()
+        return filesystem, posixpath.join(base, key[:2], key)
+
+    def get(self, prompt: str, image: bytes) -> str | None:
+        from pyarrow import fs
+
+        filesystem, path = self._place(prompt, image)
+        if filesystem.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with filesystem.open_input_stream(path) as f:
+            return f.read().decode()
+
+    def put(self, prompt: str, image: bytes, answer: str) -> None:
+        filesystem, path = self._place(prompt, image)
+        filesystem.create_dir(posixpath.dirname(path), recursive=True)
+        fresh = f"{path}.{uuid.uuid4().hex}"
+        with filesystem.open_output_stream(fresh) as f:
+            f.write(answer.encode())
+        filesystem.move(fresh, path)
+
+
+def _within(seconds: float | None, verifier: Verifier, prompt: str, image: bytes) -> str:
+    """The answer, or TimeoutError after so many seconds; a request that is late is left behind."""
+    if seconds is None:
+        return verifier(prompt, image)
+    told: dict[str, object] = {}
+
+    def ask() -> None:
+        try:
+            told["answer"] = verifier(prompt, image)
+        except Exception as e:
+            told["error"] = e
+
+    thread = Thread(target=ask, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if "error" in told:
+        raise told["error"]
+    if "answer" not in told:
+        raise TimeoutError(f"no answer in {seconds} s")
+    return told["answer"]
+
+
+@dataclass(frozen=True)
+class Asking:
+    """How a task asks: from a log first, if there is one; so many requests at a time, each again after a failure, later each time, and each with a time limit."""
+
+    log: AnswerLog | None = None
+    at_once: int = 1
+    again: int = 0
+    pause: float = 1.0
+    limit: float | None = None
+
+    def __call__(self, verifier: Verifier, prompt: str, image: bytes) -> str | None:
+        """The answer, which is in the log before it is used; None, which isn't logged, if all attempts fail."""
+        for attempt in range(self.again + 1):
+            try:
+                if attempt:
+                    time.sleep(self.pause * 2 ** (attempt - 1))
+                found = self.log.get(prompt, image) if self.log else None
+                if found is None:
+                    found = _within(self.limit, verifier, prompt, image)
+                    if self.log and found is not None:
+                        self.log.put(prompt, image, found)
+                return found
+            except Exception:  # a model's failure must not end the job
+                continue
+        return None
+
+
 def prompts(proposals: DataFrame) -> DataFrame:
     """(series_id, prompt) of index pairs (series_id, s, e)."""
     listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("s", "e"))), lambda p: F.array(p["s"], p["e"])))
-    text = "The plot is one series against its index. Answer with JSON: interval_index, pairs of first and last index of each anomaly; confidence, 1 to 3 for each; abnormal_description. PROPOSALS "
+    text = (
+        "The plot shows one series, its value against its index, whose numbers are under the axis. Another method has proposed intervals of indices, at the end of this text, that may be anomalous. "
+        "Look at the whole plot. Leave out proposals that fit the series' usual course, such as a part of what repeats; mend ends that are off; add intervals that stand out and weren't proposed. "
+        "Answer with one JSON object: interval_index, a list of [first, last] index of each anomaly, empty if there is none; confidence, a list with a number for each: 1 if it may be chance, 2 if it "
+        "is likely an anomaly, 3 if it is plainly one; abnormal_description, a sentence on what is unusual. PROPOSALS "
+    )
     return proposals.groupBy("series_id").agg(F.concat(F.lit(text), listed).alias("prompt"))
 
 
-def answers(prompted: DataFrame, series: DataFrame, verifier: Verifier, height: int = 342, width: int = 1200) -> DataFrame:
-    """(series_id, raw): each series with proposals is drawn and asked about once, on an executor. A failure gives null.
+def answers(prompted: DataFrame, series: DataFrame, verifier: Verifier, height: int = 342, width: int = 1200, asking: Asking = Asking()) -> DataFrame:
+    """(series_id, raw): each series with proposals is drawn and asked about once, on an executor. A failure gives null. With a log in asking, a task that runs
+    again, or a later job, asks only what has no answer yet; series whose prompts and plots are equal share one.
 
     Of the points that share a column of the plot, only the first, last, least and greatest are gathered, so a series of any length is a few thousand points.
     """
 
+    def ask(prompt: str, index: np.ndarray, values: np.ndarray) -> str | None:
+        try:
+            image = png(plot(np.array(index, float), np.array(values, float), height, width))
+        except Exception:  # nor must a plot's
+            return None
+        return asking(verifier, prompt, image)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for prompt, index, values in zip(b.prompt, b["index"], b["values"]):
-                try:
-                    out.append(verifier(prompt, png(plot(np.array(index, float), np.array(values, float), height, width))))
-                except Exception:  # a model's failure must not end the job
-                    out.append(None)
-            yield pd.DataFrame({"series_id": b.series_id, "raw": out})
+        with ThreadPoolExecutor(asking.at_once) as pool:
+            for b in batches:
+                out = list(pool.map(ask, b.prompt, b["index"], b["values"]))
+                yield pd.DataFrame({"series_id": b.series_id, "raw": pd.Series(out, index=b.index, dtype=object)})
 
     asked = series.join(prompted.select("series_id"), "series_id", "left_semi").select("series_id", "idx", "value", F.expr(f"idx * {width} div n").alias("at"))
     point = F.struct("idx", "value")

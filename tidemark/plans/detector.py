@@ -70,12 +70,14 @@ class ScreeningDetector:
 class TwoStageDetector:
     screening: ScreeningDetector = field(default_factory=ScreeningDetector)
     verifier: verify.Verifier = field(default_factory=verify.KeepAll)
+    #: Where answers are kept, and how many requests, attempts and seconds there are; models that cost money want a log.
+    asking: verify.Asking = field(default_factory=verify.Asking)
 
     def refine(self, scores: DataFrame, proposals: DataFrame) -> DataFrame:
         """Asks the verifier about each series that has proposals."""
         numbered = proposals.withColumn("iv", F.xxhash64("start", "end"))
         pairs = detect.indices_of(numbered, scores)
-        raw = verify.answers(verify.prompts(pairs), scores, self.verifier)
+        raw = verify.answers(verify.prompts(pairs), scores, self.verifier, asking=self.asking)
         return verify.verified(raw, proposals, scores)
 
     def detect(self, df: DataFrame, alpha: float | None = None) -> DataFrame:
