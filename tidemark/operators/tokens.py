@@ -19,6 +19,8 @@ from tidemark.operators.scan import order_statistics
 KEYS = ["series_id", "window_id"]
 #: Windows of a series that meet its memory in one key.
 STRETCH = 4096
+#: Cells of a stitched vector that one group resamples.
+CELLS = 1 << 16
 
 
 def make_masks(spark: SparkSession, side: int, kernel: int, stride: int = 1, scale: str = "mid") -> DataFrame:
@@ -213,21 +215,46 @@ def stitched(columns: DataFrame, width: int, ratio: float) -> DataFrame:
     return places.join(laid, ["series_id", "k"], "left").select("series_id", "k", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
+def _resampled(cells: np.ndarray, first: int, wide: int, block: int, size: int, covered: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the points that lie between a block's `wide` cells; the last block's carry on to n. cells: those from `first` on, of `size` in all."""
+    rate, last = (size - 1) / max(covered - 1, 1), block == max(size - 2, 0) // wide
+    begin = 0 if not block else int(block * wide / rate) - 2
+    end = covered if last else int((block + 1) * wide / rate) + 2
+    idx = np.arange(max(0, min(begin, covered - 2)), min(end, covered))
+    x = idx * (size - 1) / max(covered - 1, 1)
+    low = np.clip(np.floor(x).astype(np.int64), 0, max(size - 2, 0))
+    mine = low // wide == block
+    if last:
+        mine |= idx >= covered - 2
+    x, low, idx, mine = x[mine], low[mine], idx[mine], low[mine] // wide == block
+    left = cells[low - first]
+    value = left + (x - low) * (cells[np.minimum(low + 1, size - 1) - first] - left)
+    if not last:
+        return idx, value
+    slope = value[-1] - value[-2] if len(value) > 1 else 0.0
+    tail = np.arange(covered, n)
+    return np.concatenate([idx[mine], tail]), np.concatenate([value[mine], value[-1] + slope * (tail - covered + 1)])
+
+
 def aligned(vector: DataFrame, lengths: DataFrame, window: int, step: int) -> DataFrame:
     """(series_id, idx, score): the stitched vector resampled to the points that windows cover, then carried on along its last slope, or cut, to n points.
 
-    lengths: (series_id, n).
+    vector: (series_id, k, score) for each k from 0; lengths: (series_id, n). A series' cells are dealt in blocks of CELLS with those beside them, so the vector is
+    shuffled once and no task has a whole series. Series that no window covers have no rows.
     """
+    wide = CELLS
     size = vector.groupBy("series_id").agg((F.max("k") + 1).alias("len")).join(lengths, "series_id")
     size = size.withColumn("covered", F.when(F.col("n") >= window, F.expr(f"(n - {window}) div {step}") * step + window).otherwise(0)).where("covered > 0")
-    points = size.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.least("covered", "n") - 1)))
-    x = F.when(F.col("covered") > 1, F.col("idx") * (F.col("len") - 1) / F.greatest(F.col("covered") - 1, F.lit(1))).otherwise(0.0)
-    points = points.withColumn("x", x).withColumn("low", F.greatest(F.lit(0), F.least(F.floor("x"), F.col("len") - 2)).cast("long"))
-    at = vector.select("series_id", F.col("k").alias("low"), F.col("score").alias("a"))
-    after = vector.select("series_id", (F.col("k") - 1).alias("low"), F.col("score").alias("b"))
-    points = points.join(at, ["series_id", "low"]).join(after, ["series_id", "low"], "left")
-    points = points.withColumn("score", F.col("a") + (F.col("x") - F.col("low")) * (F.coalesce("b", "a") - F.col("a")))
-    ends = points.groupBy("series_id").agg(F.max("n").alias("n"), F.max("covered").alias("covered"), F.max_by("score", "idx").alias("last"), F.max_by("score", F.when(F.col("idx") == F.col("covered") - 2, F.col("idx"))).alias("before"))
-    tail = ends.where("n > covered").withColumn("idx", F.explode(F.sequence(F.col("covered"), F.col("n") - 1)))
-    carried = F.col("last") + (F.col("last") - F.coalesce("before", "last")) * (F.col("idx") - F.col("covered") + 1)
-    return points.select("series_id", "idx", "score").unionByName(tail.select("series_id", "idx", carried.alias("score")))
+    size = size.withColumn("beside", F.ceil((F.col("len") - 1) / F.greatest(F.col("covered") - 1, F.lit(1))) + 1)  # the last but one point may lie so many cells before the last
+    blocks = F.sequence(F.expr(f"greatest(k - 1, 0) div {wide}"), F.expr(f"least(k + beside, greatest(len - 2, 0)) div {wide}"))
+    dealt = vector.select("series_id", "k", "score").join(size, "series_id").select("series_id", "k", "score", "len", "n", "covered", blocks.alias("blocks"))
+    dealt = dealt.withColumn("block", F.explode("blocks")).drop("blocks")
+
+    def run(rows: pa.Table) -> pa.Table:
+        k = rows["k"].to_numpy()
+        order = np.argsort(k)
+        given = (rows[c][0].as_py() for c in ("block", "len", "covered", "n"))
+        idx, value = _resampled(rows["score"].to_numpy()[order], int(k[order[0]]), wide, *given)
+        return pa.table([pa.array([rows["series_id"][0].as_py()] * len(idx), pa.string()), pa.array(idx, pa.int64()), pa.array(value)], names=["series_id", "idx", "score"])
+
+    return dealt.groupBy("series_id", "block").applyInArrow(run, "series_id string, idx long, score double")

@@ -285,7 +285,7 @@ def stitch_scores(s, d):
 def align_scores(s, d):
     columns = durable(_columns(s, d), "columns")
     lengths = columns.groupBy("series_id").agg((24 + F.max("window_id") * 12 + 7).alias("n"))
-    vector = durable(tokens.stitched(columns, SIDE, STEP_RATIO), "stitched")  # resampling reads it five times
+    vector = durable(tokens.stitched(columns, SIDE, STEP_RATIO), "stitched")  # its length is found first
     return tokens.aligned(vector, lengths, 24, 12).select("series_id", "idx", F.round("score", 5).alias("score"))
 
 
