@@ -372,6 +372,41 @@ def test_language_mixture_is_the_best_penalised_set(spark):
     assert agree >= len(texts) - 1  # the operator tries the sets of the most present languages, not all
 
 
+def test_sets_of_many_languages_are_those_of_all_sizes():
+    """The bound that ends the search loses nothing: against every size of set, in turn, by plain loops."""
+    random, k = np.random.default_rng(5), 16
+    words = [["".join(random.choice(list("abcdefghijklmnop"), 5, p=p)) for _ in range(60)] for p in random.dirichlet(np.ones(16), k)]
+    say = lambda j, n: " ".join(random.choice(words[j], n))
+    counts = np.stack([np.bincount(language.trigrams(pa.array([say(j, 800)]))[1], minlength=language.BUCKETS) for j in range(k)]).astype(float)
+    model = language.Mixture([str(j) for j in range(k)], counts)
+    texts = [" ".join(say(j, 30) for j in random.choice(k, size, False)) for size in (1, 1, 2, 2, 3, 4, 6, 9, 16) for _ in range(2)]
+    got, has, _ = model.infer(pa.array([*texts, None, ""]))
+    assert has.tolist() == [True] * len(texts) + [False] * 2
+    sizes = set()
+    for t, share in zip(texts, got):
+        key, count = np.unique(language.trigrams(pa.array([t]))[1], return_counts=True)
+        log, step = model.log[:, key].astype(float), 0.5 * np.log(count.sum())
+
+        def fit(ks, rounds):
+            pi = np.full(len(ks), 1 / len(ks))
+            for _ in range(rounds):
+                part = pi[:, None] * np.exp(log[ks])
+                pi = (part / part.sum(0) * count).sum(1) / count.sum()
+            return pi, (count * np.log((pi[:, None] * np.exp(log[ks])).sum(0))).sum()
+
+        order = np.argsort(-fit(np.arange(k), 10)[0], kind="stable")
+        single = (log * count).sum(1)
+        first = (single + model.prior).argmax()
+        best = single.max(), {first: 1.0}
+        for m in range(2, k + 1):
+            pi, value = fit(order[:m], 25)
+            if value - (m - 1) * step > best[0]:
+                best = value - (m - 1) * step, dict(zip(order[:m], pi))
+        assert set(np.flatnonzero(share)) == set(best[1]) and all(abs(share[j] - x) < 1e-3 for j, x in best[1].items())
+        sizes.add(len(best[1]))
+    assert len(sizes) > 4
+
+
 def test_dual_descent_is_the_hinge_loss_minimum():
     """Against gradient descent on the primal problem."""
     random = np.random.default_rng(9)

@@ -83,21 +83,22 @@ class Mixture:
         p, row = np.exp(log - top), np.repeat(np.arange(len(full)), np.diff(np.append(begin, len(doc))))
         base = np.add.reduceat(count * top[:, 0], begin, dtype=np.float64)
 
-        def maximise(pi: np.ndarray, rows: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-            """EM for the texts in rows, from pi; a language of share 0 stays out. Also gives the log-likelihoods."""
-            if len(rows) == len(full):
-                q, r, c, at = p, row, count, begin
-            else:
-                size = np.diff(np.append(begin, len(doc)))[rows]
-                at = np.cumsum(size) - size
-                pick = np.repeat(begin[rows] - at, size) + np.arange(size.sum())
-                q, r, c = p[pick], np.repeat(np.arange(len(rows)), size), count[pick]
+        def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Of the texts in rows: their trigrams' places, each one's number among rows, its count, and where each text begins."""
+            size = np.diff(np.append(begin, len(doc)))[rows]
+            at = np.cumsum(size) - size
+            pick = np.repeat(begin[rows] - at, size) + np.arange(size.sum())
+            return pick, np.repeat(np.arange(len(rows)), size), count[pick], at
+
+        def maximise(q: np.ndarray, r: np.ndarray, c: np.ndarray, at: np.ndarray, times: int) -> np.ndarray:
+            """Proportions by EM from equal ones; q: likelihoods in the languages there are."""
+            pi = np.full((len(at), q.shape[1]), 1 / q.shape[1], np.float32)
             for _ in range(times):
-                part = pi[r] * q
-                part *= (c / part.sum(1))[:, None]
-                pi = np.add.reduceat(part, at).astype(np.float32)
+                share = pi[r] * q
+                share *= (c / share.sum(1))[:, None]
+                pi = np.add.reduceat(share, at).astype(np.float32)
                 pi /= pi.sum(1, keepdims=True)
-            return pi, np.add.reduceat(c * np.log((pi[r] * q).sum(1)), at, dtype=np.float64) + base[rows]
+            return pi
 
         weighed = single + self.prior
         first = weighed.argmax(1)
@@ -108,22 +109,32 @@ class Mixture:
         posterior = 1 / odds.sum(1)
         step = 0.5 * np.log(np.maximum(total, 2))
         if k > 1:
-            # By Jensen's inequality no mixture exceeds the best language's likelihood by more than total * ln(largest mean ratio to it)
+            # By Jensen's inequality no mixture exceeds a given one's likelihood by more than total * ln(largest mean ratio of a language to it)
             ratio = np.exp(log - np.take_along_axis(log, first[row][:, None], 1))
             gain = total * np.log(np.maximum(np.add.reduceat(ratio * count[:, None], begin, dtype=np.float64).max(1) / total, 1))
-            rows = np.flatnonzero(gain + np.take_along_axis(single, first[:, None], 1)[:, 0] - value > step)
+            limit = gain + np.take_along_axis(single, first[:, None], 1)[:, 0] + 1e-5 * total  # numbers are rounded
+            rows = np.flatnonzero(limit - value > step)
+            order = np.zeros((len(full), k), np.int64)
             if len(rows):
-                pi, _ = maximise(np.full((len(rows), k), 1 / k, np.float32), rows, 10)
-                order = np.argsort(-pi, axis=1, kind="stable")
+                pick, *rest = part(rows)
+                order[rows] = np.argsort(-maximise(p[pick], *rest, 10), axis=1, kind="stable")
             for m in range(2, k + 1):
                 if not len(rows):
                     break
-                start = np.zeros((len(rows), k), np.float32)
-                np.put_along_axis(start, order[:, :m], 1 / m, 1)
-                found, reached = maximise(start, rows, rounds)
+                pick, r, c, at = part(rows)
+                q, of = p[pick], order[rows, :m]
+                some = np.take_along_axis(q, of[r], 1)
+                pi = maximise(some, r, c, at, rounds)
+                like = (pi[r] * some).sum(1)
+                reached = np.add.reduceat(c * np.log(like), at, dtype=np.float64) + base[rows]
                 better = reached - (m - 1) * step[rows] > value[rows]
                 value[rows[better]] = (reached - (m - 1) * step[rows])[better]
+                found = np.zeros((len(rows), k))
+                np.put_along_axis(found, of, pi, 1)
                 chosen[rows[better]] = found[better]
+                most = np.add.reduceat(q * (c / like)[:, None], at, dtype=np.float64).max(1) / total[rows]
+                limit[rows] = np.minimum(limit[rows], reached + total[rows] * (np.log(np.maximum(most, 1)) + 1e-5))
+                rows = rows[limit[rows] - m * step[rows] > value[rows]]  # a larger set can't pay its penalty
         alone = (chosen > 0).sum(1) == 1
         share[full] = chosen
         best[full] = np.where(alone, posterior, 1.0)
