@@ -223,8 +223,18 @@ def test_plots_can_be_read():
     assert render.ticks(0, 1000, 11).tolist() == list(range(0, 1001, 100)) and render.ticks(3, 3, 5).tolist() == [3]
     x = np.arange(3000)
     drawn = render.plot(x, np.where(x == 1500, 9.0, 0.0))
-    assert drawn.shape == (342, 1200) and drawn[:300, 72 + 564].min() == 0 and drawn[10:250, 300:600].min() == 1  # one spike in the middle
-    assert (drawn[320:342] < 0.5).sum() > 200  # figures under the axis
+    left = 90
+    assert drawn.shape == (342, 1200) and drawn[24:290, left + 554].min() == 0 and drawn[30:250, 300:600].min() == 1  # one spike in the middle
+    assert (drawn[304:324] < 0.5).sum() > 200  # figures under the axis
+    name = render.label("TIME SERIES") == 1
+    for ink in (name, render.label("TIME") == 1, np.rot90(render.label("VALUE")) == 1):
+        views = np.lib.stride_tricks.sliding_window_view(drawn < 0.5, ink.shape)
+        assert (views == ink).all((2, 3)).any()
+    # the legend is in a corner that the line leaves free, and hides nothing
+    for values, corner in ((np.zeros(3000), (slice(20, 60), slice(1050, 1200))), (x, (slice(20, 60), slice(91, 260))), (-x, (slice(20, 60), slice(1050, 1200)))):
+        drawn = render.plot(x, values.astype(float))
+        framed = np.lib.stride_tricks.sliding_window_view(drawn[corner] < 0.5, name.shape)
+        assert (framed == name).all((2, 3)).any()
     assert render.plot(x[:0], x[:0].astype(float)).shape == (342, 1200)
     assert render.label("10").sum() == (15 - 2 + 4 - 8 + 0) * 4 or render.label("10").max() == 1
 

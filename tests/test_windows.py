@@ -125,3 +125,25 @@ def test_memory_of_tokens_of_768_dimensions(spark):
     """1,200 windows of 224 x 224 pixels have 1.4 GB of tokens; a worker holds those of a few windows."""
     peak = render.encoded(pictures(spark, 1200, 224), Peak, most=8).agg(F.max(F.col("toks")[0][0]), F.count("toks")).first()
     assert peak[1] == 1200 and peak[0] < 900, peak
+
+
+@pytest.mark.parametrize("method, sliding", [("mean", False), ("median", False), ("mean", True), ("median", True)])
+def test_thresholds_of_each_point(spark, method, sliding):
+    rows = indexed(spark, {"a": 133, "b": 31, "c": 2, "d": 1}).withColumn("ts", F.col("idx")).withColumnRenamed("value", "score")
+    nothing = spark.createDataFrame([("e", 0, 1, None, 0)], "series_id string, idx long, n long, score double, ts long")
+    got = {(r.series_id, r.idx): r for r in detect.judged(rows.unionByName(nothing), 0.1, method, smoothing=False, sliding=sliding).collect()}
+    assert len(got) == 168 and got["e", 0].threshold is None
+    for name, g in rows.toPandas().groupby("series_id"):
+        x, n = g.sort_values("idx").score.to_numpy(), len(g)
+        size, step = (max(1, n // 3), max(1, n // 10)) if sliding else (n, n)
+        want = np.full(n, np.inf)
+        for begin in range(0, n, step):
+            part = x[begin : begin + size]
+            part = part[np.isfinite(part)]
+            if len(part):
+                middle = part.mean() if method == "mean" else np.median(part)
+                spread = part.std() if method == "mean" else np.median(np.abs(part - middle))
+                want[begin : begin + size] = np.minimum(want[begin : begin + size], middle + z_value(0.1) * spread)
+        for i in range(n):
+            limit = got[name, i].threshold
+            assert (limit is None) if np.isinf(want[i]) else limit == pytest.approx(want[i])

@@ -41,17 +41,27 @@ def _pane_limits(panes: DataFrame, alpha: float) -> DataFrame:
     return each.withColumn("limit", F.col("centre") + z_value(alpha) * spread).groupBy("series_id", "low", "high").agg(F.min("limit").alias("limit"))
 
 
+def judged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bool = True, sliding: bool = False) -> DataFrame:
+    """Adds smooth and threshold to each row of scores: what is compared and what it has to exceed. sliding: the least threshold of the large windows that a point is in.
+
+    A null score has a null smooth unless earlier ones are carried on; a series without scores has a null threshold, which nothing exceeds.
+    """
+    rows, limit = _smooth(scores, smoothing, method), F.col("centre") + z_value(alpha) * F.col("spread")
+    if not sliding:
+        return rows.join(_limits(rows, ["series_id"], method).select("series_id", limit.alias("threshold")), "series_id", "left")
+    panes = threshold_panes(rows)  # points stay one row each
+    if method == "mean":
+        limits = _pane_limits(panes, alpha)
+    else:
+        each = _limits(with_threshold_windows(rows), ["series_id", "window_id"], method).select("series_id", "window_id", limit.alias("limit"))
+        windows = panes.select("series_id", "low", "high").distinct().withColumn("window_id", F.explode(F.sequence("low", "high")))
+        limits = windows.join(each, ["series_id", "window_id"]).groupBy("series_id", "low", "high").agg(F.min("limit").alias("limit"))
+    return panes.join(limits, ["series_id", "low", "high"], "left").drop("low", "high").withColumnRenamed("limit", "threshold")
+
+
 def flagged(scores: DataFrame, alpha: float, method: str = "mean", smoothing: bool = True, sliding: bool = False) -> DataFrame:
     """Rows of scores that are above their threshold, strictly; sliding: above that of any of their large windows."""
-    rows, over = _smooth(scores, smoothing, method), F.col("smooth") > F.col("centre") + z_value(alpha) * F.col("spread")
-    if not sliding:
-        return rows.join(_limits(rows, ["series_id"], method), "series_id").where(over)
-    if method == "mean":  # points stay one row each
-        panes = threshold_panes(rows)
-        return panes.join(_pane_limits(panes, alpha), ["series_id", "low", "high"]).where("smooth > limit").drop("low", "high", "limit")
-    rows = with_threshold_windows(rows)
-    found = rows.join(_limits(rows, ["series_id", "window_id"], method), ["series_id", "window_id"]).where(over)
-    return found.drop("window_id", "centre", "spread").distinct()
+    return judged(scores, alpha, method, smoothing, sliding).where("smooth > threshold")
 
 
 def _runs(rows: DataFrame, keys: list[str], sums: list[str] | None = None) -> DataFrame:

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 
 from tidemark.operators.tokens import nested
 
-#: Figures of 3 x 5 dots for the plots' labels, row by row.
+#: Figures, and the capitals of the plots' names, of 3 x 5 dots, row by row.
 _FIGURES = {
     "0": "111101101101111", "1": "010110010010111", "2": "111001111100111", "3": "111001011001111", "4": "101101111001001", "5": "111100111001111",
     "6": "111100111101111", "7": "111001010010010", "8": "111101111101111", "9": "111101111001111", "-": "000000111000000", ".": "000000000000010", "e": "000111101110011", "+": "000010111010000",
+    "A": "010101111101101", "E": "111100111100111", "I": "111010010010111", "L": "100100100100111", "M": "101111111101101", "R": "110101110101101", "S": "011100010001110",
+    "T": "111010010010010", "U": "101101101101111", "V": "101101101101010", " ": "000000000000000",
 }
 
 
@@ -104,7 +106,7 @@ def ticks(low: float, high: float, most: int) -> np.ndarray:
     rough = (high - low) / max(1, most - 1)
     power = 10.0 ** np.floor(np.log10(rough))
     step = next(power * k for k in (1, 2, 5, 10) if power * k >= rough * (1 - 1e-9))
-    return np.arange(np.ceil(low / step - 1e-9), np.floor(high / step + 1e-9) + 1) * step
+    return np.arange(np.ceil(low / step - 1e-9), np.floor(high / step + 1e-9) + 1) * step + 0.0
 
 
 def label(text: str, size: int = 2) -> np.ndarray:
@@ -113,15 +115,34 @@ def label(text: str, size: int = 2) -> np.ndarray:
     return np.kron(np.hstack([np.pad(d, ((0, 0), (0, 1))) for d in dots]), np.ones((size, size), np.uint8)).astype(np.float32)
 
 
-def plot(index: np.ndarray, values: np.ndarray, height: int = 342, width: int = 1200, margins: tuple[int, int] = (72, 28)) -> np.ndarray:
-    """A series against its index, with axes: numbered ticks at round places and unnumbered ones between them, so that indices can be read off."""
-    known = np.isfinite(values)
+def _clear_corner(area: np.ndarray, ink: np.ndarray, gap: int = 6) -> tuple[int, int]:
+    """Row and column for ink in the corner of the area where it hides least; the upper right one of equal ones."""
+    (height, width), (h, w) = area.shape, ink.shape
+    places = [(r, c) for r in (gap, height - h - gap) for c in (width - w - gap, gap)]
+    return min(places, key=lambda at: round(float((1 - area[at[0] : at[0] + h, at[1] : at[1] + w]).sum()), 3))
+
+
+def plot(index: np.ndarray, values: np.ndarray, height: int = 342, width: int = 1200, names: tuple[str, str, str] = ("TIME SERIES", "TIME", "VALUE")) -> np.ndarray:
+    """A series against its index, with axes: numbered ticks at round places and unnumbered ones between them, so that indices can be read off.
+
+    names: the line's, over the plot and in the legend, which goes where it hides least of the line; and those of both axes.
+    """
+    known, (left, below, above) = np.isfinite(values), (90, 44, 20)
     index, values = np.asarray(index, float)[known], np.asarray(values, float)[known]
-    left, below = margins
-    wide, tall, out = width - left, height - below, np.ones((height, width), np.float32)
+    wide, tall, canvas = width - left, height - below - above, np.ones((height, width), np.float32)
+    out = canvas[above:]  # rows count from the top of the plot's area
     out[:tall, left], out[tall - 1, left:] = 0, 0
+
+    def put(ink: np.ndarray, row: int, col: int, on: np.ndarray = out) -> None:
+        row, col = max(0, min(row, on.shape[0] - ink.shape[0])), max(0, min(col, on.shape[1] - ink.shape[1]))
+        on[row : row + ink.shape[0], col : col + ink.shape[1]] = np.minimum(on[row : row + ink.shape[0], col : col + ink.shape[1]], 1 - ink)
+
+    title, across_name, up_name = (label(x) for x in names)
+    put(title, 4, left + (wide - title.shape[1]) // 2, canvas)
+    put(across_name, tall + 28, left + (wide - across_name.shape[1]) // 2)
+    put(np.rot90(up_name), (tall - up_name.shape[1]) // 2, 2)
     if not len(index):
-        return out
+        return canvas
     x_low, x_high, y_low, y_high = index.min(), index.max(), values.min(), values.max()
     across = lambda i: (np.asarray(i) - x_low) / ((x_high - x_low) or 1) * (wide - 1)
     down = lambda v: (1 - (np.asarray(v) - y_low) / ((y_high - y_low) or 1)) * (tall - 8) + 3
@@ -135,9 +156,12 @@ def plot(index: np.ndarray, values: np.ndarray, height: int = 342, width: int =
     line = np.clip(np.maximum(top - rows, rows - bottom), 0, 1)
     out[:tall, left:] = np.minimum(out[:tall, left:], line)
 
-    def put(ink: np.ndarray, row: int, col: int) -> None:
-        row, col = max(0, min(row, height - ink.shape[0])), max(0, min(col, width - ink.shape[1]))
-        out[row : row + ink.shape[0], col : col + ink.shape[1]] = np.minimum(out[row : row + ink.shape[0], col : col + ink.shape[1]], 1 - ink)
+    legend = np.pad(np.hstack([np.zeros((10, 26), np.float32), title]), 5)
+    legend[9:11, 5:25] = 1
+    legend[[0, -1]], legend[:, [0, -1]] = 1, 1
+    area = out[: tall - 1, left + 1 :]
+    row, col = _clear_corner(area, legend)
+    area[row : row + legend.shape[0], col : col + legend.shape[1]] = 1 - legend
 
     major = ticks(x_low, x_high, 11)
     for i in major:
@@ -152,7 +176,7 @@ def plot(index: np.ndarray, values: np.ndarray, height: int = 342, width: int =
         out[at, left - 6 : left] = 0
         ink = label(f"{v:.5g}")
         put(ink, at - 5, left - 9 - ink.shape[1])
-    return out
+    return canvas
 
 
 def png(gray: np.ndarray) -> bytes:

@@ -87,6 +87,14 @@ def detect_sliding(s, d):
     return _told(detect.detect(_scores(s, d), 0.01, sliding=True))
 
 
+def global_thresholds(s, d):
+    return detect.judged(_scores(s, d), 0.01).select("series_id", "idx", *r6("smooth"), *r6("threshold"), (F.col("smooth") > F.col("threshold")).alias("above"))
+
+
+def sliding_thresholds(s, d):
+    return detect.judged(_scores(s, d), 0.01, sliding=True).select("series_id", "idx", *r6("smooth"), *r6("threshold"), (F.col("smooth") > F.col("threshold")).alias("above"))
+
+
 def detect_padded_merge(s, d):
     return _told(detect.detect(_scores(s, d), 0.01, padding=3))
 
@@ -369,6 +377,10 @@ _FLAG_MEDIAN = f"""SELECT r.* FROM {_smooth()} r JOIN (SELECT series_id, any_val
 _LARGE = """(SELECT *, unnest(generate_series(greatest(0, CAST(ceil((idx - greatest(1, n // 3) + 1) / CAST(greatest(1, n // 10) AS DOUBLE)) AS BIGINT)), idx // greatest(1, n // 10))) AS window_id FROM {rows})"""
 _FLAG_SLIDING = f"""SELECT DISTINCT r.series_id, r.idx, r.ts, r.score FROM {_LARGE.format(rows=_smooth())} r JOIN (SELECT series_id, window_id, avg(smooth) + {z_value(0.01)!r} * stddev_pop(smooth) AS threshold
   FROM {_LARGE.format(rows=_smooth())} GROUP BY series_id, window_id) t ON r.series_id = t.series_id AND r.window_id = t.window_id WHERE r.smooth > t.threshold"""
+_POINT = 'r.series_id, r.idx, round(r.smooth, 6) AS smooth, round(t.threshold, 6) AS threshold, r.smooth > t.threshold AS above'
+_GLOBAL_LIMITS = f"(SELECT series_id, avg(smooth) + {z_value(0.01)!r} * stddev_pop(smooth) AS threshold FROM {_smooth()} GROUP BY series_id)"
+_SLIDING_LIMITS = f"""(SELECT series_id, idx, min(threshold) AS threshold FROM {_LARGE.format(rows=_smooth())} JOIN (SELECT series_id, window_id, avg(smooth) + {z_value(0.01)!r} * stddev_pop(smooth) AS threshold
+  FROM {_LARGE.format(rows=_smooth())} GROUP BY series_id, window_id) USING (series_id, window_id) GROUP BY series_id, idx)"""
 _FOUND = f"(SELECT series_id, start, \"end\" FROM ({_islands(_flag_mean(0.1, 'user_id'))}))"
 _ERRORS = f"SELECT *, value AS score FROM {_idx('user_id')} WHERE event_type = 'error'"
 _TRUTH = f"(SELECT series_id, start, \"end\" FROM ({_islands(_ERRORS)}))"
@@ -451,6 +463,8 @@ SQL: dict[str, str] = {
     "detect_global_median": _islands(_FLAG_MEDIAN),
     "detect_alpha_sweep": " UNION ALL ".join(f"SELECT CAST({a} AS DOUBLE) AS alpha, * FROM ({_islands(_flag_mean(a))})" for a in (0.1, 0.01, 0.001)),
     "detect_sliding": _islands(_FLAG_SLIDING),
+    "global_thresholds": f"SELECT {_POINT} FROM {_smooth()} r JOIN {_GLOBAL_LIMITS} t USING (series_id)",
+    "sliding_thresholds": f"SELECT {_POINT} FROM {_smooth()} r JOIN {_SLIDING_LIMITS} t ON r.series_id = t.series_id AND r.idx = t.idx",
     "detect_padded_merge": f"""WITH runs AS (SELECT series_id, min(idx) AS s, max(idx) AS e, any_value(n) AS n FROM (SELECT *, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS run FROM ({_flag_mean(0.01)})) GROUP BY series_id, run),
   wide AS (SELECT series_id, greatest(s - 3, 0) AS s, least(e + 3, n - 1) AS e FROM runs),
   grouped AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM
