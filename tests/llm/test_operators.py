@@ -82,6 +82,25 @@ def test_jaccard_join_cuts_large_blocks(spark, monkeypatch, most):
     assert max(r.m for r in each) < 4 * most and (most > 900 or len(each) > 20)
 
 
+def test_jaccard_join_deals_few_tokens_of_lone_texts(spark, monkeypatch):
+    """Texts that link with nothing end after the first turns, and a text that others repeat is read once."""
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1)  # no token is hot
+    texts = shared_lines(300, 40_000, 20) + ["few words", "few words here", "one", ""] + [f"{'same ' * 3} words " * 2 + " ".join(f"c{i}" for i in range(100))] * 200
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sent, shared = [], jaccard_join._shared
+    monkeypatch.setattr(jaccard_join, "_shared", lambda dealt, bits, hot: (sent.append(dealt.agg(F.sum(F.length("nodes")) / 8).first()[0]), shared(dealt, bits, hot))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows).collect()}
+    want = components_by_force(list(enumerate(texts)))
+    assert got == want
+    assert sum(sent) < 0.7 * sum(n for n, _ in {t: want[i] for i, t in enumerate(texts)}.values())
+
+
+def test_a_filter_of_rows_lets_all_of_them_through(spark):
+    rows = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 200_000)
+    found = jaccard_join.row_filter(spark.createDataFrame(pa.table({"row": rows[:100_000]})), 100_000)
+    assert jaccard_join.passes(found, rows[:100_000]).all() and jaccard_join.passes(found, rows[100_000:]).mean() < 0.1
+
+
 def test_hot_tokens_are_counted_by_cell(spark):
     texts = ["a line that all of them have here " + " ".join(f"u{i}x{j}" for j in range(4)) for i in range(300)] + ["a line that all of them have here"] * 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
