@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import z_value
-from tidemark.operators import detect, render, series
+from tidemark.operators import detect, render, series, tokens
 
 
 def indexed(spark, lengths, seed=4):
@@ -147,3 +147,23 @@ def test_thresholds_of_each_point(spark, method, sliding):
         for i in range(n):
             limit = got[name, i].threshold
             assert (limit is None) if np.isinf(want[i]) else limit == pytest.approx(want[i])
+
+
+@pytest.mark.parametrize("sample, spread, part", [(1000, 6.0, 64), (8, 6.0, 7), (20, 1.0, 5), (12, 0.0, 64)])
+def test_memories_are_the_medians_of_all_windows(spark, monkeypatch, sample, spread, part):
+    """Of windows that are all sampled, of some, and where bounds miss; with many equal values, both zeros, far values, and a series of one window."""
+    for name, value in (("SAMPLE", sample), ("SPREAD", spread), ("PART", part), ("COUNTED", 9), ("STRETCH", 16)):
+        monkeypatch.setattr(tokens, name, value)
+    random, side, dims = np.random.default_rng(sample), 3, 2
+    toks = {s: random.normal(size=(n, side * side, dims)) for s, n in (("a", 90), ("b", 61), ("c", 1), ("d", 40))}
+    toks["a"][random.random(toks["a"].shape) < 0.6] = 1e-6
+    toks["b"] = np.round(toks["b"])
+    toks["d"][:3, 0], toks["d"][3:6, 1] = 1e9, -1e9
+    rows = [(s, w, x.tolist()) for s, ws in toks.items() for w, x in enumerate(ws)]
+    windows = spark.createDataFrame(rows, "series_id string, window_id long, toks array<array<double>>").repartition(3)
+    masks = {"of2": tokens.mask_matrix(side, 2)}
+    got = {(r.series_id, r.name): np.array(r.mems) for r in tokens.memories(windows, masks).collect()}
+    assert got.keys() == {(s, name) for s in toks for name in ("of2", "patch")}
+    for s, ws in toks.items():
+        for name, each in (("patch", ws), ("of2", np.stack([masks["of2"] / 4 @ x for x in ws]))):
+            np.testing.assert_allclose(got[s, name], np.sort(each, axis=0)[(len(ws) - 1) // 2], rtol=1e-12, atol=0 if name == "patch" else 1e-12)

@@ -70,6 +70,14 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 63 & 0x7FFFFFFFFFFFFFFF)
 
 
+def as_bits(x: np.ndarray) -> np.ndarray:
+    return _ordered(x.view(np.int64))
+
+
+def as_doubles(x: np.ndarray) -> np.ndarray:
+    return _ordered(x).view(np.float64)
+
+
 def _as_bits(values: DataFrame, keys: list[str], x: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

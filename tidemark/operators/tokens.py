@@ -6,7 +6,9 @@ window (pooling, cosines to the memory) is one, in Arrow batches; a series' memo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +16,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import doubles
-from tidemark.operators.scan import order_statistics
+from tidemark.operators.scan import as_bits, as_doubles, order_statistics
+from tidemark.sources.storage import durable
 
 KEYS = ["series_id", "window_id"]
 #: Windows of a series that meet its memory in one key.
-STRETCH = 4096
+STRETCH = 1024
+#: Windows of a series that tell, about, where its medians are; how many standard deviations of a sample's rank these may lie off; dimensions whose values one group
+#: holds, and windows that are counted together.
+SAMPLE, SPREAD, PART, COUNTED = 4096, 6.0, 64, 128
+#: Windows of a series up to which a group's share of them is gathered; beyond, medians are found by selection.
+GATHERED = 1 << 21
 #: Cells of a stitched vector that one group resamples.
 CELLS = 1 << 16
 
 
+@cache
+def keep_heap() -> None:
+    """Lets a worker process keep some 64 MB of freed memory for the next arrays, where the C library can do that: to get it anew costs as much as what is done in it."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 25)  # arrays below this come from the heap,
+        mallopt(-1, 1 << 26)  # whose end is given back from this on
+
+
 def make_masks(spark: SparkSession, side: int, kernel: int, stride: int = 1, scale: str = "mid") -> DataFrame:
     """(scale, mask_idx, patch_idx): the patches under each place of a kernel x kernel square."""
     wide = (side - kernel) // stride + 1
@@ -83,28 +100,198 @@ def memory(windows: DataFrame) -> DataFrame:
     return middle.groupBy("series_id", "token_idx").agg(F.sort_array(F.collect_list(F.struct("dim", "mem")))["mem"].alias("mem"))
 
 
-def with_memory(windows: DataFrame, memories: dict[str, DataFrame], run: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
-    """(series_id, window_id, out): run(tokens of a window, its series' memory by name) for each window, an array of doubles.
+def _pools(masks: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {name: m / m.sum(1, keepdims=True) for name, m in masks.items()}
+
+
+def _flat(toks: list[np.ndarray], pools: dict[str, np.ndarray]) -> np.ndarray:
+    """The bits, in order, of windows' pooled tokens, scale by scale, and single ones: a row for each value's place, a column for each window."""
+    toks = np.stack(toks)
+    return as_bits(np.concatenate([(m @ toks).reshape(len(toks), -1) for m in pools.values()] + [toks.reshape(len(toks), -1)], axis=1).T.copy())
+
+
+def _series_runs(b: pa.RecordBatch, most: int) -> Iterator[tuple[str, int, int]]:
+    """Stretches of a batch's rows of one series, at most so many."""
+    ids, at = b.column("series_id").to_pylist(), 0
+    while at < len(ids):
+        end = at + 1
+        while end < min(len(ids), at + most) and ids[end] == ids[at]:
+            end += 1
+        yield ids[at], at, end
+        at = end
+
+
+def _cells(rows: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for chunk in rows.chunks for x in chunk]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
+#: Below and above all bits of values, in order.
+NONE, ALL = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+BOUNDS = "series_id string, part int, n long, dims int, low array<long>, high array<long>"
+
+
+def _sampled_bounds(windows: DataFrame, masks: dict[str, np.ndarray]) -> DataFrame:
+    """BOUNDS of each part of a series' values: between which bits its medians lie, as some SAMPLE windows have it. Where these are all windows, low = high are the medians."""
+    pools, part, spread = _pools(masks), PART, SPREAD
+    counts = windows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    some = windows.join(counts, "series_id").where(F.pmod(F.xxhash64("window_id"), "n") < SAMPLE).select("series_id", "n", "toks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
+        for b in batches:
+            for s, at, end in _series_runs(b, COUNTED):
+                toks = [_matrix(x) for x in b.column("toks").slice(at, end - at)]
+                flat = _flat(toks, pools)
+                cells = [flat[i : i + part].reshape(-1) for i in range(0, len(flat), part)]
+                k, same = len(cells), lambda x, kind: pa.array([x] * len(cells), kind)  # noqa: B023
+                yield pa.record_batch([same(s, pa.string()), pa.array(range(k), pa.int32()), same(b.column("n")[at].as_py(), pa.int64()), same(toks[0].shape[1], pa.int32()), same(end - at, pa.int32()), _lists(cells)], names=["series_id", "part", "n", "dims", "k", "bits"])
+
+    def bound(rows: pa.Table) -> pa.Table:
+        x = np.concatenate([c.reshape(-1, k) for k, c in zip(rows["k"].to_pylist(), _cells(rows["bits"]))], axis=1)
+        x.sort(axis=1)
+        n, k = rows["n"][0].as_py(), x.shape[1]
+        middle, off = (n - 1) // 2 * k / n, spread * k**0.5 / 2
+        first, last = ((n - 1) // 2,) * 2 if k == n else (int(np.floor(middle - off)), int(np.ceil(middle + off)))
+        low = x[:, first] if first >= 0 else np.full(len(x), NONE)
+        high = x[:, last] if last < k else np.full(len(x), ALL)
+        high = high if k == n else np.maximum(high, low + 1)  # what a sample tells is still to be counted
+        return pa.table([rows["series_id"][:1], rows["part"][:1], rows["n"][:1], rows["dims"][:1], _lists([low]), _lists([high])], names=["series_id", "part", "n", "dims", "low", "high"])
+
+    dealt = some.mapInArrow(cut, "series_id string, part int, n long, dims int, k int, bits array<long>")
+    return dealt.groupBy("series_id", "part").applyInArrow(bound, BOUNDS)
+
+
+def _closer(windows: DataFrame, bounds: DataFrame, masks: dict[str, np.ndarray]) -> DataFrame:
+    """BOUNDS after all windows of the series in bounds were counted: values below low, at low, at high, and those between, which go on. low = high, the median, where it
+    was within; else bounds on the side where it is."""
+    pools, part = _pools(masks), PART
+    told = bounds.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("part", "low", "high"))).alias("b"))
+    told = told.select("series_id", F.array(F.flatten("b.low"), F.flatten("b.high")).alias("held"))
+
+    def count(s: str, toks: list[np.ndarray], held: np.ndarray) -> pa.RecordBatch:
+        x, (low, high) = _flat(toks, pools), held[:, :, None]
+        inside = (x > low) & (x < high)
+        told = np.stack([(x < low).sum(1), (x == low).sum(1), inside.sum(1), ((x == high) & (high > low)).sum(1)])
+        at = range(0, len(x), part)
+        between = np.split(x[inside], np.cumsum(told[2])[part - 1 : -1 : part]) if len(at) > 1 else [x[inside]]
+        return pa.record_batch([pa.array([s] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), _lists([told[:, i : i + part].reshape(-1) for i in at]), _lists(between)], names=["series_id", "part", "told", "bits"])
+
+    def pick(key: tuple, counted: pa.Table, rows: pa.Table) -> pa.Table:
+        told = np.stack([c.reshape(4, -1) for c in _cells(counted["told"])])
+        ends = np.cumsum(told[:, 2], axis=1)
+        bits, (low, high) = _cells(counted["bits"]), (_cells(rows[c])[0].copy() for c in ("low", "high"))
+        below, at_low, between, at_high = told.sum(0)
+        rank = (rows["n"][0].as_py() - 1) // 2 - below
+        for i in np.flatnonzero(low < high):
+            r = rank[i]
+            if r < 0:
+                low[i], high[i] = NONE, low[i]
+            elif r < at_low[i]:
+                high[i] = low[i]
+            elif r < at_low[i] + between[i]:
+                x = np.concatenate([b[e[i] - t[2, i] : e[i]] for b, e, t in zip(bits, ends, told)])
+                low[i] = high[i] = np.partition(x, r - at_low[i])[r - at_low[i]]
+            elif r < at_low[i] + between[i] + at_high[i]:
+                low[i] = high[i]
+            else:
+                low[i], high[i] = high[i], ALL
+        return pa.table([rows["series_id"], rows["part"], rows["n"], rows["dims"], _lists([low]), _lists([high])], names=["series_id", "part", "n", "dims", "low", "high"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
+        series, held = None, None
+        for b in batches:
+            windows, bounds = b.column("toks"), b.column("held")
+            for s, at, end in _series_runs(b, b.num_rows):
+                if s != series:
+                    series, held = s, None
+                fresh = []
+                for i in range(at, end):
+                    if bounds[i].is_valid:
+                        held = np.stack([x.values.to_numpy() for x in bounds[i]])
+                    else:
+                        fresh.append(_matrix(windows[i]))
+                    if fresh and (len(fresh) == COUNTED or i == end - 1):
+                        yield count(s, fresh, held)
+                        fresh = []
+
+    met = _dealt(windows.join(told.select("series_id"), "series_id", "left_semi"), told)
+    counted = met.mapInArrow(each, "series_id string, part int, told array<long>, bits array<long>")
+    return counted.groupBy("series_id", "part").cogroup(bounds.groupBy("series_id", "part")).applyInArrow(pick, BOUNDS)
+
 
-    A stretch of a series' windows and a copy of its memory, ahead of them, are one sorted run of rows: one memory at a time is held, and no series is one task.
+def _of_tokens(name: str, mem: DataFrame) -> DataFrame:
+    """(series_id, name, mems): memory() with a row for each series."""
+    return mem.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("token_idx", "mem")))["mem"].alias("mems")).select("series_id", F.lit(name).alias("name"), "mems")
+
+
+def memories(windows: DataFrame, masks: dict[str, np.ndarray]) -> DataFrame:
+    """(series_id, name, mems): memory() of the pooled tokens by each of masks, and of single ones, by the name patch, an array of tokens each.
+
+    A sample of a series' windows tells where the medians lie, give or take SPREAD deviations. Then all windows are counted, where they are, against these bounds, and
+    only values within are gathered, some 9 % of 2**12 sampled ones' share. A median that lies elsewhere is sought there in another round, so the result is exact.
     """
+    if (windows.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0) > GATHERED:
+        kinds = [_of_tokens(name, memory(pooled(windows, m))) for name, m in masks.items()] + [_of_tokens("patch", memory(windows))]
+        return durable(reduce(DataFrame.unionByName, kinds), "memories")
+    bounds = durable(_sampled_bounds(windows, masks), "bounds")
+    open_series = lambda b: b.join(b.where("low <> high").select("series_id").distinct(), "series_id", "left_semi")
+    done, left = bounds, open_series(bounds)
+    while not left.isEmpty():
+        closer = durable(_closer(windows, left, masks), "bounds")
+        done = done.join(left.select("series_id").distinct(), "series_id", "left_anti").unionByName(closer)
+        left = open_series(closer)
+    flat = done.groupBy("series_id").agg(F.max("dims").alias("dims"), F.sort_array(F.collect_list(F.struct("part", "low"))).alias("b")).select("series_id", "dims", F.flatten("b.low").alias("bits"))
+    sizes = [(name, len(m)) for name, m in masks.items()]
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, names, out = [], [], []
+            for s, dims, bits in zip(b.column("series_id").to_pylist(), b.column("dims").to_pylist(), b.column("bits")):
+                mem, at = as_doubles(bits.values.to_numpy()).reshape(-1, dims), 0
+                for name, size in [*sizes, ("patch", None)]:
+                    end = len(mem) if size is None else at + size
+                    ids.append(s)
+                    names.append(name)
+                    out.append(mem[at:end])
+                    at = end
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(names, pa.string()), nested(out)], names=["series_id", "name", "mems"])
+
+    return durable(flat.mapInArrow(shaped, "series_id string, name string, mems array<array<double>>"), "memories")
+
+
+def _dealt(windows: DataFrame, held: DataFrame) -> DataFrame:
+    """windows, and a copy of held's rows of their series ahead of each stretch of them, as one sorted run of rows: no series is one task."""
     stretch = F.expr(f"window_id div {STRETCH}")
-    rows = windows.select("series_id", stretch.alias("stretch"), "window_id", F.lit(None).cast("string").alias("name"), "toks")
     last = windows.groupBy("series_id").agg(F.max(stretch).alias("last"))
-    for name, mem in memories.items():
-        held = mem.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("token_idx", "mem")))["mem"].alias("toks")).join(last, "series_id")
-        copies = held.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("stretch"), F.lit(-1).cast("long").alias("window_id"), F.lit(name).alias("name"), "toks")
-        rows = rows.unionByName(copies)
+    copies = held.join(last, "series_id").withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last").withColumn("window_id", F.lit(-1).cast("long"))
+    rows = windows.select("series_id", stretch.alias("stretch"), "window_id", "toks").unionByName(copies, allowMissingColumns=True)
+    return rows.repartition("series_id", "stretch").sortWithinPartitions("series_id", "stretch", "window_id")
+
+
+def with_memory(windows: DataFrame, memories: DataFrame | dict[str, DataFrame], run: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """(series_id, window_id, out): run(tokens of a window, its series' memory by name) for each window, an array of doubles. memories: what
+    memories() gives, or memory() by name.
+
+    One series' memory is held at a time, which comes ahead of each stretch of its windows.
+    """
+    if isinstance(memories, dict):
+        memories = reduce(DataFrame.unionByName, (_of_tokens(name, mem) for name, mem in memories.items()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         series, held = None, {}
         for b in batches:
             ids, numbers, out = [], [], []
-            for s, w, name, toks in zip(b.column("series_id").to_pylist(), b.column("window_id").to_pylist(), b.column("name").to_pylist(), b.column("toks")):
+            for s, w, name, toks, mems in zip(b.column("series_id").to_pylist(), b.column("window_id").to_pylist(), b.column("name").to_pylist(), b.column("toks"), b.column("mems")):
                 if s != series:
                     series, held = s, {}
                 if name is not None:
-                    held[name] = _matrix(toks)
+                    held[name] = _matrix(mems)
                 else:
                     ids.append(s)
                     numbers.append(w)
@@ -112,8 +299,7 @@ def with_memory(windows: DataFrame, memories: dict[str, DataFrame], run: Callabl
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.zeros(0)))], names=[*KEYS, "out"])
 
-    dealt = rows.repartition("series_id", "stretch").sortWithinPartitions("series_id", "stretch", "window_id")
-    return dealt.mapInArrow(each, "series_id string, window_id long, out array<double>")
+    return _dealt(windows, memories).mapInArrow(each, "series_id string, window_id long, out array<double>")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -147,11 +333,11 @@ def harmonic(scores: DataFrame, masks: DataFrame, side: int, shift: int = 1) ->
 
 def harmonic_map(scores: np.ndarray, masks: np.ndarray, shift: int = 1) -> np.ndarray:
     """harmonic() of one window; NaN where no mask holds the patch."""
-    held = np.zeros_like(masks)
-    held[:, : masks.shape[1] - shift] = masks[:, shift:]
+    zero, held = scores == 0, masks[:, shift:]
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean = held.sum(0) / (held / scores[:, None]).sum(0, where=held > 0)
-    return np.where((held * (scores == 0)[:, None]).any(0), 0.0, np.where(held.any(0), mean, np.nan))
+        mean = held.sum(0) / (np.where(zero, 0.0, 1 / scores) @ held)
+    mean = np.where(zero.astype(float) @ held > 0, 0.0, mean)  # no mask: 0 / 0
+    return np.concatenate([mean, np.full(shift, np.nan)])
 
 
 def fused(large: DataFrame, mid: DataFrame, patch: DataFrame) -> DataFrame:
@@ -164,6 +350,7 @@ def fused(large: DataFrame, mid: DataFrame, patch: DataFrame) -> DataFrame:
     return total.select(*KEYS, "patch", F.when(mean.isNull() | F.isnan(mean) | (F.abs(mean) == float("inf")), 0.0).otherwise(mean).alias("score"))
 
 
+@cache
 def bilinear(side: int, size: int) -> np.ndarray:
     """Weights (size x side) that stretch a row of side cells to size, by half-pixel centres."""
     out = np.zeros((size, side))
@@ -203,7 +390,7 @@ def column_scores(toks: np.ndarray, held: dict[str, np.ndarray], masks: dict[str
     stretch = bilinear(side, size)
     full = stretch @ np.where(np.isfinite(mean), mean, 0.0).reshape(side, side) @ stretch.T
     k = max(1, -int(-size * share // 1))
-    return np.sort(full, axis=0)[-k:].mean(0)
+    return np.partition(full, size - k, axis=0)[-k:].mean(0)
 
 
 def stitched(columns: DataFrame, width: int, ratio: float) -> DataFrame:

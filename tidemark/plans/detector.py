@@ -45,8 +45,7 @@ class ScreeningDetector:
         encoded = durable(render.encoded(drawn, self.encoder, self.side, profile=self.profile), "tokens")
         failed = encoded.where("error is not null").groupBy("series_id").agg(F.min("error").alias("error"))
         toks, masks = encoded.where("error is null"), {f"of{k}": tokens.mask_matrix(grid, k) for k in self.kernels}
-        memories = {name: durable(tokens.memory(tokens.pooled(toks, m)), name) for name, m in masks.items()}
-        memories["patch"] = durable(tokens.memory(toks), "patch")
+        memories = tokens.memories(toks, masks)
         size, share, shift = self.side, self.column_share, self.index_shift
         found = tokens.with_memory(toks, memories, lambda t, held: tokens.column_scores(t, held, masks, grid, size, share, shift))
         columns = found.select("series_id", "window_id", F.posexplode("out").alias("c", "score"))
