@@ -167,3 +167,12 @@ def test_memories_are_the_medians_of_all_windows(spark, monkeypatch, sample, spr
     for s, ws in toks.items():
         for name, each in (("patch", ws), ("of2", np.stack([masks["of2"] / 4 @ x for x in ws]))):
             np.testing.assert_allclose(got[s, name], np.sort(each, axis=0)[(len(ws) - 1) // 2], rtol=1e-12, atol=0 if name == "patch" else 1e-12)
+
+
+def test_few_points_are_many_tasks_windows(spark, monkeypatch):
+    """What a task draws and encodes isn't told by the bytes of its points."""
+    monkeypatch.setattr(series, "CUT", 40)
+    rows = spark.range(2000).selectExpr("'s' as series_id", "id as idx", "2000L as n", "cast(id as double) as value_norm")
+    windows = series.window_rows(rows, 10, 5).select(F.spark_partition_id().alias("task"), "window_id").collect()
+    assert sorted(r.window_id for r in windows) == list(range(399))
+    assert len({r.task for r in windows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,8 +11,8 @@ from tidemark.functions.scalar import finite
 from tidemark.operators import scan
 from tidemark.operators.scan import blocked, running
 
-#: Points of the windows that one group cuts.
-CUT = 1 << 18
+#: Points of the windows that one group cuts: few, so that the groups, which are drawn and encoded where they are cut, even out over the tasks.
+CUT = 1 << 14
 #: Neighbouring windows of a series that are ranked together for a sample.
 SAMPLED = 1 << 16
 
@@ -106,6 +106,8 @@ def window_rows(df: DataFrame, size: int, step: int, value: str = "value_norm")
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
         return pa.table([pa.array([points["series_id"][0].as_py()] * len(windows), pa.string()), pa.array(windows, pa.int64()), lists], names=["series_id", "window_id", "points"])
 
+    # tasks by their number, as by their bytes few would be left, and what comes of a window takes much longer than to read it
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "stretch")
     return rows.groupBy("series_id", "stretch").applyInArrow(cut, "series_id string, window_id long, points array<double>")
 
 
