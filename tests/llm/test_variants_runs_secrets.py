@@ -93,6 +93,18 @@ def test_orders_of_the_same_letters_are_not_paired(spark):
     assert many > 5
 
 
+def test_near_words_are_told_by_plain_functions(spark):
+    """Also letters that share a value with others; and no function of Spark's goes letter by letter over the pairs of words."""
+    draw, letters = random.Random(5), "ab" + chr(97 + 4096) + chr(98 + 4096) + "é"
+    words = {"".join(draw.choice(letters) for _ in range(draw.randrange(1, 6))): 1 + i % 90 for i in range(600)} | {"": 7, "aab": 40, "aaab": 3, "baab": 2}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    assert told(anagram.variants(df)) == variants_by_force(words)
+    pairs = anagram._by_key(anagram.durable(anagram.residues(df), "residues"))
+    found = [frozenset((r.a_word, r.b_word)) for r in pairs.collect()]
+    assert len(found) == len(set(found))
+    assert "lambda" not in pairs._jdf.queryExecution().toString()
+
+
 def test_values_tell_letters_apart():
     values = {c**anagram.POWER for c in [*range(97, 123), *range(192, 256)]}
     assert len(values) == 90 and max(values) < 1 << 40

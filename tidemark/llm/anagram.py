@@ -42,7 +42,7 @@ def _left(key: Column, letter: Column) -> Column:
 def residues(words: DataFrame) -> DataFrame:
     """(res, gone, word, size, n): a row for the whole word, gone being '', and one for each different letter, gone, without its value."""
     key = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda total, c: (total + letter_value(c)) % F.lit(MODULUS))
-    gone = F.concat(F.array(F.lit("")), F.array_distinct(F.split("word", "")))
+    gone = F.array_distinct(F.concat(F.array(F.lit("")), F.split("word", "")))
     rows = words.select("word", "n", key.alias("key"), F.length("word").alias("size"), F.explode(gone).alias("gone"))
     return rows.select(F.when(F.col("gone") == "", F.col("key")).otherwise(_left(F.col("key"), F.col("gone"))).alias("res"), "gone", "word", "size", "n")
 
@@ -56,28 +56,21 @@ def _without(word: str, at: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
 
 
-def _agree() -> Column:
-    """How many letters a_word and b_word begin with alike."""
-
-    def follow(state: Column, x: Column) -> Column:
-        same = state["on"] & (x == F.get("b", state["i"]))
-        return F.struct((state["i"] + F.when(same, 1).otherwise(0)).alias("i"), same.alias("on"))
-
-    return F.aggregate("a", F.struct(F.lit(0).alias("i"), F.lit(True).alias("on")), follow)["i"]
+def _one_more(more: str, less: str, letter: str) -> Column:
+    """Whether one word has a letter once more than another."""
+    times = lambda word: F.length(word) - F.length(F.replace(F.col(word), F.col(letter), F.lit("")))
+    return times(more) == times(less) + 1
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
     """Pairs among rows of few rows a key: a and b's letters are the same up to some place and after it, where b has one more letter, or another. What is near at all
-    is told first; then that it is by the letters of this row, so that a pair comes once even where two differences of values are equal."""
+    is told first; then that it is by the letters of this row, which one word has once more, so that a pair comes once even where two differences of values are equal."""
     whole, less, pair = rows.where("gone = ''"), rows.where("gone <> ''"), ["a_word", "a_n", "b_word", "b_n"]
     removed = whole.select("res", *_ends("a")).join(less.select("res", *_ends("b")), "res").where("b_size = a_size + 1")
     exchanged = less.select("res", *_ends("a")).join(less.select("res", *_ends("b")), "res").where("a_gone < b_gone and a_size = b_size")
     half = "left(a_word, a_size div 2) = left(b_word, a_size div 2) or right(a_word, a_size div 2) = right(b_word, a_size div 2)"  # one edit spares half of the word
     both = removed.unionByName(exchanged).where(f"({half}) and levenshtein(a_word, b_word, 1) = 1")
-    both = both.withColumn("a", F.split("a_word", "")).withColumn("b", F.split("b_word", "")).withColumn("i", _agree())
-    fits = "(a_size = b_size or a_gone = '') and get(b, i) = b_gone and (a_gone = '' or get(a, i) = a_gone)"
-    rest = F.substring("b_word", F.col("i") + 2, F.col("b_size")) == F.substring("a_word", F.col("i") + F.when(F.col("a_gone") == "", 1).otherwise(2), F.col("a_size"))
-    return both.where(fits).where(rest).select(*pair)
+    return both.where(_one_more("b_word", "a_word", "b_gone")).where((F.col("a_gone") == "") | _one_more("a_word", "b_word", "a_gone")).select(*pair)
 
 
 def _by_order(rows: DataFrame) -> DataFrame:
