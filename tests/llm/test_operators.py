@@ -95,6 +95,28 @@ def test_jaccard_join_deals_few_tokens_of_lone_texts(spark, monkeypatch):
     assert sum(sent) < 0.7 * sum(n for n, _ in {t: want[i] for i, t in enumerate(texts)}.values())
 
 
+def test_jaccard_join_deals_few_tokens_where_all_texts_have_near_copies(spark, monkeypatch):
+    """Only the first turns are dealt, and texts, not lists of tokens, go to their groups: each of them once, as no group is large."""
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1)  # no token is hot
+    base = shared_lines(60, 40_000, 20)[:60]
+    texts = [t[: 15 * i] + f" one{i} " + t[15 * i :] for t in base for i in range(5)] + ["few words", "few words here", "a b c d e f g", "a b c d e f g h", "one", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sent, members, shared, tries = [], [], jaccard_join._shared, jaccard_join._tries
+    monkeypatch.setattr(jaccard_join, "_shared", lambda dealt, bits, hot: (sent.append(dealt.agg(F.sum(F.length("nodes")) / 8).first()[0]), shared(dealt, bits, hot))[1])
+    monkeypatch.setattr(jaccard_join, "_tries", lambda sets, percent: (members.append(sets.count()), tries(sets, percent))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows).collect()}
+    want = components_by_force(list(enumerate(texts)))
+    assert got == want and len({c for _, c in want.values()}) < 80
+    assert sum(sent) < 0.4 * sum(n for n, _ in want.values()) and sum(members) <= len(texts)
+
+
+def test_sizes_of_sets_that_link_are_at_most_a_class_apart():
+    n = np.arange(1, 20_000)
+    for percent in (1, 20, 50, 80, 99, 100):
+        most = np.minimum(100 * n // percent, 1 << 40)
+        assert (jaccard_join.size_class(most, percent) - jaccard_join.size_class(n, percent)).max() <= 1
+
+
 def test_a_filter_of_rows_lets_all_of_them_through(spark):
     rows = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 200_000)
     found = jaccard_join.row_filter(spark.createDataFrame(pa.table({"row": rows[:100_000]})), 100_000)
