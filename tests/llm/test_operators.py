@@ -96,7 +96,7 @@ def test_jaccard_join_deals_few_tokens_of_lone_texts(spark, monkeypatch):
 
 
 def test_jaccard_join_deals_few_tokens_where_all_texts_have_near_copies(spark, monkeypatch):
-    """Only the first turns are dealt, and texts, not lists of tokens, go to their groups: each of them once, as no group is large."""
+    """Only the first turns are dealt, and sets go straight to their groups: each of them once, as no group is large."""
     monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1)  # no token is hot
     base = shared_lines(60, 40_000, 20)[:60]
     texts = [t[: 15 * i] + f" one{i} " + t[15 * i :] for t in base for i in range(5)] + ["few words", "few words here", "a b c d e f g", "a b c d e f g h", "one", "", None]
@@ -158,6 +158,22 @@ def test_one_of_each_decides_by_row(spark):
     assert kept == sorted((str(i), str(t)[:9], g) for i, t, g in want)
 
 
+def test_one_of_each_leaves_texts_where_they_are_if_few_rows_stay(spark, monkeypatch):
+    """What goes is too much to broadcast (here: more than 20 rows), what stays isn't."""
+    from tidemark.llm import common
+
+    texts = [f"{BASE} text{i % 3} " * 2 for i in range(60)] + [None, None, "", "lone text"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "", "y"), (63, "lone text", "z")], "doc_id long, text string, _stay string")
+    want = sorted((str(r.doc_id), str(r.text)) for r in jaccard_join.one_of_each(docs).collect())
+    small = common.small_enough
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "small_enough", lambda df, most=20: small(df, 20))
+    kept = jaccard_join.one_of_each(docs)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want and len(want) < 10
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan
+
+
 def test_trie_finds_what_comparing_all_finds():
     random = np.random.default_rng(5)
     for _ in range(30):
