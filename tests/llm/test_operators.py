@@ -138,6 +138,18 @@ def test_hot_tokens_are_counted_by_cell(spark):
     assert cells.tolist() == np.flatnonzero(total > len(texts) / 1000).tolist() and counts.tolist() == total[cells].tolist()
 
 
+def test_cells_count_each_token_of_odd_rows(spark, docs):
+    """Null ids and texts, empty and repeated rows; cells take more than 2**8 and 2**16 of a token."""
+    from zlib import decompress
+
+    many = docs.unionByName(spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text")), allowMissingColumns=True)
+    written = jaccard_join.sets_of(many.coalesce(2), 5).toPandas()
+    total = np.zeros((16, 1 << 16), np.int64)
+    for r in written[written.slice.notna()].itertuples():
+        total[int(r.slice)] += np.frombuffer(decompress(r.cells), np.uint32)
+    assert total.sum() == written.n.sum() and total.max() >= 70_002
+
+
 def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     from tidemark.llm import components
 

@@ -100,7 +100,7 @@ def sets_of(docs: DataFrame, k: int, turns: int = _TURNS) -> DataFrame:
         for piece in pieces(batches, "text"):
             data, offsets = raw_bytes(piece.column("text"))
             doc, tokens = shingle_sets(data, offsets, k)
-            np.add.at(cells, _cell(tokens), 1)
+            np.add.at(cells, _cell(tokens), np.uint32(1))  # of the cells' own type, as numpy is many times slower if it has to convert
             size, node = set_hashes(doc, tokens, piece.num_rows)
             early = np.bincount(doc[_turn(tokens) < turns], minlength=piece.num_rows)
             yield pa.record_batch([piece.column("doc_id"), piece.column("row"), pa.array(size), pa.array(early), pa.array(node), *nothing(piece.num_rows)[5:]], names=names)
