@@ -150,6 +150,35 @@ def test_cells_count_each_token_of_odd_rows(spark, docs):
     assert total.sum() == written.n.sum() and total.max() >= 70_002
 
 
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_tries_are_those_of_blocks_whatever_the_batches(spark, most):
+    """Rows of a block that come in several batches, rows that repeat, blocks of one set, and a pair of parts; no row is turned into an object of pandas."""
+    from zlib import compress
+
+    base = list(range(1 << 40, (1 << 40) + 20))
+    sets = {1: base, 2: base[:18], 3: base[2:], 4: [x + 100 for x in base], 5: base[:19]}
+    groups = [(7, 0, 0, {n: 0 for n in (1, 2, 3, 4)}), (8, 0, 0, {5: 0}), (9, 0, 1, {1: 0, 3: 0, 4: 1, 5: 1})]
+    rows = []
+    for block, i, j, members in groups:
+        for node, part in members.items():
+            tokens = np.array(sets[node], np.int64)
+            low, high = tokens.astype(np.uint32).view(np.int32).tolist(), compress((tokens >> 32).astype(np.uint16).tobytes(), 1)
+            rows += [(block, i, j, part, node, len(tokens), low, high)] * (3 if node in (1, 5) else 1)
+    members = spark.createDataFrame(rows, "block long, i int, j int, part int, node long, n long, tokens array<int>, high binary").coalesce(1).sortWithinPartitions("block", "i", "j", "node")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        found = jaccard_join._tries(members, 80)
+        links = sorted(tuple(sorted(r)) for r in found.collect())
+        assert found.columns == ["a", "b"] and "InPandas" not in found._jdf.queryExecution().toString()
+        assert jaccard_join._tries(members.limit(0), 80).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # 1 joins 2 and 3 of the first block, and its part's sets aren't compared with each other in the last
+    joined = {frozenset(x) for x in links}
+    assert len(links) == 4 and {frozenset(x) for x in ((1, 5), (3, 5))} <= joined and not any(4 in x for x in joined)
+    assert len({x for x in joined if x <= {1, 2, 3}}) == 2
+
+
 def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     from tidemark.llm import components
 

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from zlib import compress, decompress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -405,50 +404,56 @@ def _sets(docs: DataFrame, k: int, rows: np.ndarray) -> DataFrame:
 def _tries(members: DataFrame, percent: int) -> DataFrame:
     """members: (block, i, j, part, node, n, tokens, high), dealt and sorted by (block, i, j, node). One trie at a time is in memory."""
 
-    def one(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        block = (pd.concat(rows) if len(rows) > 1 else rows[0]).drop_duplicates("node")
-        high = np.frombuffer(b"".join(decompress(x) for x in block.high), np.uint16)
-        tokens = high.astype(np.int64) << 32 | np.concatenate(block.tokens.to_numpy()).view(np.uint32)
-        of = np.repeat(np.arange(len(block)), block.tokens.str.len())
+    def one(rows: list[pa.RecordBatch], i: int, j: int) -> list[tuple[int, int]]:
+        block = pa.Table.from_batches(rows).combine_chunks()
+        node, n, part = (block.column(c).to_numpy() for c in ("node", "n", "part"))
+        high = np.frombuffer(b"".join(decompress(x) for x in block.column("high").to_pylist()), np.uint16)
+        tokens = high.astype(np.int64) << 32 | block.column("tokens").chunk(0).flatten().to_numpy().view(np.uint32)
+        of = np.repeat(np.arange(len(n)), n)
         _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
         counts = counts[inverse]
         # what no other set here has is in no overlap; a set with too little else links with nothing here
         also = counts > 1
-        may = np.bincount(of[also], minlength=len(block)) * 100 >= block.n.to_numpy() * percent
+        may = np.bincount(of[also], minlength=len(n)) * 100 >= n * percent
         also &= may[of]
-        tokens, counts, of, block = tokens[also], counts[also], (np.cumsum(may) - 1)[of[also]], block[may]
+        tokens, counts, of = tokens[also], counts[also], (np.cumsum(may) - 1)[of[also]]
+        node, n, part = node[may], n[may], part[may]
         order = np.lexsort((tokens, -counts))
         new = np.append(True, tokens[order][1:] != tokens[order][:-1])[: len(tokens)]
         rank = np.empty(len(tokens), np.int64)
         rank[order] = np.cumsum(new)
-        cuts = np.cumsum(np.bincount(of, minlength=len(block)))[:-1]
-        sets = [(node, n, sorted(r.tolist())) for node, n, r in zip(block.node.tolist(), block.n.tolist(), np.split(rank, cuts))]
-        i, j, part = int(rows[0].i.iat[0]), int(rows[0].j.iat[0]), block.part.to_numpy()
+        cuts = np.cumsum(np.bincount(of, minlength=len(n)))[:-1]
+        sets = [(x, m, sorted(r.tolist())) for x, m, r in zip(node.tolist(), n.tolist(), np.split(rank, cuts))]
         a, b = [s for s, p in zip(sets, part) if p == i], [s for s, p in zip(sets, part) if p == j]
-        return pd.DataFrame(trie_links(b, a, percent), columns=["a", "b"], dtype="int64")
+        return trie_links(b, a, percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            change = (batch[["block", "i", "j"]] != batch[["block", "i", "j"]].shift()).any(axis=1).to_numpy()
-            cuts = [*np.flatnonzero(change), len(batch)]
+            block, i, j, node = (batch.column(c).to_numpy() for c in ("block", "i", "j", "node"))
+            change = (block[1:] != block[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            fresh = np.append(True, change | (node[1:] != node[:-1]))  # a row that repeats is taken once
+            cuts, found = [0, *np.flatnonzero(change) + 1, len(node)], []
             for first, end in zip(cuts, cuts[1:]):
-                rows = batch.iloc[first:end]
-                now = tuple(rows.iloc[0][["block", "i", "j"]])
-                if held and now != key:
-                    yield one(held)
-                    held = []
-                key = now
-                # a row that repeats is taken once
-                again = rows.node.eq(rows.node.shift(fill_value=held[-1].node.iat[-1] if held else ~rows.node.iat[0]))
-                if not again.all():
-                    held.append(rows[~again])
+                now = block[first], int(i[first]), int(j[first])
+                if now != key:
+                    found += one(held, *key[1:]) if held else []
+                    key, held = now, []
+                elif held[-1].column("node")[-1].as_py() == node[first]:
+                    fresh[first] = False
+                rows = batch.slice(first, end - first).filter(pa.array(fresh[first:end]))
+                if rows.num_rows:
+                    held.append(rows)
+            yield told(found)
         if held:
-            yield one(held)
+            yield told(one(held, *key[1:]))
 
-    return members.mapInPandas(run, "a long, b long")
+    return members.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
