@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import z_value
 from tidemark.operators import detect, evaluate, render, series, tokens
@@ -348,3 +350,22 @@ def test_a_long_series_is_asked_about_by_few_points(spark):
     raw = verify.answers(verify.prompts(spark.createDataFrame([("s", 3, 9)], "series_id string, s long, e long")), rows, verify.KeepAll())
     got = verify.answered(raw).collect()
     assert [(r.s, r.e) for r in got] == [(3, 9)] and not seen
+
+
+def test_overlap_pairs_of_odd_rows_and_series_with_other_levels(spark):
+    """Null keys and ends, rows that repeat, ends before starts on both sides, series of one side; an interval has rows at its own series' levels only."""
+    found = [("a", 0, 0), ("a", 3, 70), ("a", 3, 70), ("b", 5, 5), ("c", 1, 2), (None, 1, 9), ("a", None, 9), ("a", 9, None), ("b", 9, 4), ("d", 0, 1000)]
+    truth = [("a", 0, 4), ("a", 60, 61), ("a", 71, 90), ("b", 1, 2000), ("b", 1, 2000), ("b", 8, 3), ("d", 500, 499), (None, 1, 9), ("e", 1, 1), ("a", None, None)]
+    f, t = (spark.createDataFrame(x, "series_id string, start long, end long") for x in (found, truth))
+    touch = lambda x, y: x[0] is not None and x[0] == y[0] and None not in (*x, *y) and x[1] <= y[2] and y[1] <= x[2]
+    assert sorted(tuple(r) for r in evaluate.overlap_pairs(f, t).collect()) == sorted((*x, *y[1:]) for x in found for y in truth if touch(x, y))
+    assert evaluate.overlap_pairs(f.limit(0), t).count() == evaluate.overlap_pairs(f, t.limit(0)).count() == 0
+    x, y = (df.where("start <= end").withColumns({"_s": F.col("start").cast("double"), "_e": F.col("end").cast("double")}).withColumn("_own", evaluate._level()) for df in (f, t))
+    levels = {(r.series_id, r.fstart, r._level) for r in evaluate._levelled(x, y, "f").collect()}
+    assert levels == {("a", 0, 0), ("a", 0, 2), ("a", 0, 5), ("a", 3, 7), ("b", 5, 0), ("b", 5, 11)}
+
+
+def test_overlap_pairs_finds_each_side_once(spark):
+    rows = spark.range(40).select((F.col("id") % 3).cast("string").alias("series_id"), F.col("id").alias("start"), (F.col("id") + 2).alias("end"))
+    last = rows.withColumn("n", F.row_number().over(Window.partitionBy("series_id").orderBy("start"))).where("n > 2").drop("n")
+    assert "Window" not in evaluate.overlap_pairs(last, last)._jdf.queryExecution().toString()
