@@ -369,3 +369,16 @@ def test_overlap_pairs_finds_each_side_once(spark):
     rows = spark.range(40).select((F.col("id") % 3).cast("string").alias("series_id"), F.col("id").alias("start"), (F.col("id") + 2).alias("end"))
     last = rows.withColumn("n", F.row_number().over(Window.partitionBy("series_id").orderBy("start"))).where("n > 2").drop("n")
     assert "Window" not in evaluate.overlap_pairs(last, last)._jdf.queryExecution().toString()
+
+
+def test_unmatched_rows_are_found_once_and_odd_ones_stay_as_they_were(spark):
+    """Rows that repeat stay with all columns; null keys and ends match nothing and are in neither; what finds the rows isn't in the result's plan."""
+    found = [("a", 0, 0, 1.0), ("a", 3, 70, 2.0), ("a", 3, 70, 2.0), ("a", 3, 70, None), ("c", 1, 2, 3.0), (None, 1, 9, 4.0), ("a", None, 9, 5.0), ("a", 9, None, 6.0)]
+    f = spark.createDataFrame(found, "series_id string, start long, end long, severity double")
+    f = f.withColumn("n", F.row_number().over(Window.partitionBy("series_id").orderBy("start"))).where("n > 0").drop("n")
+    t = spark.createDataFrame([("a", 4, 5), ("a", 4, 5), ("b", 1, 2), (None, 1, 9)], "series_id string, start long, end long")
+    for made, want in ((evaluate.matched, found[1:4]), (evaluate.unmatched, [found[0], found[4]])):
+        out = made(f, t)
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+        assert out.columns == f.columns and "Window [row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert evaluate.unmatched(f.limit(0), t).count() == evaluate.matched(f, t.limit(0)).count() == 0

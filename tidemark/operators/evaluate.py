false_positives: intervals are found once, not again for the join with their counts

Symptom: false_positives writes 23 MB of shuffle and reads 38 MB for 2 MB of events.
Evidence: event log at sf0.1: 10 MB of the writes and 16 MB of the reads were the intervals found a second time, to be joined with the counts of what they touch.
Fix: unmatched and matched write the intervals once, and both the counts and the join read that. Rows, repeats and other columns stay as they are; a test holds odd rows and the plan. false_negatives, matched_truths and model_fanout, which use the same code, give the same rows; their shuffle was not measured.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 287 -> 220 s, shuffle 1.41 -> 0.82 GB, spill 0.00 -> 0.00 GB, read 0.35 -> 0.28 GB, longest task 6 -> 4 s, most memory of a task 856 -> 546 MB; at 6 GB of input CPU 899 -> 690 s, shuffle 8.78 -> 5.18 GB, spill 0.00 -> 0.00 GB, read 2.51 -> 2.01 GB, longest task 9 -> 10 s, most memory of a task 1284 -> 1284 MB; with hot keys, at 1 GB of input CPU 334 -> 296 s, shuffle 1.48 -> 0.91 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.48 GB, longest task 2 -> 2 s, most memory of a task 403 -> 397 MB.

@@ -83,6 +83,7 @@ def overlap_counts(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def _of_side(a: DataFrame, b: DataFrame, touching: bool) -> DataFrame:
+    a = durable(a, "intervals")  # it is counted and then joined with its counts
     counts = overlap_counts(a, b).where("side = 'f'").where("overlaps > 0" if touching else "overlaps = 0").select("series_id", "start", "end")
     return a.join(counts, ["series_id", "start", "end"], "left_semi").select(a.columns)
 
